@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import table
 
 _WS = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -87,24 +88,20 @@ def statistics(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _stats(text: str):
+def _stats(text: str, drop: bool, prefix: str):
     def run(batches):
         for b in batches:
-            rows = [statistics(t.as_py()) for t in b.column(text)]
-            cols = np.array(rows, np.int64).reshape(-1, len(STATS))
-            at = b.schema.get_field_index(text)
-            rest = [i for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *(pa.array(cols[:, i]) for i in range(len(STATS)))], names=[*(b.schema.names[i] for i in rest), *STATS])
+            cols = np.array([statistics(t.as_py()) for t in b.column(text)], np.int64).reshape(-1, len(STATS))
+            rest = [i for i, n in enumerate(b.schema.names) if not (drop and n == text)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in rest), *(pa.array(cols[:, i]) for i in range(len(STATS)))], names=[*(b.schema.names[i] for i in rest), *(prefix + x for x in STATS)])
 
     return run
 
 
-def with_statistics(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key and STATS of each row of docs."""
-    from pyspark.sql import types as T
-
-    schema = T.StructType([docs.schema[key], *(T.StructField(x, T.LongType()) for x in STATS)])
-    return docs.select(key, text).mapInArrow(_stats(text), schema)
+def with_statistics(docs: DataFrame, text: str = "text", drop: bool = False, prefix: str = "") -> DataFrame:
+    """docs with STATS under prefixed names; drop leaves the text out."""
+    schema = T.StructType([*(f for f in docs.schema.fields if not (drop and f.name == text)), *(T.StructField(prefix + x, T.LongType()) for x in STATS)])
+    return docs.mapInArrow(_stats(text, drop, prefix), schema)
 
 
 @dataclass(frozen=True)
@@ -113,9 +110,10 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         part, whole = FEATURES[self.feature]
-        x = F.col(part).cast("double") / F.greatest(F.col(whole), F.lit(1)) if whole else F.col(part).cast("double")
+        x = F.col(prefix + part).cast("double")
+        x = x / F.greatest(F.col(prefix + whole), F.lit(1)) if whole else x
         return x >= F.lit(self.threshold) if self.above else x <= F.lit(self.threshold)
 
     def holds(self, x: np.ndarray) -> np.ndarray:
@@ -193,40 +191,44 @@ def learn(x: np.ndarray, bad: np.ndarray, seed: int = 5, most_rules: int = 12, m
     return rules
 
 
-def fit(stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> list[Rule]:
-    """Learn from at most `sample` labelled rows, those with the smallest hashes of their key."""
-    known = labels.filter(F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("__label"))
-    rows = stats.join(known, key).orderBy(F.xxhash64(key), *STATS).limit(sample).select("__label", *STATS).toPandas()
-    return learn(features(rows[list(STATS)].to_numpy()), rows["__label"].to_numpy() == 0) if len(rows) else []
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> list[Rule]:
+    """Learn from at most `sample` labelled rows, those with the smallest hashes of their key; their ids are broadcast."""
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("__id")).agg(F.min(label).alias("__label"))
+    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
+    rows = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), F.col("__key") == F.col("__id")).select("__key", "__label", "__text")
+    got = with_statistics(rows, "__text", drop=True).orderBy(F.xxhash64("__key"), *STATS).limit(sample).toPandas()
+    return learn(features(got[list(STATS)].to_numpy()), got["__label"].to_numpy() == 0) if len(got) else []
 
 
-def rejected(rules: list[Rule]) -> Column:
+def rejected(rules: list[Rule], prefix: str = "") -> Column:
     """The list as one conditional expression: the number of the first rule that holds, from 1, else null."""
     out = None
     for i, rule in enumerate(rules, 1):
-        both = rule[0].column()
+        both = rule[0].column(prefix)
         for c in rule[1:]:
-            both = both & c.column()
+            both = both & c.column(prefix)
         out = F.when(both, i) if out is None else out.when(both, i)
     return F.lit(None).cast("int") if out is None else out
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(prefix: str = "") -> Column:
+    words = F.col(f"{prefix}n_words")
+    return (words < 10) | (100 * F.col(f"{prefix}n_repeat_words") > 20 * words)
 
 
 def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, STATS, base_failed, rule (the rule that rejects, or null) and kept for each row of docs."""
-    stats = materialize(with_statistics(docs, text, key), "stats")
-    rules = fit(stats, labels, key)
+    """key, STATS, base_failed, rule (the number of the rule that rejects, or null) and kept for each row of docs."""
+    rules = fit(docs, labels, text, key)
+    stats = with_statistics(docs.select(key, text), text, drop=True)
     return stats.select(key, *STATS, base_failed().alias("base_failed"), rejected(rules).alias("rule")).withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
-def op3(spark, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept", "rule")
+def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs that the base and the learned list keep, with their columns. Nothing is shuffled."""
+    rules = fit(docs, labels, text, key)
+    judged = with_statistics(docs, text, prefix="__q_")
+    return judged.filter(~base_failed("__q_") & rejected(rules, "__q_").isNull()).select(docs.columns)
 
 
-def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that the base and the learned list keep, with all their columns."""
-    verdict = judge(docs, labels, text, key).filter("kept").select(F.col(key).alias("__key")).distinct()
-    return docs.join(verdict, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+def op3(spark, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *BASE, "base_failed", "kept", "rule")

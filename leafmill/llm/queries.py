@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, matroska, mixing, pii, quality
+from . import langid, linededup, matroska, mixing, pieces, pii, quality
 
 QUERIES = {
     "op1_matroska_packets": matroska.op1,
     "op3_decision_list": quality.op3,
     "op4_site_boilerplate": linededup.op4,
+    "op5_sampled_pieces": pieces.op5,
+    "op6_cross_parsing": langid.op6,
     "op8_personal_data": pii.op8,
     "op10_systematic_mix": mixing.op10,
 }

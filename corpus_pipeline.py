@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import linededup, mixing, quality
+from leafmill.llm import linededup, mixing, pieces, quality, setjoin
 from leafmill.llm.common import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,12 +21,28 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return linededup.drop_boilerplate(docs.select(*COLUMNS), "text", "source").withColumn("n_chars", F.length("text").cast("long"))
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word shingles with a similarity of 0.8 or more, the one with the smallest id stays."""
+    return setjoin.representatives(docs.select(*COLUMNS), words=5, percent=80).select(*COLUMNS)
+
+
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or left out so that the sources come near their targets."""
     return mixing.emit(mixing.mix(docs.select(*COLUMNS)), list(COLUMNS))
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("mixing sources", mixing_weights)]
+def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sampled pieces of each document, and as text what they decode to, which is the document's text again."""
+    return pieces.with_text(pieces.with_ids(docs.select(*COLUMNS))).select(*COLUMNS, "ids")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("mixing sources", mixing_weights),
+    ("SentencePiece pieces", piece_ids),
+]
 
 #: The learned rules and the sampled segmentations have no SQL form; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

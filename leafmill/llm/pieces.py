@@ -309,7 +309,9 @@ def with_text(docs: DataFrame, ids: str = "ids", into: str = "text", model: str
     def run(batches):
         vocab = vocabulary(path, 1.0)
         for b in batches:
-            made = [None if x is None else decode(vocab, np.array(x, np.int64)) for x in b.column(ids).to_pylist()]
+            lists = b.column(ids)
+            at, flat, valid = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False), lists.is_valid().to_pylist()
+            made = [decode(vocab, flat[at[i] : at[i + 1]]) if ok else None for i, ok in enumerate(valid)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], names=[*b.schema.names, into])
 
     return docs.drop(into).mapInArrow(run, T.StructType([*docs.drop(into).schema.fields, T.StructField(into, T.StringType())]))

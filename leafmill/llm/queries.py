@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import langid, linededup, matroska, mixing, pieces, pii, quality
+from . import langid, linededup, matroska, mixing, pieces, pii, quality, setjoin, suffixdedup, tokenfiles
 
 QUERIES = {
     "op1_matroska_packets": matroska.op1,
+    "op2_token_files": tokenfiles.op2,
     "op3_decision_list": quality.op3,
     "op4_site_boilerplate": linededup.op4,
     "op5_sampled_pieces": pieces.op5,
     "op6_cross_parsing": langid.op6,
+    "op7_merged_transforms": suffixdedup.op7,
     "op8_personal_data": pii.op8,
+    "op9_set_relations": setjoin.op9,
     "op10_systematic_mix": mixing.op10,
 }
 

@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 RATIO = 0.1
 LEAST = 3
+LARGE, SALTS = 256, 64
 
 _BLOCKS = "p|div|li|ul|ol|nav|h[1-6]|article|aside|section|header|footer|main|title|table|tr|td|th|br|hr|pre|blockquote|body|head|html"
 # The expressions hold in Java's and RE2's syntax alike.
@@ -58,8 +59,15 @@ def boilerplate(pages: DataFrame, text: str, host: str, ratio: float = RATIO, le
 
 def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least: int = LEAST, report: bool = False) -> DataFrame:
     """pages with the boilerplate lines gone from text; report adds host_pages, n_lines and n_dropped."""
-    sites = boilerplate(pages, text, host, ratio, least)
-    joined = pages.join(sites if report else sites.filter(F.col("__lines").isNotNull()), F.col(host).eqNullSafe(F.col("__host")), "left")
+    sites = materialize(boilerplate(pages, text, host, ratio, least), "sites")
+    every = sites.agg(F.sum("__pages")).first()[0] or 0
+    # sites with more than a LARGE-th of all pages, which are less than LARGE, are dealt over SALTS tasks each
+    large = F.broadcast(sites.filter(F.col("__pages") * LARGE > every).select(F.col("__host").alias("__large"), F.lit(SALTS).alias("__salts")))
+    lists = (sites if report else sites.filter(F.col("__lines").isNotNull())).join(large, F.col("__host").eqNullSafe(F.col("__large")), "left")
+    lists = lists.select("__host", "__pages", "__lines", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)).alias("__salt"))
+    plain = [c for c, kind in pages.dtypes if "map<" not in kind]
+    dealt = pages.join(large, F.col(host).eqNullSafe(F.col("__large")), "left").withColumn("__own", F.pmod(F.xxhash64(*plain), F.coalesce("__salts", F.lit(1))).cast("int"))
+    joined = dealt.join(lists, F.col(host).eqNullSafe(F.col("__host")) & (F.col("__own") == F.col("__salt")), "left")
     lines = lines_of(F.col(text))
     kept = F.filter(lines, lambda x: ~F.array_contains("__lines", _key(x)) | (F.trim(x) == ""))
     new = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))

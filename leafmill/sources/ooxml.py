@@ -1,0 +1,232 @@
+"""Office packages by the standard library: parts, sheets' cells and documents' paragraphs as relations, and a writer.
+
+Files come through Spark's binaryFile source, so any file system works; each file is read by one task, and a file that
+can't be read gives a row with its error instead of stopping the others."""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+from xml.sax.saxutils import escape
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.values import a1_range, column_letters
+
+# Fixed values of the formats: name spaces.
+_MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+PARTS = "path string, part_name string, part_ord int, payload binary, error string"
+CELLS = "path string, sheet string, sheet_ord int, row int, col int, kind string, value string, formula string, hidden boolean, error string"
+PARAGRAPHS = "path string, block int, tbl int, tbl_row int, style string, text string, bold boolean, italic boolean, revision string, error string"
+
+
+def files(spark: SparkSession, path: str, glob: str | None = None, recursive: bool = False) -> DataFrame:
+    """path, name, stem, suffix, length, content and input_idx, files in order of their paths."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    df = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    order = df.select("path", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("input_idx"))  # a row a file, without contents
+    return df.join(order, "path").select("path", name.alias("name"), F.regexp_replace(name, "\\.[^.]*$", "").alias("stem"), F.lower(F.regexp_extract(name, "\\.([^.]*)$", 1)).alias("suffix"), "length", "content", "input_idx")
+
+
+def _each(read, columns: list[str], most: int = 50_000):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows: list[tuple] = []
+            for path, content in zip(b["path"], b["content"]):
+                try:
+                    for r in read(bytes(content)):
+                        rows.append((path, *r, None))
+                        if len(rows) >= most:
+                            yield pd.DataFrame(rows, columns=columns).astype(object)
+                            rows = []
+                except Exception as e:
+                    rows.append((path, *[None] * (len(columns) - 2), f"{type(e).__name__}: {e}"))
+            if rows:
+                yield pd.DataFrame(rows, columns=columns).astype(object)
+
+    return run
+
+
+def _names(ddl: str) -> list[str]:
+    return [x.split()[0] for x in ddl.split(", ")]
+
+
+def _parts(data: bytes):
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        for i, info in enumerate(x for x in z.infolist() if not x.is_dir()):
+            yield info.filename, i, z.read(info)
+
+
+def parts(file_rows: DataFrame) -> DataFrame:
+    """PARTS of packages (path, content)."""
+    return file_rows.select("path", "content").mapInPandas(_each(_parts, _names(PARTS), 200), PARTS)
+
+
+def _cells(data: bytes):
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = set(z.namelist())
+        shared = []
+        if "xl/sharedStrings.xml" in names:
+            shared = ["".join(t.text or "" for t in si.iter(_MAIN + "t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(_MAIN + "si")]
+        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+        for ord_, s in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(_MAIN + "sheet")):
+            target = targets[s.get(_REL + "id")].lstrip("/")
+            with z.open(target if target.startswith("xl/") else "xl/" + target) as f:
+                for _, row in ElementTree.iterparse(f):
+                    if row.tag != _MAIN + "row":
+                        continue
+                    for c in row.iter(_MAIN + "c"):
+                        r0, c0, *_ = a1_range(c.get("r"))
+                        kind, v, formula = c.get("t", "n"), c.findtext(_MAIN + "v"), c.findtext(_MAIN + "f")
+                        if kind == "s":
+                            v = shared[int(v)]
+                        elif kind == "inlineStr":
+                            v = "".join(t.text or "" for t in c.iter(_MAIN + "t"))
+                        name = {"n": "number", "b": "bool", "e": "error", "d": "date"}.get(kind, "text") if v is not None else "blank"
+                        yield s.get("name"), ord_, r0, c0, name, v, None if formula is None else "=" + formula, row.get("hidden") == "1"
+                    row.clear()
+
+
+def cells(file_rows: DataFrame) -> DataFrame:
+    """CELLS of workbooks (path, content); value is what a formula last gave."""
+    return file_rows.select("path", "content").mapInPandas(_each(_cells, _names(CELLS)), CELLS)
+
+
+def _paragraphs(data: bytes):
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(_W + "body")
+    block = 0
+
+    def paragraph(p, table, row):
+        nonlocal block
+        style = p.find(f"{_W}pPr/{_W}pStyle")
+        for run, revision in _runs(p):
+            text = "".join({_W + "t": x.text or "", _W + "delText": x.text or "", _W + "tab": "\t", _W + "br": "\n"}.get(x.tag, "") for x in run)
+            pr = run.find(_W + "rPr")
+            flag = lambda tag: pr is not None and pr.find(_W + tag) is not None and pr.find(_W + tag).get(_W + "val", "1") not in ("0", "false")  # noqa: E731, B023
+            yield block, table, row, style.get(_W + "val") if style is not None else "Normal", text, flag("b"), flag("i"), revision
+        if not any(True for _ in _runs(p)):
+            yield block, table, row, style.get(_W + "val") if style is not None else "Normal", "", False, False, None
+        block += 1
+
+    tables = 0
+    for x in body:
+        if x.tag == _W + "p":
+            yield from paragraph(x, None, None)
+        elif x.tag == _W + "tbl":
+            for i, tr in enumerate(x.iter(_W + "tr")):
+                for tc in tr.findall(_W + "tc"):
+                    for p in tc.findall(_W + "p"):
+                        yield from paragraph(p, tables, i)
+            tables += 1
+
+
+def _runs(p):
+    for x in p:
+        if x.tag == _W + "r":
+            yield x, None
+        elif x.tag in (_W + "ins", _W + "del", _W + "hyperlink", _W + "smartTag"):
+            for r in x.iter(_W + "r"):
+                yield r, {_W + "ins": "insert", _W + "del": "delete"}.get(x.tag)
+
+
+def paragraphs(file_rows: DataFrame) -> DataFrame:
+    """PARAGRAPHS of word documents (path, content), a row for each run in body order."""
+    return file_rows.select("path", "content").mapInPandas(_each(_paragraphs, _names(PARAGRAPHS)), PARAGRAPHS)
+
+
+def _slides(data: bytes):
+    from ..functions.values import natural_order
+
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        names = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=natural_order)
+        for i, n in enumerate(names, 1):
+            for k, p in enumerate(ElementTree.fromstring(z.read(n)).iter(_A + "p")):
+                font = p.find(f".//{_A}latin")
+                yield i, k, "".join(t.text or "" for t in p.iter(_A + "t")), None if font is None else font.get("typeface")
+
+
+SLIDES = "path string, slide int, paragraph int, text string, font string, error string"
+
+
+def slides(file_rows: DataFrame) -> DataFrame:
+    """SLIDES of presentations (path, content)."""
+    return file_rows.select("path", "content").mapInPandas(_each(_slides, _names(SLIDES)), SLIDES)
+
+
+def workbook(sheets: dict[str, list[list[object]]]) -> bytes:
+    """An xlsx file of rows of values; text that begins with = is a formula."""
+    out = io.BytesIO()
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
+        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        head = '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+        z.writestr("_rels/.rels", f'{head}<Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", head + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook {ns} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n, {chr(34): "&quot;"})}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
+        for i, rows in enumerate(sheets.values(), 1):
+            body = "".join(f'<row r="{r}">' + "".join(_cell(r, c, v) for c, v in enumerate(row, 1)) + "</row>" for r, row in enumerate(rows, 1))
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<?xml version="1.0" encoding="UTF-8"?><worksheet {ns}><sheetData>{body}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def _cell(r: int, c: int, v: object) -> str:
+    ref = f"{column_letters(c)}{r}"
+    if v is None:
+        return ""
+    if isinstance(v, bool):
+        return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, (int, float)):
+        return f'<c r="{ref}"><v>{v}</v></c>'
+    if isinstance(v, str) and v.startswith("="):
+        return f'<c r="{ref}"><f>{escape(v[1:])}</f></c>'
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+
+def word_document(blocks: list[tuple[str, str]]) -> bytes:
+    """A docx file of (style, text) paragraphs."""
+    out = io.BytesIO()
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
+        z.writestr("_rels/.rels", '<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
+        body = "".join(f'<w:p><w:pPr><w:pStyle w:val="{escape(s)}"/></w:pPr><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for s, t in blocks)
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document {w}><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def rewrite(package: bytes, change) -> bytes:
+    """A package with change(name, payload) for each part; None drops it."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(package)) as src, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as dst:
+        for info in src.infolist():
+            new = change(info.filename, src.read(info))
+            if new is not None:
+                dst.writestr(info.filename, new)
+    return out.getvalue()
+
+
+def drop_images(package: bytes) -> bytes:
+    """A word document without drawings and their media parts."""
+
+    def change(name: str, data: bytes) -> bytes | None:
+        if "/media/" in name:
+            return None
+        if name.startswith("word/") and name.endswith(".xml"):
+            data = re.sub(rb"<w:(drawing|pict)\b.*?</w:\1>", b"", data, flags=re.S)
+        if name.endswith(".rels"):
+            data = re.sub(rb"<Relationship\b[^>]*?/image\"[^>]*?/>", b"", data)
+        return data
+
+    return rewrite(package, change)

@@ -133,15 +133,15 @@ def near_pairs(hashes: DataFrame, key: str, bits: str, most: int) -> DataFrame:
     bands = most + 1
     cuts = [64 * i // bands for i in range(bands + 1)]
     band = lambda x, i: F.shiftrightunsigned(x, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
-    classes = hashes.groupBy(F.col(bits).alias("h")).agg(F.min(key).alias("k"))
-    banded = classes.select("k", "h", F.posexplode(F.array(*(band(F.col("h"), i) for i in range(bands)))).alias("i", "v"))
+    classes = hashes.groupBy(F.col(bits).alias("__h")).agg(F.min(key).alias("__k"))
+    banded = classes.select("__k", "__h", F.posexplode(F.array(*(band(F.col("__h"), i) for i in range(bands)))).alias("__i", "__v"))
     x, y = banded.alias("x"), banded.alias("y")
-    found = x.join(y, (F.col("x.i") == F.col("y.i")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.k") < F.col("y.k"))).withColumn("distance", hamming(F.col("x.h"), F.col("y.h"))).filter(F.col("distance") <= most)
+    found = x.join(y, (F.col("x.__i") == F.col("y.__i")) & (F.col("x.__v") == F.col("y.__v")) & (F.col("x.__k") < F.col("y.__k"))).withColumn("distance", hamming(F.col("x.__h"), F.col("y.__h"))).filter(F.col("distance") <= most)
     earlier = F.lit(False)
     for i in range(bands):
-        earlier = earlier | ((F.col("x.i") > i) & (band(F.col("x.h"), i) == band(F.col("y.h"), i)))
-    pairs = found.filter(~earlier).select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), "distance")
-    same = hashes.join(classes.withColumnRenamed("h", "__h"), F.col(bits) == F.col("__h")).filter(F.col(key) > F.col("k")).select(F.col("k").alias("a"), F.col(key).alias("b"), F.lit(0).alias("distance"))
+        earlier = earlier | ((F.col("x.__i") > i) & (band(F.col("x.__h"), i) == band(F.col("y.__h"), i)))
+    pairs = found.filter(~earlier).select(F.col("x.__k").alias("a"), F.col("y.__k").alias("b"), "distance")
+    same = hashes.select(F.col(key).alias("__key"), F.col(bits).alias("__bits")).join(classes, F.col("__bits") == F.col("__h")).filter(F.col("__key") > F.col("__k")).select(F.col("__k").alias("a"), F.col("__key").alias("b"), F.lit(0).alias("distance"))
     return pairs.unionByName(same)
 
 

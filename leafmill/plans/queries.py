@@ -208,7 +208,7 @@ def _txt(spark, d):
 
 @entry("export_json", "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
 def _json(spark, d):
-    return S.records_json(read(spark, d, "nation"), ["n_nationkey", "n_name"])
+    return S.records_json(read(spark, d, "nation"), ["n_nationkey", "n_name"]).select("json")
 
 
 @entry("export_xml", "SELECT n_nationkey, '<row index=\"' || n_nationkey || '\"><cell column=\"A\">' || n_nationkey || '</cell><cell column=\"B\">' || replace(replace(replace(n_name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</cell></row>' AS xml FROM nation")

@@ -109,7 +109,7 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """The automata of all languages as one table of transitions: [state, symbol] is twice the next state, plus 1 if a phrase ended before the symbol."""
+    """The automata of all languages as one table of transitions: [state, symbol] is twice the next state, plus 1 if a phrase begins with the symbol."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
@@ -136,6 +136,7 @@ class Model:
                     t[i, c] = 2 * (q + at)
             root = np.where(t[0] < 0, 2 * at, t[0])  # an unknown symbol is a phrase of its own
             t = np.where(t < 0, root | 1, t)
+            t[0] |= 1
             rows.append(t.astype(np.int32))
             self.roots.append(at)
             self.sizes.append(max(2, len(stream)))
@@ -156,7 +157,7 @@ class Model:
                 go = self.table[state[:m] + blocks[i, :m]]
                 ended[:m] += go & 1
                 state[:m] = (go >> 1) * self.width
-            out[k] = ended + (lengths > 0)
+            out[k] = ended
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:

@@ -15,7 +15,9 @@ rows give no shards. Rows with equal ids follow one another by text. Long texts
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterable
 
@@ -42,16 +44,24 @@ def default_tokenizer() -> str:
 
 
 _CUT = re.compile(r"(?<=\S) ")
+_LOW = [chr(i) for i in range(0x250)]
+_LETTER = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "L")
+_DIGIT = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "N")
+_SPACES = " \\t\\n\\r\\x0b\\x0c"
+#: What the tokenizer's own pattern finds in a text of characters below 0x250, none of them ODD.
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^{_SPACES}{_LETTER}{_DIGIT}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+_ODD = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]")
 
 
 class Encoder:
-    """encode(text, add_special_tokens=False) of a byte-level tokenizer, with what is between spaces kept in a table.
+    """encode(text, add_special_tokens=False) of a byte-level tokenizer, with the ids of words kept in a table.
 
-    A space after a character that isn't white space always begins a new piece, and what follows can't reach before it;
-    so a text's ids are those of its pieces from one such space to the next."""
+    A space after a character that isn't white space always begins a new piece, and what follows can't reach before it; so a
+    text's ids are those of its stretches from one such space to the next, and a stretch's are those of its pieces, which the
+    library's model merges. A tokenizer of another kind encodes whole texts."""
 
-    #: Pieces kept, at most.
-    KEPT = 400_000
+    #: Words kept in each of two generations, at most.
+    KEPT = 500_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -60,44 +70,57 @@ class Encoder:
         self.whole.encode_special_tokens = True
         byte = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = dict(zip([*byte, *(b for b in range(256) if b not in set(byte))], [*byte, *range(256, 512)]))
-        self.have: dict[str, bytes] = {}
-        self.merged: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}  # of a space and the word
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # of pieces as they are
         self.model = self.whole.model.tokenize
-        self.split = self.whole.pre_tokenizer.pre_tokenize_str
+        self.number = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
+        spec = json.loads(self.whole.to_str())
+        pre = spec.get("pre_tokenizer") or {}
+        self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
 
     def _library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _piece(self, text: str) -> bytes:
-        word = text[1:] if text[:1] == " " else text
-        if word.isalpha() and max(word) < "ɐ":  # one word of letters goes to the merges at once
-            return self._merged(text.encode().decode("latin-1").translate(self.shown))
-        if self.whole.normalizer is not None:
-            return self._library(text)
-        return b"".join([self._merged(shown) for shown, _ in self.split(text)])
+    def _merged(self, piece: str) -> bytes:
+        number = self.number
+        return b"".join([number[t.id] for t in self.model(piece.encode().decode("latin-1").translate(self.shown))])
+
+    def _word(self, w: str) -> bytes:
+        """A space and a word of letters, or another stretch that is kept."""
+        got = self.words.get(w)
+        if got is None:
+            got = self.older.get(w)
+            if got is None:
+                got = self._merged(" " + w)
+            if len(self.words) >= self.KEPT:
+                self.older, self.words = self.words, {}
+            self.words[w] = got
+        return got
 
-    def _merged(self, shown: str) -> bytes:
-        got = self.merged.get(shown)
+    def _piece(self, p: str) -> bytes:
+        if p[0] == " " and len(p) > 1:
+            return self._word(p[1:])
+        got = self.bare.get(p)
         if got is None:
-            if len(self.merged) >= self.KEPT:
-                self.merged.clear()
-            got = self.merged[shown] = np.array([t.id for t in self.model(shown)], "<u4").tobytes()
+            if len(self.bare) >= self.KEPT // 4:
+                self.bare.clear()
+            got = self.bare[p] = self._merged(p)
         return got
 
+    def _stretch(self, text: str) -> bytes:
+        if text[:1] == " " and text[1:].isalpha() and max(text) < "\u0250":
+            return self._word(text[1:])
+        if _ODD.search(text):
+            return self._library(text)
+        return b"".join([self._piece(p) for p in _PIECES.findall(text)])
+
     def encode(self, text: str) -> bytes:
-        if SPECIAL in text:
+        if not self.plain or SPECIAL in text:
             return self._library(text)
         first, *rest = _CUT.split(text) if "  " in text else text.split(" ")  # a lone space may cut after other white space too
-        have = self.have
-        out = [self._piece(first) if first else b""]
-        for w in rest:
-            got = have.get(w)
-            if got is None:
-                if len(have) >= self.KEPT:
-                    have.clear()
-                got = have[w] = self._piece(" " + w)
-            out.append(got)
-        return b"".join(out)
+        get, stretch = self.words.get, self._stretch
+        return b"".join([stretch(first), *[get(w) or stretch(" " + w) for w in rest]])
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import INVERSE, byte_table, materialize, mix64, powers, prefix_sums, table, utf8
+from .common import INVERSE, byte_table, materialize, mix64, modest_batches, powers, prefix_sums, table, utf8
 from .graph import components
 
 #: Counters of the sketch that orders shingles; its size does not depend on the data.
@@ -396,7 +396,7 @@ def verify(docs: DataFrame, pairs: DataFrame, percent: int, words: int) -> DataF
 
 def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 4, percent: int = 85) -> DataFrame:
     """key, n_shingles and component_id, the smallest key that links reach, for each row."""
-    spark = docs.sparkSession
+    spark = modest_batches(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     summary = materialize(docs.mapInArrow(_summaries("id", "text", words), T.StructType.fromDDL(SETS)), "sets")

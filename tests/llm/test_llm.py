@@ -378,6 +378,24 @@ def test_contexts_of_long_texts(monkeypatch):
     assert starts == {(d, i) for d in range(3) for i in range(sizes[d] - 49)}
 
 
+def test_dealt_contexts():
+    """Every string of a hot context is in one part, and equal strings have equal keys."""
+    rng = random.Random(4)
+    keys: dict[bytes, set] = collections.defaultdict(set)
+    for _ in range(60):
+        raw = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 200))) * 2, np.uint8)
+        start, count, anchor, _ = suffixdedup.contexts(raw, np.full(len(raw), len(raw)))
+        for s, c, a in zip(start, count, anchor):
+            text = raw[s : s + c + 49].tobytes()
+            seen = {}
+            for k, at, part in suffixdedup._dealt(int(a) >> 8, text):
+                for i in range(len(part) - 49):
+                    seen[at + i] = part[i : i + 50]
+                    keys[part[i : i + 50]].add(k)
+            assert seen == {i: text[i : i + 50] for i in range(c)}
+    assert all(len(v) == 1 for v in keys.values())
+
+
 def test_rounds_of_one_anchor():
     rng = random.Random(8)
     base = bytes(rng.choice(b"abcdef") for _ in range(200))
@@ -538,7 +556,7 @@ def test_mixing(spark, docs, rows, empty):
 # ---- queries and pipeline
 
 
-@pytest.mark.parametrize("name", ["op4_site_boilerplate", "op10_systematic_mix"])
+@pytest.mark.parametrize("name", ["op4_site_boilerplate", "op9_set_relations", "op10_systematic_mix"])
 def test_sql(spark, name):
     import duckdb
 

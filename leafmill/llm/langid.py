@@ -197,11 +197,11 @@ def held_out(key: str) -> Column:
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """At most TEXTS whole texts for each language of the rows that aren't held out. Only their ids are ranked and broadcast."""
+    """At most TEXTS texts for each language of the rows that aren't held out, as far as SYMBOLS go. Only their ids are ranked and broadcast."""
     rows = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
     rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
     ids = rows.select(key, lang).withColumn("__rank", rank).filter(F.col("__rank") <= TEXTS).select(F.col(key).alias("__id"), "__rank")
-    got = rows.join(F.broadcast(ids), F.col(key) == F.col("__id")).filter(F.col(text).isNotNull()).groupBy(lang, "__rank").agg(F.max(text).alias("t")).collect()
+    got = rows.join(F.broadcast(ids), F.col(key) == F.col("__id")).filter(F.col(text).isNotNull()).groupBy(lang, "__rank").agg(F.max(F.substring(text, 1, SYMBOLS)).alias("t")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r[lang], r["__rank"])):
         found.setdefault(r[lang], []).append(r["t"])

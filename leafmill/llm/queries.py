@@ -19,5 +19,6 @@ QUERIES = {
 
 SQL = {
     "op4_site_boilerplate": linededup.SQL,
+    "op9_set_relations": setjoin.SQL,
     "op10_systematic_mix": mixing.SQL,
 }

@@ -6,9 +6,10 @@ prefixes), so lists of the sets that have a shingle in their prefix hold every a
 
 Relations between sets save work in two ways. Within a list, sorted by set size and cut into blocks, whole blocks of
 positions are skipped whose sets cannot overlap enough with the probing set any more (index level). And a set that is
-found highly similar to the leader of a list takes over the leader's answers: both are in one class, and only pairs of
-sets of different classes are looked at in that list afterwards (answer level). Exact copies are one set from the start.
-All pairs that remain are verified on the whole sets, so that no link between classes is lost, and components follow.
+found highly similar to a leader, the nearest set before it in a list, takes over the leader's answers: both are in one class, and only pairs of
+sets of different classes are looked at in that list afterwards (answer level): first the likeliest for each set and
+class, then, with the classes that gives, all others whose parities don't rule them out. Exact copies are one set from the
+start. All pairs that remain are verified on the whole sets, so that no link between classes is lost, and components follow.
 
 Lists longer than SPLIT are dealt over several keys, block against block, so no list is a task of its own.
 
@@ -35,6 +36,8 @@ SLICES = 64
 SPLIT = 50_000
 #: Positions of a list that are tested, and skipped, together.
 BLOCK = 64
+#: Bits of the parities that tell before verification that two sets differ too much.
+PARITY = 512
 #: Members that one task verifies against a leader.
 FANOUT = 2_000
 _FOLDED = byte_table(0xC0FFEE, fold_case=True)
@@ -98,7 +101,17 @@ def prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-SETS = "id long, n int, hi long, lo long, slice int, counts binary"
+SETS = "id long, n int, hi long, lo long, parity binary, slice int, counts binary"
+
+
+def parities(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """For each set whether an odd number of its shingles falls on each of PARITY bits. Where two sets' bits differ, their
+    difference has a shingle: the bits that differ are no more than the shingles that do."""
+    docs = len(at) - 1
+    bit = (h >> np.uint64(40)).astype(np.int64) % PARITY
+    counts = np.bincount(np.repeat(np.arange(docs), np.diff(at)) * PARITY + bit, minlength=docs * PARITY)
+    packed = np.packbits((counts & 1).astype(np.uint8).reshape(docs, PARITY), axis=1)
+    return [x.tobytes() for x in packed]
 
 
 def _summaries(key: str, text: str, words: int):
@@ -119,11 +132,11 @@ def _summaries(key: str, text: str, words: int):
                 hi[full] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), heads)
                 lo[full] = np.add.reduceat(mix64(h + np.uint64(0x14057B7EF767814F)), heads)
             k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(key).cast(pa.int64()), pa.array(n.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(key).cast(pa.int64()), pa.array(n.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(parities(h, at), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if sketch.any():
             parts = [x.tobytes() for x in np.split(sketch, SLICES)]
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(SLICES, pa.int32()), none, none, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(SLICES, pa.int32()), none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -231,22 +244,34 @@ def fits(size: np.ndarray, place: np.ndarray, other: int, at: int, percent: int)
     return most * (100 + percent) >= percent * (size + other)
 
 
-def _stars(percent: int):
-    """Pairs of each set of a list with a leader, the first set whose size allows it."""
+def _bits(parity: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(parity.tolist()), np.uint64).reshape(len(parity), PARITY // 64)
+
+
+def _leaders(percent: int):
+    """A pair of each set of a list with its leader: of the sets before it that it can overlap enough, the one whose parity is
+    nearest. Lists of the same sets are looked at once in a batch."""
 
     def run(batches):
-        for (token, ids, sp), heads in _runs(batches, ("token", "id", "sp")):
-            size, place = sp >> 32, sp & 0xFFFFFFFF
-            a, b = [], []
+        for (token, ids, sp, parity), heads in _runs(batches, ("token", "id", "sp", "parity")):
+            size, place, bits = sp >> 32, sp & 0xFFFFFFFF, _bits(parity)
+            a, b, seen = [], [], set()
             for lo, hi in zip(heads[:-1].tolist(), heads[1:].tolist()):
-                i = lo
-                while i < hi - 1:
-                    j = lo + int(np.searchsorted(size[lo:hi] * percent, size[i] * 100, side="right"))
-                    take = np.arange(i + 1, max(j, i + 1))
-                    take = take[fits(size[take], place[take], int(size[i]), int(place[i]), percent) & (ids[take] != ids[i])]
-                    a.append(np.full(len(take), ids[i]))
-                    b.append(ids[take])
-                    i = max(j, i + 1)
+                d = ids[lo:hi]
+                if (mark := d.tobytes()) in seen:
+                    continue
+                seen.add(mark)
+                s, p, w = size[lo:hi], place[lo:hi], bits[lo:hi]
+                for i in range(1, hi - lo):
+                    start = int(np.searchsorted(s[:i] * 100, s[i] * percent, side="left"))
+                    if start == i:
+                        continue
+                    apart = np.bitwise_count(w[start:i] ^ w[i]).sum(axis=1, dtype=np.int64)
+                    near = (apart * (100 + percent) <= (100 - percent) * (s[start:i] + s[i])) & fits(s[start:i], p[start:i], int(s[i]), int(p[i]), percent) & (d[start:i] != d[i])
+                    if near.any():
+                        best = start + int(np.argmin(np.where(near, apart, PARITY + 1)))
+                        a.append(d[best : best + 1])
+                        b.append(d[i : i + 1])
             yield from _pairs(a, b)
 
     return run
@@ -260,18 +285,20 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray]):
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
 
-def _between(percent: int):
-    """Pairs of sets of different classes that share a list and can overlap enough; whole blocks are skipped by position."""
+def _between(percent: int, first: bool):
+    """Pairs of sets of different classes that share a list and can overlap enough; whole blocks are skipped by position, and
+    pairs whose parities differ in more bits than their sets may in shingles. first: the likeliest of each class alone."""
 
     def run(batches):
-        for (token, ids, sp, cls), heads in _runs(batches, ("token", "id", "sp", "cls")):
+        for (token, ids, sp, cls, parity), heads in _runs(batches, ("token", "id", "sp", "cls", "parity")):
             size, place = sp >> 32, sp & 0xFFFFFFFF
+            bits = _bits(parity)
             a, b = [], []
             for lo, hi in zip(heads[:-1].tolist(), heads[1:].tolist()):
                 c = cls[lo:hi]
                 if (c == c[0]).all():
                     continue
-                s, p, d = size[lo:hi], place[lo:hi], ids[lo:hi]
+                s, p, d, w = size[lo:hi], place[lo:hi], ids[lo:hi], bits[lo:hi]
                 n = hi - lo
                 cuts = np.arange(0, n, BLOCK)
                 left = np.maximum.reduceat(s - p, cuts)  # the most that any set of a block has left at this shingle
@@ -281,8 +308,7 @@ def _between(percent: int):
                     end = int(np.searchsorted(s * percent, s[i] * 100, side="right"))
                     if end <= i + 1:
                         continue
-                    first = (i + 1) // BLOCK
-                    k = np.arange(first, (end - 1) // BLOCK + 1)
+                    k = np.arange((i + 1) // BLOCK, (end - 1) // BLOCK + 1)
                     open_ = np.minimum(left[k], s[i] - p[i]) * (100 + percent) >= percent * (least[k] + s[i])
                     open_ &= ~(one[k] & (c[cuts[k]] == c[i]))
                     if not open_.any():
@@ -290,6 +316,14 @@ def _between(percent: int):
                     take = (k[open_][:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
                     take = take[(take > i) & (take < end)]
                     take = take[(c[take] != c[i]) & (d[take] != d[i]) & fits(s[take], p[take], int(s[i]), int(p[i]), percent)]
+                    if not len(take):
+                        continue
+                    apart = np.bitwise_count(w[take] ^ w[i]).sum(axis=1, dtype=np.int64)
+                    near = apart * (100 + percent) <= (100 - percent) * (s[take] + s[i])
+                    take, apart = take[near], apart[near]
+                    if first and len(take):
+                        take = take[np.argsort(apart, kind="stable")]
+                        take = take[np.unique(c[take], return_index=True)[1]]
                     a.append(np.full(len(take), d[i]))
                     b.append(d[take])
             yield from _pairs(a, b)
@@ -406,18 +440,26 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     copies = materialize(sets.join(copies, ["hi", "lo", "n"]).filter("id is not null").groupBy("id").agg(F.min("rep").alias("rep")), "copies")
     listed = docs.mapInArrow(_postings("id", "text", words, percent, sent), T.StructType.fromDDL(POSTINGS))
     shared = listed.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, T.StructType.fromDDL(POSTINGS))
-    lists = materialize(shared, "lists").join(copies, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "sp").distinct()
-    lists = materialize(lists, "lists")
+    marks = summary.filter("slice is null and id is not null").groupBy("id").agg(F.max("parity").alias("parity"))
+    lists = materialize(shared, "shared").join(copies, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "sp").distinct()
+    lists = materialize(lists.join(marks, "id"), "lists")
     pair = T.StructType.fromDDL("a long, b long")
     ranked = lists.repartition(n, "token").sortWithinPartitions("token", "sp", "id")
-    stars = materialize(ranked.mapInArrow(_stars(percent), pair).distinct(), "stars")
-    links = verify(docs, stars, percent, words)
+    seen = materialize(ranked.mapInArrow(_leaders(percent), pair).distinct(), "leaders")
+    links = verify(docs, seen, percent, words)
     classes = components(links)
-    known = lists.join(classes, F.col("id") == F.col("node"), "left").select("token", "id", "sp", F.coalesce("component", "id").alias("cls"))
-    again = known.repartition(n, "token").sortWithinPartitions("token", "sp", "id").mapInArrow(_between(percent), pair).distinct().join(stars, ["a", "b"], "left_anti")
-    more = verify(docs, materialize(again, "pairs"), percent, words)
-    if not more.isEmpty():
-        classes = components(links.union(more))
+    for first in (True, False):  # the likeliest pair of each set and class, then all that are left
+        known = lists.join(classes, F.col("id") == F.col("node"), "left").select("token", "id", "sp", "parity", F.coalesce("component", "id").alias("cls"))
+        mixed = known.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("token")
+        open_ = known.join(mixed, "token", "left_semi").repartition(n, "token").sortWithinPartitions("token", "sp", "id")
+        again = materialize(open_.mapInArrow(_between(percent, first), pair).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        if again.isEmpty():
+            break
+        more = verify(docs, again, percent, words)
+        if not more.isEmpty():
+            links = links.union(more)
+            classes = components(links)
+        seen = seen.union(again)
     out = sets.join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(classes, F.col("rep") == F.col("node"), "left")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
@@ -431,3 +473,16 @@ def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", wo
 
 def op9(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+#: The same in DuckDB's SQL: all shingles against all, and reachability by rounds.
+SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(a) >= 4 THEN list_transform(range(1, len(a) - 2), lambda i: array_to_string(a[i:i + 3], ' ')) WHEN len(a) > 0 THEN [array_to_string(a, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * p.k >= 85 * (x.k + y.k - p.k)),
+l AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node)
+SELECT r.node AS doc_id, coalesce(any_value(n.k), 0)::BIGINT AS n_shingles, min(r.root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node
+"""

@@ -33,7 +33,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled pieces of each document, and as text what they decode to, which is the document's text again."""
-    return pieces.with_text(pieces.with_ids(docs.select(*COLUMNS))).select(*COLUMNS, "ids")
+    return pieces.roundtrip(docs.select(*COLUMNS))
 
 
 STAGES = [

@@ -32,7 +32,7 @@ from .common import BASE, INVERSE, mix64, powers, table
 MARK = 0x2581
 _OWN_MARK = 0x110000  # stands for a U+2581 of the text
 #: Characters that are worked on at once.
-CHUNK = 3_000_000
+CHUNK = 400_000
 
 
 def default_model() -> str:
@@ -317,6 +317,26 @@ def with_text(docs: DataFrame, ids: str = "ids", into: str = "text", model: str
     return docs.drop(into).mapInArrow(run, T.StructType([*docs.drop(into).schema.fields, T.StructField(into, T.StringType())]))
 
 
+def roundtrip(docs: DataFrame, text: str = "text", key: str = "doc_id", into: str = "ids", seed: int = 29, theta: float = 1.0, model: str | None = None) -> DataFrame:
+    """docs with the sampled ids of each text, and as text what they decode to: with_ids and with_text in one pass."""
+    path = model or default_model()
+    docs = docs.drop(into)
+
+    def run(batches):
+        vocab = vocabulary(path, theta)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 128):
+                b = whole.slice(i, 128)
+                texts = b.column(text).to_pylist()
+                ids = encode(vocab, [t or "" for t in texts], row_keys(b.column(key)), seed)
+                back = pa.array([None if t is None else decode(vocab, x) for t, x in zip(texts, ids)], pa.string())
+                offsets = pa.array(np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32))
+                made = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])), mask=pa.array([t is None for t in texts]))
+                yield pa.RecordBatch.from_arrays([*(back if n == text else b.column(n) for n in b.schema.names), made], names=[*b.schema.names, into])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+
+
 DIGEST = "n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean"
 
 

@@ -187,13 +187,13 @@ def _postings(key: str, text: str, words: int, percent: int, sent):
                 p = prefix(len(x), percent)
                 x, c = x[:p], c[:p]
                 place = np.arange(p)
-                if (c > SPLIT).any():
-                    blocks = c // SPLIT + 1
+                blocks = c // SPLIT + 1
+                if (blocks > 1).any():
                     mine = (mix64(np.full(p, k, np.int64).astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
                     which = np.repeat(np.arange(p), blocks)
                     other = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                     a, z = np.minimum(mine[which], other), np.maximum(mine[which], other)
-                    x = mix64(x[which] ^ mix64((a * (blocks[which] + 1) + z).astype(np.uint64)))
+                    x = np.where(blocks[which] > 1, mix64(x[which] ^ mix64((a * (blocks[which] + 1) + z).astype(np.uint64))), x[which])  # lists that aren't split keep their key
                     place = place[which]
                 tokens.append(x)
                 ids.append(np.full(len(x), k, np.int64))

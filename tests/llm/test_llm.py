@@ -507,6 +507,34 @@ def test_split_lists():
     assert len(met) == 60 * 59 // 2
 
 
+def test_split_and_whole_lists():
+    """A set with a split list in its prefix meets one without at the lists that aren't split."""
+    import pyarrow as pa
+
+    from leafmill.llm.common import utf8
+
+    words = [f"t{i}" for i in range(103)]
+    texts = pa.array([" ".join(words), " ".join([*words, "more"])])
+    h, at = setjoin.shingles(*utf8(texts), 4)
+    a, b = h[at[0] : at[1]], h[at[1] : at[2]]
+    extra = np.setdiff1d(b, a)
+    assert (len(a), len(b), len(extra)) == (100, 101, 1)
+    slots = (a & np.uint64(setjoin.COUNTERS - 1)).astype(np.int64)
+    assert len(np.unique(slots)) == 100 and int(extra[0] & np.uint64(setjoin.COUNTERS - 1)) not in slots
+    counts = np.ones(setjoin.COUNTERS, np.int64)
+    counts[slots[15:]] = 3 * setjoin.SPLIT  # 15 cold shingles of 16 in the first one's prefix, 16 of 16 in the second one's
+
+    class Sent:
+        value = counts
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), texts], names=["id", "text"])
+    listed = collections.defaultdict(set)
+    for x in setjoin._postings("id", "text", 4, 85, Sent)(iter([batch])):
+        for t, i in zip(x.column("token").to_pylist(), x.column("id").to_pylist()):
+            listed[i].add(t)
+    assert len(listed[2]) == 16 and len(listed[1] & listed[2]) == 15
+
+
 def test_set_join_edges(spark, empty):
     assert setjoin.join(empty).count() == 0
     one = spark.createDataFrame([(None, "a b c d e", None, None, 1), (4, "a b c d e", None, None, 1), (4, "a b c d e", None, None, 1), (2, "A B C D E", None, None, 1)], DDL)

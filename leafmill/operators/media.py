@@ -41,7 +41,8 @@ def members(parts: DataFrame, path: str, name: str, prefix: str, suffixes: Seque
         p = p.filter(F.lower(F.element_at(F.split(base, "\\."), -1)).isin(list(suffixes)))
     p = p.withColumn("number", F.row_number().over(Window.partitionBy(path).orderBy(natural_key(F.col(name)), name)))
     stem = F.regexp_replace(F.element_at(F.split(F.col(path), "/"), -1), "\\.[^.]*$", "")
-    return p.withColumn("out_name", F.concat(stem, F.lit("_"), F.lpad(F.col("number").cast("string"), 3, "0"), F.lit("_"), base))
+    n = F.col("number").cast("string")
+    return p.withColumn("out_name", F.concat(stem, F.lit("_"), F.lpad(n, F.greatest(F.lit(3), F.length(n)), "0"), F.lit("_"), base))
 
 
 def fit(width: Column, height: Column, to_width: int, to_height: int, keep_aspect: bool = True) -> tuple[Column, Column]:

@@ -124,7 +124,8 @@ def _format(pattern: str, fields: Sequence[str], index: str) -> Column:
         if literal:
             parts.append(F.lit(literal))
         elif name == "index":
-            parts.append(F.lpad(F.col(index).cast("string"), int(width), "0") if width else F.col(index).cast("string"))
+            n = F.col(index).cast("string")
+            parts.append(F.lpad(n, F.greatest(F.lit(int(width)), F.length(n)), "0") if width else n)
         elif name in fields:
             parts.append(F.coalesce(F.col(name).cast("string"), F.lit("")))
         else:

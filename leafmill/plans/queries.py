@@ -320,7 +320,12 @@ def _outside(spark, d):
 
 @entry("mail_merge", "SELECT c_custkey AS index, 'Dear ' || c_name || ', of ' || c_mktsegment || ': ' || c_custkey || '.' AS text, lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INT, '0') || '_' || c_name AS filename FROM customer WHERE c_custkey < 1000")
 def _mail(spark, d):
-    r = read(spark, d, "customer").filter("c_custkey < 1000").withColumn("index", F.col("c_custkey"))
+    return _mail_all(spark, d).filter("index < 1000")
+
+
+@entry("mail_merge_all", None)
+def _mail_all(spark, d):
+    r = read(spark, d, "customer").withColumn("index", F.col("c_custkey"))
     return TX.mail_merge(r, "Dear {{c_name}}, of {{c_mktsegment}}: {{c_custkey}}.", ["c_name", "c_mktsegment", "c_custkey"], "{index:03d}_{c_name}")
 
 
@@ -458,7 +463,16 @@ def _sha(spark, d):
 
 @entry("media_members", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS number, 'b_' || lpad((row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey))::VARCHAR, 3, '0') || '_image' || p_size || '-' || p_partkey || '.png' AS out_name FROM part WHERE p_partkey <= 2000")
 def _members(spark, d):
-    t = read(spark, d, "part").filter("p_partkey <= 2000").select("p_partkey", F.concat(F.col("p_brand"), F.lit("/b.xlsx")).alias("path"), F.concat(F.lit("xl/media/image"), F.col("p_size").cast("string"), F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"))
+    return _member_names(read(spark, d, "part").filter("p_partkey <= 2000"))
+
+
+@entry("media_members_all", None)
+def _members_all(spark, d):
+    return _member_names(read(spark, d, "part"))
+
+
+def _member_names(parts: DataFrame) -> DataFrame:
+    t = parts.select("p_partkey", F.concat(F.col("p_brand"), F.lit("/b.xlsx")).alias("path"), F.concat(F.lit("xl/media/image"), F.col("p_size").cast("string"), F.lit("-"), F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"))
     return M.members(t, "path", "name", "xl/media/", M.IMAGE_SUFFIXES).select("p_partkey", F.col("number").cast("long").alias("number"), "out_name")
 
 
@@ -477,7 +491,16 @@ def _stitch(spark, d):
 
 @entry("rename_index", "SELECT s_suppkey, 'photo_' || lpad((row_number() OVER (ORDER BY s_suppkey))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY s_suppkey))::VARCHAR))::INT, '0') || '.jpg' AS new_name FROM supplier WHERE s_suppkey < 900")
 def _rename(spark, d):
-    t = read(spark, d, "supplier").filter("s_suppkey < 900").select("s_suppkey", F.col("s_name").alias("stem"), F.lit("jpg").alias("suffix"))
+    return _new_names(read(spark, d, "supplier").filter("s_suppkey < 900"))
+
+
+@entry("rename_index_all", None)
+def _rename_all(spark, d):
+    return _new_names(read(spark, d, "supplier"))
+
+
+def _new_names(files: DataFrame) -> DataFrame:
+    t = files.select("s_suppkey", F.col("s_name").alias("stem"), F.lit("jpg").alias("suffix"))
     return M.renamed(t, "s_suppkey", "stem", "suffix", "photo_{index:03d}").select("s_suppkey", "new_name")
 
 
@@ -677,13 +700,13 @@ def _best(spark, d):
 
 @entry("layout_choice", None)
 def _layout(spark, d):
-    s = read(spark, d, "part").filter("p_partkey <= 500").select("p_partkey", (F.col("p_size") * 40.0 + 100).alias("width"), (F.col("p_partkey") % 37 * 60.0 + 200).alias("height"))
+    s = read(spark, d, "part").select("p_partkey", (F.col("p_size") * 40.0 + 100).alias("width"), (F.col("p_partkey") % 37 * 60.0 + 200).alias("height"))
     return G.layout_choice(s, [("A4", 595.0, 842.0), ("A3", 842.0, 1191.0)], [("normal", 50.0), ("narrow", 18.0)])
 
 
 def _boxes(spark, d) -> DataFrame:
     p = F.col("p_partkey")
-    return read(spark, d, "part").filter(p <= 3000).select((p % 40).alias("page"), p.alias("key"), (p * 7919 % 1000).cast("double").alias("x0"), (p * 104729 % 1000).cast("double").alias("y0"), (p * 7919 % 1000 + F.col("p_size")).cast("double").alias("x1"), (p * 104729 % 1000 + F.col("p_size")).cast("double").alias("y1"))
+    return read(spark, d, "part").select((p % 40).alias("page"), p.alias("key"), (p * 7919 % 1000).cast("double").alias("x0"), (p * 104729 % 1000).cast("double").alias("y0"), (p * 7919 % 1000 + F.col("p_size")).cast("double").alias("x1"), (p * 104729 % 1000 + F.col("p_size")).cast("double").alias("y1"))
 
 
 _BOXES = "WITH RECURSIVE b AS (SELECT p_partkey % 40 AS page, p_partkey AS k, (p_partkey * 7919 % 1000)::DOUBLE AS x0, (p_partkey * 104729 % 1000)::DOUBLE AS y0, (p_partkey * 7919 % 1000 + p_size)::DOUBLE AS x1, (p_partkey * 104729 % 1000 + p_size)::DOUBLE AS y1 FROM part WHERE p_partkey <= 3000), e AS (SELECT a.page, a.k AS a, c.k AS b, greatest(0, c.x0 - a.x1, a.x0 - c.x1) AS gx, greatest(0, c.y0 - a.y1, a.y0 - c.y1) AS gy, coalesce(greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) / nullif(least(a.x1 - a.x0, c.x1 - c.x0), 0), 0) AS ox, coalesce(greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) / nullif(least(a.y1 - a.y0, c.y1 - c.y0), 0), 0) AS oy FROM b a JOIN b c ON a.page = c.page AND a.k < c.k), n AS (SELECT page, a, b FROM e WHERE (gx = 0 AND gy = 0) OR (gx <= 4 AND oy >= 0.6) OR (gy <= 4 AND ox >= 0.6)) "
@@ -691,11 +714,21 @@ _BOXES = "WITH RECURSIVE b AS (SELECT p_partkey % 40 AS page, p_partkey AS k, (p
 
 @entry("box_neighbours", _BOXES + "SELECT page, a, b FROM n")
 def _neighbours(spark, d):
+    return G.neighbours(_boxes(spark, d).filter("key <= 3000"), "page", "key", 4.0)
+
+
+@entry("box_neighbours_all", None)
+def _neighbours_all(spark, d):
     return G.neighbours(_boxes(spark, d), "page", "key", 4.0)
 
 
 @entry("components", _BOXES + ", s AS (SELECT a, b FROM n UNION SELECT b, a FROM n), r AS (SELECT k AS node, k AS root FROM b UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node AS key, min(root) AS cluster FROM r GROUP BY node")
 def _components(spark, d):
+    return G.clusters(_boxes(spark, d).filter("key <= 3000"), "page", "key", 4.0).select("key", "cluster")
+
+
+@entry("components_all", None)
+def _components_all(spark, d):
     return G.clusters(_boxes(spark, d), "page", "key", 4.0).select("key", "cluster")
 
 
@@ -719,7 +752,7 @@ def _reading(spark, d):
 @entry("line_rows", None)
 def _rows(spark, d):
     p = F.col("p_partkey")
-    t = read(spark, d, "part").filter(p <= 2000).select((p % 20).alias("page"), (p * 37 % 500).cast("double").alias("x"), (p * 91 % 700).cast("double").alias("y"), F.col("p_size").cast("double").alias("width"), F.col("p_name").alias("text"))
+    t = read(spark, d, "part").select((p % 20).alias("page"), (p * 37 % 500).cast("double").alias("x"), (p * 91 % 700).cast("double").alias("y"), F.col("p_size").cast("double").alias("width"), F.col("p_name").alias("text"))
     return G.line_rows(t, 3.0, 20.0)
 
 

@@ -285,7 +285,16 @@ def _form(spark, d):
 
 @entry("page_markup", "SELECT page_id::INT AS page, 'highlight' AS kind FROM pages WHERE page_id < 3 UNION ALL SELECT 7, 'note'")
 def _markup(spark, d):
-    a = read(spark, d, "pages").filter("page_id < 3").select(F.col("page_id").cast("int").alias("page"), F.lit("highlight").alias("kind"), *(F.lit(1.0).alias(c) for c in ("x", "y", "width", "height")), F.lit("#ffff00").alias("color"), F.lit(0.45).alias("opacity"), F.lit(None).cast("string").alias("comment"))
+    return _marked(read(spark, d, "pages").filter("page_id < 3"))
+
+
+@entry("page_markup_all", None)
+def _markup_all(spark, d):
+    return _marked(read(spark, d, "pages"))
+
+
+def _marked(pages: DataFrame) -> DataFrame:
+    a = pages.select(F.col("page_id").cast("int").alias("page"), F.lit("highlight").alias("kind"), *(F.lit(1.0).alias(c) for c in ("x", "y", "width", "height")), F.lit("#ffff00").alias("color"), F.lit(0.45).alias("opacity"), F.lit(None).cast("string").alias("comment"))
     return P.add_markup(a, [(7, "note", 1.0, 1.0, 2.0, 2.0, "#ffff00", 1.0, "please check")]).select("page", "kind")
 
 
@@ -310,8 +319,17 @@ def _links(spark, d):
 
 @entry("outside_tables", "SELECT c.l_orderkey, c.l_linenumber FROM lineitem c WHERE NOT EXISTS (SELECT 1 FROM part t WHERE t.p_partkey % 50 = c.l_partkey % 50 AND t.p_partkey <= 20 AND c.l_quantity BETWEEN t.p_size AND t.p_size + 10 AND c.l_linenumber BETWEEN 0 AND 4)")
 def _outside(spark, d):
+    return _outside_of(spark, d, read(spark, d, "part").filter("p_partkey <= 20"))
+
+
+@entry("outside_tables_all", None)
+def _outside_all(spark, d):
+    return _outside_of(spark, d, read(spark, d, "part"))
+
+
+def _outside_of(spark, d, parts: DataFrame) -> DataFrame:
     c = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 50).alias("page"), F.col("l_quantity").alias("cx"), F.col("l_linenumber").alias("cy"))
-    t = read(spark, d, "part").filter("p_partkey <= 20").select((F.col("p_partkey") % 50).alias("page"), F.col("p_size").alias("x0"), (F.col("p_size") + 10).alias("x1"), F.lit(0).alias("y0"), F.lit(4).alias("y1"))
+    t = parts.select((F.col("p_partkey") % 50).alias("page"), F.col("p_size").alias("x0"), (F.col("p_size") + 10).alias("x1"), F.lit(0).alias("y0"), F.lit(4).alias("y1"))
     return P.outside_tables(c, t).select("l_orderkey", "l_linenumber")
 
 
@@ -644,8 +662,13 @@ def _faults(spark, d):
 
 @entry("nearest_stable", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS t, floor(abs(value))::BIGINT % 5 AS support, value AS quality FROM events), q AS (SELECT event_id, user_id, t FROM e WHERE event_id % 10 = 0) SELECT q.event_id, (SELECT f.t FROM e f WHERE f.user_id = q.user_id AND abs(f.t - q.t) <= 40000 ORDER BY f.support DESC, f.quality DESC, f.t DESC LIMIT 1) AS frame_ts FROM q")
 def _nearest(spark, d):
+    return _nearest_all(spark, d).filter("event_id % 10 = 0")
+
+
+@entry("nearest_stable_all", None)
+def _nearest_all(spark, d):
     f = _signal(spark, d).withColumns({"support": F.floor(F.abs("value")) % 5, "quality": F.col("value")})
-    r = f.filter("event_id % 10 = 0").select("event_id", "user_id", "t")
+    r = f.select("event_id", "user_id", "t")
     return FR.nearest_stable(r, f.select("user_id", F.col("t").alias("ft"), "support", "quality"), "user_id", "t", "ft", "support", "quality", 40000.0).select("event_id", "frame_ts")
 
 

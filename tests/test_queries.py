@@ -139,3 +139,22 @@ def test_all_rows(spark, whole):
     assert {r["p_partkey"]: (r["number"], r["out_name"]) for r in run("media_members_all")} == want
     assert {r["s_suppkey"]: r["new_name"] for r in run("rename_index_all")} == {i: f"photo_{i:03d}.jpg" for i in range(1, 1102)}
     assert {(r["index"], r["text"], r["filename"]) for r in run("mail_merge_all")} == {(i, f"Dear c{i}, of AUTO: {i}.", f"{i:03d}_c{i}") for i in range(1, 1102)}
+
+
+def test_all_events_tables_and_pages(spark, duck):
+    run = lambda name: Q.ENTRIES[name][0](spark, DATA).collect()
+    events = duck.sql("SELECT event_id, user_id, epoch_us(ts) / 1000000.0, floor(abs(value))::BIGINT % 5, value FROM events").fetchall()
+    users = {}
+    for e in events:
+        users.setdefault(e[1], []).append(e)
+    want = {e[0]: max((s, q, t) for _, _, t, s, q in users[e[1]] if abs(t - e[2]) <= 40000)[2] for e in events}
+    got = run("nearest_stable_all")
+    assert len(got) == len(events) and {r["event_id"]: r["frame_ts"] for r in got} == want
+    tables = {}
+    for k, size in duck.sql("SELECT p_partkey, p_size FROM part").fetchall():
+        tables.setdefault(k % 50, []).append(size)
+    cells = duck.sql("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem").fetchall()
+    outside = sorted((o, n) for o, n, k, q in cells if not any(s <= q <= s + 10 and 0 <= n <= 4 for s in tables.get(k % 50, [])))
+    assert sorted((r["l_orderkey"], r["l_linenumber"]) for r in run("outside_tables_all")) == outside
+    pages = [(k, "highlight") for (k,) in duck.sql("SELECT page_id FROM pages").fetchall()]
+    assert sorted((r["page"], r["kind"]) for r in run("page_markup_all")) == sorted([*pages, (7, "note")])

@@ -27,15 +27,17 @@ from .common import table
 
 #: Texts sampled for a language, those with the smallest hashes of their id, and symbols of them that are learned, at most.
 TEXTS, SYMBOLS = 60, 40_000
-#: Most frequent symbols that have a number of their own; the rest share one that no sample contains.
+#: Most frequent symbols, whose transitions are a dense table; those of the samples' other letters are found by bisection.
 ALPHABET = 127
 BLOCK = 512
+#: Code points that may be letters.
+POINTS = 0x40000
 
 
 def _letters() -> np.ndarray:
-    """For every code point below 0x30000 its lower-case letter, or 32."""
-    out = np.full(0x30000, 32, np.int32)
-    for i in range(0x30000):
+    """For every code point below POINTS its lower-case letter, or 32."""
+    out = np.full(POINTS, 32, np.int32)
+    for i in range(POINTS):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -56,7 +58,7 @@ def letters() -> np.ndarray:
 def normal(text: str) -> np.ndarray:
     """Code points of letters in lower case; runs of others are one space, also at either end."""
     points = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    folded = letters()[np.minimum(points, 0x2FFFF)]
+    folded = letters()[np.minimum(points, POINTS - 1)]
     return folded[np.append(True, (folded[1:] != 32) | (folded[:-1] != 32))]
 
 
@@ -109,7 +111,11 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """The automata of all languages as one table of transitions: [state, symbol] is twice the next state, plus 1 if a phrase begins with the symbol."""
+    """The automata of all languages as one table of transitions: [state, symbol] is twice the next state, plus 1 if a phrase begins with the symbol.
+
+    Every letter of the samples has its own number, frequent ones first; all other letters share the last number, which no
+    automaton knows. Symbols from `dense` on are not in the table: rare[language] has their transitions as sorted keys
+    (row of the table * letters + symbol) and values, and for each symbol what follows where a state has none."""
 
     def __init__(self, texts: dict[str, list[str]]):
         self.languages = sorted(texts)
@@ -118,11 +124,12 @@ class Model:
         for v in streams.values():
             for x in v:
                 count.update(dict(zip(*map(np.ndarray.tolist, np.unique(x, return_counts=True)))))
-        known = sorted(sorted(count, key=lambda c: (-count[c], c))[:ALPHABET])
-        self.width = len(known) + 1  # the last symbol is in no sample
-        self.number = np.full(0x30000, len(known), np.int16)
+        known = sorted(count, key=lambda c: (-count[c], c))
+        self.letters, self.dense = len(known), min(len(known), ALPHABET)
+        self.width = self.dense + 1  # the last column is of symbols that no sample contains
+        self.number = np.full(POINTS, len(known), np.int32)
         self.number[known] = np.arange(len(known))
-        rows, self.roots, self.sizes, at = [], [], [], 0
+        rows, self.roots, self.sizes, self.rare, at = [], [], [], [], 0
         for lang in self.languages:
             stream: list[int] = []
             for x in streams[lang]:
@@ -131,9 +138,19 @@ class Model:
                     break
             states = automaton(stream)
             t = np.full((len(states), self.width), -1, np.int64)
+            keys, goes = [], []
             for i, d in enumerate(states):
                 for c, q in d.items():
-                    t[i, c] = 2 * (q + at)
+                    if c < self.dense:
+                        t[i, c] = 2 * (q + at)
+                    else:
+                        keys.append((i + at) * self.width * self.letters + c)
+                        goes.append(2 * (q + at) + (i == 0))
+            begins = np.full(self.letters + 1, 2 * at + 1, np.int32)
+            for c, q in states[0].items():
+                begins[c] = 2 * (q + at) + 1
+            order = np.argsort(np.array(keys, np.int64))
+            self.rare.append((np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max), np.append(np.array(goes, np.int32)[order], np.int32(0)), begins))
             root = np.where(t[0] < 0, 2 * at, t[0])  # an unknown symbol is a phrase of its own
             t = np.where(t < 0, root | 1, t)
             t[0] |= 1
@@ -148,20 +165,31 @@ class Model:
         n = blocks.shape[1]
         out = np.empty((len(self.languages), n), np.int64)
         live = np.searchsorted(-lengths, -np.arange(1, blocks.shape[0] + 1), side="right")
+        some = (blocks >= self.dense).any(axis=1) & (self.letters > self.dense)
         for k, root in enumerate(self.roots):
+            keys, goes, begins = self.rare[k]
             state, ended = np.full(n, root * self.width, np.int32), np.zeros(n, np.int32)
             for i in range(blocks.shape[0]):
                 m = live[i]
                 if not m:
                     break
-                go = self.table[state[:m] + blocks[i, :m]]
+                if some[i]:
+                    s = blocks[i, :m]
+                    go = self.table[state[:m] + np.minimum(s, self.dense)]
+                    at = np.flatnonzero(s >= self.dense)
+                    wanted = state[at].astype(np.int64) * self.letters + s[at]
+                    wanted[s[at] == self.letters] = -1  # in no sample
+                    found = np.searchsorted(keys, wanted)
+                    go[at] = np.where(keys[found] == wanted, goes[found], begins[s[at]])
+                else:
+                    go = self.table[state[:m] + blocks[i, :m]]
                 ended[:m] += go & 1
                 state[:m] = (go >> 1) * self.width
             out[k] = ended
         return out
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        symbols = [self.number[normal(t)] if t else np.zeros(0, np.int16) for t in texts]
+        symbols = [self.number[normal(t)] if t else np.zeros(0, np.int32) for t in texts]
         spaces = int(self.number[32])
         sizes = np.array([len(s) for s in symbols], np.int64)
         has = np.array([bool(len(s)) and bool((s != spaces).any()) for s in symbols])

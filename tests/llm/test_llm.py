@@ -285,6 +285,44 @@ def test_cross_parsing():
         assert got.tolist() == [phrases(symbols[i].tolist(), known) for i in order]
 
 
+def test_large_alphabets():
+    """Scripts of more letters than the dense table has columns, with shared letters, letters in no sample and short of space."""
+    rng = random.Random(16)
+    han = [chr(0x4E00 + i) for i in range(400)] + [chr(0x30000 + i) for i in range(50)]
+    of = {"x": han[:300], "y": han[150:]}
+    words = {k: ["".join(rng.choice(v) for _ in range(rng.randint(1, 6))) for _ in range(300)] for k, v in of.items()}
+    texts = {k: [" ".join(rng.choice(v) for _ in range(250)) for _ in range(3)] + ["".join(of[k])] for k, v in words.items()}
+    m = langid.Model(texts)
+    known = {c for v in texts.values() for t in v for c in langid.normal(t).tolist()}
+    numbers = [int(m.number[c]) for c in known]
+    assert len(known) == 451 and len(set(numbers)) == 451 and int(m.number[ord("q")]) not in numbers
+    picks = [*han, " ", "q", "\u0434", "\uac00"]
+    sample = ["".join(rng.choice(picks) for _ in range(rng.randint(1, 30))) + "".join(rng.choice(words[rng.choice("xy")]) for _ in range(rng.randint(0, 20))) for _ in range(100)]
+    points = [langid.normal(t).tolist() for t in sample]
+
+    def phrases(s, subs):
+        count, i = 0, 0
+        while i < len(s):
+            j = i + 1
+            while j < len(s) and tuple(s[i : j + 1]) in subs:
+                j += 1
+            count, i = count + 1, j
+        return count
+
+    order = sorted(range(len(sample)), key=lambda i: -len(points[i]))
+    lengths = np.array([len(points[i]) for i in order])
+    blocks = np.zeros((lengths[0], len(order)), np.int32)
+    for c, i in enumerate(order):
+        blocks[: lengths[c], c] = m.number[points[i]]
+    got = m.phrases(blocks, lengths)
+    for k, lang in enumerate(m.languages):
+        subs = {tuple(ref[i:j]) for t in texts[lang] for ref in [langid.normal(t).tolist()] for i in range(len(ref)) for j in range(i + 1, min(len(ref), i + 25) + 1)}
+        assert got[k].tolist() == [phrases(points[i], subs) for i in order]
+    said = m.predict([" ".join(rng.choice(words[k]) for _ in range(40)) for k in "xyxyxy"])
+    assert [s[0] for s in said] == list("xyxyxy")
+    assert m.predict(["\U00030001 \U00030002", "qqq", "1 2"])[0][0] == "y" and [s[0] == "und" for s in m.predict(["qqq", "1 2"])] == [False, True]
+
+
 def test_languages(spark, docs, rows, empty):
     got = langid.identify(docs, langid.sample(docs)).collect()
     assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {"en", "de", "und"}

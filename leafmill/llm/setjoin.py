@@ -453,8 +453,8 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
         mixed = known.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("token")
         open_ = known.join(mixed, "token", "left_semi").repartition(n, "token").sortWithinPartitions("token", "sp", "id")
         again = materialize(open_.mapInArrow(_between(percent, first), pair).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
-        if again.isEmpty():
-            break
+        if again.isEmpty():  # if in the first pass, the second may still have pairs
+            continue
         more = verify(docs, again, percent, words)
         if not more.isEmpty():
             links = links.union(more)

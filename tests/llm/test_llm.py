@@ -573,6 +573,23 @@ def test_split_and_whole_lists():
     assert len(listed[2]) == 16 and len(listed[1] & listed[2]) == 15
 
 
+def test_likeliest_pairs_all_seen(spark):
+    """A link with the second likeliest set of a class, where the likeliest has failed as a leader's pair."""
+    import pyarrow as pa
+
+    from leafmill.llm.common import utf8
+
+    rng = random.Random(11)  # one collision in the parities of the first and second set: 15 bits differ, and 17 shingles
+    w = [f"w{rng.randrange(10**9)}" for _ in range(110)]
+    common = sorted(w[:95], key=lambda x: int(setjoin.shingles(*utf8(pa.array([x])), 1)[0][0]))
+    sets = [common + w[95:100], common[:92] + w[100:109], common + w[100:]]
+    rows = [(i, " ".join(x), None, None, 0) for i, x in enumerate(sets, 1)]
+    want = brute_components(rows, 1, 85)
+    assert want == {1: (100, 1), 2: (101, 1), 3: (105, 1)}
+    got = setjoin.join(spark.createDataFrame(rows, DDL), words=1, percent=85).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+
+
 def test_set_join_edges(spark, empty):
     assert setjoin.join(empty).count() == 0
     one = spark.createDataFrame([(None, "a b c d e", None, None, 1), (4, "a b c d e", None, None, 1), (4, "a b c d e", None, None, 1), (2, "A B C D E", None, None, 1)], DDL)

@@ -416,6 +416,17 @@ def test_contexts_of_long_texts(monkeypatch):
     assert starts == {(d, i) for d in range(3) for i in range(sizes[d] - 49)}
 
 
+def test_hashes_of_contexts():
+    """Contexts of one anchor in different documents whose hashes differ in the upper bits alone are not equal."""
+
+    def removed(*hashes):
+        n = len(hashes)
+        blocks = [suffixdedup._packed([(np.array([i]), np.array([0]), np.array([1], np.uint8), np.array([77], np.uint64), np.array([h], np.uint64))], 4) for i, h in zip(range(n), hashes)]
+        return {x["id"] for b in suffixdedup._classes(iter([y for x in blocks for y in x])) for x in b.to_pylist() if x["kind"] == 0}
+
+    assert removed(5, 5 | 1 << 48, 5 | 1 << 63) == set() and removed(5, 5 | 1 << 48, 5 | 1 << 48) == {2}
+
+
 def test_dealt_contexts():
     """Every string of a hot context is in one part, and equal strings have equal keys."""
     rng = random.Random(4)

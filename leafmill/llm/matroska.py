@@ -2,7 +2,9 @@
 
 The reader walks the variable-length EBML elements of a file: Segment, Info, Tracks, Clusters (of known and unknown size)
 with SimpleBlocks and BlockGroups, all four lacings, and Cues. It gives a row for each frame with its track, timestamp,
-flags and byte range in the file, so that payloads are read as slices of the stored bytes.
+flags and byte range in the file, so that payloads are read as slices of the stored bytes. Laced frames follow each other by
+the BlockDuration over their number where a group has one, else by the track's DefaultDuration; a grouped block with a
+ReferenceBlock is no keyframe.
 
 Nulls and odd input: a null text is an empty payload, stored as 64 zero bytes; null or damaged files yield what was read
 up to the damage and `error`; files without packets yield none. Equal texts give equal files: nothing depends on the row.
@@ -26,8 +28,8 @@ from .common import table
 # Fixed values of the format: element ids.
 EBML, EBML_VERSION, EBML_READ_VERSION, EBML_MAX_ID, EBML_MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x1A45DFA3, 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
-TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264, 0x23E383
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 #: Elements that hold elements and are walked into; of these, the last three may have an unknown size.
 CONTAINERS = {INFO, TRACKS, TRACK_ENTRY, AUDIO, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, SEGMENT, CLUSTER}
@@ -77,7 +79,7 @@ def write(payload: bytes) -> bytes:
     head = element(EBML, b"".join((uint(EBML_VERSION, 1), uint(EBML_READ_VERSION, 1), uint(EBML_MAX_ID, 4), uint(EBML_MAX_SIZE, 8), element(DOC_TYPE, b"matroska"), uint(DOC_VERSION, 4), uint(DOC_READ_VERSION, 2))))
     info = element(INFO, uint(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", len(payload) * 1000 / RATE)) + element(MUXING_APP, b"leafmill") + element(WRITING_APP, b"leafmill"))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", RATE)) + uint(CHANNELS, 1) + uint(BIT_DEPTH, 8))
-    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(TRACK_ENTRY, uint(TRACK_NUMBER, 1) + uint(TRACK_UID, 1) + uint(TRACK_TYPE, 2) + uint(DEFAULT_DURATION, FRAME * 1_000_000_000 // RATE) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     body, cues, at = [info, tracks], [], len(info) + len(tracks)
     ms = FRAME * 1000 // RATE
     for c in range(0, len(frames), LACED * BLOCKS):
@@ -104,6 +106,7 @@ class Packet:
     lace: int
     lacing: int
     keyframe: bool
+    timed: bool = False  # by its group's duration
 
 
 @dataclass
@@ -177,7 +180,7 @@ def parse(data: bytes | None) -> Media:
         media.error = str(e) or type(e).__name__
     for p in media.packets:
         d = media.tracks.get(p.track, {}).get("frame_ns", 0)
-        p.timestamp_ns += p.lace * d
+        p.timestamp_ns += 0 if p.timed else p.lace * d
     return media
 
 
@@ -201,6 +204,8 @@ def _walk(data, at: int, end: int, media: Media, now: dict, inside: int = 0) ->
                 media.clusters.append((began - now["segment"], 0))
             elif id_ in (TRACK_ENTRY, CUE_POINT):
                 now["entry"] = {}
+            elif id_ == BLOCK_GROUP:
+                now |= {"duration": None, "referring": False, "first": len(media.packets)}
             at = _walk(data, at, stop, media, now, id_)
             e = now.get("entry", {})
             if id_ == TRACK_ENTRY:
@@ -208,7 +213,12 @@ def _walk(data, at: int, end: int, media: Media, now: dict, inside: int = 0) ->
             elif id_ == CUE_POINT:
                 media.cues.append((e.get("time", 0), e.get("track", 0), e.get("position", 0)))
             elif id_ == BLOCK_GROUP:
-                now["duration"] = None
+                group = media.packets[now["first"] :]
+                for p in group:
+                    p.keyframe = not now["referring"]
+                    if now["duration"] is not None:
+                        p.timestamp_ns += now["duration"] * media.scale * p.lace // len(group)
+                        p.timed = True
             continue
         if id_ in (SIMPLE_BLOCK, BLOCK):
             track, size, _ = _vint(data, at, False)
@@ -228,6 +238,10 @@ def _walk(data, at: int, end: int, media: Media, now: dict, inside: int = 0) ->
                 media.scale = n
             elif id_ == DURATION:
                 media.duration = real
+            elif id_ == BLOCK_DURATION:
+                now["duration"] = n
+            elif id_ == REFERENCE_BLOCK:
+                now["referring"] = True
             elif id_ == DOC_TYPE:
                 media.doc_type = bytes(raw).decode("ascii", "replace")
             elif id_ in _ENTRY:
@@ -239,7 +253,7 @@ def _walk(data, at: int, end: int, media: Media, now: dict, inside: int = 0) ->
 
 _ENTRY = {
     TRACK_NUMBER: ("number", "u"), TRACK_UID: ("uid", "u"), TRACK_TYPE: ("type", "u"), CODEC_ID: ("codec", "s"), SAMPLING: ("rate", "f"), CHANNELS: ("channels", "u"), BIT_DEPTH: ("bits", "u"),
-    0x23E383: ("frame_ns", "u"), CUE_TIME: ("time", "u"), CUE_TRACK: ("track", "u"), CUE_CLUSTER_POSITION: ("position", "u"),
+    DEFAULT_DURATION: ("frame_ns", "u"), CUE_TIME: ("time", "u"), CUE_TRACK: ("track", "u"), CUE_CLUSTER_POSITION: ("position", "u"),
 }
 
 

@@ -86,6 +86,22 @@ def test_lacing(lacing):
     assert matroska.parse(file[:-1]).error and matroska.parse(None).error and matroska.parse(b"\x00").error
 
 
+def test_frame_times():
+    m = matroska.parse(matroska.write(bytes(1024 * 300 + 64)))
+    assert m.error is None and [p.timestamp_ns for p in m.packets] == [i * 128_000_000 for i in range(301)]
+    track = matroska.element(matroska.TRACKS, matroska.element(matroska.TRACK_ENTRY, matroska.uint(matroska.TRACK_NUMBER, 5) + matroska.uint(0x23E383, 7_000_000)))
+
+    def group(offset, *after):
+        return matroska.element(matroska.BLOCK_GROUP, matroska.element(matroska.BLOCK, matroska.block(5, offset, [b"ab"] * 4, matroska.FIXED)) + b"".join(after))
+
+    last, back = matroska.uint(0x9B, 40), matroska.element(0xFB, b"\xff")
+    cluster = matroska.element(matroska.CLUSTER, matroska.uint(matroska.TIMESTAMP, 10) + group(0, last) + group(100, back) + group(200, back, last) + group(300))
+    for head, step in ((track, 7), (b"", 0)):
+        m = matroska.parse(matroska.element(matroska.SEGMENT, head + cluster))
+        assert m.error is None and [p.keyframe for p in m.packets] == [True] * 4 + [False] * 8 + [True] * 4
+        assert [p.timestamp_ns // 1_000_000 for p in m.packets] == [10 + at + k * d for at, d in ((0, 10), (100, step), (200, 10), (300, step)) for k in range(4)]
+
+
 # ---- 2
 
 

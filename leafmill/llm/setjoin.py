@@ -5,41 +5,49 @@ Two sets with 100 * intersection >= T * union share a shingle among the first |x
 prefixes), so lists of the sets that have a shingle in their prefix hold every answer.
 
 Relations between sets save work in two ways. Within a list, sorted by set size and cut into blocks, whole blocks of
-positions are skipped whose sets cannot overlap enough with the probing set any more (index level). And a set that is
-found highly similar to a leader, the nearest set before it in a list, takes over the leader's answers: both are in one class, and only pairs of
-sets of different classes are looked at in that list afterwards (answer level): first the likeliest for each set and
-class, then, with the classes that gives, all others whose parities don't rule them out. Exact copies are one set from the
-start. All pairs that remain are verified on the whole sets, so that no link between classes is lost, and components follow.
+positions are skipped whose sets cannot overlap enough with the probing set any more (index level). And a set that is found
+highly similar to a leader takes over the leader's answers: both are in one class, and only pairs of sets of different
+classes are looked at afterwards (answer level). Leaders are the sets nearest to the middle of a list. Then come the likeliest pairs
+of each two classes in a list, and with the classes that gives, all pairs of different classes whose parities don't rule
+them out. Exact copies are one set from the start. All pairs that remain are verified on the whole sets, so that no link between classes is
+lost, and components follow.
 
-Lists longer than SPLIT are dealt over several keys, block against block, so no list is a task of its own.
+Lists are counted, and those longer than SPLIT are dealt over several keys: leaders are sought in each part; likeliest pairs among one
+set of each class; and at last the largest class lies in parts, each with all sets of the other classes (or part against part, where those are too
+many as well). So no list is a task of its own.
 
 Nulls and odd input: a null or wordless text has an empty set and links with nothing; one with fewer words than a shingle
 has its whole sequence of words as one shingle; a row without an id is reported with a null component. Rows with one id are
-copies of a document. Long texts are never cut. Other columns are ignored.
+one document, linked by the set of any of its rows. Long texts are never cut. Other columns are ignored, so their names can't clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import INVERSE, byte_table, materialize, mix64, modest_batches, powers, prefix_sums, table, utf8
 from .graph import components
 
-#: Counters of the sketch that orders shingles; its size does not depend on the data.
+#: Counters of the sketch that orders shingles: its size does not depend on the data, nor does any result depend on it.
 COUNTERS = 1 << 20
 SLICES = 64
-#: Rows of a list that go to one key, about; longer lists are split into blocks.
+#: Postings of a list that go to one key, about.
 SPLIT = 50_000
+#: Lists up to this length are compared as a whole, many at once; the leaders that are taken from a longer one.
+SHORT, LEADERS = 32, 8
 #: Positions of a list that are tested, and skipped, together.
 BLOCK = 64
-#: Bits of the parities that tell before verification that two sets differ too much.
-PARITY = 512
+#: 64-bit words of the parities that tell before verification that two sets differ too much.
+PARITY = 8
+PARITIES = [f"p{i}" for i in range(PARITY)]
 #: Members that one task verifies against a leader.
 FANOUT = 2_000
+#: Parts that rows of equal sets are dealt over.
+SALTS = 64
 _FOLDED = byte_table(0xC0FFEE, fold_case=True)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -51,7 +59,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     counts = np.zeros(len(offsets) - 1, np.int64)
     i = 0
     while i < len(counts):
-        j = int(np.searchsorted(offsets, offsets[i] + 2_000_000, side="right")) - 1
+        j = int(np.searchsorted(offsets, offsets[i] + 500_000, side="right")) - 1
         j = min(max(j, i + 1), len(counts))
         part, k = _shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n)
         out.append(part)
@@ -90,28 +98,30 @@ def _shingles(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
         k = int(words[owner[at]])
         h[at] = np.uint64(sum(int(x) for x in mix64(w[at : at + k] + (np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)))) + k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     keep = whole | short
-    h, owner = mix64(h[keep]), owner[keep]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    fresh = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])) if len(h) else np.zeros(0, bool)
-    return h[fresh], np.bincount(owner[fresh], minlength=docs)
+    h, counts = mix64(h[keep]), np.bincount(owner[keep], minlength=docs)
+    sets = [_distinct(x) for x in np.split(h, np.cumsum(counts)[:-1])]
+    return np.concatenate(sets), np.array([len(x) for x in sets], np.int64)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-SETS = "id long, n int, hi long, lo long, parity binary, slice int, counts binary"
+SETS = "id long, n int, hi long, lo long, " + "".join(f"{p} long, " for p in PARITIES) + "slice int, counts binary"
 
 
-def parities(h: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """For each set whether an odd number of its shingles falls on each of PARITY bits. Where two sets' bits differ, their
-    difference has a shingle: the bits that differ are no more than the shingles that do."""
-    docs = len(at) - 1
-    bit = (h >> np.uint64(40)).astype(np.int64) % PARITY
-    counts = np.bincount(np.repeat(np.arange(docs), np.diff(at)) * PARITY + bit, minlength=docs * PARITY)
-    packed = np.packbits((counts & 1).astype(np.uint8).reshape(docs, PARITY), axis=1)
-    return [x.tobytes() for x in packed]
+def parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """For each set whether an odd number of its shingles falls on each of 64 * PARITY bits. Where two sets' bits differ,
+    their difference has a shingle: the bits that differ are no more than the shingles that do."""
+    docs, bits = len(at) - 1, 64 * PARITY
+    bit = (h >> np.uint64(40)).astype(np.int64) % bits
+    counts = np.bincount(np.repeat(np.arange(docs), np.diff(at)) * bits + bit, minlength=docs * bits)
+    return np.packbits((counts & 1).astype(np.uint8).reshape(docs, bits), axis=1).view(np.int64)
 
 
 def _summaries(key: str, text: str, words: int):
@@ -131,12 +141,13 @@ def _summaries(key: str, text: str, words: int):
                 heads = at[:-1][full]
                 hi[full] = np.add.reduceat(mix64(h ^ np.uint64(0x5851F42D4C957F2D)), heads)
                 lo[full] = np.add.reduceat(mix64(h + np.uint64(0x14057B7EF767814F)), heads)
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([b.column(key).cast(pa.int64()), pa.array(n.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), pa.array(parities(h, at), pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            k, odd = len(n), parities(h, at)
+            ids = b.column(key).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int32)), pa.array(hi.view(np.int64)), pa.array(lo.view(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in odd.T), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if sketch.any():
             parts = [x.tobytes() for x in np.split(sketch, SLICES)]
             none = pa.nulls(SLICES, pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.nulls(SLICES, pa.int32()), none, none, pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([none, pa.nulls(SLICES, pa.int32()), *[none] * (2 + PARITY), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return run
 
@@ -158,24 +169,30 @@ def _sketch(parts: DataFrame) -> np.ndarray:
     return total.ravel()
 
 
-def ordered(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One set in the global order, and the estimated counts."""
-    c = counts[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    order = np.lexsort((h, np.frexp(c.astype(float))[1]))
-    return h[order], c[order]
+def levels(counts: np.ndarray) -> np.ndarray:
+    """The order of magnitude of each counter, which is all that the order of shingles needs."""
+    return np.frexp(counts.astype(float))[1].astype(np.uint8)
+
+
+def ordered(h: np.ndarray, level: np.ndarray, most: int | None = None) -> np.ndarray:
+    """The first `most` shingles of a set (ascending numbers) in the global order: by magnitude of their counts, then number."""
+    rank = level[(h & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    return h[np.argsort(rank, kind="stable")[:most]]
 
 
 POSTINGS = "token long, id long, sp long"
 
 
 def _postings(key: str, text: str, words: int, percent: int, sent):
+    """The prefix of each set: token, document, and size and place as size << 32 | place."""
+
     def run(batches):
-        counts, seen = sent.value, set()
+        seen: set[tuple[int, ...]] = set()
         for b in batches:
             data, offsets = utf8(b.column(text))
             h, at = shingles(data, offsets, words)
             tokens, ids, sps = [], [], []
-            for i, (k, lo, hi) in enumerate(zip(b.column(key).to_pylist(), at[:-1].tolist(), at[1:].tolist())):
+            for k, lo, hi in zip(b.column(key).to_pylist(), at[:-1].tolist(), at[1:].tolist()):
                 if k is None or lo == hi:
                     continue
                 own = h[lo:hi]
@@ -183,48 +200,39 @@ def _postings(key: str, text: str, words: int, percent: int, sent):
                 if mark in seen:  # a copy that this task has listed already; classes of copies come from whole sums
                     continue
                 seen.add(mark)
-                x, c = ordered(own, counts)
-                p = prefix(len(x), percent)
-                x, c = x[:p], c[:p]
-                place = np.arange(p)
-                blocks = c // SPLIT + 1
-                if (blocks > 1).any():
-                    mine = (mix64(np.full(p, k, np.int64).astype(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)
-                    which = np.repeat(np.arange(p), blocks)
-                    other = np.arange(len(which)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    a, z = np.minimum(mine[which], other), np.maximum(mine[which], other)
-                    x = np.where(blocks[which] > 1, mix64(x[which] ^ mix64((a * (blocks[which] + 1) + z).astype(np.uint64))), x[which])  # lists that aren't split keep their key
-                    place = place[which]
+                x = ordered(own, sent.value, prefix(len(own), percent))
                 tokens.append(x)
                 ids.append(np.full(len(x), k, np.int64))
-                sps.append((hi - lo) << 32 | place)
+                sps.append((hi - lo) << 32 | np.arange(len(x)))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sps))], names=["token", "id", "sp"])
 
     return run
 
 
-def _runs(batches, columns: tuple[str, ...], least: int = 2):
-    """Stretches of rows of equal tokens from a partition sorted by token: tuples of arrays, a stretch or several at once.
+def _lists(batches, columns: tuple[str, ...], longest: int | None = None):
+    """Rows of whole lists, from a partition sorted by the first column: (columns, where each list begins, plus the end).
 
-    Yields (columns, heads): the rows of whole stretches of `least` rows or more, and where each begins, plus the end."""
-    rest: list[np.ndarray] | None = None
+    A list stays in pieces until its end is seen, or comes in pieces of `longest` rows or more."""
+    parts: list[list[np.ndarray]] = []
     for b in _and_none(batches):
         if b is not None:
+            if not b.num_rows:
+                continue
             new = [b.column(c).to_numpy(zero_copy_only=False) for c in columns]
-            rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new)]
-        if rest is None or not len(rest[0]):
-            continue
-        t = rest[0]
+            open_ = bool(parts) and parts[0][0][0] == new[0][-1]  # no list ends here
+            parts.append(new)
+            if open_ and (longest is None or sum(len(p[0]) for p in parts) < longest):
+                continue
+        if not parts:
+            return
+        rows = [np.concatenate(x) for x in zip(*parts)]
+        t = rows[0]
         heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-        last = len(t) if b is None else heads[-1]
-        bounds = np.append(heads[heads < last], last)
-        sizes = np.diff(bounds)
-        good = sizes >= least
-        if good.any():
-            keep = np.repeat(good, sizes)
-            yield [c[:last][keep] for c in rest], np.append(0, np.cumsum(sizes[good]))
-        rest = [c[last:] for c in rest]
+        last = len(t) if b is None or longest and len(t) - heads[-1] >= longest else int(heads[-1])
+        if last:
+            yield [c[:last] for c in rows], np.append(heads[heads < last], last)
+        parts = [[c[last:] for c in rows]] if last < len(t) else []
 
 
 def _and_none(it):
@@ -232,107 +240,198 @@ def _and_none(it):
     yield None
 
 
-def _shared(batches):
-    """The postings of tokens that two documents have."""
-    for (token, ids, sp), _ in _runs(batches, ("token", "id", "sp")):
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids), pa.array(sp)], names=["token", "id", "sp"])
+def _pairs_within(heads: np.ndarray, lengths: np.ndarray, room: int = 100_000):
+    """All pairs (i, j), i < j, of rows of one list, for lists of SHORT rows at most; so many lists at once that pairs stay within room."""
+    for k in np.unique(lengths[lengths > 1]).tolist():
+        at = heads[lengths == k]
+        i, j = np.triu_indices(k, 1)
+        step = max(1, room // len(i))
+        for x in range(0, len(at), step):
+            base = at[x : x + step, None]
+            yield (base + i).ravel(), (base + j).ravel()
+
+
+def _shared(percent: int):
+    """The postings that another one of their list may go with, as far as sizes and places tell; of very long lists, all."""
+
+    def run(batches):
+        before = None
+        for (token, ids, sp), bounds in _lists(batches, ("token", "id", "sp"), SPLIT):
+            lengths = np.diff(bounds)
+            size, place = sp >> 32, sp & 0xFFFFFFFF
+            keep = np.repeat(lengths > SHORT, lengths)
+            if token[0] == before:  # the rest of a very long list
+                keep[: bounds[1]] = True
+            before = token[-1]
+            for i, j in _pairs_within(bounds[:-1], np.where(lengths > SHORT, 0, lengths)):
+                ok = fits(size[i], place[i], size[j], place[j], percent) & (ids[i] != ids[j])
+                keep[i[ok]] = keep[j[ok]] = True
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(ids[keep]), pa.array(sp[keep])], names=["token", "id", "sp"])
+
+    return run
+
+
+def fits(size: np.ndarray, place: np.ndarray, other: np.ndarray, at: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes that have a shingle at these places can still overlap enough."""
+    return np.minimum(size - place, other - at) * (100 + percent) >= percent * (size + other)
 
 
-def fits(size: np.ndarray, place: np.ndarray, other: int, at: int, percent: int) -> np.ndarray:
-    """Whether sets with this list's shingle at `place` can still overlap enough with one of size `other` that has it at `at`."""
-    most = np.minimum(size - place, other - at)
-    return most * (100 + percent) >= percent * (size + other)
+class _Lists:
+    """Some lists of a task: what stands in their rows, and which rows may go together."""
 
+    def __init__(self, columns: list[np.ndarray], percent: int):
+        _, self.ids, sp, *rest = columns
+        self.size, self.place, self.percent = sp >> 32, sp & 0xFFFFFFFF, percent
+        self.bits = np.stack(rest[-PARITY:], axis=1).view(np.uint64)
 
-def _bits(parity: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(parity.tolist()), np.uint64).reshape(len(parity), PARITY // 64)
+    def apart(self, i, j) -> np.ndarray:
+        return np.bitwise_count(self.bits[i] ^ self.bits[j]).sum(axis=-1, dtype=np.int64)
+
+    def may(self, i, j, apart: np.ndarray) -> np.ndarray:
+        near = apart * (100 + self.percent) <= (100 - self.percent) * (self.size[i] + self.size[j])
+        return near & (self.ids[i] != self.ids[j]) & fits(self.size[i], self.place[i], self.size[j], self.place[j], self.percent)
+
+
+PAIRS = "a long, b long"
+
+
+def _pairs(a: np.ndarray, b: np.ndarray):
+    """Pairs (a, b), each once."""
+    if len(a):
+        both = np.unique(np.stack([a, b], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+
+def _first_of(*keys: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Places of the rows with the smallest `by` for each combination of keys."""
+    order = np.lexsort((by, *reversed(keys)))
+    fresh = np.zeros(len(order), bool)
+    fresh[:1] = True
+    for k in keys:
+        fresh[1:] |= k[order][1:] != k[order][:-1]
+    return order[fresh]
 
 
 def _leaders(percent: int):
-    """A pair of each set of a list with its leader: of the sets before it that it can overlap enough, the one whose parity is
-    nearest. Lists of the same sets are looked at once in a batch."""
+    """(leader, set) pairs. In a short list a set's leader is the set before it whose parity is nearest. In a long one,
+    LEADERS times, it is the set nearest to the middle of those without a leader, and all that may go with it are its members."""
 
     def run(batches):
-        for (token, ids, sp, parity), heads in _runs(batches, ("token", "id", "sp", "parity")):
-            size, place, bits = sp >> 32, sp & 0xFFFFFFFF, _bits(parity)
-            a, b, seen = [], [], set()
-            for lo, hi in zip(heads[:-1].tolist(), heads[1:].tolist()):
-                d = ids[lo:hi]
-                if (mark := d.tobytes()) in seen:
-                    continue
-                seen.add(mark)
-                s, p, w = size[lo:hi], place[lo:hi], bits[lo:hi]
-                for i in range(1, hi - lo):
-                    start = int(np.searchsorted(s[:i] * 100, s[i] * percent, side="left"))
-                    if start == i:
-                        continue
-                    apart = np.bitwise_count(w[start:i] ^ w[i]).sum(axis=1, dtype=np.int64)
-                    near = (apart * (100 + percent) <= (100 - percent) * (s[start:i] + s[i])) & fits(s[start:i], p[start:i], int(s[i]), int(p[i]), percent) & (d[start:i] != d[i])
-                    if near.any():
-                        best = start + int(np.argmin(np.where(near, apart, PARITY + 1)))
-                        a.append(d[best : best + 1])
-                        b.append(d[i : i + 1])
-            yield from _pairs(a, b)
+        for columns, bounds in _lists(batches, ("token", "id", "sp", *PARITIES)):
+            x, a, b = _Lists(columns, percent), [], []
+            lengths = np.diff(bounds)
+            for i, j in _pairs_within(bounds[:-1], np.where(lengths > SHORT, 0, lengths)):
+                apart = x.apart(i, j)
+                ok = x.may(i, j, apart)
+                i, j, apart = i[ok], j[ok], apart[ok]
+                best = _first_of(j, by=apart)
+                a.append(x.ids[i[best]])
+                b.append(x.ids[j[best]])
+            for lo, hi in zip(bounds[:-1][lengths > SHORT].tolist(), bounds[1:][lengths > SHORT].tolist()):
+                left = np.arange(lo, hi)
+                for _ in range(LEADERS):
+                    middle = 2 * sum(np.unpackbits(x.bits[k].view(np.uint8), axis=1).sum(axis=0, dtype=np.int64) for k in np.array_split(left, 1 + len(left) // 4096)) > len(left)
+                    lead = left[np.argmin(np.bitwise_count(x.bits[left] ^ np.packbits(middle).view(np.uint64)).sum(axis=1))]
+                    member = x.may(left, lead, x.apart(left, lead))
+                    a.append(np.full(int(member.sum()), x.ids[lead]))
+                    b.append(x.ids[left[member]])
+                    left = left[~member & (left != lead)]
+                    if len(left) < 2:
+                        break
+            if a:
+                yield from _pairs(np.concatenate(a), np.concatenate(b))
 
     return run
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]):
-    if a:
-        x, y = np.concatenate(a), np.concatenate(b)
-        if len(x):
-            both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
-
-
 def _between(percent: int, first: bool):
     """Pairs of sets of different classes that share a list and can overlap enough; whole blocks are skipped by position, and
-    pairs whose parities differ in more bits than their sets may in shingles. first: the likeliest of each class alone."""
+    pairs whose parities differ in more bits than their sets may in shingles. first: of two classes in a list the likeliest pair."""
 
     def run(batches):
-        for (token, ids, sp, cls, parity), heads in _runs(batches, ("token", "id", "sp", "cls", "parity")):
-            size, place = sp >> 32, sp & 0xFFFFFFFF
-            bits = _bits(parity)
-            a, b = [], []
-            for lo, hi in zip(heads[:-1].tolist(), heads[1:].tolist()):
-                c = cls[lo:hi]
-                if (c == c[0]).all():
+        for columns, bounds in _lists(batches, ("token", "id", "sp", "cls", *PARITIES)):
+            x, cls, found = _Lists(columns, percent), columns[3], []
+            lengths = np.diff(bounds)
+
+            def hold(i, j, of):
+                apart = x.apart(i, j)
+                ok = x.may(i, j, apart)
+                i, j, apart = i[ok], j[ok], apart[ok]
+                if first and len(i):
+                    best = _first_of(np.broadcast_to(of, ok.shape)[ok], np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j]), by=apart)
+                    i, j = i[best], j[best]
+                found.append(np.stack([np.minimum(x.ids[i], x.ids[j]), np.maximum(x.ids[i], x.ids[j])], axis=1))
+
+            for i, j in _pairs_within(bounds[:-1], np.where(lengths > SHORT, 0, lengths)):
+                other = cls[i] != cls[j]
+                i, j = i[other], j[other]
+                hold(i, j, np.searchsorted(bounds, i, side="right"))
+            for lo, hi in zip(bounds[:-1][lengths > SHORT].tolist(), bounds[1:][lengths > SHORT].tolist()):
+                kinds, k = np.unique(cls[lo:hi], return_counts=True)
+                if len(kinds) == 1:
                     continue
-                s, p, d, w = size[lo:hi], place[lo:hi], ids[lo:hi], bits[lo:hi]
-                n = hi - lo
-                cuts = np.arange(0, n, BLOCK)
-                left = np.maximum.reduceat(s - p, cuts)  # the most that any set of a block has left at this shingle
-                least = s[cuts]  # sizes ascend
-                one = np.minimum.reduceat(c, cuts) == np.maximum.reduceat(c, cuts)
-                for i in range(n - 1):
-                    end = int(np.searchsorted(s * percent, s[i] * 100, side="right"))
-                    if end <= i + 1:
-                        continue
-                    k = np.arange((i + 1) // BLOCK, (end - 1) // BLOCK + 1)
-                    open_ = np.minimum(left[k], s[i] - p[i]) * (100 + percent) >= percent * (least[k] + s[i])
-                    open_ &= ~(one[k] & (c[cuts[k]] == c[i]))
-                    if not open_.any():
-                        continue
-                    take = (k[open_][:, None] * BLOCK + np.arange(BLOCK)[None, :]).ravel()
-                    take = take[(take > i) & (take < end)]
-                    take = take[(c[take] != c[i]) & (d[take] != d[i]) & fits(s[take], p[take], int(s[i]), int(p[i]), percent)]
-                    if not len(take):
-                        continue
-                    apart = np.bitwise_count(w[take] ^ w[i]).sum(axis=1, dtype=np.int64)
-                    near = apart * (100 + percent) <= (100 - percent) * (s[take] + s[i])
-                    take, apart = take[near], apart[near]
-                    if first and len(take):
-                        take = take[np.argsort(apart, kind="stable")]
-                        take = take[np.unique(c[take], return_index=True)[1]]
-                    a.append(np.full(len(take), d[i]))
-                    b.append(d[take])
-            yield from _pairs(a, b)
+                minor = lo + np.flatnonzero(cls[lo:hi] != kinds[np.argmax(k)])  # one of each pair is not in the largest class
+                cuts = np.arange(lo, hi, BLOCK)
+                ends = np.append(cuts[1:], hi) - 1
+                least, most = x.size[cuts], x.size[ends]  # sizes ascend
+                left = np.maximum.reduceat((x.size - x.place)[lo:hi], cuts - lo)  # the most that a set of the block has left here
+                own = np.where(np.minimum.reduceat(cls[lo:hi], cuts - lo) == np.maximum.reduceat(cls[lo:hi], cuts - lo), cls[cuts], -1)
+                one = own >= 0
+                open_i, open_j, room = [], [], 0
+                for i in minor.tolist():
+                    s, p = int(x.size[i]), int(x.place[i])
+                    go = (least * percent <= s * 100) & (most * 100 >= s * percent) & (np.minimum(left, s - p) * (100 + percent) >= percent * (least + s)) & ~(one & (own == cls[i]))
+                    take = (cuts[go][:, None] + np.arange(BLOCK)).ravel()
+                    take = take[take < hi]
+                    take = take[cls[take] != cls[i]]
+                    open_i.append(np.full(len(take), i))
+                    open_j.append(take)
+                    room += len(take)
+                    if room > 100_000:
+                        hold(np.concatenate(open_i), np.concatenate(open_j), lo)
+                        open_i, open_j, room = [], [], 0
+                if room:
+                    hold(np.concatenate(open_i), np.concatenate(open_j), lo)
+            if found:
+                both = np.concatenate(found)
+                yield from _pairs(both[:, 0], both[:, 1])
 
     return run
 
 
-def id_filter(spark: SparkSession, ids: DataFrame, bits: int = 1 << 23):
-    """A broadcast bit array that every id of `ids` is in (others seldom); its size is fixed."""
+def in_parts(lists: DataFrame) -> DataFrame:
+    """lists with a key for each list, or for each part of one that is longer than SPLIT."""
+    long = lists.groupBy("token").count().filter(F.col("count") > SPLIT).select(F.col("token").alias("__t"), F.ceil(F.col("count") / SPLIT).alias("__parts"))
+    part = F.when(F.col("__parts").isNull(), F.col("token")).otherwise(F.xxhash64("token", F.pmod(F.xxhash64("id"), F.col("__parts"))))
+    return lists.join(long, F.col("token") == F.col("__t"), "left").withColumn("key", part).drop("token", "__t", "__parts").withColumnRenamed("key", "token")
+
+
+def across(known: DataFrame, first: bool) -> DataFrame:
+    """The postings of lists with several classes, with keys under which all pairs of different classes meet.
+
+    first: of each list that is longer than SPLIT one set of each class. Otherwise such a list's largest class is dealt over
+    parts and the others are in every part; if these are too many as well, every two parts meet."""
+    counts = known.groupBy("token", "cls").agg(F.count("*").alias("k"))
+    lists = counts.groupBy(F.col("token").alias("__t")).agg(F.sum("k").alias("__all"), F.max("k").alias("__most"), F.max_by("cls", F.struct("k", "cls")).alias("__main"), F.min("cls").alias("__lo"), F.max("cls").alias("__hi"))
+    open_ = known.join(lists.filter("__lo < __hi"), F.col("token") == F.col("__t"))
+    parts, rest = F.ceil(F.col("__all") / SPLIT), F.col("__all") - F.col("__most")
+    if first:
+        rows = ["id", "sp", *PARITIES]
+        short = open_.filter(F.col("__all") <= SPLIT).select("token", "cls", *rows)
+        one = open_.filter(F.col("__all") > SPLIT).groupBy("token", "cls").agg(F.max_by(F.struct(*rows), F.struct("leads", "id")).alias("r")).select("token", "cls", "r.*")
+        return in_parts(short.unionByName(one))
+    mine = F.pmod(F.xxhash64("id"), parts)
+    all_parts = F.sequence(F.lit(0).cast("long"), parts - 1)
+    pair = F.transform(all_parts, lambda z: F.xxhash64("token", F.least(mine, z), F.greatest(mine, z)))
+    one = F.xxhash64("token", mine)
+    keys = F.when(parts <= 1, F.array("token")).when(rest > SPLIT, pair).when(F.col("cls") == F.col("__main"), F.array(one)).otherwise(F.transform(all_parts, lambda z: F.xxhash64("token", z)))
+    return open_.withColumn("key", F.explode(keys)).select(F.col("key").alias("token"), "id", "sp", "cls", *PARITIES)
+
+
+def id_filter(spark: SparkSession, ids: DataFrame):
+    """A broadcast bit array that every id of `ids` is in (others seldom): eight bits or more for each id, 32 MB at most."""
+    bits = 1 << min(28, max(16, (8 * ids.count()).bit_length()))
     slot = F.pmod(F.xxhash64("id"), F.lit(bits))
     rows = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 31 AS int)))").alias("v"))
     got = rows.toPandas()
@@ -385,24 +484,33 @@ def _member_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[x.split()[0] for x in MEMBERS.split(", ")])
 
 
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many numbers two ascending arrays of distinct numbers share."""
+    if not len(x) or not len(y):
+        return 0
+    return int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+
+
 def _verified(percent: int):
-    """Links from rows sorted by leader and salt, the leader's own set first."""
+    """Links from rows sorted by leader and salt, the leader's own sets (of each of its rows) first."""
 
     def run(batches):
-        now, lead = None, None
+        now, leads = None, []
         for b in batches:
             got = []
             for a, salt, kind, other, raw in zip(*(b.column(c).to_pylist() for c in ("a", "salt", "kind", "b", "members"))):
                 x = np.frombuffer(raw, np.uint64)
                 if kind == 0:
-                    if (a, salt) != now:
-                        now, lead = (a, salt), x
+                    leads = [*leads, x] if (a, salt) == now else [x]
+                    now = (a, salt)
                     continue
                 if (a, salt) != now:
                     raise ValueError(f"the set of {a} is missing")
-                both = len(x) - len(np.setdiff1d(x, lead, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(lead) - both):
-                    got.append((a, other))
+                for lead in leads:
+                    both = common(x, lead)
+                    if 100 * both >= percent * (len(x) + len(lead) - both):
+                        got.append((a, other))
+                        break
             if got:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)], names=["a", "b"])
 
@@ -432,43 +540,68 @@ def join(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int =
     """key, n_shingles and component_id, the smallest key that links reach, for each row."""
     spark = modest_batches(docs.sparkSession)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     summary = materialize(docs.mapInArrow(_summaries("id", "text", words), T.StructType.fromDDL(SETS)), "sets")
-    sets = summary.filter("slice is null").select("id", "n", "hi", "lo")
-    sent = spark.sparkContext.broadcast(_sketch(summary))
-    copies = sets.filter("n > 0 and id is not null").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    copies = materialize(sets.join(copies, ["hi", "lo", "n"]).filter("id is not null").groupBy("id").agg(F.min("rep").alias("rep")), "copies")
+    sent = spark.sparkContext.broadcast(levels(_sketch(summary)))
+    sets = summary.filter("slice is null").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    # equal sets: the smallest id of each part first, so that no join has a group's rows in one task
+    least = sets.filter("n > 0 and id is not null").groupBy("hi", "lo", "n", "salt").agg(F.min("id").alias("rep"), F.count("*").alias("k"))
+    whole = least.groupBy("hi", "lo", "n").agg(F.min("rep").alias("rep"), F.sum("k").alias("k")).filter("k > 1").drop("k")
+    copies = least.select("hi", "lo", "n", "salt").join(whole, ["hi", "lo", "n"])
+    rows = sets.join(copies, ["hi", "lo", "n", "salt"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"), *PARITIES)
+    rows = materialize(rows, "rows")
+    # the rows of one id are one document, though their sets may differ
+    several = rows.filter("id is not null and n > 0").groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a < z").drop("z")
+    moved = rows.filter("id <> rep").select("id", "n", "rep").unionByName(rows.join(several, "id", "left_semi").select("id", "n", "rep")).distinct()
+    moved = moved.select(F.col("id").alias("__id"), F.col("n").alias("__n"), "rep")
+    same = materialize(rows.join(several, "id").filter("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "same")
+
     listed = docs.mapInArrow(_postings("id", "text", words, percent, sent), T.StructType.fromDDL(POSTINGS))
-    shared = listed.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_shared, T.StructType.fromDDL(POSTINGS))
-    marks = summary.filter("slice is null and id is not null").groupBy("id").agg(F.max("parity").alias("parity"))
-    lists = materialize(shared, "shared").join(copies, "id", "left").select("token", F.coalesce("rep", "id").alias("id"), "sp").distinct()
-    lists = materialize(lists.join(marks, "id"), "lists")
-    pair = T.StructType.fromDDL("a long, b long")
-    ranked = lists.repartition(n, "token").sortWithinPartitions("token", "sp", "id")
-    seen = materialize(ranked.mapInArrow(_leaders(percent), pair).distinct(), "leaders")
-    links = verify(docs, seen, percent, words)
+    shared = listed.repartition(n, "token").sortWithinPartitions("token", "sp").mapInArrow(_shared(percent), T.StructType.fromDDL(POSTINGS))
+    shared = materialize(shared, "shared")
+    # a document's rows may have several sets: a posting goes with the parity of each, and the nearest may count
+    marks = rows.filter("id = rep and n > 0").select("id", F.col("n").alias("__n"), *PARITIES).distinct()
+    lists = shared.join(moved, (F.col("id") == F.col("__id")) & (F.shiftright("sp", 32) == F.col("__n")), "left").select("token", F.coalesce("rep", "id").alias("id"), "sp").distinct()
+    lists = materialize(lists.join(marks, "id").filter(F.shiftright("sp", 32) == F.col("__n")).drop("__n"), "lists")
+    pair = T.StructType.fromDDL(PAIRS)
+
+    def ranked(df: DataFrame) -> DataFrame:
+        return df.repartition(n, "token").sortWithinPartitions("token", "sp", "id")
+
+    seen = materialize(ranked(in_parts(lists)).mapInArrow(_leaders(percent), pair).distinct(), "leaders")
+    links = same.union(verify(docs, seen, percent, words))
     classes = components(links)
-    for first in (True, False):  # the likeliest pair of each set and class, then all that are left
-        known = lists.join(classes, F.col("id") == F.col("node"), "left").select("token", "id", "sp", "parity", F.coalesce("component", "id").alias("cls"))
-        mixed = known.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo < hi").select("token")
-        open_ = known.join(mixed, "token", "left_semi").repartition(n, "token").sortWithinPartitions("token", "sp", "id")
-        again = materialize(open_.mapInArrow(_between(percent, first), pair).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+    leads = seen.select(F.col("a").alias("id")).distinct().withColumn("leads", F.lit(1))
+    tried = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for first in (True, False):  # the likeliest pair of each two classes, then all that are left
+        known = lists.join(classes, F.col("id") == F.col("node"), "left").select("token", "id", "sp", *PARITIES, F.coalesce("component", "id").alias("cls"))
+        if first:
+            known = known.join(leads, "id", "left").fillna(0, ["leads"])
+        found = ranked(across(known, first)).mapInArrow(_between(percent, first), pair).distinct()
+        again = materialize(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if again.isEmpty():  # if in the first pass, the second may still have pairs
             continue
         more = verify(docs, again, percent, words)
         if not more.isEmpty():
             links = links.union(more)
             classes = components(links)
-        seen = seen.union(again)
-    out = sets.join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id")).join(classes, F.col("rep") == F.col("node"), "left")
+        tried = tried.union(again)
+    out = rows.join(classes, F.col("rep") == F.col("node"), "left")
     return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
 
 
 def representatives(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row of docs for each component, that of its smallest key. Rows without a key stay."""
-    found = join(docs, text, key, words, percent).filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("__key")).distinct()
-    one = docs.join(found, F.col(key) == F.col("__key"), "left_semi").dropDuplicates([key])
-    return one.unionByName(docs.filter(F.col(key).isNull()))
+    """One row of docs for each component: of the rows of its smallest key, the one that comes first by text (null first),
+    then by the other columns in their order. Rows without a key stay. Columns may have any names."""
+    found = join(docs, text, key, words, percent)
+    marked = found.filter(F.col("component_id") == F.col(key)).select(F.col(key).alias("__key"), F.lit(True).alias("__stays")).distinct()
+    cols = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(cols))])
+    k, t = (f"c{cols.index(x)}" for x in (key, text))
+    kept = plain.join(marked, F.col(k) == F.col("__key"), "left").filter(F.col("__stays") | F.col(k).isNull()).drop("__key", "__stays")
+    others = [F.col(c) for c in plain.columns if c not in (k, t)]
+    rank = F.row_number().over(Window.partitionBy(k).orderBy(F.col(t), *others))
+    return kept.withColumn("rank", F.when(F.col(k).isNull(), 1).otherwise(rank)).filter("rank = 1").drop("rank").toDF(*cols)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -552,52 +552,122 @@ def test_set_join(spark, words, percent):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
 
 
-def test_split_lists():
-    """Blocks of a long list: every two members meet under a key."""
-    counts = np.full(setjoin.COUNTERS, 10 * setjoin.SPLIT, np.int64)
+def near_the_limit(seed, percent, groups=6, size=14):
+    """Groups of texts whose sets of words differ by about as many words as a link allows."""
+    rng, rows = random.Random(seed), []
+    for g in range(groups):
+        n = rng.randrange(60, 200)
+        base = [f"g{g}w{j}" for j in range(n)]
+        limit = n * (100 - percent) / (100 + percent)
+        for k in range(size):
+            w = list(base)
+            for j in rng.sample(range(n), max(0, round(limit * rng.choice((0.5, 1, 1, 1)) + rng.randint(-1, 1)))):
+                w[j] = f"g{g}k{k}x{j}"
+            if rng.random() < 0.3:
+                w = w[: n - rng.randrange(1, max(2, int(limit)))]
+            rows.append((len(rows), " ".join(w), None, None, 0))
+    rng.shuffle(rows)
+    return rows
 
-    class Sent:
-        value = counts
 
-    import pyarrow as pa
+@pytest.mark.parametrize("percent,split", [(85, 50_000), (80, 50_000), (85, 5), (80, 9)])
+def test_links_near_the_limit(spark, monkeypatch, percent, split):
+    """Similarities close to the limit, whole lists and lists dealt over many parts."""
+    monkeypatch.setattr(setjoin, "SPLIT", split)  # the driver's: how lists are dealt
+    rows = near_the_limit(percent, percent)
+    got = setjoin.join(spark.createDataFrame(rows, DDL), words=1, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 1, percent)
 
-    text = " ".join(f"t{i}" for i in range(40))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array([f"{text} u{i}" for i in range(60)])], names=["id", "text"])
-    out = list(setjoin._postings("id", "text", 4, 85, Sent)(iter([batch])))
-    at = collections.defaultdict(set)
-    for b in out:
-        for t, i in zip(b.column("token").to_pylist(), b.column("id").to_pylist()):
-            at[t].add(i)
-    met = {(a, b) for v in at.values() for a in v for b in v if a < b}
-    assert len(met) == 60 * 59 // 2
+
+def test_third_document(spark):
+    """Three texts, of which the first and the last are linked through the second alone."""
+    w, v = [f"w{i}" for i in range(120)], [f"v{i}" for i in range(20)]
+    rows = [(1, " ".join(w), None, None, 0), (2, " ".join(w[1:] + v), None, None, 0), (3, " ".join(w + v), None, None, 0)]
+    got = setjoin.join(spark.createDataFrame(rows, DDL), words=1, percent=85).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1}
 
 
-def test_split_and_whole_lists():
-    """A set with a split list in its prefix meets one without at the lists that aren't split."""
+def listed(texts, percent=85, words=1):
+    """Columns of the postings of texts, sorted, with parities and a class for each."""
     import pyarrow as pa
 
     from leafmill.llm.common import utf8
 
-    words = [f"t{i}" for i in range(103)]
-    texts = pa.array([" ".join(words), " ".join([*words, "more"])])
-    h, at = setjoin.shingles(*utf8(texts), 4)
-    a, b = h[at[0] : at[1]], h[at[1] : at[2]]
-    extra = np.setdiff1d(b, a)
-    assert (len(a), len(b), len(extra)) == (100, 101, 1)
-    slots = (a & np.uint64(setjoin.COUNTERS - 1)).astype(np.int64)
-    assert len(np.unique(slots)) == 100 and int(extra[0] & np.uint64(setjoin.COUNTERS - 1)) not in slots
-    counts = np.ones(setjoin.COUNTERS, np.int64)
-    counts[slots[15:]] = 3 * setjoin.SPLIT  # 15 cold shingles of 16 in the first one's prefix, 16 of 16 in the second one's
-
     class Sent:
-        value = counts
-
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), texts], names=["id", "text"])
-    listed = collections.defaultdict(set)
-    for x in setjoin._postings("id", "text", 4, 85, Sent)(iter([batch])):
-        for t, i in zip(x.column("token").to_pylist(), x.column("id").to_pylist()):
-            listed[i].add(t)
-    assert len(listed[2]) == 16 and len(listed[1] & listed[2]) == 15
+        value = np.ones(setjoin.COUNTERS, np.uint8)
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    (b,) = setjoin._postings("id", "text", words, percent, Sent)(iter([batch]))
+    odd = setjoin.parities(*setjoin.shingles(*utf8(pa.array(texts)), words))
+    c = {k: b.column(k).to_numpy() for k in ("token", "id", "sp")}
+    order = np.lexsort((c["id"], c["sp"], c["token"]))
+    c = {k: v[order] for k, v in c.items()}
+    return c | {"cls": c["id"] // 3, **{p: odd[c["id"], i] for i, p in enumerate(setjoin.PARITIES)}}
+
+
+def in_batches(columns, size):
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns.values()], names=list(columns))
+    return [whole.slice(i, size) for i in range(0, whole.num_rows, size)]
+
+
+def test_lists_in_pieces(monkeypatch):
+    texts = [r[1] for r in near_the_limit(5, 85, 3, 30)]
+    c = listed(texts)
+    want = collections.Counter(c["token"].tolist())
+    for size in (1, 7, 1000):
+        got = {}
+        for (token, ids), bounds in setjoin._lists(iter(in_batches(c, size)), ("token", "id")):
+            for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                assert len(set(token[a:z].tolist())) == 1 and token[a] not in got
+                got[int(token[a])] = z - a
+        assert got == want
+    monkeypatch.setattr(setjoin, "SHORT", 4)
+    monkeypatch.setattr(setjoin, "SPLIT", 6)
+    kept = collections.Counter(t for b in setjoin._shared(85)(iter(in_batches(c, 3))) for t in b.column("token").to_pylist())
+    assert all(kept[t] == n for t, n in want.items() if n > 4)  # whatever the pieces
+
+
+@pytest.mark.parametrize("short", [2, 32])
+def test_pairs_of_lists(monkeypatch, short):
+    """Leaders may be linked; all pairs of different classes that may are found, by pairs of rows and by blocks."""
+    monkeypatch.setattr(setjoin, "SHORT", short)
+    monkeypatch.setattr(setjoin, "BLOCK", 8)
+    texts = [r[1] for r in near_the_limit(3, 85, 4, 40)]
+    c = listed(texts)
+    x = setjoin._Lists([c[k] for k in ("token", "id", "sp", "cls", *setjoin.PARITIES)], 85)
+    want, some = set(), set()
+    for t in set(c["token"].tolist()):
+        at = np.flatnonzero(c["token"] == t)
+        for i in at:
+            ok = x.may(i, at, x.apart(i, at))
+            for j in at[ok]:
+                some.add(tuple(sorted((int(c["id"][i]), int(c["id"][j])))))
+                if c["cls"][i] != c["cls"][j]:
+                    want.add(tuple(sorted((int(c["id"][i]), int(c["id"][j])))))
+
+    def pairs(f):
+        return {tuple(p) for b in f(iter(in_batches(c, 50))) for p in zip(b.column("a").to_pylist(), b.column("b").to_pylist())}
+
+    assert pairs(setjoin._between(85, False)) == want
+    first = pairs(setjoin._between(85, True))
+    assert first <= want and {(min(a // 3, b // 3), max(a // 3, b // 3)) for a, b in first} == {(min(a // 3, b // 3), max(a // 3, b // 3)) for a, b in want}
+    assert {tuple(sorted(p)) for p in pairs(setjoin._leaders(85))} <= some
+
+
+def test_rows_of_one_document(spark):
+    """An id with different texts is one document; null ids and clashing names."""
+    a, b = ([f"{k}{i}" for i in range(30)] for k in "ab")
+    rows = [(1, " ".join(a), None, None, 0), (2, " ".join(b), None, None, 0), (3, " ".join(b + ["x"]), None, None, 0), (4, " ".join(a), None, None, 1), (4, " ".join(b[:-1] + ["y"]), None, None, 0), (None, " ".join(a), None, None, 0)]
+    docs = spark.createDataFrame(rows, DDL)
+    got = setjoin.join(docs, words=1).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in got) == [(0, None), (1, 1), (2, 1), (3, 1), (4, 1), (4, 1)]
+    clash = docs.withColumns({c: F.lit(7) for c in ("id", "component_id", "rank", "rep", "c0")})
+    reps = setjoin.representatives(clash, words=1, percent=85)
+    assert reps.columns == clash.columns and sorted((r["doc_id"] or 0) for r in reps.collect()) == [0, 1]
+    four = setjoin.representatives(docs.filter("doc_id = 4"), words=1).collect()
+    assert [r["text"] for r in four] == [min(" ".join(a), rows[4][1])]
 
 
 def test_likeliest_pairs_all_seen(spark):

@@ -552,6 +552,17 @@ def test_set_join(spark, words, percent):
         assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
 
 
+@pytest.mark.parametrize("together", [0, 1000])
+def test_components(spark, together):
+    from leafmill.llm.graph import components
+
+    links = [(9, 2), (2, 9), (3, 3), (5, 9), (7, 8), (20, 21), (21, 22), (22, 23), (23, 24), (24, 25), (30, 20)] + [(100, 101 + i) for i in range(30)]
+    got = components(spark.createDataFrame(links, "a long, b long"), together=together)
+    want = {2: 2, 9: 2, 5: 2, 7: 7, 8: 7} | dict.fromkeys([*range(20, 26), 30], 20) | dict.fromkeys(range(100, 131), 100)
+    assert {r["node"]: r["component"] for r in got.collect()} == want
+    assert components(spark.createDataFrame([], "a long, b long"), together=together).count() == 0
+
+
 def near_the_limit(seed, percent, groups=6, size=14):
     """Groups of texts whose sets of words differ by about as many words as a link allows."""
     rng, rows = random.Random(seed), []

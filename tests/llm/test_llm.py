@@ -425,7 +425,7 @@ def test_contexts_of_long_texts(monkeypatch):
     offsets = np.array([0, 1600, 1610, len(data)])
     starts = set()
     for doc, off, part, ends in suffixdedup.pieces(data, offsets):
-        start, count, _, _ = suffixdedup.contexts(part, ends)
+        start, count, *_ = suffixdedup.contexts(part, ends)
         for s, c in zip(start, count):
             starts |= {(int(doc[s]), int(off[s]) + i) for i in range(c)}
     sizes = np.diff(offsets)
@@ -437,19 +437,71 @@ def test_hashes_of_contexts():
 
     def removed(*hashes):
         n = len(hashes)
-        blocks = [suffixdedup._packed([(np.array([i]), np.array([0]), np.array([1], np.uint8), np.array([77], np.uint64), np.array([h], np.uint64))], 4) for i, h in zip(range(n), hashes)]
-        return {x["id"] for b in suffixdedup._classes(iter([y for x in blocks for y in x])) for x in b.to_pylist() if x["kind"] == 0}
+        blocks = [suffixdedup._packed([(np.array([i]), np.array([0]), np.array([1], np.uint8), np.array([77], np.uint64), np.array([h], np.uint64), np.array([0], np.uint16), np.array([0], np.uint16), np.array([False]))], 4) for i, h in zip(range(n), hashes)]
+        return {x["id"] for b in suffixdedup._classes(suffixdedup.HOT)(iter([y for x in blocks for y in x])) for x in b.to_pylist() if x["kind"] == 0}
 
     assert removed(5, 5 | 1 << 48, 5 | 1 << 63) == set() and removed(5, 5 | 1 << 48, 5 | 1 << 48) == {2}
 
 
+@pytest.mark.parametrize("letters,size", [(b"ab", 160), (b"a", 90), (b"abcdefgh", 300)])
+def test_sides_of_contexts(letters, size):
+    """Contexts of one anchor that share a string share a side, or one of them holds its anchor repeatedly."""
+    rng = random.Random(size)
+    found = []
+    for k in range(40):
+        base = bytes(rng.choice(letters) for _ in range(rng.randint(0, 70)))
+        raw = found[-1][0][rng.randrange(60) :] + base if k % 3 and found else base + bytes(rng.choice(letters) for _ in range(size))
+        data = np.frombuffer(raw, np.uint8)
+        found.append((raw, suffixdedup.contexts(data, np.full(len(data), len(data)))))
+    of = collections.defaultdict(list)
+    for raw, (start, count, anchor, _, left, right, again) in found:
+        for s, c, a, x, y, z in zip(start.tolist(), count.tolist(), anchor.tolist(), left.tolist(), right.tolist(), again.tolist()):
+            span = raw[s : s + c + 49]
+            grams = collections.Counter(span[i : i + 20] for i in range(len(span) - 19))
+            assert z == (max(grams[span[i : i + 20]] for i in range(c) for i in [next(j for j in range(len(span) - 19) if suffix_gram(span[j : j + 20]) == a)]) > 1)
+            of[a].append(({raw[s + i : s + i + 50] for i in range(c)}, x, y, z))
+    both = 0
+    for v in of.values():
+        for i, p in enumerate(v):
+            for q in v[:i]:
+                if p[0] & q[0]:
+                    both += 1
+                    assert p[3] or q[3] or p[1] == q[1] > 0 or p[2] == q[2] > 0
+    assert both
+
+
+def suffix_gram(gram):
+    from leafmill.llm.common import INVERSE, mix64, powers, prefix_sums
+
+    sums = prefix_sums(np.frombuffer(gram, np.uint8), suffixdedup._NUMBERS)
+    return int(mix64((sums[20:] - sums[:1]) * powers(INVERSE, 1))[0])
+
+
+def test_suffix_dedup_of_hot_anchors(spark, monkeypatch):
+    """One passage in many differing texts, dealt over keys and merged in rounds; null ids."""
+    monkeypatch.setattr(suffixdedup, "HOT", 3)
+    monkeypatch.setattr(suffixdedup, "TOGETHER", 900)
+    rng = random.Random(6)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(180))
+    rows = []
+    for i in range(40):
+        cut = passage[rng.randrange(60) : 120 + rng.randrange(60)]
+        rows.append((i, "".join(rng.choice("klmnop ") for _ in range(rng.randrange(50))) + cut + "".join(rng.choice("qrstuv") for _ in range(rng.randrange(50))), None, None, 0))
+    rows += [(40, "= " * 100 + passage, None, None, 0), (41, "= " * 90 + passage[5:], None, None, 0)]
+    none = (None, passage, None, None, 0)
+    got = suffixdedup.dedup(spark.createDataFrame([*rows, none], DDL)).collect()
+    want = brute_cut(rows) | {None: (180, 0, 0, hashlib.sha256(passage.encode()).hexdigest())}
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+    assert sum(w[1] > 0 for w in want.values()) > 35
+
+
 def test_dealt_contexts():
     """Every string of a hot context is in one part, and equal strings have equal keys."""
     rng = random.Random(4)
     keys: dict[bytes, set] = collections.defaultdict(set)
     for _ in range(60):
         raw = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 200))) * 2, np.uint8)
-        start, count, anchor, _ = suffixdedup.contexts(raw, np.full(len(raw), len(raw)))
+        start, count, anchor, *_ = suffixdedup.contexts(raw, np.full(len(raw), len(raw)))
         for s, c, a in zip(start, count, anchor):
             text = raw[s : s + c + 49].tobytes()
             seen = {}

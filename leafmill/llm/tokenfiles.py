@@ -34,7 +34,6 @@ SHARD_IDS = 2_000_000
 #: Bits of a level for each key that is left.
 GAMMA = 2.0
 LEVELS = 40
-SPECIAL = "<|endoftext|>"
 
 
 def default_tokenizer() -> str:
@@ -58,7 +57,7 @@ class Encoder:
 
     A space after a character that isn't white space always begins a new piece, and what follows can't reach before it; so a
     text's ids are those of its stretches from one such space to the next, and a stretch's are those of its pieces, which the
-    library's model merges. A tokenizer of another kind encodes whole texts."""
+    library's model merges. A tokenizer of another kind encodes whole texts, and any encodes as a whole a text that holds an added token."""
 
     #: Words kept in each of two generations, at most.
     KEPT = 500_000
@@ -67,7 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]  # the library looks for these in a text first
         byte = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = dict(zip([*byte, *(b for b in range(256) if b not in set(byte))], [*byte, *range(256, 512)]))
         self.words: dict[str, bytes] = {}  # of a space and the word
@@ -116,7 +115,7 @@ class Encoder:
         return b"".join([self._piece(p) for p in _PIECES.findall(text)])
 
     def encode(self, text: str) -> bytes:
-        if not self.plain or SPECIAL in text:
+        if not self.plain or any(t in text for t in self.added):
             return self._library(text)
         first, *rest = _CUT.split(text) if "  " in text else text.split(" ")  # a lone space may cut after other white space too
         get, stretch = self.words.get, self._stretch
@@ -212,7 +211,7 @@ def _shard(part: int, seq: int, keys: list[int | None], numbers: list[int], piec
 
 def write(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: str | None = None, partitions: int | None = None) -> DataFrame:
     """Encode docs and write the shards; returns the table that was written. Range partitions by key bound every task."""
-    path = tokenizer or default_tokenizer()
+    path, most = tokenizer or default_tokenizer(), SHARD_IDS
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -225,7 +224,7 @@ def write(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: s
             for k, t in zip(b.column(key).to_pylist(), b.column(text)):
                 count = numbers[-1] + 1 if keys and keys[-1] == k else last[1] + 1 if last is not None and last[0] == k and not keys else 0
                 raw = enc.encode(t.as_py() or "") + end
-                if keys and held + len(raw) // 4 > SHARD_IDS:
+                if keys and held + len(raw) // 4 > most:
                     yield _shard(part, seq, keys, numbers, pieces)
                     count = numbers[-1] + 1 if keys[-1] == k else 0
                     keys, numbers, pieces, held, seq = [], [], [], 0, seq + 1
@@ -281,13 +280,20 @@ def read_all(shards: DataFrame) -> DataFrame:
 
 
 def lookup(shards: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key and ids of the wanted documents that are there (the first row of an id). Shards are found by their range of
-    keys: each key goes to the last shard that begins at or before it, by a sort-merge of shard bounds and keys."""
-    bounds = shards.filter("first_key is not null").select(F.col("first_key").alias("k"), F.struct("part", "seq").alias("shard"), F.lit(0).alias("kind"))
-    wanted = keys.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.lit(None).cast("struct<part:int,seq:int>").alias("shard"), F.lit(1).alias("kind")).distinct()
-    order = Window.orderBy("k", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    routed = bounds.unionByName(wanted).withColumn("to", F.last("shard", ignorenulls=True).over(order)).filter("kind = 1 and to is not null")
-    routed = routed.groupBy(F.col("to.part").alias("part"), F.col("to.seq").alias("seq")).agg(F.collect_list("k").alias("wanted"))
+    """key and ids of the wanted documents that are there (the first row of an id). A key can be in the last shard that
+    begins before it, or in the first that begins with it. Shard bounds and keys are dealt by range of keys; what goes from
+    one range to the next is one row for each range."""
+    n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = shards.filter("first_key is not null").select(F.col("first_key").alias("k"), F.struct("part", "seq").alias("shard"), F.lit(1).alias("kind"))
+    wanted = keys.filter(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("k"), F.lit(None).cast("struct<part:int,seq:int>").alias("shard"), F.lit(0).alias("kind")).distinct()
+    dealt = materialize(bounds.unionByName(wanted).repartitionByRange(n, "k").withColumn("range", F.spark_partition_id()), "ranges")
+    own = Window.partitionBy("range").orderBy("k", "kind", "shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = dealt.groupBy("range").agg(F.max("shard").alias("last"))  # shards ascend with their keys
+    ahead = last.select("range", F.last("last", ignorenulls=True).over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("ahead"))
+    inside = dealt.withColumn("inside", F.last("shard", ignorenulls=True).over(own)).filter("kind = 0").join(ahead, "range")
+    before = inside.select("k", F.coalesce("inside", "ahead").alias("to")).filter("to is not null")
+    begins = bounds.groupBy("k").agg(F.min("shard").alias("to")).join(wanted.select("k"), "k")
+    routed = before.unionByName(begins.select("k", "to")).groupBy(F.col("to.part").alias("part"), F.col("to.seq").alias("seq")).agg(F.collect_set("k").alias("wanted"))
 
     def run(batches):
         for b in batches:
@@ -300,8 +306,16 @@ def lookup(shards: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame
     return shards.join(routed, ["part", "seq"]).mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))]))
 
 
+def starts(shards: DataFrame) -> DataFrame:
+    """READ's columns with start, the number of ids of all documents before, for every key of the shards."""
+    # ids before each shard: partitions' sums first, so that a window holds one partition's shards, or one row for each partition
+    own = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("n_ids").alias("all"))
+    ahead = parts.select("part", F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    before = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(own), F.lit(0)).alias("inside")).join(ahead, "part")
+    read = read_all(shards).join(before.select("part", "seq", (F.col("inside") + F.col("ahead")).alias("before")), ["part", "seq"])
+    return read.select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", F.col("part").alias("shard"), "seq", "found")
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
-    shards = write(table(spark, sf_dir, "documents"))
-    # ids before each shard: one small row a shard
-    before = shards.select("part", "seq", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return read_all(shards).join(before, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", F.col("part").alias("shard"), "seq", "found")
+    return starts(write(table(spark, sf_dir, "documents")))

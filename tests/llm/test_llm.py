@@ -108,19 +108,45 @@ def test_frame_times():
 def test_token_files(spark, docs, rows, empty):
     shards = tokenfiles.write(docs)
     got = tokenfiles.read_all(shards).collect()
-    enc = tokenfiles.encoder(tokenfiles.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(tokenfiles.default_tokenizer())  # as the library opens it
     texts = dict((r[0], r[1]) for r in rows)
     assert len(got) == len(rows) and all(r["found"] for r in got)
     for r in got:
-        raw = np.array(enc.whole.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()
+        raw = np.array(whole.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()
         assert r["ids_crc32"] == zlib.crc32(raw) and r["n_tokens"] == len(raw) // 4
     found = tokenfiles.lookup(shards, spark.createDataFrame([(5,), (10**6,), (7,)], "doc_id long")).collect()
     assert {r["doc_id"] for r in found} == {5, 7}
     for r in found:
-        assert list(r["ids"])[:-1] == enc.whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert list(r["ids"])[:-1] == whole.encode(texts[r["doc_id"]], add_special_tokens=False).ids
     assert tokenfiles.read_all(tokenfiles.write(empty)).count() == 0
 
 
+def test_files_of_odd_keys(spark, monkeypatch):
+    """Several shards, null and repeated ids across them, special tokens in texts: starts and ids, held against the library."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokenfiles, "SHARD_IDS", 40)
+    whole = Tokenizer.from_file(tokenfiles.default_tokenizer())
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["a", "<|endoftext|>", "many words", "12", "\n"]) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    keys = [*range(0, 60, 3), *[7] * 15, *[None] * 5]
+    rows = [(k, t, None, None, 0) for k, t in zip(keys, texts)]
+    docs = spark.createDataFrame(rows, DDL)
+    shards = tokenfiles.write(docs, partitions=3)
+    assert shards.count() > 10
+    got = tokenfiles.starts(shards).orderBy("start").collect()
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    at = 0
+    for r, (k, t, *_) in zip(got, order, strict=True):
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 0]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"], r["found"]) == (k, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+        at += len(ids)
+    found = tokenfiles.lookup(shards, spark.createDataFrame([(7,), (8,), (57,)], "doc_id long")).collect()
+    assert sorted(r["doc_id"] for r in found) == [7, 57]
+
+
 def test_encoder_and_perfect_hash():
     enc = tokenfiles.encoder(tokenfiles.default_tokenizer())
     rng = random.Random(1)
@@ -292,13 +318,7 @@ def test_cross_parsing():
     for k, lang in enumerate(m.languages):
         ref = m.number[langid.normal(texts[lang][0])].tolist()
         known = {tuple(ref[i:j]) for i in range(len(ref)) for j in range(i + 1, min(len(ref), i + 60) + 1)}
-        order = sorted(range(len(sample)), key=lambda i: -len(symbols[i]))
-        lengths = np.array([len(symbols[i]) for i in order])
-        blocks = np.zeros((lengths[0], len(order)), np.int32)
-        for c, i in enumerate(order):
-            blocks[: lengths[c], c] = symbols[i]
-        got = m.phrases(blocks, lengths)[k]
-        assert got.tolist() == [phrases(symbols[i].tolist(), known) for i in order]
+        assert m.phrases(symbols)[k].tolist() == [phrases(s.tolist(), known) for s in symbols]
 
 
 def test_large_alphabets():
@@ -325,20 +345,53 @@ def test_large_alphabets():
             count, i = count + 1, j
         return count
 
-    order = sorted(range(len(sample)), key=lambda i: -len(points[i]))
-    lengths = np.array([len(points[i]) for i in order])
-    blocks = np.zeros((lengths[0], len(order)), np.int32)
-    for c, i in enumerate(order):
-        blocks[: lengths[c], c] = m.number[points[i]]
-    got = m.phrases(blocks, lengths)
+    got = m.phrases([m.number[p] for p in points])
     for k, lang in enumerate(m.languages):
         subs = {tuple(ref[i:j]) for t in texts[lang] for ref in [langid.normal(t).tolist()] for i in range(len(ref)) for j in range(i + 1, min(len(ref), i + 25) + 1)}
-        assert got[k].tolist() == [phrases(points[i], subs) for i in order]
+        assert got[k].tolist() == [phrases(p, subs) for p in points]
     said = m.predict([" ".join(rng.choice(words[k]) for _ in range(40)) for k in "xyxyxy"])
     assert [s[0] for s in said] == list("xyxyxy")
     assert m.predict(["\U00030001 \U00030002", "qqq", "1 2"])[0][0] == "y" and [s[0] == "und" for s in m.predict(["qqq", "1 2"])] == [False, True]
 
 
+@pytest.mark.parametrize("block,blocks", [(4, 3), (7, 50), (512, 4096)])
+def test_whole_texts_are_parsed(monkeypatch, block, blocks):
+    """Phrases across blocks and across groups of blocks, entropy, winner and score, against a plain walk."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "BLOCKS", blocks)
+    rng = random.Random(block)
+    texts = {k: ["".join(rng.choice(v) for _ in range(300)) for _ in range(2)] for k, v in {"x": "ab ", "y": "abc ", "z": "bcd "}.items()}
+    m = langid.Model(texts)
+    sample = [("ab" * 700 + "c") * 2, "", "a", "c d" * 600, texts["x"][0] * 5, *("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 1500))) for _ in range(20))]
+    symbols = [m.number[langid.normal(t)] for t in sample]
+    want = []
+    for lang in m.languages:
+        stream: list[int] = []
+        for t in texts[lang]:
+            stream += [*m.number[langid.normal(t)].tolist(), -1]
+        states, row = langid.automaton(stream), []
+        for s in symbols:
+            at, count = None, 0
+            for c in s.tolist():
+                if at is None or c not in states[at]:
+                    at, count = 0, count + 1
+                at = states[at].get(c, None)
+            row.append(count)
+        want.append(row)
+    assert m.phrases(symbols).tolist() == want
+    for t, s, got, counts in zip(sample, symbols, m.predict(sample), zip(*want)):
+        if not any(c.isalpha() for c in t):
+            assert got == ("und", 0.0)
+            continue
+        h = [c * math.log(n) / len(s) for c, n in zip(counts, m.sizes)]
+        assert got[0] == m.languages[h.index(min(h))] and abs(got[1] - (1 - sorted(h)[0] / sorted(h)[1])) < 1e-9
+
+
+def test_sample_skips_null_texts(spark):
+    rows = [(i, None if i < 300 else "wort und wort", "de", None, 0) for i in range(400)]
+    assert len(langid.sample(spark.createDataFrame(rows, DDL))["de"]) == langid.TEXTS
+
+
 def test_languages(spark, docs, rows, empty):
     got = langid.identify(docs, langid.sample(docs)).collect()
     assert len(got) == len(rows) and {r["lang_pred"] for r in got} <= {"en", "de", "und"}

@@ -3,10 +3,12 @@
 Each language has the suffix automaton of a bounded sample of its labelled texts. A text is parsed from left to right into
 the longest phrases that occur somewhere in that sample; phrases * log(sample length) / text length estimates the cross
 entropy, and the language that needs least wins. Parsing is a walk over the automaton's transitions that starts again
-at its root wherever none is left; numpy walks many blocks of text at once, one symbol a step for all languages.
+at its root wherever none is left. The parse of a text is one walk over all of it. numpy walks its blocks of BLOCK symbols
+side by side, at first each from the root; then each block is walked again from the state in which the one before it
+ends, until the walk comes to the state it had at that symbol before, from where on nothing changes; and so on, while ends of blocks change.
 
-A text is parsed in blocks of BLOCK symbols, each from the root, so that long texts don't make long chains of steps. The
-symbols are letters in lower case; all else is a space, and runs of spaces are one. Only the text is looked at.
+The symbols are letters in lower case; all else is a space, and runs of spaces are one. Only the text is looked at. What is
+learned is bounded: TEXTS texts of a language and SYMBOLS symbols of all of them together, so that a single long text is learned up to there.
 
 Nulls and ties: a null text, or one without a letter, is `und` with score 0; with no labelled texts all are `und`. Equal
 entropies go to the language that comes first by code point. Rows with a null language or text are not learned from.
@@ -29,7 +31,7 @@ from .common import table
 TEXTS, SYMBOLS = 60, 40_000
 #: Most frequent symbols, whose transitions are a dense table; those of the samples' other letters are found by bisection.
 ALPHABET = 127
-BLOCK = 512
+BLOCK, BLOCKS = 512, 4_096  # symbols, and blocks walked at once
 #: Code points that may be letters.
 POINTS = 0x40000
 
@@ -160,57 +162,87 @@ class Model:
             at += len(states)
         self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
 
-    def phrases(self, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each block (a column of symbols, the longest blocks first) for each language."""
-        n = blocks.shape[1]
-        out = np.empty((len(self.languages), n), np.int64)
-        live = np.searchsorted(-lengths, -np.arange(1, blocks.shape[0] + 1), side="right")
+    def _step(self, k: int, state: np.ndarray, s: np.ndarray, some: bool) -> np.ndarray:
+        """Where symbols s lead from states, for language k; some: a symbol may be none of the table's."""
+        if not some:
+            return self.table[state + s]
+        keys, goes, begins = self.rare[k]
+        go = self.table[state + np.minimum(s, self.dense)]
+        at = np.flatnonzero(s >= self.dense)
+        wanted = state[at].astype(np.int64) * self.letters + s[at]
+        wanted[s[at] == self.letters] = -1  # in no sample
+        found = np.searchsorted(keys, wanted)
+        go[at] = np.where(keys[found] == wanted, goes[found], begins[s[at]])
+        return go
+
+    def _walk(self, k: int, blocks: np.ndarray, lengths: np.ndarray, before: np.ndarray, carried: int) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases that begin in each block (a column of symbols, the longest first), and the state at its end. before: the
+        column whose end a block goes on from, -1 for the root, -2 for the state carried."""
+        size, n = blocks.shape
+        root = self.roots[k] * self.width
         some = (blocks >= self.dense).any(axis=1) & (self.letters > self.dense)
-        for k, root in enumerate(self.roots):
-            keys, goes, begins = self.rare[k]
-            state, ended = np.full(n, root * self.width, np.int32), np.zeros(n, np.int32)
-            for i in range(blocks.shape[0]):
-                m = live[i]
+        states, starts = np.empty((size, n), np.int32), np.zeros((size, n), bool)
+        state = np.full(n, root, np.int32)
+        live = np.searchsorted(-lengths, -np.arange(1, size + 1), side="right")
+        for i in range(size):
+            m = live[i]
+            go = self._step(k, state[:m], blocks[i, :m], some[i])
+            starts[i, :m] = go & 1
+            state[:m] = states[i, :m] = (go >> 1) * self.width
+        begun = np.full(n, root, np.int32)
+        while True:
+            begin = np.where(before >= 0, state[np.maximum(before, 0)], np.where(before == -2, carried, root)).astype(np.int32)
+            at = np.flatnonzero(begin != begun)
+            if not len(at):
+                return starts.sum(axis=0), state
+            begun, now = begin, begin[at]
+            for i in range(size):
+                m = int(np.searchsorted(at, live[i]))
+                at, now = at[:m], now[:m]
                 if not m:
                     break
-                if some[i]:
-                    s = blocks[i, :m]
-                    go = self.table[state[:m] + np.minimum(s, self.dense)]
-                    at = np.flatnonzero(s >= self.dense)
-                    wanted = state[at].astype(np.int64) * self.letters + s[at]
-                    wanted[s[at] == self.letters] = -1  # in no sample
-                    found = np.searchsorted(keys, wanted)
-                    go[at] = np.where(keys[found] == wanted, goes[found], begins[s[at]])
-                else:
-                    go = self.table[state[:m] + blocks[i, :m]]
-                ended[:m] += go & 1
-                state[:m] = (go >> 1) * self.width
-            out[k] = ended
-        return out
+                go = self._step(k, now, blocks[i, at], some[i])
+                starts[i, at] = go & 1
+                now = (go >> 1) * self.width
+                other = now != states[i, at]
+                at, now = at[other], now[other]
+                states[i, at] = now
+                ended = lengths[at] == i + 1
+                state[at[ended]] = now[ended]
+
+    def phrases(self, symbols: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text, for each language."""
+        sizes = np.array([len(s) for s in symbols], np.int64)
+        parts = -(-sizes // BLOCK)
+        owner = np.repeat(np.arange(len(symbols)), parts)
+        total = np.zeros((len(self.languages), len(symbols)), np.int64)
+        if not len(owner):
+            return total
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = np.repeat(np.cumsum(sizes) - sizes, parts) + place * BLOCK
+        length = np.minimum(BLOCK, np.cumsum(sizes)[owner] - start)
+        padded = np.concatenate([*symbols, np.zeros(BLOCK, np.int32)]).astype(np.int32)
+        carried = [0] * len(self.languages)
+        for lo in range(0, len(owner), BLOCKS):
+            own = owner[lo : lo + BLOCKS]
+            by = np.argsort(-length[lo : lo + BLOCKS], kind="stable")
+            column = np.empty(len(by), np.int64)
+            column[by] = np.arange(len(by))
+            before = np.where(place[lo : lo + BLOCKS] > 0, np.append(-2, column[:-1]), -1)[by]
+            lengths = length[lo : lo + BLOCKS][by]
+            blocks = padded[start[lo : lo + BLOCKS][by][None, :] + np.arange(int(lengths[0]))[:, None]]
+            for k in range(len(self.languages)):
+                count, state = self._walk(k, blocks, lengths, before, carried[k])
+                total[k] += np.bincount(own[by], count, len(symbols)).astype(np.int64)
+                carried[k] = int(state[column[-1]])
+        return total
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         symbols = [self.number[normal(t)] if t else np.zeros(0, np.int32) for t in texts]
         spaces = int(self.number[32])
         sizes = np.array([len(s) for s in symbols], np.int64)
         has = np.array([bool(len(s)) and bool((s != spaces).any()) for s in symbols])
-        parts = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), parts)
-        total = np.zeros((len(self.languages), len(texts)), np.int64)
-        if len(owner) and self.languages:
-            flat = np.concatenate(symbols)
-            begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            order = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-            start = begin[owner] + order * BLOCK
-            length = np.minimum(BLOCK, begin[owner] + sizes[owner] - start)
-            by = np.argsort(-length, kind="stable")
-            padded = np.concatenate([flat, np.zeros(BLOCK, flat.dtype)])
-            for i in range(0, len(by), 16_384):
-                take = by[i : i + 16_384]
-                longest = int(length[take[0]])
-                blocks = padded[start[take][None, :] + np.arange(longest)[:, None]].astype(np.int32)
-                got = self.phrases(blocks, length[take])
-                for k in range(len(self.languages)):
-                    total[k] += np.bincount(owner[take], got[k], len(texts)).astype(np.int64)
+        total = self.phrases(symbols)
         if not self.languages:
             return [("und", 0.0)] * len(texts)
         entropy = total * np.log(self.sizes)[:, None] / np.maximum(sizes, 1)
@@ -225,11 +257,12 @@ def held_out(key: str) -> Column:
 
 
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
-    """At most TEXTS texts for each language of the rows that aren't held out, as far as SYMBOLS go. Only their ids are ranked and broadcast."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & ~held_out(key))
+    """At most TEXTS texts for each language of the rows that aren't held out, as far as SYMBOLS go. Only their ids are ranked and broadcast.
+    Rows without a text count for nothing; rows of one id are one text, the last by code point."""
+    rows = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
     rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
     ids = rows.select(key, lang).withColumn("__rank", rank).filter(F.col("__rank") <= TEXTS).select(F.col(key).alias("__id"), "__rank")
-    got = rows.join(F.broadcast(ids), F.col(key) == F.col("__id")).filter(F.col(text).isNotNull()).groupBy(lang, "__rank").agg(F.max(F.substring(text, 1, SYMBOLS)).alias("t")).collect()
+    got = rows.join(F.broadcast(ids), F.col(key) == F.col("__id")).groupBy(lang, "__rank").agg(F.max(F.substring(text, 1, SYMBOLS)).alias("t")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(got, key=lambda r: (r[lang], r["__rank"])):
         found.setdefault(r[lang], []).append(r["t"])

@@ -6,6 +6,8 @@ A cell is STRUCT<kind, num, str, iso>. kind: 0 number or boolean (a boolean is 1
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +41,25 @@ def iso_text(ts: Column) -> Column:
     return F.when(F.date_format(ts, "SSSSSS") == "000000", F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """What case folding does to single characters, by Python's rule: characters, what each becomes, and those that become several."""
+    one, several = {}, {}
+    for i in range(0x80, 0x20000):
+        c = chr(i)
+        if not 0xD800 <= i < 0xE000 and (f := c.casefold()) != c:
+            (one if len(f) == 1 else several)[c] = f
+    return "".join(one), "".join(one.values()), several
+
+
 def fold(x: Column) -> Column:
-    """Case folding by built-ins: lower case, with sharp s as ss. functions.text.casefold is exact for all of Unicode."""
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Unicode case folding by built-ins: each character's own folding, so the same as functions.text.casefold."""
+    ascii_, (old, new, several) = F.lower(x), _foldings()
+    other = F.translate(F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), old, new)
+    rare = other
+    for c, f in several.items():
+        rare = F.replace(rare, F.lit(c), F.lit(f))
+    return F.when(x.rlike("^[\\x00-\\x7F]*$"), ascii_).when(x.rlike("[" + "".join(several) + "]"), rare).otherwise(other)
 
 
 def number_text(x: Column) -> Column:
@@ -60,8 +78,12 @@ def is_blank(c: Column) -> Column:
 
 def sort_key(c: Column, reverse: bool = False) -> list[Column]:
     """Numbers, then dates, then text without regard to case, then blanks; reversed as a whole. Ties are the caller's."""
-    keys = [c["kind"], F.coalesce(c["num"], F.lit(0.0)), F.coalesce(c["iso"], F.lit("")), F.coalesce(fold(c["str"]), F.lit(""))]
-    return [k.desc() if reverse else k.asc() for k in keys]
+    return [k.desc() if reverse else k.asc() for k in sort_columns(c)]
+
+
+def sort_columns(c: Column) -> list[Column]:
+    """What sort_key sorts by, one after another."""
+    return [c["kind"], F.coalesce(c["num"], F.lit(0.0)), F.coalesce(c["iso"], F.lit("")), F.coalesce(fold(c["str"]), F.lit(""))]
 
 
 def group_key(c: Column) -> Column:

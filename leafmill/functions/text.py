@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,7 +79,7 @@ def pairs_of(words: Column) -> Column:
 
 
 def multiset_recall(source: Column, output: Column) -> Column:
-    """Sum of the smaller counts over the source's size; 1 for an empty source. Sorted arrays are merged in one pass, so that long texts take no square of time."""
+    """Sum of the smaller counts over the source's size; 1 for an empty source. Time is that of sorting."""
     return F.when(F.size(source) == 0, 1.0).otherwise(_common(source, output) / F.size(source))
 
 
@@ -88,15 +88,22 @@ def _common(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _numbered(x: Column) -> Column:
-    s = F.array_sort(x)
-    start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    """Each element with its number among equal ones: runs of the sorted array, written out again."""
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.transform(s, lambda v, i: F.when((i == 0) | (F.get(s, i - 1) != v), i)), lambda i: i.isNotNull())
+        return _let(first, lambda p: F.flatten(F.transform(p, lambda at, j: one(s, at, F.coalesce(F.get(p, j + 1), F.size(s)) - at - 1))))
 
-    def step(acc: Column, v: Column) -> Column:
-        n = F.when(v == acc["last"], acc["n"] + 1).otherwise(0)
-        return F.struct(v.alias("last"), n.alias("n"), F.concat(acc["out"], F.array(F.concat_ws("\x01", v, n.cast("string")))).alias("out"))
+    def one(s: Column, at: Column, last: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.concat_ws("\x01", F.get(s, at), k.cast("string")))
 
-    return F.aggregate(s, start, step, lambda acc: acc["out"])
+    return _let(F.array_sort(x), runs)
 
 
 def suspicious(x: Column) -> Column:

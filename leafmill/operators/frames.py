@@ -5,6 +5,8 @@ group's rows in time order (applyInPandas), everything else is windows and aggre
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,19 +129,26 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def near_pairs(hashes: DataFrame, key: str, bits: str, most: int) -> DataFrame:
-    """a < b, distance: pairs of 64-bit hashes that differ in `most` bits or fewer, exactly. The bits are cut into most + 1
-    bands, of which such a pair shares one; a pair is taken at its first shared band alone. Equal hashes are one class
-    before and are joined to its smallest key, not to each other."""
-    bands = most + 1
+    """a < b, distance: pairs of 64-bit hashes that differ in `most` bits or fewer, exactly. The bits are cut into bands, so few
+    that in one of them such a pair differs in two bits at most; one side is looked up by all values that near to its band, and a
+    pair is taken at the first such band alone. Equal hashes are one class before and are joined to its smallest key, not to each other."""
+    bands = most // 3 + 1
+    flips = most // bands
     cuts = [64 * i // bands for i in range(bands + 1)]
-    band = lambda x, i: F.shiftrightunsigned(x, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1))
+    band = lambda x, i: F.shiftrightunsigned(x, cuts[i]).bitwiseAND(F.lit((1 << (cuts[i + 1] - cuts[i])) - 1) if bands > 1 else F.lit(-1))
+
+    def around(i: int) -> Column:
+        masks = [sum(1 << b for b in c) for n in range(flips + 1) for c in combinations(range(cuts[i + 1] - cuts[i]), n)]
+        return F.transform(F.array(*(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("long") for m in masks)), lambda m: band(F.col("__h"), i).bitwiseXOR(m))
+
     classes = hashes.groupBy(F.col(bits).alias("__h")).agg(F.min(key).alias("__k"))
-    banded = classes.select("__k", "__h", F.posexplode(F.array(*(band(F.col("__h"), i) for i in range(bands)))).alias("__i", "__v"))
-    x, y = banded.alias("x"), banded.alias("y")
+    x = classes.select("__k", "__h", F.posexplode(F.array(*(band(F.col("__h"), i) for i in range(bands)))).alias("__i", "__v")).alias("x")
+    near = classes.select("__k", "__h", F.posexplode(F.array(*(around(i) for i in range(bands)))).alias("__i", "__vs"))
+    y = near.select("__k", "__h", "__i", F.explode("__vs").alias("__v")).alias("y")
     found = x.join(y, (F.col("x.__i") == F.col("y.__i")) & (F.col("x.__v") == F.col("y.__v")) & (F.col("x.__k") < F.col("y.__k"))).withColumn("distance", hamming(F.col("x.__h"), F.col("y.__h"))).filter(F.col("distance") <= most)
     earlier = F.lit(False)
     for i in range(bands):
-        earlier = earlier | ((F.col("x.__i") > i) & (band(F.col("x.__h"), i) == band(F.col("y.__h"), i)))
+        earlier = earlier | ((F.col("x.__i") > i) & (hamming(band(F.col("x.__h"), i), band(F.col("y.__h"), i)) <= flips))
     pairs = found.filter(~earlier).select(F.col("x.__k").alias("a"), F.col("y.__k").alias("b"), "distance")
     same = hashes.select(F.col(key).alias("__key"), F.col(bits).alias("__bits")).join(classes, F.col("__bits") == F.col("__h")).filter(F.col("__key") > F.col("__k")).select(F.col("__k").alias("a"), F.col("__key").alias("b"), F.lit(0).alias("distance"))
     return pairs.unionByName(same)

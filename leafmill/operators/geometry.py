@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import checkpoints
+
 
 def gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Space between two intervals on an axis, 0 if they touch."""
@@ -38,11 +40,7 @@ def neighbours(boxes: DataFrame, page: str, key: str, merge_gap: float, share: f
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component, its smallest member, by rounds of smallest labels with pointer jumps; each round is checkpointed."""
-    spark = edges.sparkSession
-    if not (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafmill-"))  # unset: a local run
+    checkpoints(edges.sparkSession)
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
     both = both.union(both.select("v", "u")).distinct().checkpoint()
     labels = both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("component")).checkpoint()
@@ -183,15 +181,23 @@ def line_rows(frames: DataFrame, tolerance: float, x_gap: float) -> DataFrame:
     return frames.select("page", "x", "y", "width", "text").groupBy("page").applyInPandas(_rows(tolerance, x_gap), "page long, row int, cluster int, x double, y double, width double, text string")
 
 
+#: The scale from which a sheet is readable, and the least printable side in points.
+READABLE, LEAST_SIDE = 0.90, 72.0
+
+
 def layout_choice(sheets: DataFrame, papers: list[tuple[str, float, float]], margins: list[tuple[str, float]]) -> DataFrame:
-    """The cheapest paper, orientation and margin for each sheet (width, height in points): the fewest pages, then the least
-    shrinking, then the order of the lists."""
-    options = [(p, o, m, pw if o == "portrait" else ph, ph if o == "portrait" else pw, mm, i * 10 + j * 5 + k) for i, (p, pw, ph) in enumerate(papers) for j, o in enumerate(("portrait", "landscape")) for k, (m, mm) in enumerate(margins)]
-    table = sheets.sparkSession.createDataFrame(options, "paper string, orientation string, margin string, pw double, ph double, mm double, rank int")
+    """The paper, orientation and margin for each sheet (width, height in points) that fit its width to a page; margins
+    after the first count as changed. Options whose scale is READABLE or more come first: of these the smallest paper, then the
+    largest scale, the fewest pages, an unchanged margin, portrait. Without any the largest scale counts first, then paper,
+    pages and margin. At last the order of the lists decides."""
+    options = [(p, o, m, pw if o == "portrait" else ph, ph if o == "portrait" else pw, mm, k > 0, j, (i * 2 + j) * len(margins) + k) for i, (p, pw, ph) in enumerate(papers) for j, o in enumerate(("portrait", "landscape")) for k, (m, mm) in enumerate(margins)]
+    table = sheets.sparkSession.createDataFrame(options, "paper string, orientation string, margin string, pw double, ph double, mm double, changed boolean, turned int, rank int")
     c = sheets.crossJoin(F.broadcast(table))  # a fixed list of options, not data
-    usable_w, usable_h = F.col("pw") - 2 * F.col("mm"), F.col("ph") - 2 * F.col("mm")
-    scale = F.least(F.lit(1.0), usable_w / F.col("width"))
-    pages = F.ceil(F.col("height") * scale / usable_h)
-    cost = F.struct(pages.alias("n_pages"), (-scale).alias("s"), "rank", "paper", "orientation", "margin")
+    usable_w, usable_h = F.greatest(F.lit(LEAST_SIDE), F.col("pw") - 2 * F.col("mm")), F.greatest(F.lit(LEAST_SIDE), F.col("ph") - 2 * F.col("mm"))
+    scale = F.least(F.lit(1.0), usable_w / F.greatest(F.lit(1.0), F.col("width")))
+    pages = F.greatest(F.lit(1), F.ceil(F.greatest(F.lit(1.0), F.col("height")) * scale / usable_h - 1e-9))
+    readable, area, none = scale >= READABLE, F.col("pw") * F.col("ph"), F.lit(0.0)
+    first = F.struct((~readable).alias("x"), F.when(readable, area).otherwise(-scale).alias("y"), F.when(readable, -scale).otherwise(area).alias("z"))
+    cost = F.struct(first.alias("first"), pages.alias("n_pages"), "changed", F.when(readable, F.col("turned")).otherwise(none).alias("turned"), "rank", "paper", "orientation", "margin", scale.alias("scale"))
     best = c.groupBy(*sheets.columns).agg(F.min(cost).alias("b"))
-    return best.select(*sheets.columns, "b.paper", "b.orientation", "b.margin", "b.n_pages", (-F.col("b.s")).alias("scale"))
+    return best.select(*sheets.columns, "b.paper", "b.orientation", "b.margin", "b.n_pages", "b.scale")

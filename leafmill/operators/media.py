@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import natural_key
+from .ranks import numbered
 
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "webp", "emf", "wmf", "svg")  # fixed values
 AUDIO_SUFFIXES = ("mp3", "wav", "m4a", "aac", "wma", "ogg", "flac")
@@ -29,8 +30,8 @@ def duplicates(items: DataFrame, content: str, order: str, keys: Sequence[str] =
 def manifest(items: DataFrame, order: str, width: str, height: str, min_width: int = 1, min_height: int = 1, content: str = "content") -> DataFrame:
     """Items large enough, with duplicates named and those kept numbered."""
     kept = duplicates(items.filter((F.col(width) >= min_width) & (F.col(height) >= min_height)), content, order)
-    n = F.sum(F.col("duplicate_of").isNull().cast("int")).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return kept.withColumn("number", F.when(F.col("duplicate_of").isNull(), n))
+    first = numbered(kept.filter("duplicate_of IS NULL").select(F.col(order).alias("__first")), [F.col("__first")], "number")
+    return kept.join(first, F.col(order) == F.col("__first"), "left").drop("__first")
 
 
 def members(parts: DataFrame, path: str, name: str, prefix: str, suffixes: Sequence[str] | None = None) -> DataFrame:
@@ -80,8 +81,7 @@ def renamed(files: DataFrame, order: str, stem: str, suffix: str, pattern: str,
     """Adds new_name: {index}, {index:03d}, {stem} and {suffix} filled in."""
     from .textops import _format
 
-    n = F.row_number().over(Window.orderBy(order)) + start - 1
-    f = files.withColumn("index", n)
+    f = numbered(files, [F.col(order)], "index").withColumn("index", F.col("index") + start - 1)
     name = _format(pattern, [stem, suffix], "index")
     return f.withColumn("new_name", F.concat(name, F.lit("."), F.col(suffix)) if "{suffix}" not in pattern else name)
 
@@ -114,8 +114,8 @@ def best_quality(sizes: DataFrame, key: str, quality: str, size: str, target: in
 def crossfade(slides: DataFrame, order: str, fps: int, duration: float, fade: float) -> DataFrame:
     """Frames of a slideshow: frame, slide, next_slide, alpha of the next one."""
     hold, k = max(1, round(duration * fps)), max(0, round(fade * fps))
-    n = F.row_number().over(Window.orderBy(order))
-    s = slides.select(F.col(order).alias("slide"), n.alias("__n"), F.lead(order).over(Window.orderBy(order)).alias("__next"))
+    s = numbered(slides.select(F.col(order).alias("slide")), [F.col("slide")], "__n")
+    s = s.join(s.select((F.col("__n") - 1).alias("__n"), F.col("slide").alias("__next")), "__n", "left")
     f = s.withColumn("__k", F.explode(F.sequence(F.lit(0), F.when(F.col("__next").isNull(), F.lit(hold - 1)).otherwise(F.lit(hold + k - 1)))))
     blend = F.col("__k") >= hold
     return f.select(((F.col("__n") - 1) * (hold + k) + F.col("__k")).alias("frame"), "slide", F.when(blend, F.col("__next")).alias("next_slide"), F.when(blend, (F.col("__k") - hold + 1) / F.lit(k + 1)).otherwise(0.0).alias("alpha"))

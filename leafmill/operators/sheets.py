@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import TEXT, is_blank, matches, sort_key
+from ..functions.cells import TEXT, fold, is_blank, matches, sort_columns, sort_key
+from .ranks import numbered
 
 
 def _within(sheet: Sequence[str]) -> Window:
@@ -22,6 +23,8 @@ def _first_order(df: DataFrame, columns: Sequence[str], order: str) -> list[tupl
 
 def sort_rows(df: DataFrame, cell: str, order: str, sheet: Sequence[str] = (), reverse: bool = False) -> DataFrame:
     """Adds pos, the place of each row of its sheet when sorted by one cell; ties keep their order, also when reversed."""
+    if not sheet:  # one sheet, of any size
+        return numbered(df, [*sort_columns(F.col(cell)), F.col(order)], "pos", down=len(sort_columns(F.col(cell))) if reverse else 0)
     return df.withColumn("pos", F.row_number().over(_within(sheet).orderBy(*sort_key(F.col(cell), reverse), F.col(order).asc())))
 
 
@@ -40,7 +43,7 @@ def replace_text(text: Column, replacements: Mapping[str, str], case_sensitive:
     """Replacements one after another, each on what the one before left."""
     for old, new in replacements.items():
         if exact:
-            text = F.when((text == old) if case_sensitive else (F.lower(text) == old.lower()), F.lit(new)).otherwise(text)
+            text = F.when((text == old) if case_sensitive else (fold(text) == old.casefold()), F.lit(new)).otherwise(text)
         elif case_sensitive:
             text = F.replace(text, F.lit(old), F.lit(new))
         else:
@@ -215,15 +218,13 @@ def manage_sheets(sheets: Sequence[str], rename: Mapping[str, str] = {}, delete:
     return now
 
 
-def header_names(headers: Sequence[str | None]) -> list[str]:
-    """Names of columns: column_<i> for blanks, and _2, _3, ... after repeated ones."""
-    seen: dict[str, int] = {}
-    out = []
-    for i, h in enumerate(headers, 1):
-        base = str(h) if h not in (None, "") else f"column_{i}"
-        seen[base] = seen.get(base, 0) + 1
-        out.append(base if seen[base] == 1 else f"{base}_{seen[base]}")
-    return out
+def header_names(cells: DataFrame, place: str, text: str, sheet: Sequence[str] = ()) -> DataFrame:
+    """Adds name to the header cells of sheets (place from 1): the text, or column_<place> where there is none, and from the
+    second cell of equal names on _<how many there were so far>."""
+    own = F.when(F.coalesce(F.col(text), F.lit("")) == "", F.concat(F.lit("column_"), F.col(place).cast("string"))).otherwise(F.col(text))
+    nth = F.row_number().over(Window.partitionBy(*sheet, "__own").orderBy(place))
+    tail = F.when(F.col("__nth") > 1, F.concat(F.lit("_"), F.col("__nth").cast("string"))).otherwise("")
+    return cells.withColumn("__own", own).withColumn("__nth", nth).withColumn("name", F.concat("__own", tail)).drop("__own", "__nth")
 
 
 def csv_line(columns: Sequence[Column], delimiter: str = ",") -> Column:

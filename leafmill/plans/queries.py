@@ -18,6 +18,7 @@ from ..operators import media as M
 from ..operators import pages as P
 from ..operators import sheets as S
 from ..operators import textops as TX
+from ..operators.ranks import numbered
 from . import catalog as CAT
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -191,9 +192,13 @@ def _sheets(spark, d):
     return spark.createDataFrame([(i, s, o) for i, (s, o) in enumerate(got)], "ordinal int, sheet string, source string")
 
 
-@entry("header_dedupe", "SELECT * FROM (VALUES (1, 'a'), (2, 'a_2'), (3, 'column_3'), (4, 'b'), (5, 'a_3')) t(ord, name)")
+@entry("header_dedupe", """WITH h AS (SELECT c_nationkey AS sheet, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS place, CASE WHEN c_custkey % 4 = 3 THEN '' ELSE c_mktsegment END AS header FROM customer),
+o AS (SELECT *, CASE WHEN header = '' THEN 'column_' || place ELSE header END AS own FROM h),
+n AS (SELECT *, count(*) OVER (PARTITION BY sheet, own ORDER BY place) AS nth FROM o) SELECT sheet, place, own || CASE WHEN nth > 1 THEN '_' || nth ELSE '' END AS name FROM n""")
 def _header(spark, d):
-    return spark.createDataFrame(list(enumerate(S.header_names(["a", "a", None, "b", "a"]), 1)), "ord int, name string")
+    place = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")).cast("long")
+    cells = read(spark, d, "customer").select(F.col("c_nationkey").alias("sheet"), place.alias("place"), F.when(F.col("c_custkey") % 4 != 3, F.col("c_mktsegment")).alias("header"))
+    return S.header_names(cells, "place", "header", ["sheet"]).select("sheet", "place", "name")
 
 
 @entry("export_csv_row", "SELECT n_nationkey::VARCHAR || ',' || CASE WHEN contains(n_name, ',') THEN '\"' || n_name || '\"' ELSE n_name END || ',' || n_regionkey AS line FROM nation")
@@ -283,13 +288,8 @@ def _form(spark, d):
     return P.fill_form(read(spark, d, "region").select(F.col("r_name").alias("name"), F.col("r_regionkey").cast("string").alias("value")), {"ASIA": "x"})
 
 
-@entry("page_markup", "SELECT page_id::INT AS page, 'highlight' AS kind FROM pages WHERE page_id < 3 UNION ALL SELECT 7, 'note'")
+@entry("page_markup", "SELECT page_id::INT AS page, 'highlight' AS kind FROM pages UNION ALL SELECT 7, 'note'")
 def _markup(spark, d):
-    return _marked(read(spark, d, "pages").filter("page_id < 3"))
-
-
-@entry("page_markup_all", None)
-def _markup_all(spark, d):
     return _marked(read(spark, d, "pages"))
 
 
@@ -317,13 +317,8 @@ def _links(spark, d):
     return read(spark, d, "pages").select("page_id", TX.strip_links(F.col("html")).alias("html"))
 
 
-@entry("outside_tables", "SELECT c.l_orderkey, c.l_linenumber FROM lineitem c WHERE NOT EXISTS (SELECT 1 FROM part t WHERE t.p_partkey % 50 = c.l_partkey % 50 AND t.p_partkey <= 20 AND c.l_quantity BETWEEN t.p_size AND t.p_size + 10 AND c.l_linenumber BETWEEN 0 AND 4)")
+@entry("outside_tables", "SELECT c.l_orderkey, c.l_linenumber FROM lineitem c WHERE NOT EXISTS (SELECT 1 FROM part t WHERE t.p_partkey % 50 = c.l_partkey % 50 AND c.l_quantity BETWEEN t.p_size AND t.p_size + 10 AND c.l_linenumber BETWEEN 0 AND 4)")
 def _outside(spark, d):
-    return _outside_of(spark, d, read(spark, d, "part").filter("p_partkey <= 20"))
-
-
-@entry("outside_tables_all", None)
-def _outside_all(spark, d):
     return _outside_of(spark, d, read(spark, d, "part"))
 
 
@@ -336,13 +331,8 @@ def _outside_of(spark, d, parts: DataFrame) -> DataFrame:
 # ---- text ------------------------------------------------------------------------------------------------------------
 
 
-@entry("mail_merge", "SELECT c_custkey AS index, 'Dear ' || c_name || ', of ' || c_mktsegment || ': ' || c_custkey || '.' AS text, lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INT, '0') || '_' || c_name AS filename FROM customer WHERE c_custkey < 1000")
+@entry("mail_merge", "SELECT c_custkey AS index, 'Dear ' || c_name || ', of ' || c_mktsegment || ': ' || c_custkey || '.' AS text, lpad(c_custkey::VARCHAR, greatest(3, length(c_custkey::VARCHAR))::INT, '0') || '_' || c_name AS filename FROM customer")
 def _mail(spark, d):
-    return _mail_all(spark, d).filter("index < 1000")
-
-
-@entry("mail_merge_all", None)
-def _mail_all(spark, d):
     r = read(spark, d, "customer").withColumn("index", F.col("c_custkey"))
     return TX.mail_merge(r, "Dear {{c_name}}, of {{c_mktsegment}}: {{c_custkey}}.", ["c_name", "c_mktsegment", "c_custkey"], "{index:03d}_{c_name}")
 
@@ -479,13 +469,8 @@ def _sha(spark, d):
     return M.duplicates(read(spark, d, "documents").select("doc_id", "text"), "text", "doc_id").select("doc_id", "sha256", "duplicate_of")
 
 
-@entry("media_members", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS number, 'b_' || lpad((row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey))::VARCHAR, 3, '0') || '_image' || p_size || '-' || p_partkey || '.png' AS out_name FROM part WHERE p_partkey <= 2000")
+@entry("media_members", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS number, 'b_' || lpad((row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey))::VARCHAR, greatest(3, length((row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey))::VARCHAR))::INT, '0') || '_image' || p_size || '-' || p_partkey || '.png' AS out_name FROM part")
 def _members(spark, d):
-    return _member_names(read(spark, d, "part").filter("p_partkey <= 2000"))
-
-
-@entry("media_members_all", None)
-def _members_all(spark, d):
     return _member_names(read(spark, d, "part"))
 
 
@@ -507,13 +492,8 @@ def _stitch(spark, d):
     return M.stitch(t, "p_brand", "p_partkey", spacing=3).select("p_partkey", "x", "y", "canvas_height")
 
 
-@entry("rename_index", "SELECT s_suppkey, 'photo_' || lpad((row_number() OVER (ORDER BY s_suppkey))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY s_suppkey))::VARCHAR))::INT, '0') || '.jpg' AS new_name FROM supplier WHERE s_suppkey < 900")
+@entry("rename_index", "SELECT s_suppkey, 'photo_' || lpad((row_number() OVER (ORDER BY s_suppkey))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY s_suppkey))::VARCHAR))::INT, '0') || '.jpg' AS new_name FROM supplier")
 def _rename(spark, d):
-    return _new_names(read(spark, d, "supplier").filter("s_suppkey < 900"))
-
-
-@entry("rename_index_all", None)
-def _rename_all(spark, d):
     return _new_names(read(spark, d, "supplier"))
 
 
@@ -660,13 +640,8 @@ def _faults(spark, d):
     return FR.timeline_faults(t, "user_id", "duration").select("user_id", "slide")
 
 
-@entry("nearest_stable", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS t, floor(abs(value))::BIGINT % 5 AS support, value AS quality FROM events), q AS (SELECT event_id, user_id, t FROM e WHERE event_id % 10 = 0) SELECT q.event_id, (SELECT f.t FROM e f WHERE f.user_id = q.user_id AND abs(f.t - q.t) <= 40000 ORDER BY f.support DESC, f.quality DESC, f.t DESC LIMIT 1) AS frame_ts FROM q")
+@entry("nearest_stable", "WITH e AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0 AS t, floor(abs(value))::BIGINT % 5 AS support, value AS quality FROM events), q AS (SELECT event_id, user_id, t FROM e) SELECT q.event_id, (SELECT f.t FROM e f WHERE f.user_id = q.user_id AND abs(f.t - q.t) <= 40000 ORDER BY f.support DESC, f.quality DESC, f.t DESC LIMIT 1) AS frame_ts FROM q")
 def _nearest(spark, d):
-    return _nearest_all(spark, d).filter("event_id % 10 = 0")
-
-
-@entry("nearest_stable_all", None)
-def _nearest_all(spark, d):
     f = _signal(spark, d).withColumns({"support": F.floor(F.abs("value")) % 5, "quality": F.col("value")})
     r = f.select("event_id", "user_id", "t")
     return FR.nearest_stable(r, f.select("user_id", F.col("t").alias("ft"), "support", "quality"), "user_id", "t", "ft", "support", "quality", 40000.0).select("event_id", "frame_ts")
@@ -721,7 +696,13 @@ def _best(spark, d):
     return G.best_split(_lines(spark, d), "page", 500.0).select("page", F.col("split").cast("int").alias("split"), F.round("score", 6).alias("score"))
 
 
-@entry("layout_choice", None)
+@entry("layout_choice", """WITH s AS (SELECT p_partkey, p_size * 40.0::DOUBLE + 100 AS width, p_partkey % 37 * 60.0::DOUBLE + 200 AS height FROM part),
+p(paper, pw, ph, i) AS (VALUES ('A4', 595.0::DOUBLE, 842.0::DOUBLE, 0), ('A3', 842.0, 1191.0, 1)), m(margin, mm, k) AS (VALUES ('normal', 50.0::DOUBLE, 0), ('narrow', 18.0, 1)), t(orientation, j) AS (VALUES ('portrait', 0), ('landscape', 1)),
+c AS (SELECT *, pw * ph AS area, greatest(72.0, CASE j WHEN 0 THEN pw ELSE ph END - 2 * mm) AS uw, greatest(72.0, CASE j WHEN 0 THEN ph ELSE pw END - 2 * mm) AS uh FROM s, p, m, t),
+z AS (SELECT *, least(1.0, uw / greatest(1.0, width)) AS scale FROM c),
+n AS (SELECT *, greatest(1, ceil(greatest(1.0, height) * scale / uh - 1e-9))::BIGINT AS n_pages, scale >= 0.9 AS ok FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY ok DESC, CASE WHEN ok THEN area ELSE -scale END, CASE WHEN ok THEN -scale ELSE area END, n_pages, k, CASE WHEN ok THEN j ELSE 0 END, i, j) AS nth FROM n)
+SELECT p_partkey, width, height, paper, orientation, margin, n_pages, scale FROM r WHERE nth = 1""")
 def _layout(spark, d):
     s = read(spark, d, "part").select("p_partkey", (F.col("p_size") * 40.0 + 100).alias("width"), (F.col("p_partkey") % 37 * 60.0 + 200).alias("height"))
     return G.layout_choice(s, [("A4", 595.0, 842.0), ("A3", 842.0, 1191.0)], [("normal", 50.0), ("narrow", 18.0)])
@@ -732,26 +713,16 @@ def _boxes(spark, d) -> DataFrame:
     return read(spark, d, "part").select((p % 40).alias("page"), p.alias("key"), (p * 7919 % 1000).cast("double").alias("x0"), (p * 104729 % 1000).cast("double").alias("y0"), (p * 7919 % 1000 + F.col("p_size")).cast("double").alias("x1"), (p * 104729 % 1000 + F.col("p_size")).cast("double").alias("y1"))
 
 
-_BOXES = "WITH RECURSIVE b AS (SELECT p_partkey % 40 AS page, p_partkey AS k, (p_partkey * 7919 % 1000)::DOUBLE AS x0, (p_partkey * 104729 % 1000)::DOUBLE AS y0, (p_partkey * 7919 % 1000 + p_size)::DOUBLE AS x1, (p_partkey * 104729 % 1000 + p_size)::DOUBLE AS y1 FROM part WHERE p_partkey <= 3000), e AS (SELECT a.page, a.k AS a, c.k AS b, greatest(0, c.x0 - a.x1, a.x0 - c.x1) AS gx, greatest(0, c.y0 - a.y1, a.y0 - c.y1) AS gy, coalesce(greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) / nullif(least(a.x1 - a.x0, c.x1 - c.x0), 0), 0) AS ox, coalesce(greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) / nullif(least(a.y1 - a.y0, c.y1 - c.y0), 0), 0) AS oy FROM b a JOIN b c ON a.page = c.page AND a.k < c.k), n AS (SELECT page, a, b FROM e WHERE (gx = 0 AND gy = 0) OR (gx <= 4 AND oy >= 0.6) OR (gy <= 4 AND ox >= 0.6)) "
+_BOXES = "WITH RECURSIVE b AS (SELECT p_partkey % 40 AS page, p_partkey AS k, (p_partkey * 7919 % 1000)::DOUBLE AS x0, (p_partkey * 104729 % 1000)::DOUBLE AS y0, (p_partkey * 7919 % 1000 + p_size)::DOUBLE AS x1, (p_partkey * 104729 % 1000 + p_size)::DOUBLE AS y1 FROM part), e AS (SELECT a.page, a.k AS a, c.k AS b, greatest(0, c.x0 - a.x1, a.x0 - c.x1) AS gx, greatest(0, c.y0 - a.y1, a.y0 - c.y1) AS gy, coalesce(greatest(0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) / nullif(least(a.x1 - a.x0, c.x1 - c.x0), 0), 0) AS ox, coalesce(greatest(0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) / nullif(least(a.y1 - a.y0, c.y1 - c.y0), 0), 0) AS oy FROM b a JOIN b c ON a.page = c.page AND a.k < c.k), n AS (SELECT page, a, b FROM e WHERE (gx = 0 AND gy = 0) OR (gx <= 4 AND oy >= 0.6) OR (gy <= 4 AND ox >= 0.6)) "
 
 
 @entry("box_neighbours", _BOXES + "SELECT page, a, b FROM n")
 def _neighbours(spark, d):
-    return G.neighbours(_boxes(spark, d).filter("key <= 3000"), "page", "key", 4.0)
-
-
-@entry("box_neighbours_all", None)
-def _neighbours_all(spark, d):
     return G.neighbours(_boxes(spark, d), "page", "key", 4.0)
 
 
 @entry("components", _BOXES + ", s AS (SELECT a, b FROM n UNION SELECT b, a FROM n), r AS (SELECT k AS node, k AS root FROM b UNION SELECT s.b, r.root FROM r JOIN s ON s.a = r.node) SELECT node AS key, min(root) AS cluster FROM r GROUP BY node")
 def _components(spark, d):
-    return G.clusters(_boxes(spark, d).filter("key <= 3000"), "page", "key", 4.0).select("key", "cluster")
-
-
-@entry("components_all", None)
-def _components_all(spark, d):
     return G.clusters(_boxes(spark, d), "page", "key", 4.0).select("key", "cluster")
 
 
@@ -826,7 +797,7 @@ def _parse(spark, d):
 @entry("natural_sort", "SELECT p_partkey, row_number() OVER (ORDER BY p_size, p_partkey) AS pos FROM part")
 def _natural(spark, d):
     t = read(spark, d, "part").select("p_partkey", F.concat(F.lit("image"), F.col("p_size").cast("string"), F.lit(".png")).alias("name"))
-    return t.select("p_partkey", F.row_number().over(Window.orderBy(V.natural_key(F.col("name")), "p_partkey")).cast("long").alias("pos"))
+    return numbered(t, [V.natural_key(F.col("name")), F.col("p_partkey")], "pos").select("p_partkey", "pos")
 
 
 @entry("lower_quantile", "SELECT p_brand, list_sort(list(p_size))[floor((count(*) - 1) * 0.35)::INT + 1] AS q FROM part GROUP BY 1")

@@ -132,6 +132,46 @@ def test_accepted_boundaries(spark):
     assert got == [0, 4, 8]
 
 
+def test_fold(spark):
+    from leafmill.functions import cells as C
+
+    chars = [chr(i) for i in range(1, 0x20000) if not 0xD800 <= i < 0xE000]
+    words = ["".join(chars[i : i + 40]) for i in range(0, len(chars), 40)] + ["Straße", "ΑΣ ΟΔΟΣ", "ﬁx", "İI", "", "ABC"]
+    t = spark.createDataFrame([(w,) for w in words], "w string")
+    for r in t.select("w", C.fold(F.col("w")).alias("f")).collect():
+        assert r["f"] == r["w"].casefold()
+
+
+@pytest.mark.parametrize("down", [0, 1])
+def test_numbered(spark, down):
+    from leafmill.operators.ranks import numbered
+
+    rows = [(i, (i * 37) % 11 if i % 13 else None) for i in range(500)]
+    got = numbered(spark.createDataFrame(rows, "k long, v long").repartition(7), [F.col("v"), F.col("k")], "n", down).collect()
+    order = sorted(rows, key=lambda r: ((r[1] is None, -(r[1] or 0)) if down else (r[1] is not None, r[1] or 0), r[0]))
+    assert [r["k"] for r in sorted(got, key=lambda r: r["n"])] == [k for k, _ in order] and sorted(r["n"] for r in got) == list(range(1, 501))
+    assert numbered(spark.createDataFrame([], "k long, v long"), [F.col("k")]).count() == 0
+
+
+def test_names_and_lists():
+    assert V.safe_filename("CONIN$.txt") == "_CONIN$.txt" and V.safe_filename("...") == "file"
+    long = V.safe_filename("\U0001f389" * 100)
+    assert len(long.encode("utf-16-le")) // 2 == 159 and long.startswith("\U0001f389" * 74 + "_")
+    assert V.comma_list(" a b ，, c,") == ["a b", "c"] and V.comma_list(" , ") is None and V.comma_list(None) is None
+    assert V.smart_value(" 3 ") == 3 and V.smart_value("  ") == ""
+
+
+def test_recall_of_multisets(spark):
+    from collections import Counter
+
+    from leafmill.functions.text import multiset_recall
+
+    pairs = [(["a", "a", "b", "c"], ["a", "b", "b"]), ([], ["x"]), (["x"], []), (["q"] * 3000 + ["r"], ["q"] * 1200), (list("hello world"), list("hold"))]
+    got = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", multiset_recall(F.col("a"), F.col("b")).alias("r")).collect()
+    for r in got:
+        assert r["r"] == (sum((Counter(r["a"]) & Counter(r["b"])).values()) / len(r["a"]) if r["a"] else 1.0)
+
+
 def test_near_pairs(spark):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(20)]

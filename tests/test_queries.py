@@ -99,7 +99,7 @@ def test_all_boxes(spark, whole):
     near = _near(part)
     assert any(b > 3000 for _, _, b in near)
     run = lambda name: Q.ENTRIES[name][0](spark, d).collect()
-    got = [(r["page"], r["a"], r["b"]) for r in run("box_neighbours_all")]
+    got = [(r["page"], r["a"], r["b"]) for r in run("box_neighbours")]
     assert len(got) == len(near) and set(got) == near
     root = {k: k for k, *_ in part}
 
@@ -111,7 +111,7 @@ def test_all_boxes(spark, whole):
     for _, a, b in near:
         x, y = find(a), find(b)
         root[max(x, y)] = min(x, y)
-    assert {r["key"]: r["cluster"] for r in run("components_all")} == {k: find(k) for k in root}
+    assert {r["key"]: r["cluster"] for r in run("components")} == {k: find(k) for k in root}
     grids = {}
     unions = {}
     for page, _, x0, y0, x1, y1 in _box_rows(part):
@@ -136,9 +136,9 @@ def test_all_rows(spark, whole):
     for brand in ("Brand#1", "Brand#2"):
         for n, (k, _, _, s) in enumerate(sorted((p for p in part if p[2] == brand), key=lambda p: (p[3], p[0])), 1):
             want[k] = (n, f"b_{n:03d}_image{s}-{k}.png")
-    assert {r["p_partkey"]: (r["number"], r["out_name"]) for r in run("media_members_all")} == want
-    assert {r["s_suppkey"]: r["new_name"] for r in run("rename_index_all")} == {i: f"photo_{i:03d}.jpg" for i in range(1, 1102)}
-    assert {(r["index"], r["text"], r["filename"]) for r in run("mail_merge_all")} == {(i, f"Dear c{i}, of AUTO: {i}.", f"{i:03d}_c{i}") for i in range(1, 1102)}
+    assert {r["p_partkey"]: (r["number"], r["out_name"]) for r in run("media_members")} == want
+    assert {r["s_suppkey"]: r["new_name"] for r in run("rename_index")} == {i: f"photo_{i:03d}.jpg" for i in range(1, 1102)}
+    assert {(r["index"], r["text"], r["filename"]) for r in run("mail_merge")} == {(i, f"Dear c{i}, of AUTO: {i}.", f"{i:03d}_c{i}") for i in range(1, 1102)}
 
 
 def test_all_events_tables_and_pages(spark, duck):
@@ -148,13 +148,13 @@ def test_all_events_tables_and_pages(spark, duck):
     for e in events:
         users.setdefault(e[1], []).append(e)
     want = {e[0]: max((s, q, t) for _, _, t, s, q in users[e[1]] if abs(t - e[2]) <= 40000)[2] for e in events}
-    got = run("nearest_stable_all")
+    got = run("nearest_stable")
     assert len(got) == len(events) and {r["event_id"]: r["frame_ts"] for r in got} == want
     tables = {}
     for k, size in duck.sql("SELECT p_partkey, p_size FROM part").fetchall():
         tables.setdefault(k % 50, []).append(size)
     cells = duck.sql("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem").fetchall()
     outside = sorted((o, n) for o, n, k, q in cells if not any(s <= q <= s + 10 and 0 <= n <= 4 for s in tables.get(k % 50, [])))
-    assert sorted((r["l_orderkey"], r["l_linenumber"]) for r in run("outside_tables_all")) == outside
+    assert sorted((r["l_orderkey"], r["l_linenumber"]) for r in run("outside_tables")) == outside
     pages = [(k, "highlight") for (k,) in duck.sql("SELECT page_id FROM pages").fetchall()]
-    assert sorted((r["page"], r["kind"]) for r in run("page_markup_all")) == sorted([*pages, (7, "note")])
+    assert sorted((r["page"], r["kind"]) for r in run("page_markup")) == sorted([*pages, (7, "note")])

@@ -88,7 +88,7 @@ def _common(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(_numbered(a), _numbered(b)))
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value computed once."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
@@ -98,12 +98,12 @@ def _numbered(x: Column) -> Column:
 
     def runs(s: Column) -> Column:
         first = F.filter(F.transform(s, lambda v, i: F.when((i == 0) | (F.get(s, i - 1) != v), i)), lambda i: i.isNotNull())
-        return _let(first, lambda p: F.flatten(F.transform(p, lambda at, j: one(s, at, F.coalesce(F.get(p, j + 1), F.size(s)) - at - 1))))
+        return let(first, lambda p: F.flatten(F.transform(p, lambda at, j: one(s, at, F.coalesce(F.get(p, j + 1), F.size(s)) - at - 1))))
 
     def one(s: Column, at: Column, last: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), last), lambda k: F.concat_ws("\x01", F.get(s, at), k.cast("string")))
 
-    return _let(F.array_sort(x), runs)
+    return let(F.array_sort(x), runs)
 
 
 def suspicious(x: Column) -> Column:

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 TICKS = {"accurate": 0.5, "balanced": 1.0, "fast": 2.0}  # fixed values: seconds between samples
 MOST_SAMPLES = 6000
 
@@ -118,10 +120,8 @@ def choose(candidates: DataFrame, group: str, score: str, support: str, ts: str,
 
 def hash_bits(vector: Column) -> Column:
     """64 bits of a 64-vector: whether each value is above the median of all but the first. The first is the highest bit."""
-    rest = F.array_sort(F.slice(vector, 2, 63))
-    median = F.get(rest, F.lit(31))
-    bits = F.transform(vector, lambda x: (x > median).cast("long"))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    median = F.get(F.array_sort(F.slice(vector, 2, 63)), F.lit(31))
+    return let(median, lambda m: F.aggregate(vector, F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR((x > m).cast("long"))))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -24,10 +24,18 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(found := "file://" + tempfile.mkdtemp(prefix="leafmill-"))
     return found.rstrip("/")
 
 
+def plain_names(df: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """df with its columns called c0, c1, ... so that no working column's name clashes, and what the given ones are called then."""
+    names = df.columns
+    return df.toDF(*(f"c{i}" for i in range(len(names)))), [f"c{names.index(c)}" for c in columns]
+
+
 def modest_batches(spark: SparkSession) -> SparkSession:
     """Arrow batches of 1,024 rows: those of texts and sets then hold a few MB in each of an executor's workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
@@ -44,7 +52,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Let the context cleaner remove shuffle files whose plans are done; it acts on collected references."""
+    """Let the context cleaner remove shuffle files whose plans are done, before the next step needs the disk. It acts on
+    references that the driver has collected, which Spark by itself sees to every half hour only."""
     gc.collect()
     spark._jvm.System.gc()
 

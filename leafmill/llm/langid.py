@@ -12,7 +12,7 @@ learned is bounded: TEXTS texts of a language and SYMBOLS symbols of all of them
 
 Nulls and ties: a null text, or one without a letter, is `und` with score 0; with no labelled texts all are `und`. Equal
 entropies go to the language that comes first by code point. Rows with a null language or text are not learned from.
-Repeated rows get equal results. score is 1 minus the winner's entropy over the runner-up's (1 if there is none).
+Repeated rows get equal results. Other columns are not read and may have any names. score is 1 minus the winner's entropy over the runner-up's (1 if there is none).
 """
 
 from __future__ import annotations
@@ -259,13 +259,14 @@ def held_out(key: str) -> Column:
 def sample(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, list[str]]:
     """At most TEXTS texts for each language of the rows that aren't held out, as far as SYMBOLS go. Only their ids are ranked and broadcast.
     Rows without a text count for nothing; rows of one id are one text, the last by code point."""
-    rows = docs.filter(F.col(lang).isNotNull() & F.col(key).isNotNull() & F.col(text).isNotNull() & ~held_out(key))
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy(F.xxhash64(key), key))
-    ids = rows.select(key, lang).withColumn("__rank", rank).filter(F.col("__rank") <= TEXTS).select(F.col(key).alias("__id"), "__rank")
-    got = rows.join(F.broadcast(ids), F.col(key) == F.col("__id")).groupBy(lang, "__rank").agg(F.max(F.substring(text, 1, SYMBOLS)).alias("t")).collect()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter("key IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    rows = rows.filter(~held_out("key"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key"))
+    ids = rows.select("key", "lang").withColumn("rank", rank).filter(F.col("rank") <= TEXTS).select(F.col("key").alias("id"), "rank")
+    got = rows.join(F.broadcast(ids), F.col("key") == F.col("id")).groupBy("lang", "rank").agg(F.max(F.substring("text", 1, SYMBOLS)).alias("t")).collect()
     found: dict[str, list[str]] = {}
-    for r in sorted(got, key=lambda r: (r[lang], r["__rank"])):
-        found.setdefault(r[lang], []).append(r["t"])
+    for r in sorted(got, key=lambda r: (r["lang"], r["rank"])):
+        found.setdefault(r["lang"], []).append(r["t"])
     return found
 
 

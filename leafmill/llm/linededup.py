@@ -6,7 +6,8 @@ distinct lines of a page divided by the ratio.
 
 Nulls and odd input: rows with a null site are one site; a null text stays null and counts as a page; empty lines are
 never counted or dropped; a line in fewer than `least` pages is never boilerplate, so small sites keep their text. Equal
-rows are pages of their own. A page that loses every line keeps its row, with an empty text. Columns of the input stay.
+rows are pages of their own. A page that loses every line keeps its row, with an empty text. Columns of the input stay and
+may have any names; the columns of a report replace those of the same names.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, plain_names, table
 
 RATIO = 0.1
 LEAST = 3
 LARGE, SALTS = 256, 64
+REPORT = ("host_pages", "n_lines", "n_dropped")
 
 _BLOCKS = "p|div|li|ul|ol|nav|h[1-6]|article|aside|section|header|footer|main|title|table|tr|td|th|br|hr|pre|blockquote|body|head|html"
 # The expressions hold in Java's and RE2's syntax alike.
@@ -59,6 +61,8 @@ def boilerplate(pages: DataFrame, text: str, host: str, ratio: float = RATIO, le
 
 def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, least: int = LEAST, report: bool = False) -> DataFrame:
     """pages with the boilerplate lines gone from text; report adds host_pages, n_lines and n_dropped."""
+    cols = pages.columns
+    pages, (text, host) = plain_names(pages, text, host)
     sites = materialize(boilerplate(pages, text, host, ratio, least), "sites")
     every = sites.agg(F.sum("__pages")).first()[0] or 0
     # sites with more than a LARGE-th of all pages, which are less than LARGE, are dealt over SALTS tasks each
@@ -72,10 +76,13 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
     kept = F.filter(lines, lambda x: ~F.array_contains("__lines", _key(x)) | (F.trim(x) == ""))
     new = F.when(F.col("__lines").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
     if not report:
-        return joined.withColumn(text, new).select(pages.columns)
+        return joined.withColumn(text, new).select(pages.columns).toDF(*cols)
     full = lambda a: F.coalesce(F.size(F.filter(a, lambda x: F.trim(x) != "")), F.lit(0)).cast("long")
     was = full(F.coalesce(lines, F.array().cast("array<string>")))
-    return joined.withColumns({"host_pages": F.col("__pages"), "n_lines": was, "__new": new}).withColumn("n_dropped", F.col("n_lines") - full(F.coalesce(lines_of(F.col("__new")), F.array().cast("array<string>")))).withColumn(text, F.col("__new")).select(*pages.columns, "host_pages", "n_lines", "n_dropped")
+    told = joined.withColumns({"host_pages": F.col("__pages"), "n_lines": was, "__new": new})
+    told = told.withColumn("n_dropped", F.col("n_lines") - full(F.coalesce(lines_of(F.col("__new")), F.array().cast("array<string>")))).withColumn(text, F.col("__new"))
+    stay = {c: name for c, name in zip(pages.columns, cols) if name not in REPORT}
+    return told.select(*(F.col(c).alias(name) for c, name in stay.items()), *REPORT)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

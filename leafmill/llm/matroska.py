@@ -8,6 +8,7 @@ ReferenceBlock is no keyframe.
 
 Nulls and odd input: a null text is an empty payload, stored as 64 zero bytes; null or damaged files yield what was read
 up to the damage and `error`; files without packets yield none. Equal texts give equal files: nothing depends on the row.
+Only the key and the text are read, so other columns may have any names.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ and id; the running sum of their expected copies, shifted by one random offset o
 each copy. Since neighbours in that order have nearly the same size, the words taken come near the target.
 
 Nulls and ties: a null text has size 0; a null source is a source of its own, the last; equal rows count separately, in
-any order (they are equal); a source without words has target 0 and, as any copy would be empty, takes nothing. Empty
+any order (they are equal); rows of one source, size and id are ordered by a hash of their other columns; a source without words has target 0 and, as any copy would be empty, takes nothing. Empty
 input gives an empty result. Other columns of the input stay and may have any names but those of RESULT.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, materialize
+from .common import WORD, materialize, plain_names
 
 #: Given by code point of the source's name, in turn.
 WEIGHTS = (5, 2, 1)
@@ -74,12 +74,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     The rank of a document within its source is local to a range partition by (source, size, key) plus the counts of the
     partitions before it, so no source, however large, lies in one task."""
     spark = docs.sparkSession
-    base = docs.select("*") if carry else docs.select(key, source, text)
-    base = base.drop(*RESULT).withColumn("__size", size_of(F.col(text)))
-    if not carry:
-        base = base.drop(text)
+    base = docs if carry else docs.select(key, source, text)
+    cols = base.columns
+    base, (text, source, key) = plain_names(base, text, source, key)
+    stay = {c: name for c, name in zip(base.columns, cols) if name not in RESULT and (carry or c != text)}
+    told = F.xxhash64(*(c for c, kind in base.dtypes if "map<" not in kind)) if carry else F.lit(0).cast("long")
+    base = base.withColumns({"__size": size_of(F.col(text)), "__tie": told}).select(*{source, key, *stay}, "__size", "__tie")
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = base.repartitionByRange(n, F.col(source).asc_nulls_last(), F.col("__size"), F.col(key).asc_nulls_last()).sortWithinPartitions(F.col(source).asc_nulls_last(), "__size", F.col(key).asc_nulls_last())
+    order = [F.col(source).asc_nulls_last(), F.col("__size"), F.col(key).asc_nulls_last(), F.col("__tie")]
+    dealt = base.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("__tie")
     schema = T.StructType([*dealt.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__rank", T.LongType())])
     ranked = materialize(dealt.mapInArrow(_ranked(source), schema), "mix")
     parts = ranked.groupBy(F.col(source).alias("source"), "__part").agg(F.count("*").alias("n"), F.sum("__size").alias("words"))
@@ -93,8 +96,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     out = ranked.join(plan, (F.col("__part") == F.col("__p")) & F.col(source).eqNullSafe(F.col("__s")))
     rank = F.col("__rank") + F.col("__before")
     crossed = F.floor((rank + 1) * F.col("expected") + F.col("__offset")) - F.floor(rank * F.col("expected") + F.col("__offset"))
-    kept = [c for c in base.columns if c != "__size"]
-    return out.select(*kept, F.col("__size").alias("size"), "source_size", "target", "expected", (F.least(crossed, F.lit(MOST)) * F.col("__size")).cast("long").alias("taken"), F.least(crossed, F.lit(MOST)).cast("long").alias("copies"))
+    return out.select(*(F.col(c).alias(name) for c, name in stay.items()), F.col("__size").alias("size"), "source_size", "target", "expected", (F.least(crossed, F.lit(MOST)) * F.col("__size")).cast("long").alias("taken"), F.least(crossed, F.lit(MOST)).cast("long").alias("copies"))
 
 
 def emit(mixed: DataFrame, columns: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ the word after it); equal words of a batch share one lattice.
 
 Nulls and odd input: a null text has null ids and decodes to null; an empty one has none and decodes to ''. A null key
 draws as a key of its own. Repeated rows with one key get the same pieces. Long texts are never cut.
+Other columns stay and may have any names; one called like the column of ids is replaced.
 """
 
 from __future__ import annotations

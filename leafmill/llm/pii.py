@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import plain_names, table
 
 MARK, PLAIN = "\ue000", "\ue001"
 ACCEPT = 0.7
@@ -117,9 +117,13 @@ def spans(text: Column, kind: str) -> Column:
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a column of spans for each kind, __<kind>."""
-    t = docs.withColumn("__t", F.translate(F.coalesce(F.col(text), F.lit("")), MARK, PLAIN))
-    return t.withColumns({f"__{k}": spans(F.col("__t"), k) for k in PATTERNS}).drop("__t")
+    """docs with a column of spans for each kind, __<kind>, in place of any of that name; others stay and may have any names."""
+    mine = {f"__{k}" for k in PATTERNS}
+    cols = docs.columns
+    plain, (own,) = plain_names(docs, text)
+    t = plain.withColumn("cleared", F.translate(F.coalesce(F.col(own), F.lit("")), MARK, PLAIN))
+    t = t.withColumns({f"__{k}": spans(F.col("cleared"), k) for k in PATTERNS})
+    return t.select(*(F.col(c).alias(n) for c, n in zip(plain.columns, cols) if n not in mine), *(f"__{k}" for k in PATTERNS))
 
 
 def joined(*columns: Column) -> Column:
@@ -127,7 +131,10 @@ def joined(*columns: Column) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with all spans of all kinds replaced by <KIND>; where spans overlap, the whole stretch by the first one's."""
+    """docs with all spans of all kinds replaced by <KIND>; where spans overlap, the whole stretch by the first one's. A null
+    text stays null; columns may have any names."""
+    cols = docs.columns
+    docs, (text,) = plain_names(docs, text)
     found = find(docs, text)
     everything = F.array_sort(F.transform(F.concat(*(F.col(f"__{k}") for k in PATTERNS)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
@@ -138,7 +145,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(new).alias("out"))
 
     done = F.aggregate(everything, state, step, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1, F.length(text))))
-    return found.withColumn(text, done).drop(*(f"__{k}" for k in PATTERNS))
+    return found.withColumn(text, done).drop(*(f"__{k}" for k in PATTERNS)).toDF(*cols)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

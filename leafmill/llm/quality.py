@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import plain_names, table
 
 _WS = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
@@ -224,10 +224,11 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
 
 def keep(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of docs that the base and the learned list keep, with their columns. Nothing is shuffled."""
+    """The rows of docs that the base and the learned list keep, with their columns, which may have any names. Nothing is shuffled."""
     rules = fit(docs, labels, text, key)
-    judged = with_statistics(docs, text, prefix="__q_")
-    return judged.filter(~base_failed("__q_") & rejected(rules, "__q_").isNull()).select(docs.columns)
+    plain, (own,) = plain_names(docs, text)
+    judged = with_statistics(plain, own, prefix="__q_")
+    return judged.filter(~base_failed("__q_") & rejected(rules, "__q_").isNull()).select(plain.columns).toDF(*docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

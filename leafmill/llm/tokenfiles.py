@@ -10,7 +10,8 @@ committed by Spark and survives lost executors, and holds SHARD_IDS ids at most
 A key is a document id with its number among rows of the same id, so repeated rows are all kept and found.
 
 Nulls and odd input: a null text is empty and has the end id alone; a null id is a key of its own, after all others; no
-rows give no shards. Rows with equal ids follow one another by text. Long texts are never cut.
+rows give no shards. Rows with equal ids follow one another by text. Long texts are never cut. Other columns
+are not read and may have any names.
 """
 
 from __future__ import annotations

@@ -90,14 +90,20 @@ def merge_intervals(rows: DataFrame, keys: list[str], lo: str, hi: str, gap_: fl
     return r.groupBy(*keys, "__island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count("*").alias("merged")).drop("__island")
 
 
-def subtract_intervals(rows: DataFrame, gone: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
-    """What is left of each interval (key, id, lo, hi) without those of gone (key, lo, hi)."""
-    g = merge_intervals(gone.select(key, F.col(lo).alias("glo"), F.col(hi).alias("ghi")), [key], "glo", "ghi", 0.0).select(F.col(key).alias("__k"), "glo", "ghi")
+#: Fixed value: the least height of a band that a cut leaves.
+LEAST_REST = 18.0
+
+
+def subtract_intervals(rows: DataFrame, gone: DataFrame, key: str, lo: str, hi: str, least: float = LEAST_REST) -> DataFrame:
+    """What is left of each interval (key, id, lo, hi) without those of gone (key, lo, hi): rests of `least` or more, and
+    intervals that nothing cuts, whatever their length."""
+    g = merge_intervals(gone.filter(F.col(hi) > F.col(lo)).select(key, F.col(lo).alias("glo"), F.col(hi).alias("ghi")), [key], "glo", "ghi", 0.0).select(F.col(key).alias("__k"), "glo", "ghi")
     cut = rows.join(g, (F.col(key) == F.col("__k")) & (F.col("glo") < F.col(hi)) & (F.col("ghi") > F.col(lo)), "left")
     lists = cut.groupBy(key, "id", lo, hi).agg(F.array_sort(F.collect_list(F.when(F.col("glo").isNotNull(), F.struct("glo", "ghi")))).alias("c"))
     starts = F.concat(F.array(F.col(lo)), F.transform("c", lambda x: x["ghi"]))
     ends = F.concat(F.transform("c", lambda x: x["glo"]), F.array(F.col(hi)))
-    parts = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("lo"), e.alias("hi"))), lambda x: x["lo"] < x["hi"])
+    fits = lambda x: (F.size("c") == 0) | ((x["hi"] - x["lo"] >= least) & (x["lo"] < x["hi"]))
+    parts = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("lo"), e.alias("hi"))), fits)
     return lists.select(key, "id", F.inline(parts))
 
 
@@ -149,12 +155,46 @@ def reading_order(items: DataFrame, page: str, key: str) -> DataFrame:
     return items.withColumn("__band", band).withColumn("position", F.row_number().over(Window.partitionBy(page).orderBy("__band", side, "cy", "x0", key))).drop("__band")
 
 
-def paragraphs(lines: DataFrame, page: str, order: str, most_gap: float, indent: float = 24.0) -> DataFrame:
-    """Adds paragraph: a line goes on with the one before if it is near below it, starts where it starts and has its size."""
+def two_columns(lines: DataFrame, page: str, width: float) -> DataFrame:
+    """page and two_column: whether enough lines (x, x1) keep to either half of a page, but for a gutter of 4 percent."""
+    middle, gutter = width / 2, width * 0.04
+    left = (F.col("x1") <= middle + gutter) & (F.col("x") < middle)
+    right = (F.col("x") >= middle - gutter) & (F.col("x1") > middle)
+    least = F.greatest(F.lit(4), F.bround(F.count("*") * 0.14))
+    return lines.groupBy(page).agg(((F.count_if(left) >= least) & (F.count_if(right) >= least)).alias("two_column"))
+
+
+def column_of(x: Column, x1: Column, width: float, two_column: Column) -> Column:
+    """main on a page of one column; else left, right, or full for what is wide or reaches far over the middle."""
+    middle = width / 2
+    wide = (x1 - x >= width * 0.62) | ((x < middle - width * 0.12) & (x1 > middle + width * 0.12))
+    side = F.when(x1 <= middle + width * 0.04, "left").when(x >= middle - width * 0.04, "right")
+    return F.when(~two_column, "main").when(wide, "full").otherwise(F.coalesce(side, F.lit("full")))
+
+
+#: Fixed value: how an entry of a list of references begins.
+REFERENCE = r"^[A-Z][A-Za-z'\u2019\-]+(?:,|\s+[A-Z]\.)"
+
+
+def paragraphs(lines: DataFrame, page: str, order: str) -> DataFrame:
+    """Adds paragraph, 1, 2, ... in a page: a line goes on with the one before in its column unless either is a heading, it
+    stands too far below or above, has another size, or the one before ends a sentence and it is indented or begins a
+    reference. lines: x, y, height (in twentieths of a point), font_size, bold, text, col. Nulls in them part lines."""
     w = Window.partitionBy(page).orderBy(order)
+    size = F.percentile("font_size", F.lit(0.5)).over(Window.partitionBy(page))
+    text = F.trim("text")
+    heading = (text != "") & (F.length(text) <= 140) & ((F.col("font_size") >= F.col("__size") * 1.18) | (F.col("bold") & (F.length(text) <= 90)))
+    marked = lines.withColumn("__size", size).withColumn("__heading", heading)
     prev = lambda c: F.lag(c).over(w)
-    on = (F.col("y") - prev("y") - prev("height") <= most_gap) & (F.abs(F.col("x") - prev("x")) <= indent) & (F.abs(F.col("font_size") - prev("font_size")) < 0.5) & (F.col("bold") == prev("bold"))
-    return lines.withColumn("__new", (~F.coalesce(on, F.lit(False))).cast("int")).withColumn("paragraph", F.sum("__new").over(w)).drop("__new")
+    space, tall = F.col("y") - prev("y") - prev("height"), F.greatest(prev("height"), F.col("height"))
+    ended = prev(F.rtrim("text"))
+    indented = ended.rlike("[.!?:]$") & (F.col("x") - prev("x") > F.greatest(F.lit(120), F.bround(F.col("font_size") * 12)))
+    reference = ended.endswith(".") & text.rlike(REFERENCE)
+    near = (space >= -0.4 * tall) & (space <= F.greatest(F.lit(360), F.bround(tall * 1.35)))
+    alike = F.abs(prev("font_size") - F.col("font_size")) <= F.greatest(F.lit(1.2), F.col("__size") * 0.16)
+    on = (prev("col") == F.col("col")) & ~prev("__heading") & ~F.col("__heading") & near & alike & ~indented & ~reference
+    begun = marked.withColumn("__new", (~F.coalesce(on, F.lit(False))).cast("int"))
+    return begun.withColumn("paragraph", F.sum("__new").over(w)).drop("__new", "__size", "__heading")
 
 
 def _rows(tolerance: float, x_gap: float):

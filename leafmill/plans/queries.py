@@ -278,7 +278,7 @@ def _fixed(spark, d):
     return P.page_features(p, "conv_id")
 
 
-@entry("watermark_grid", None)
+@entry("watermark_grid", "WITH c AS (SELECT n, ceil(6.0 / n) AS r, abs(ln((600.0 / n) / (400.0 / ceil(6.0 / n)))) AS off FROM range(1, 7) t(n)), b AS (SELECT n::INT AS n, r::INT AS r FROM c ORDER BY off, n LIMIT 1) SELECT i::INT AS mark, (i % n + 0.5)::DOUBLE * 600 / n AS x, (i // n + 0.5)::DOUBLE * 400 / r AS y FROM b, range(6) t(i)")
 def _grid(spark, d):
     return spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(P.watermark_grid(6, 600, 400))], "mark int, x double, y double")
 
@@ -306,10 +306,18 @@ def _items(spark, d):
     return read(spark, d, "pages").select("page_id", F.transform(F.regexp_extract_all("html", F.lit(_LIST), F.lit(1)), lambda x: F.regexp_replace(x, "<[^>]*>", "")).alias("items"))
 
 
-@entry("html_tables_text", "SELECT NULL::BIGINT AS page_id, NULL::INT AS \"table\", NULL::INT AS \"row\", NULL::VARCHAR AS cells, NULL::INT AS out_row WHERE false")
+_ORDER_TABLES = "WITH o AS (SELECT o_orderkey, o_custkey % 3 AS tables FROM orders), t AS (SELECT o_orderkey, unnest(range(tables))::INT AS tab FROM o WHERE tables > 0) "
+
+
+@entry("html_tables_text", _ORDER_TABLES + ", r AS (SELECT o_orderkey, tab, l_linenumber, l_partkey, l_quantity, row_number() OVER (PARTITION BY o_orderkey, tab ORDER BY l_linenumber, l_partkey, l_quantity) - 1 AS nth FROM t JOIN lineitem ON l_orderkey = o_orderkey) SELECT o_orderkey, tab AS \"table\", nth::INT AS \"row\", tab || chr(9) || l_linenumber || ' & ' || l_partkey || chr(9) AS cells, (row_number() OVER (PARTITION BY o_orderkey ORDER BY tab, nth) + tab)::INT AS out_row FROM r")
 def _tables(spark, d):
-    t = P.tables_of_html(read(spark, d, "pages"), "page_id", "html")
-    return P.stacked_tables(t, "page_id", "table", "row").select("page_id", "table", "row", F.concat_ws("\t", "cells").alias("cells"), "out_row")
+    cell = lambda x: F.concat(F.lit("<td class='n'> "), x, F.lit(" </td>"))
+    line = lambda n, x: F.concat(F.lit("<TR>"), F.concat(F.lit("<th>"), n.cast("string"), F.lit("</th>")), cell(F.concat(F.lit("<b>"), x["l_linenumber"].cast("string"), F.lit("</b> &\n"), x["l_partkey"].cast("string"))), F.lit("<td></td></TR>"))
+    rows = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("rows"))
+    o = read(spark, d, "orders").join(rows, "o_orderkey")
+    made = F.transform(F.sequence(F.lit(1), F.col("o_custkey") % 3), lambda n: F.concat(F.lit("<p>text</p><table border=1>"), F.array_join(F.transform("rows", lambda x: line(n - 1, x)), "\n"), F.lit("</table>")))
+    pages = o.select("o_orderkey", F.when(F.col("o_custkey") % 3 > 0, F.array_join(made, "")).otherwise("<p>no table</p>").alias("html"))
+    return P.stacked_tables(P.tables_of_html(pages, "o_orderkey", "html"), "o_orderkey", "table", "row").select("o_orderkey", "table", "row", F.concat_ws("\t", "cells").alias("cells"), "out_row")
 
 
 @entry("strip_links", "SELECT page_id, regexp_replace(html, '(?i)</?a(?:\\s[^>]*)?>', '', 'g') AS html FROM pages")
@@ -419,7 +427,22 @@ def _char(spark, d):
     return TX.integrity(_damaged(spark, d)).filter(F.length(X.plain_form(F.col("source"))) > 0).select("item_id", F.round("char_recall", 9).alias("recall"))
 
 
-@entry("integrity_gates", None)
+_GATES = _PAIRS + f""", n AS (SELECT item_id, {_NORM.format("a")} AS na, {_NORM.format("b")} AS nb, {_WORDS_SQL.format("a")} AS wa, {_WORDS_SQL.format("b")} AS wb FROM p),
+k AS (SELECT item_id, 'c' AS kind, unnest(string_split(na, '')) AS v, 0 AS side FROM n UNION ALL SELECT item_id, 'c', unnest(string_split(nb, '')), 1 FROM n
+  UNION ALL SELECT item_id, 'w', unnest(wa), 0 FROM n UNION ALL SELECT item_id, 'w', unnest(wb), 1 FROM n
+  UNION ALL SELECT item_id, 'p', unnest(list_transform(list_zip(wa[:-2], wa[2:]), lambda z: z[1] || ' ' || z[2])), 0 FROM n
+  UNION ALL SELECT item_id, 'p', unnest(list_transform(list_zip(wb[:-2], wb[2:]), lambda z: z[1] || ' ' || z[2])), 1 FROM n),
+m AS (SELECT item_id, kind, v, count(*) FILTER (side = 0) AS x, count(*) FILTER (side = 1) AS y FROM k WHERE v <> '' GROUP BY ALL),
+r AS (SELECT item_id, kind, sum(least(x, y)) / nullif(sum(x), 0) AS recall, sum(least(x, y)) / nullif(sum(y), 0) AS back FROM m GROUP BY ALL),
+g AS (SELECT n.item_id, CASE WHEN length(na) = 0 THEN 1.0 WHEN length(nb) = 0 THEN 0.0 WHEN length(na) < 12 THEN len(list_intersect(list_distinct(string_split(na, '')), list_distinct(string_split(nb, '')))) / len(list_distinct(string_split(na, '')))
+  ELSE len(list_intersect({_SHINGLES.format("na")}, {_SHINGLES.format("nb")})) / len({_SHINGLES.format("na")}) END AS cov,
+  coalesce(w.recall, 1.0) AS wr, coalesce(q.recall, 1.0) AS pr, coalesce(c.recall, 1.0) AS cr, coalesce(c.back, 1.0) AS cp FROM n
+  LEFT JOIN r w ON w.item_id = n.item_id AND w.kind = 'w' LEFT JOIN r q ON q.item_id = n.item_id AND q.kind = 'p' LEFT JOIN r c ON c.item_id = n.item_id AND c.kind = 'c')
+SELECT item_id, CASE WHEN cov < 0.8 OR wr < 0.8 OR pr < 0.7 THEN 'fail' WHEN cov < 0.95 OR wr < 0.95 OR pr < 0.9 THEN 'warn' ELSE 'pass' END AS editable, CASE WHEN cov < 0.9 OR wr < 0.9 OR pr < 0.9 THEN 'fail' ELSE 'pass' END AS hybrid,
+  cov >= 0.985 AND cr >= 0.995 AND ((cr >= 0.9995 AND cp >= 0.9995 AND cov >= 0.995) OR (wr >= 0.985 AND pr >= 0.97)) AS rewrite FROM g"""
+
+
+@entry("integrity_gates", _GATES)
 def _gates(spark, d):
     p = TX.integrity(_damaged(spark, d))
     return p.select("item_id", TX.gate("editable").alias("editable"), TX.gate("hybrid").alias("hybrid"), TX.verdict().alias("rewrite"))
@@ -512,7 +535,7 @@ def _quality(spark, d):
     return M.best_quality(read(spark, d, "part"), "p_brand", "p_size", "p_retailprice", 1200, 10)
 
 
-@entry("slideshow_frames", None)
+@entry("slideshow_frames", "WITH s AS (SELECT r_regionkey AS slide, lead(r_regionkey) OVER (ORDER BY r_regionkey) AS nxt, row_number() OVER (ORDER BY r_regionkey) - 1 AS n FROM region), f AS (SELECT *, unnest(range(CASE WHEN nxt IS NULL THEN 4 ELSE 6 END)) AS k FROM s) SELECT n * 6 + k AS frame, slide, CASE WHEN k >= 4 THEN nxt END AS next_slide, CASE WHEN k >= 4 THEN (k - 3) / 3.0::DOUBLE ELSE 0.0 END AS alpha FROM f")
 def _crossfade(spark, d):
     return M.crossfade(read(spark, d, "region").select(F.col("r_regionkey").alias("k")), "k", 4, 1.0, 0.5)
 
@@ -592,7 +615,9 @@ def _segments(spark, d):
     return FR.segments(_flagged(spark, d), "user_id", "t", "flag", "event_id")
 
 
-@entry("accepted_boundaries", None)
+@entry("accepted_boundaries", _MAD.replace("WITH c", "WITH RECURSIVE c", 1) + """, f AS (SELECT c.event_id, c.user_id, t FROM c JOIN h USING (user_id) WHERE change > threshold),
+a AS (SELECT user_id, min(t) AS t FROM f GROUP BY user_id UNION ALL SELECT user_id, t FROM (SELECT a.user_id, min(f.t) AS t FROM a JOIN f ON f.user_id = a.user_id AND f.t - a.t >= 3600 GROUP BY a.user_id, a.t)),
+k AS (SELECT min(event_id) AS event_id FROM f JOIN a USING (user_id, t) GROUP BY user_id, t) SELECT event_id, event_id IN (SELECT event_id FROM k) AS boundary FROM events""")
 def _accepted(spark, d):
     return FR.accepted_boundaries(_flagged(spark, d), "user_id", "t", "flag", 3600.0, "event_id").select("event_id", "boundary")
 
@@ -604,7 +629,9 @@ def _merged(spark, d):
     return FR.merge_segments(s, "user_id", least=2, near=0.5)
 
 
-@entry("stability_support", None)
+@entry("stability_support", _CHANGES + """, q AS (SELECT event_id, user_id, row_number() OVER w AS n, coalesce(change <= 30, false)::INT AS quiet FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+e AS (SELECT user_id, n FROM (SELECT user_id, n, quiet + lag(quiet) OVER (PARTITION BY user_id ORDER BY n) AS two FROM q) WHERE n >= 3 AND two = 2)
+SELECT q.event_id, count(e.n) AS support FROM q LEFT JOIN e ON e.user_id = q.user_id AND e.n BETWEEN q.n AND q.n + 2 GROUP BY q.event_id""")
 def _stable(spark, d):
     c = FR.changes(_signal(spark, d).withColumn("o", F.struct("t", "event_id")), "user_id", "o", "value").withColumn("quiet", F.col("change") <= 30)
     return FR.stability(c, "user_id", "o", "quiet").select("event_id", "support")
@@ -634,9 +661,10 @@ def _timeline(spark, d):
     return FR.timeline(_slides(spark, d), "user_id", "occurrences", "slide").select("user_id", "slide", "reason", F.col("position").cast("long").alias("position"))
 
 
-@entry("timeline_faults", "SELECT 0::BIGINT AS user_id, 0::BIGINT AS slide WHERE false")
+@entry("timeline_faults", _OCC + ", d AS (SELECT user_id, median(t) AS until FROM (SELECT user_id, epoch_us(ts) / 1000000.0 AS t FROM events) GROUP BY 1) SELECT user_id, slide FROM a JOIN d USING (user_id) WHERE anchor_start > until + 0.05")
 def _faults(spark, d):
-    t = FR.timeline(_slides(spark, d), "user_id", "occurrences", "slide").withColumn("duration", F.lit(1e12))
+    half = _signal(spark, d).groupBy("user_id").agg(F.percentile("t", F.lit(0.5)).alias("until"))  # a recording that ends too soon
+    t = FR.timeline(_slides(spark, d), "user_id", "occurrences", "slide").join(half, "user_id").withColumn("duration", F.col("until"))
     return FR.timeline_faults(t, "user_id", "duration").select("user_id", "slide")
 
 
@@ -750,14 +778,41 @@ def _rows(spark, d):
     return G.line_rows(t, 3.0, 20.0)
 
 
-@entry("paragraph_breaks", None)
-def _paragraphs(spark, d):
+def _page_lines(spark, d) -> DataFrame:
     p = F.col("p_partkey")
-    t = read(spark, d, "part").select((p % 20).alias("page"), p.alias("key"), (p % 3 * 20).cast("double").alias("x"), (p / 20 * 14).alias("y"), F.lit(12.0).alias("height"), F.lit(10.0).alias("font_size"), (p % 5 == 0).alias("bold"))
-    return G.paragraphs(t, "page", "key", 6.0).select("key", "paragraph")
+    x = (p * 37 % 700).cast("double")
+    t = read(spark, d, "part").select((p % 20).alias("page"), p.alias("key"), x.alias("x"), (x + F.col("p_size") * 6 + 100).alias("x1"), (F.floor(p / 20) * 300 + p % 7 * 90).cast("double").alias("y"))
+    return t
+
 
+@entry("page_columns", """WITH l AS (SELECT p_partkey AS key, p_partkey % 20 AS page, (p_partkey * 37 % 700)::DOUBLE AS x, p_partkey * 37 % 700 + p_size * 6.0::DOUBLE + 100 AS x1 FROM part),
+t AS (SELECT page, count(*) FILTER (x1 <= 540 AND x < 500) >= greatest(4, round_even(count(*) * 0.14, 0)) AND count(*) FILTER (x >= 460 AND x1 > 500) >= greatest(4, round_even(count(*) * 0.14, 0)) AS two FROM l GROUP BY page)
+SELECT key, CASE WHEN NOT two THEN 'main' WHEN x1 - x >= 620 OR (x < 380 AND x1 > 620) THEN 'full' WHEN x1 <= 540 THEN 'left' WHEN x >= 460 THEN 'right' ELSE 'full' END AS col FROM l JOIN t USING (page)""")
+def _page_columns(spark, d):
+    t = _page_lines(spark, d)
+    return t.join(G.two_columns(t, "page", 1000.0), "page").select("key", G.column_of(F.col("x"), F.col("x1"), 1000.0, F.col("two_column")).alias("col"))
 
-@entry("interval_subtract", None)
+
+@entry("paragraph_breaks", """WITH l AS (SELECT p_partkey AS key, p_partkey % 20 AS page, (p_partkey * 37 % 700)::DOUBLE AS x, (p_partkey // 20 * 300 + p_partkey % 7 * 90)::DOUBLE AS y, CASE WHEN p_partkey % 31 = 0 THEN 13.0 ELSE 10.0 END AS fs,
+  p_partkey % 23 = 0 AS bold, CASE WHEN p_partkey % 3 = 0 THEN 'line ' || p_partkey || '.' WHEN p_partkey % 5 = 0 THEN 'Smith, J.' ELSE 'line ' || p_partkey END AS t, p_partkey % 2 AS col FROM part),
+m AS (SELECT page, quantile_cont(fs, 0.5) AS med FROM l GROUP BY page), h AS (SELECT l.*, med, fs >= med * 1.18 OR bold AS heading FROM l JOIN m USING (page)),
+p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py, lag(fs) OVER w AS pfs, lag(t) OVER w AS pt, lag(heading) OVER w AS ph, lag(col) OVER w AS pc FROM h WINDOW w AS (PARTITION BY page ORDER BY key)),
+n AS (SELECT *, (px IS NULL OR pc <> col OR ph OR heading OR y - py - 240 < -96 OR y - py - 240 > 360 OR abs(fs - pfs) > greatest(1.2, med * 0.16) OR (pt LIKE '%.' AND (x - px > greatest(120, fs * 12) OR t LIKE 'Smith,%')))::INT AS new FROM p)
+SELECT key, sum(new) OVER (PARTITION BY page ORDER BY key)::BIGINT AS paragraph FROM n""")
+def _paragraphs(spark, d):
+    p = F.col("key")
+    text = F.when(p % 3 == 0, F.concat(F.lit("line "), p.cast("string"), F.lit("."))).when(p % 5 == 0, "Smith, J.").otherwise(F.concat(F.lit("line "), p.cast("string")))
+    t = _page_lines(spark, d).select("page", "key", "x", "y", F.lit(240.0).alias("height"), F.when(p % 31 == 0, 13.0).otherwise(10.0).alias("font_size"), (p % 23 == 0).alias("bold"), text.alias("text"), (p % 2).alias("col"))
+    return G.paragraphs(t, "page", "key").select("key", F.col("paragraph").cast("long").alias("paragraph"))
+
+
+@entry("interval_subtract", """WITH r AS (SELECT p_partkey % 50 AS k, p_partkey AS id, (p_partkey % 211)::DOUBLE AS lo, (p_partkey % 211 + p_size)::DOUBLE AS hi FROM part),
+g AS (SELECT DISTINCT s_suppkey % 50 AS k, (s_suppkey * 13 % 211)::DOUBLE AS lo, (s_suppkey * 13 % 211 + 5)::DOUBLE AS hi FROM supplier),
+c AS (SELECT r.k, r.id, r.lo AS rlo, r.hi AS rhi, g.lo, g.hi FROM r JOIN g ON r.k = g.k AND g.lo < r.hi AND g.hi > r.lo),
+e AS (SELECT k, id, rlo AS at, rhi FROM c UNION SELECT k, id, hi, rhi FROM c WHERE hi < rhi),
+s AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.id = e.id AND c.lo <= e.at AND c.hi > e.at)),
+p AS (SELECT s.k, s.id, s.at AS lo, least(s.rhi, coalesce((SELECT min(c.lo) FROM c WHERE c.id = s.id AND c.lo > s.at), s.rhi)) AS hi FROM s)
+SELECT k, id, lo, hi FROM p WHERE hi - lo >= 18 UNION ALL SELECT k, id, lo, hi FROM r WHERE id NOT IN (SELECT id FROM c)""")
 def _subtract(spark, d):
     p = F.col("p_partkey")
     rows = read(spark, d, "part").select((p % 50).alias("k"), p.alias("id"), (p % 211).cast("double").alias("lo"), (p % 211 + F.col("p_size")).cast("double").alias("hi"))

@@ -179,15 +179,16 @@ REFERENCE = r"^[A-Z][A-Za-z'\u2019\-]+(?:,|\s+[A-Z]\.)"
 def paragraphs(lines: DataFrame, page: str, order: str) -> DataFrame:
     """Adds paragraph, 1, 2, ... in a page: a line goes on with the one before in its column unless either is a heading, it
     stands too far below or above, has another size, or the one before ends a sentence and it is indented or begins a
-    reference. lines: x, y, height (in twentieths of a point), font_size, bold, text, col. Nulls in them part lines."""
+    reference. lines: x, y, height (in twentieths of a point), font_size, bold, text, col. A null text is an empty one; other nulls part lines."""
     w = Window.partitionBy(page).orderBy(order)
     size = F.percentile("font_size", F.lit(0.5)).over(Window.partitionBy(page))
-    text = F.trim("text")
+    written = F.coalesce("text", F.lit(""))
+    text = F.trim(written)
     heading = (text != "") & (F.length(text) <= 140) & ((F.col("font_size") >= F.col("__size") * 1.18) | (F.col("bold") & (F.length(text) <= 90)))
     marked = lines.withColumn("__size", size).withColumn("__heading", heading)
     prev = lambda c: F.lag(c).over(w)
     space, tall = F.col("y") - prev("y") - prev("height"), F.greatest(prev("height"), F.col("height"))
-    ended = prev(F.rtrim("text"))
+    ended = prev(F.rtrim(written))
     indented = ended.rlike("[.!?:]$") & (F.col("x") - prev("x") > F.greatest(F.lit(120), F.bround(F.col("font_size") * 12)))
     reference = ended.endswith(".") & text.rlike(REFERENCE)
     near = (space >= -0.4 * tall) & (space <= F.greatest(F.lit(360), F.bround(tall * 1.35)))

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.values import natural_key
 from .ranks import numbered
@@ -111,6 +112,28 @@ def best_quality(sizes: DataFrame, key: str, quality: str, size: str, target: in
     return s.groupBy(key).agg(F.coalesce(F.max(F.when(F.col(size) <= target, F.col(quality))), F.min(quality)).alias(quality))
 
 
+def inline_matches(placements: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
+    """page, ord, block: each placed image (ord, x0, y0, x1, y1, width, height), in order, with the decoded block (block and
+    the same) that no earlier one took and whose box differs by 0.05 at most: one of the same size first, then the nearest
+    size, then the first. A placement without one has null. A block without a size has 1 by 1. The images of a page are
+    matched in one task."""
+    box = ("x0", "y0", "x1", "y1")
+    size = lambda c: F.greatest(F.lit(1), F.coalesce(c, F.lit(1)))
+    b = blocks.select(page, "block", *(F.col(c).alias(f"b{c}") for c in box), size(F.col("width")).alias("bw"), size(F.col("height")).alias("bh"))
+    far = F.greatest(*(F.abs(F.col(c) - F.col(f"b{c}")) for c in box))
+    off = F.abs(F.col("bw") - F.col("width")) + F.abs(F.col("bh") - F.col("height"))
+    near = placements.join(b, page).filter(far <= 0.05).groupBy(page, "ord").agg(F.array_sort(F.collect_list(F.struct(off.alias("off"), "block"))).alias("near"))
+    g = placements.join(near, [page, "ord"], "left").groupBy(page).agg(F.array_sort(F.collect_list(F.struct("ord", "near"))).alias("all"))
+    empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("ord", placements.schema["ord"].dataType), T.StructField("block", blocks.schema["block"].dataType)])))
+
+    def take(found: Column, x: Column) -> Column:
+        taken = F.transform(found, lambda f: f["block"])
+        free = F.filter(x["near"], lambda n: ~F.coalesce(F.array_contains(taken, n["block"]), F.lit(False)))
+        return F.array_append(found, F.struct(x["ord"].alias("ord"), F.get(free, F.lit(0))["block"].alias("block")))
+
+    return g.select(page, F.inline(F.aggregate("all", empty, take)))
+
+
 def crossfade(slides: DataFrame, order: str, fps: int, duration: float, fade: float) -> DataFrame:
     """Frames of a slideshow: frame, slide, next_slide, alpha of the next one."""
     hold, k = max(1, round(duration * fps)), max(0, round(fade * fps))

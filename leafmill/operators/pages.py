@@ -85,6 +85,26 @@ def text_of_documents(pages: DataFrame, doc: str, page: str, text: str) -> DataF
     return got.select(doc, F.array_join(F.transform("__pages", lambda x: x["t"]), "\n\f\n").alias("text"), F.slice(F.transform(blank, lambda x: x["p"]), 1, 10).alias("blank_pages"), (F.size(blank) == F.size("__pages")).alias("all_blank"))
 
 
+def blank_matches(documents: DataFrame, doc: str) -> DataFrame:
+    """doc, source_page, rendered_page: blank pages of a source (0, 1, ...) with blank pages of its rendering, in order and
+    one to one. Each takes the nearest to where it should be by the page counts that comes after the last one taken and is
+    within two pages, the counts' difference and two, or 4 percent; the earlier of two as near. documents: source_blank and
+    rendered_blank (arrays), source_pages and rendered_pages; one of nulls matches nothing."""
+    sources = F.array_sort(F.array_distinct(F.array_compact("source_blank")))
+    within = F.greatest(F.lit(2.0), F.abs(F.col("rendered_pages") - F.col("source_pages")) + 2.0, F.col("rendered_pages") * 0.04)
+    none = F.array().cast("array<struct<source_page:int,rendered_page:int>>")
+
+    def take(found: Column, page: Column) -> Column:
+        due = (page + 0.5) / F.greatest(F.lit(1), F.col("source_pages")) * F.col("rendered_pages") - 0.5
+        last = F.when(F.size(found) > 0, F.element_at(found, -1)["rendered_page"]).otherwise(-1)
+        free = F.filter(F.array_compact("rendered_blank"), lambda r: (r > last) & (F.abs(r - due) <= F.col("__within")))
+        best = F.array_min(F.transform(free, lambda r: F.struct(F.abs(r - due).alias("off"), r.cast("int").alias("r"))))["r"]
+        return F.when(F.size(free) > 0, F.array_append(found, F.struct(page.cast("int").alias("source_page"), best.alias("rendered_page")))).otherwise(found)
+
+    d = documents.withColumn("__within", within)
+    return d.withColumn("__m", F.aggregate(sources, none, take)).select(doc, F.inline("__m"))
+
+
 def watermark_grid(count: int, width: float, height: float) -> list[tuple[float, float]]:
     """Centres of `count` marks tiled over a page: the grid whose shape is nearest to the page's."""
     import math

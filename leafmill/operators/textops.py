@@ -38,6 +38,20 @@ def word_recall_by_rows(pairs: DataFrame, key: str, source: str = "source", outp
     return pairs.select(key).join(got, key, "left").select(key, F.coalesce("word_recall", F.lit(1.0)).alias("word_recall"))
 
 
+def block_pair_recall(blocks: DataFrame, outputs: DataFrame, key: str, text: str = "text", output: str = "output") -> DataFrame:
+    """key and pair_recall of outputs (key, output): the share of the neighbouring words within each block (key, text) of
+    the source, none across blocks, that the output has as often; 1 without any. Pairs are rows, counted with partial
+    aggregates, so a text may be of any length. Nulls are empty texts."""
+
+    def counts(rows: DataFrame, column: str, name: str) -> DataFrame:
+        words = rows.select(key, english_words(F.coalesce(F.col(column), F.lit(""))).alias("w"))
+        return words.select(key, F.explode(pairs_of(F.col("w"))).alias("w")).groupBy(key, "w").agg(F.count("*").alias(name))
+
+    both = counts(blocks, text, "a").join(counts(outputs, output, "b"), [key, "w"], "left")
+    got = both.groupBy(key).agg((F.sum(F.least("a", F.coalesce("b", F.lit(0)))) / F.sum("a")).alias("pair_recall"))
+    return outputs.select(key).join(got, key, "left").select(key, F.coalesce("pair_recall", F.lit(1.0)).alias("pair_recall"))
+
+
 def gate(kind: str) -> Column:
     """pass, warn or fail of the recalls of integrity()."""
     least, fine = GATES[kind]

@@ -110,7 +110,7 @@ image.remove_background | hidden | external |
 image.heic | hidden | external | format:choice=jpg{jpg/png}
 image.raw | hidden | external | format:choice=jpg{jpg/png}
 image.svg | hidden | external | format:choice=png{png/jpg}, scale:number=2[0.1..20]
-video.extract_slides_ppt | core | operators.frames.segments | scan_mode:choice=accurate{accurate/balanced/fast}, change_sensitivity:choice=balanced{conservative/balanced/sensitive}, crop_mode:choice=auto{auto/full/custom}, crop_rect:region, watermark_search:choice=auto{auto/top/bottom/full/custom/off}, watermark_rect:region, watermark_text_hint:text, annotation_color_mode:choice=auto{auto/manual/off}, annotation_colors:colors=#00AEEF, annotation_color_tolerance:integer=24[0..100], fixed_watermark_regions:region, fixed_watermark_fill:choice=temporal{temporal/background/color}, fixed_watermark_fill_color:color=#FFFFFF, presenter_policy:choice=auto_crop{auto_crop/keep/right_bottom/custom}, presenter_rect:region, enhancement_mode:choice=auto{auto/compatible/gpu_ai/off}, keep_images:boolean=True, keep_report:boolean=True
+video.extract_slides_ppt | core | operators.scans.slides | scan_mode:choice=accurate{accurate/balanced/fast}, change_sensitivity:choice=balanced{conservative/balanced/sensitive}, crop_mode:choice=auto{auto/full/custom}, crop_rect:region, watermark_search:choice=auto{auto/top/bottom/full/custom/off}, watermark_rect:region, watermark_text_hint:text, annotation_color_mode:choice=auto{auto/manual/off}, annotation_colors:colors=#00AEEF, annotation_color_tolerance:integer=24[0..100], fixed_watermark_regions:region, fixed_watermark_fill:choice=temporal{temporal/background/color}, fixed_watermark_fill_color:color=#FFFFFF, presenter_policy:choice=auto_crop{auto_crop/keep/right_bottom/custom}, presenter_rect:region, enhancement_mode:choice=auto{auto/compatible/gpu_ai/off}, keep_images:boolean=True, keep_report:boolean=True
 video.repair_slides_ppt | core | operators.frames.apply_plan | repair_plan:text*
 image.to_video | core | operators.media.crossfade | filename:text=图片视频*, slide_duration:number=3[0.1..3600], fps:integer=30[1..120], resolution:choice=1080p, transition:choice=fade{none/fade}, transition_duration:number=0.5[0..30], background:color=black, audio_path:path, quality:integer=18[0..40]
 pdf.to_video | core | operators.media.crossfade | dpi:integer=240[150..600], password:password, slide_duration:number=3[0.1..3600], fps:integer=30[1..120], resolution:choice=1080p, transition:choice=fade{none/fade}, transition_duration:number=0.5[0..30], background:color=black, audio_path:path, quality:integer=18[0..40]
@@ -229,6 +229,14 @@ def parameters(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "id string, ord int, name string, kind string, default string, required boolean, least double, most double, choices array<string>")
 
 
+def listing(table: DataFrame, family: str | None = None, ready: bool | None = None, query: str = "") -> DataFrame:
+    """catalog() by family, by whether operators run here, and by search()."""
+    kept = table if family is None else table.filter(F.col("family") == family)
+    if ready is not None:
+        kept = kept.filter((F.col("capability") == "ready") == ready)
+    return search(kept, query).orderBy("id")
+
+
 def search(table: DataFrame, query: str, columns: tuple[str, ...] = ("id", "family", "function")) -> DataFrame:
     """Rows that hold the query, or each of its words, without regard to case."""
     hay = F.lower(F.concat_ws(" ", *columns))

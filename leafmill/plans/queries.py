@@ -16,6 +16,7 @@ from ..operators import frames as FR
 from ..operators import geometry as G
 from ..operators import media as M
 from ..operators import pages as P
+from ..operators import scans as SC
 from ..operators import sheets as S
 from ..operators import textops as TX
 from ..operators.ranks import numbered
@@ -336,6 +337,20 @@ def _outside_of(spark, d, parts: DataFrame) -> DataFrame:
     return P.outside_tables(c, t).select("l_orderkey", "l_linenumber")
 
 
+@entry("blank_matches", None)
+def _blank_matches(spark, d):
+    t = read(spark, d, "lineitem").groupBy((F.col("l_orderkey") % 500).alias("doc")).agg(F.collect_set(F.when(F.col("l_linenumber") < 3, F.col("l_partkey") % 60)).alias("source_blank"), F.collect_set(F.when(F.col("l_linenumber") > 2, F.col("l_suppkey") % 64)).alias("rendered_blank"))
+    return P.blank_matches(t.withColumns({"source_pages": F.lit(60), "rendered_pages": F.lit(64)}), "doc")
+
+
+@entry("inline_matches", None)
+def _inline_matches(spark, d):
+    k = F.col("p_partkey")
+    box = [((k % 5) * 0.03 + i).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))]
+    t = read(spark, d, "part").select((k % 97).alias("page"), k.alias("ord"), *box, (F.col("p_size") % 4).alias("width"), (F.col("p_size") % 3).alias("height"))
+    return M.inline_matches(t.filter(F.col("ord") % 2 == 0), t.filter(F.col("ord") % 2 == 1).withColumnRenamed("ord", "block"), "page")
+
+
 # ---- text ------------------------------------------------------------------------------------------------------------
 
 
@@ -448,6 +463,27 @@ def _gates(spark, d):
     return p.select("item_id", TX.gate("editable").alias("editable"), TX.gate("hybrid").alias("hybrid"), TX.verdict().alias("rewrite"))
 
 
+_MIXED = "regexp_extract_all(regexp_replace(regexp_replace(text, '([A-Za-z])[-‐‑][\\s\\pZ]*([A-Za-z])', '\\1\\2', 'g'), '([A-Za-z])[-‐‑][\\s\\pZ]*([A-Za-z])', '\\1\\2', 'g'), '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*|[\\x{3400}-\\x{9fff}]')"
+
+
+@entry("mixed_words", f"SELECT doc_id, len(w) AS n_words, lower(array_to_string(w, ' ')) AS words FROM (SELECT doc_id, {_MIXED} AS w FROM documents)")
+def _mixed_words(spark, d):
+    w = X.mixed_words(F.col("text"))
+    return read(spark, d, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("words"))
+
+
+_TURNS = "WITH b AS (SELECT conv_id, turn, " + _WORDS_SQL.format("text") + " AS w FROM conversations), o AS (SELECT conv_id, " + _WORDS_SQL.format("replace(string_agg(text, ' ' ORDER BY turn, text), 'an', 'na')") + " AS w FROM conversations GROUP BY conv_id), "
+_NEXT = "unnest(list_transform(list_zip(w[:-2], w[2:]), lambda z: z[1] || ' ' || z[2])) AS v"
+
+
+@entry("block_pair_recall", _TURNS + f"x AS (SELECT conv_id, {_NEXT} FROM b), y AS (SELECT conv_id, {_NEXT} FROM o), cx AS (SELECT conv_id, v, count(*) AS n FROM x GROUP BY ALL), cy AS (SELECT conv_id, v, count(*) AS n FROM y GROUP BY ALL), r AS (SELECT conv_id, sum(least(cx.n, coalesce(cy.n, 0))) / sum(cx.n) AS recall FROM cx LEFT JOIN cy USING (conv_id, v) GROUP BY conv_id) SELECT conv_id, round(coalesce(recall, 1.0), 9) AS recall FROM o LEFT JOIN r USING (conv_id)")
+def _block_pairs(spark, d):
+    c = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    out = whole.select("conv_id", F.replace(F.array_join(F.transform("t", lambda x: x["text"]), " "), F.lit("an"), F.lit("na")).alias("output"))
+    return TX.block_pair_recall(c, out, "conv_id").select("conv_id", F.round("pair_recall", 9).alias("recall"))
+
+
 @entry("suspicious_chars", "SELECT doc_id, regexp_matches(text, '[\\x{FFFD}\\p{Co}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x{9F}]') AS suspicious FROM documents")
 def _suspicious(spark, d):
     return read(spark, d, "documents").select("doc_id", X.suspicious(F.col("text")).alias("suspicious"))
@@ -698,6 +734,16 @@ def _repair(spark, d):
     return FR.apply_plan(p, a)
 
 
+@entry("video_slides", None)
+def _video_slides(spark, d):
+    k, v = F.col("vec_id"), F.col("embedding")
+    pixel = lambda x: F.lpad(F.hex(F.pmod((x * 1000).cast("int"), F.lit(256))), 2, "0")
+    drawn = lambda x: F.when(x > 0, "01").otherwise("00")
+    image = lambda one: F.unhex(F.array_join(F.transform(v, one), ""))
+    t = read(spark, d, "embeddings").select((k % 50).alias("seq"), (F.floor(k / 50) * 0.5).alias("ts"), F.lit(8).alias("width"), F.lit(8).alias("height"), image(pixel).alias("gray"), image(drawn).alias("edges"), FR.hash_bits(v).alias("hash"))
+    return SC.slides(t)
+
+
 # ---- geometry --------------------------------------------------------------------------------------------------------
 
 
@@ -843,6 +889,12 @@ def _clock(spark, d):
     return read(spark, d, "supplier").select("s_suppkey", V.clock(F.col("s_suppkey") * F.lit(1234) / F.lit(1000.0)).alias("clock"))
 
 
+@entry("clock_ranges", "WITH m AS (SELECT s_suppkey, greatest(0, s_suppkey * 1234 - 9000) AS a, s_suppkey * 1234 + 61500 AS b FROM supplier), c AS (SELECT s_suppkey, unnest([a, b]) AS ms, unnest([0, 1]) AS side FROM m) SELECT s_suppkey, string_agg(lpad((ms // 3600000)::VARCHAR, 2, '0') || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((ms % 1000)::VARCHAR, 3, '0'), '–' ORDER BY side) AS times FROM c GROUP BY s_suppkey")
+def _clock_ranges(spark, d):
+    start = (F.col("s_suppkey") * 1234 - 9000) / F.lit(1000.0)
+    return read(spark, d, "supplier").select("s_suppkey", V.clock_range(start, F.col("s_suppkey") * 1.234 + 61.5).alias("times"))
+
+
 @entry("clock_parse", "SELECT s_suppkey, (s_suppkey % 24 * 3600 + s_suppkey % 60 * 60 + s_suppkey % 59)::DOUBLE AS seconds FROM supplier")
 def _parse(spark, d):
     k = F.col("s_suppkey")

@@ -14,6 +14,7 @@ from leafmill.operators import geometry as G
 from leafmill.operators import media as M
 from leafmill.operators import pages as P
 from leafmill.operators import sheets as S
+from leafmill.operators import textops as TX
 from leafmill.plans import catalog, runner
 from leafmill.sources import ooxml
 
@@ -227,3 +228,100 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["at"] for r in spark.sql("SELECT at FROM found ORDER BY at").collect()] == [1.0, 4.0]
+
+
+def test_words_and_repair(spark):
+    rows = [("well-\nknown a-b-c don't 中文ab", ["wellknown", "abc", "don't", "中", "文", "ab"]), ("Ａ x- 1", ["x", "1"]), ("", []), (None, None)]
+    t = spark.createDataFrame([(a,) for a, _ in rows], "s string")
+    assert [r[0] for r in t.select(X.mixed_words(F.col("s"))).collect()] == [b for _, b in rows]
+    wrong = {"wellＧknown": "well-known", "itＧ s": "it- s", "a \U001001b3b": "a 'b", "Ｇ": "Ｇ", "1Ｇa": "1Ｇa", "aＧ": "aＧ", "aＧbＧc": "a-b-c", "a\u00a0Ｇb": "a\u00a0-b", "中Ｇa": "中Ｇa"}
+    t = spark.createDataFrame([(a,) for a in wrong], "s string")
+    assert [r[0] for r in t.select(X.repaired_words(F.col("s"))).collect()] == list(wrong.values())
+
+
+def test_backed_fragment(spark):
+    page = "the quick brown fox jumps over the lazy dog"
+    rows = [("quick brown fox jumps", True), ("short", False), ("quick brown fox jumps 3 / 9", False), ("nothing of this text is there", False), (None, False), ("PAGE 3 quick brown fox jumps", False)]
+    t = spark.createDataFrame([(a, ["", " ", page]) for a, _ in rows], "s string, p array<string>")
+    assert [r[0] for r in t.select(X.backed_fragment(F.col("s"), F.col("p"))).collect()] == [b for _, b in rows]
+
+
+def test_block_pairs(spark):
+    blocks = spark.createDataFrame([(1, "a b"), (1, "b c"), (2, "a b"), (2, "c d"), (3, "a"), (4, None), (5, "a b a b")], "k int, text string")
+    outputs = spark.createDataFrame([(1, "a b c"), (2, "b c d"), (3, "x"), (4, ""), (5, "a b"), (6, None)], "k int, output string")
+    got = {r["k"]: r["pair_recall"] for r in TX.block_pair_recall(blocks, outputs, "k").collect()}
+    assert got == {1: 1.0, 2: 0.5, 3: 1.0, 4: 1.0, 5: pytest.approx(1 / 3), 6: 1.0}
+
+
+def test_json_and_intervals(spark):
+    from collections import OrderedDict
+    from dataclasses import dataclass
+    from pathlib import PurePosixPath
+
+    @dataclass
+    class Point:
+        x: int
+        p: object
+
+    assert V.json_safe({1: Point(2, PurePosixPath("a/b")), "n": float("nan"), "s": {2, 1}, "t": (1, OrderedDict(a=None))}) == {"1": {"x": 2, "p": "a/b"}, "n": None, "s": [1, 2], "t": [1, {"a": None}]}
+    assert V.json_object('{"a": 1}') == {"a": 1} and V.json_records('[{"a": 1}]') == [{"a": 1}] and V.json_records("{}") == {}
+    for bad in ("[1]", "3", "x"):
+        with pytest.raises(ValueError):
+            V.json_records(bad)
+        with pytest.raises(ValueError):
+            V.json_object(bad)
+    r = spark.sql("SELECT interval '1 02:00:00.5' day to second AS i, -1.0D AS a, cast(null AS double) AS b").select(V.interval_seconds(F.col("i")), V.clock_range(F.col("a"), F.col("b"))).first()
+    assert tuple(r) == (93600.5, "00:00:00.000–00:00:00.000")
+
+
+def test_blank_matches(spark):
+    rng = random.Random(2)
+    docs = []
+    for i in range(300):
+        n, m = rng.randrange(1, 90), rng.randrange(1, 90)
+        docs.append((i, [rng.randrange(n) for _ in range(rng.randrange(6))], [rng.randrange(m) for _ in range(rng.randrange(9))], n, m))
+    docs.append((900, None, [1], 3, 3))
+    docs.append((901, [1], [None, 1], 3, 3))
+    want = [(901, 1, 1)]
+    for i, a, b, n, m in docs[:-2]:
+        last = -1
+        for page in sorted(set(a)):
+            due = (page + 0.5) / max(1, n) * m - 0.5
+            free = [r for r in sorted(set(b)) if r > last and abs(r - due) <= max(2, abs(m - n) + 2, m * 0.04)]
+            if free:
+                last = min(free, key=lambda r: abs(r - due))
+                want.append((i, page, last))
+    t = spark.createDataFrame(docs, "doc int, source_blank array<int>, rendered_blank array<int>, source_pages int, rendered_pages int")
+    assert sorted(tuple(r) for r in P.blank_matches(t, "doc").collect()) == sorted(want)
+
+
+def test_inline_matches(spark):
+    rng = random.Random(3)
+    image = lambda: (*[i + rng.randrange(4) * 0.03 for i in range(4)], rng.randrange(1, 4), rng.randrange(1, 3))
+    placed = [(rng.randrange(12), i, *image()) for i in range(90)]
+    blocks = [(rng.randrange(11), i, *image()) for i in range(90)]
+    used, want = set(), {}
+    for page, o, *p in placed:
+        near = [(abs(b[4] - p[4]) + abs(b[5] - p[5]), k) for q, k, *b in blocks if q == page and k not in used and max(abs(x - y) for x, y in zip(b[:4], p[:4])) <= 0.05]
+        want[o] = min(near)[1] if near else None
+        used.add(want[o])
+    schema = "page int, {} int, x0 double, y0 double, x1 double, y1 double, width int, height int"
+    got = M.inline_matches(spark.createDataFrame(placed, schema.format("ord")), spark.createDataFrame(blocks, schema.format("block")), "page")
+    assert {r["ord"]: r["block"] for r in got.collect()} == want and any(want.values())
+
+
+def test_listing(spark):
+    t = catalog.catalog(spark)
+    ready = catalog.listing(t, "image", True)
+    assert {r["family"] for r in ready.collect()} == {"image"} and {r["capability"] for r in ready.collect()} == {"ready"}
+    assert catalog.listing(t).count() == 101 and catalog.listing(t, query="no such operator").count() == 0
+
+
+def test_paragraph_edges(spark):
+    schema = "page int, key int, x double, y double, height double, font_size double, bold boolean, text string, col string"
+    line = lambda k, y, text="words", size=10.0, col="main", x=0.0, bold=False: (1, k, x, float(y), 240.0, size, bold, text, col)
+    rows = [line(1, 0), line(2, 300), line(3, 1000), line(4, 1300, size=12.0), line(5, 1600), line(6, 1900, "ended."), line(7, 2200, x=130.0), line(8, 2500, "ended."), line(9, 2800, "Smith, J. 2001"), line(10, 3100, None), line(11, 3400, col="left"), line(12, 3700, col="left", bold=None)]
+    t = G.paragraphs(spark.createDataFrame(rows, schema), "page", "key").orderBy("key")
+    assert [r["paragraph"] for r in t.collect()] == [1, 1, 2, 3, 4, 4, 5, 5, 6, 6, 7, 8]
+    empty = spark.createDataFrame([], schema)
+    assert G.paragraphs(empty, "page", "key").count() == 0

@@ -5,6 +5,7 @@ group's rows in time order (applyInPandas), everything else is windows and aggre
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 import pandas as pd
@@ -16,6 +17,14 @@ from ..functions.text import let
 TICKS = {"accurate": 0.5, "balanced": 1.0, "fast": 2.0}  # fixed values: seconds between samples
 MOST_SAMPLES = 6000
 
+# Fixed values, in seconds: the longest and the usual step within a still stretch, its least length, that of a last one;
+# and the median deviation, in grey levels, up to which a pixel is stable.
+LONGEST_GAP, DENSE_GAP, LEAST_STILL, LEAST_END = 1.05, 0.30, 0.55, 0.32
+STEADY = 5.5
+BIN = 3.0  # above the longest stretch, so that one begins and ends in the same bin or in neighbouring ones
+
+Step = Callable[[Column, Column], Column]
+
 
 def sample_ticks(frames: DataFrame, seq: str, ts: str, mode: str = "balanced", most: int = MOST_SAMPLES) -> DataFrame:
     """The first frame at or after each tick of a sequence; ticks widen so that there are `most` at most. ts: seconds."""
@@ -99,14 +108,46 @@ def merge_segments(segs: DataFrame, seq: str, least: int = 2, near: float = 0.0)
     return segs.groupBy(seq).applyInPandas(_merge(least, near), segs.schema)
 
 
-def stability(candidates: DataFrame, seq: str, ts: str, quiet: str, span: int = 3) -> DataFrame:
-    """Adds support: in how many windows of `span` neighbours, all joined by quiet steps, a candidate lies. quiet: whether
-    the step from the candidate before is quiet."""
-    w = Window.partitionBy(seq).orderBy(ts)
-    steps = F.sum(F.coalesce(F.col(quiet).cast("int"), F.lit(0))).over(w.rowsBetween(-(span - 2), 0))
-    there = F.count("*").over(w.rowsBetween(-(span - 1), 0)) == span
-    c = candidates.withColumn("__ends", ((steps == span - 1) & there).cast("int"))
-    return c.withColumn("support", F.sum("__ends").over(w.rowsBetween(0, span - 1))).drop("__ends")
+def stable_support(candidates: DataFrame, seq: str, ts: str, quiet: Step, strict: Step, *tie: str) -> DataFrame:
+    """Adds support (long): in how many still stretches of its sequence a candidate lies.
+
+    quiet and strict take two candidates as structs and tell whether little changed from the first to the second. A step is
+    still if it is quiet and no longer than the sequence's cadence allows. A stretch has three candidates or more, lasts
+    from LEAST_STILL to a bound by the cadence, all its steps but the first are still, and strict holds for its two ends.
+    A sequence with any stretch counts its last four candidates once more if they are a short stretch, and its last two if
+    the step between them is still. Candidates without seq or time have no support; those of one time are in order of `tie`.
+
+    Stretches are found by joining starts and ends within runs of still steps and spans of BIN seconds; support is a
+    running sum of starts and ends, so no stretch is expanded into its members."""
+    order = Window.partitionBy(seq).orderBy(ts, *tie)
+    whole = Window.partitionBy(seq)
+    step = F.col(ts) - F.lag(ts).over(order)
+    c = candidates.withColumns({"__c": F.struct(*candidates.columns), "__n": F.row_number().over(order), "__gap": step})
+    cadence = F.percentile(F.when(F.col("__gap") > 1e-6, F.col("__gap")), F.lit(0.3)).over(whole)
+    c = c.withColumn("__reach", F.coalesce(F.least(F.lit(LONGEST_GAP), F.greatest(F.lit(DENSE_GAP), cadence * 2.25)), F.lit(DENSE_GAP)))
+    still = (F.col("__gap") > 1e-6) & (F.col("__gap") <= F.col("__reach") + 1e-6) & quiet(F.lag("__c").over(order), F.col("__c"))
+    c = c.withColumn("__still", F.coalesce(still, F.lit(False)))
+    c = c.withColumn("__run", F.sum((~F.col("__still")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+    c = c.withColumn("__next", F.lead("__run").over(order))
+    span = F.floor(F.col(ts) / BIN)
+    widest = F.greatest(F.lit(1.15), F.least(F.lit(2.5), F.col("__reach") * 2.2))
+    starts = c.select(F.col(seq).alias("seq"), F.col("__next").alias("run"), F.explode(F.array(span, span + 1)).alias("span"), F.col("__n").alias("a"), F.col(ts).alias("ta"), widest.alias("widest"), F.col("__c").alias("ca"))
+    ends = c.select(F.col(seq).alias("seq"), F.col("__run").alias("run"), span.alias("span"), F.col("__n").alias("b"), F.col(ts).alias("tb"), F.col("__c").alias("cb"))
+    lasting = (F.col("tb") - F.col("ta")).between(F.lit(LEAST_STILL), F.col("widest"))
+    found = starts.join(ends, ["seq", "run", "span"]).filter((F.col("b") >= F.col("a") + 2) & lasting & strict(F.col("ca"), F.col("cb")))
+    turns = found.select("seq", F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("n"), F.lit(-1).alias("d")))).alias("x"))
+    turns = turns.groupBy(F.col("seq").alias("__seq"), F.col("x.n").alias("__at")).agg(F.sum("x.d").alias("__turn"))
+
+    c = c.join(turns, (F.col(seq) == F.col("__seq")) & (F.col("__n") == F.col("__at")), "left")
+    c = c.withColumn("__support", F.sum(F.coalesce("__turn", F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    left = F.count("*").over(whole) - F.col("__n")  # how many come after
+    short = (F.sum(F.col("__still").cast("int")).over(order.rowsBetween(-2, 0)) == 3) & (F.col(ts) - F.lag(ts, 3).over(order) >= LEAST_END) & strict(F.lag("__c", 3).over(order), F.col("__c"))
+    c = c.withColumns({"__left": left, "__short": F.coalesce(short, F.lit(False))})
+    at_end = lambda flag: F.max(F.when(F.col("__left") == 0, F.col(flag))).over(whole)
+    extra = (at_end("__short") & (F.col("__left") < 4)).cast("int") + (at_end("__still") & (F.col("__left") < 2)).cast("int")
+    support = F.col("__support") + F.when(F.max("__support").over(whole) > 0, extra).otherwise(0)
+    return c.withColumn("support", support.cast("long")).select(*candidates.columns, "support")
 
 
 def choose(candidates: DataFrame, group: str, score: str, support: str, ts: str, near: float = 0.0035) -> DataFrame:
@@ -212,13 +253,41 @@ def modal_medoid(samples: DataFrame, keys: list[str], value: str, order: str, bi
     return inside.groupBy(*keys).agg(F.min(F.struct(off.alias("o"), F.col(order), F.col(value).alias("v"))).alias("__b")).select(*keys, F.col("__b.v").alias(value))
 
 
-def fuse(samples: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per pixel the mean of the values within three deviations of the median."""
-    med = samples.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("__m"))
-    j = samples.join(med, keys)
-    mad = j.withColumn("__d", F.abs(F.col(value) - F.col("__m"))).groupBy(*keys).agg(F.percentile("__d", F.lit(0.5)).alias("__mad"))
-    k = j.join(mad, keys).filter(F.abs(F.col(value) - F.col("__m")) <= F.greatest(F.lit(1.0), 3 * F.col("__mad")))
-    return k.groupBy(*keys).agg(F.avg(value).alias(value))
+def _median(x: Column) -> Column:
+    """The median of an array."""
+    return let(F.array_sort(x), lambda v: (F.get(v, F.floor((F.size(v) - 1) / 2).cast("int")) + F.get(v, F.floor(F.size(v) / 2).cast("int"))) / 2)
+
+
+def fuse(samples: DataFrame, keys: Sequence[str], frame: str, channels: Sequence[str], sharp: str, edge: str) -> DataFrame:
+    """One row for each pixel (keys) with its channels made of all its frames, stable, and total, the sum of the frames' weights.
+
+    A frame's deviation is the mean distance of its channels from their medians. A pixel is stable if the median deviation is
+    small. Frames weigh less the more they deviate; the pixel is their weighted mean, and with the share `edge` (0 to 1, the
+    pixel's greatest) the frame that is sharpest among those that agree, the earliest of equals. Channels are within 0 and
+    255, not yet whole numbers, and null where a pixel is not stable or weighs too little: there the original stays.
+
+    The frames of a pixel are held in a row: take a dozen a recording, as values.even_picks chooses them. Samples with null
+    in a channel are left out; an unknown sharpness is the least, an unknown edge is 0."""
+    known = samples.dropna(subset=list(channels))
+    names = [f"v{i}" for i in range(len(channels))]
+    values = [F.col(c).cast("double").alias(n) for c, n in zip(channels, names)]
+    one = F.struct(F.col(frame).alias("at"), F.coalesce(F.col(sharp).cast("double"), F.lit(-1.0)).alias("sharp"), *values)
+    g = known.groupBy(*keys).agg(F.array_sort(F.collect_list(one)).alias("__f"), F.coalesce(F.max(edge), F.lit(0)).alias("__edge"))
+    g = g.withColumns({f"__m_{n}": _median(F.col("__f")[n]) for n in names})
+    off = lambda x: sum((F.abs(x[n] - F.col(f"__m_{n}")) for n in names), F.lit(0.0)) / len(names)
+    g = g.withColumn("__off", F.transform("__f", off)).withColumn("__mad", _median(F.col("__off")))
+    g = g.withColumn("__w", F.transform("__off", lambda d: 1 / (1 + (d / 4) * (d / 4))))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
+    agrees = F.greatest(F.lit(7.0), F.col("__mad") * 2.5 + 2)
+    rated = F.transform("__f", lambda x, i: F.struct(F.when(F.get("__off", i) <= agrees, x["sharp"]).otherwise(-2.0).alias("s"), (-i).alias("i")))
+    g = g.withColumns({"total": add(F.col("__w")), "stable": F.col("__mad") <= STEADY, "__best": -F.array_max(rated)["i"]})
+    usable = F.col("stable") & (F.col("total") >= 1.5)
+    out = []
+    for c, n in zip(channels, names):
+        mean = add(F.zip_with("__w", F.col("__f")[n], lambda w, v: w * v)) / F.greatest("total", F.lit(1e-6))
+        mixed = mean * (1 - F.col("__edge")) + F.get(F.col("__f")[n], F.col("__best")) * F.col("__edge")
+        out.append(F.when(usable, F.greatest(F.lit(0.0), F.least(F.lit(255.0), mixed))).alias(c))
+    return g.select(*keys, *out, "stable", "total")
 
 
 def presenter(pairs: DataFrame, seq: str) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranks import checkpoints
 
+# Least width of a table's rules on a page, and how alike in width, near in centre (of the page's width),
+# overlapping and near in height (of the page's height) rules of one table are.
+RULE = {"share": 0.25, "alike": 0.70, "centre": 0.08, "overlap": 0.75, "gap": 0.30}
+
 
 def gap(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     """Space between two intervals on an axis, 0 if they touch."""
@@ -107,6 +113,104 @@ def subtract_intervals(rows: DataFrame, gone: DataFrame, key: str, lo: str, hi:
     return lists.select(key, "id", F.inline(parts))
 
 
+def _boxes_of(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """x0, y0, x1, y1 (ends exclusive) and pixels of the connected parts, by runs of set pixels that touch runs of the row above."""
+    padded = np.zeros((mask.shape[0], mask.shape[1] + 2), np.int8)
+    padded[:, 1:-1] = mask
+    turn = np.diff(padded, axis=1)
+    rows, begin = np.nonzero(turn == 1)
+    end = np.nonzero(turn == -1)[1]
+    first = np.searchsorted(rows, np.arange(mask.shape[0] + 1))
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for y in range(1, mask.shape[0]):
+        above, here = int(first[y - 1]), int(first[y])
+        while above < first[y] and here < first[y + 1]:
+            if begin[here] <= end[above] and begin[above] <= end[here]:  # a corner is enough
+                a, b = root(above), root(here)
+                parent[max(a, b)] = min(a, b)
+            if end[above] < end[here]:
+                above += 1
+            else:
+                here += 1
+    parts: dict[int, list[int]] = {}
+    for i in range(len(rows)):
+        y, x0, x1 = int(rows[i]), int(begin[i]), int(end[i])
+        p = parts.setdefault(root(i), [x0, y, x1, y + 1, 0])
+        p[:] = min(p[0], x0), p[1], max(p[2], x1), y + 1, p[4] + x1 - x0
+    return [tuple(parts[k]) for k in sorted(parts)]
+
+
+def connected_boxes(masks: DataFrame) -> DataFrame:
+    """key, part (0, 1, ...), x0, y0, x1, y1 (ends exclusive), pixels: the parts of each mask whose set pixels touch, by
+    sides or corners, in order of their first pixel from the top left.
+
+    masks: key, width, height and mask (a byte for each pixel, set if not 0). One mask is one row's work. A mask without set
+    pixels has no parts, nor has one that is null or not of its size."""
+    names = ("part", "x0", "y0", "x1", "y1", "pixels")
+    schema = T.StructType([T.StructField("key", masks.schema["key"].dataType), *(T.StructField(n, T.IntegerType()) for n in names)])
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for key, w, h, m in zip(b.key, b.width, b.height, b["mask"]):
+                if m is not None and w == w and h == h and len(m) == w * h > 0:
+                    found = _boxes_of(np.frombuffer(m, np.uint8).reshape(int(h), int(w)) > 0)
+                    rows += [(key, i, *box) for i, box in enumerate(found)]
+            yield pd.DataFrame(rows, columns=["key", *names])
+
+    return masks.select("key", "width", "height", "mask").mapInPandas(run, schema)
+
+
+def _rule_groups(least: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide, high = max(1.0, float(pdf.page_width.max())), max(1.0, float(pdf.page_height.max()))
+        r = pdf[pdf.x1 - pdf.x0 >= max(96.0, wide * RULE["share"])]
+        x0, y0, x1, y1 = (r[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
+        order = np.lexsort((r.key.to_numpy(), x0, (y0 + y1) / 2))
+        x0, y0, x1, y1 = x0[order], y0[order], x1[order], y1[order]
+        width, middle = np.maximum(1.0, x1 - x0), (x0 + x1) / 2
+        group = np.full(len(r), -1)
+        for seed in range(len(r)):
+            if group[seed] >= 0:
+                continue
+            new = np.arange(len(r)) == seed
+            while new.any():  # all rules that fit the group's box join it at once, then the box grows
+                group[new] = seed
+                own, free = group == seed, group < 0
+                left, top, right, bottom = x0[own].min(), y0[own].min(), x1[own].max(), y1[own].max()
+                span = max(1.0, right - left)
+                alike = np.minimum(span, width) / np.maximum(span, width) >= RULE["alike"]
+                centred = np.abs(middle - (left + right) / 2) <= wide * RULE["centre"]
+                shared = np.maximum(0.0, np.minimum(right, x1) - np.maximum(left, x0)) / np.maximum(1.0, np.minimum(right - left, x1 - x0))
+                apart = np.maximum(np.maximum(y0 - bottom, top - y1), 0.0)
+                new = free & alike & centred & (shared >= RULE["overlap"]) & (apart <= high * RULE["gap"])
+        out = pd.DataFrame({"page": pdf.page.iloc[0], "key": r.key.to_numpy()[order], "group": group, "row": [round(float(m), 1) for m in (y0 + y1) / 2]})
+        kept = out[out.groupby("group").row.transform("nunique") >= least].copy()
+        kept["group"] = kept.group.rank(method="dense").astype(int) - 1
+        return kept[["page", "key", "group"]]
+
+    return run
+
+
+def rule_groups(rules: DataFrame, least: int = 2) -> DataFrame:
+    """page, key, group (0, 1, ...): the ruled lines that make up one table each, from the top of a page.
+
+    rules: page, key, x0, y0, x1, y1 and the page's page_width and page_height. Narrow rules are left out; the topmost rule
+    begins a group, and rules of like width, centre and place join until none does. Groups of fewer than `least` different
+    heights are no tables. Equal rules belong together, in order of key. Rows with null in any of these columns are left
+    out. The rules of a page are held in one task."""
+    names = ("page", "key", "x0", "y0", "x1", "y1", "page_width", "page_height")
+    schema = T.StructType([T.StructField("page", rules.schema["page"].dataType), T.StructField("key", rules.schema["key"].dataType), T.StructField("group", T.IntegerType())])
+    return rules.select(*names).dropna().groupBy("page").applyInPandas(_rule_groups(least), schema)
+
+
 def _area(pdf: pd.DataFrame) -> pd.DataFrame:
     xs = sorted({*pdf.x0, *pdf.x1})
     total = 0.0

@@ -16,15 +16,18 @@ GATES = {"editable": ((0.80, 0.80, 0.70), (0.95, 0.95, 0.90)), "hybrid": ((0.90,
 def integrity(pairs: DataFrame, source: str = "source", output: str = "output") -> DataFrame:
     """Adds coverage, word_recall, pair_recall, char_recall and char_precision of output against source."""
     a, b = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(output), F.lit(""))
-    wa, wb = english_words(a), english_words(b)
-    ca, cb = F.filter(F.split(plain_form(a), ""), lambda c: c != ""), F.filter(F.split(plain_form(b), ""), lambda c: c != "")
-    return pairs.withColumns({
-        "coverage": sequence_coverage(plain_form(a), plain_form(b)),
+    # words and forms are columns of their own, so that they are computed once
+    found = pairs.withColumns({"__wa": english_words(a), "__wb": english_words(b), "__na": plain_form(a), "__nb": plain_form(b)})
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    found = found.withColumns({"__ca": chars(F.col("__na")), "__cb": chars(F.col("__nb"))})
+    wa, wb, ca, cb = (F.col(c) for c in ("__wa", "__wb", "__ca", "__cb"))
+    return found.withColumns({
+        "coverage": sequence_coverage(F.col("__na"), F.col("__nb")),
         "word_recall": multiset_recall(wa, wb),
         "pair_recall": F.when(F.size(wa) < 2, 1.0).otherwise(multiset_recall(pairs_of(wa), pairs_of(wb))),
         "char_recall": multiset_recall(ca, cb),
         "char_precision": multiset_recall(cb, ca),
-    })
+    }).drop("__wa", "__wb", "__na", "__nb", "__ca", "__cb")
 
 
 def word_recall_by_rows(pairs: DataFrame, key: str, source: str = "source", output: str = "output") -> DataFrame:
@@ -73,6 +76,16 @@ def boundary_recovery(coverage: Column, compact: Column, source_words: Column, o
     return (coverage >= 0.92) & (compact >= 0.98) & (m >= n + 2) & (m >= F.ceil(n * 1.2)) & F.exists(source_words, lambda w: F.length(w) >= 18)
 
 
+def candidate_quality(pairs: DataFrame, source: str = "source", output: str = "output") -> DataFrame:
+    """integrity() with recovered, whether the output only restored lost word boundaries, and text_passed, whether its text is
+    good enough to be edited: it is if recovered, or if it does not fail the editable gate. Null texts are empty."""
+    words = {"__sw": english_words(F.coalesce(F.col(source), F.lit(""))), "__ow": english_words(F.coalesce(F.col(output), F.lit("")))}
+    found = integrity(pairs, source, output).withColumns(words)
+    found = found.withColumn("__compact", sequence_coverage(F.array_join("__sw", ""), F.array_join("__ow", "")))
+    found = found.withColumn("recovered", boundary_recovery(F.col("coverage"), F.col("__compact"), F.col("__sw"), F.col("__ow")))
+    return found.withColumn("text_passed", F.col("recovered") | (gate("editable") != "fail")).drop("__sw", "__ow", "__compact")
+
+
 def counter_conflicts(pages: DataFrame, key: str, text: str) -> DataFrame:
     """key and total of page counters whose total comes with more than one current page."""
     c = pages.select(key, F.explode(page_counters(F.coalesce(F.col(text), F.lit("")))).alias("c"))

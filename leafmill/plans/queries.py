@@ -21,6 +21,7 @@ from ..operators import sheets as S
 from ..operators import textops as TX
 from ..operators.ranks import numbered
 from . import catalog as CAT
+from . import runner as R
 
 Query = Callable[[SparkSession, str], DataFrame]
 ENTRIES: dict[str, tuple[Query, str | None]] = {}
@@ -463,6 +464,22 @@ def _gates(spark, d):
     return p.select("item_id", TX.gate("editable").alias("editable"), TX.gate("hybrid").alias("hybrid"), TX.verdict().alias("rewrite"))
 
 
+_LOST = "WITH p AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN replace(text, ' ', '') ELSE text END AS a, CASE WHEN item_id % 3 = 0 THEN replace(text, 'th', 'ht') ELSE text END AS b FROM benchmark)"
+_COVERED = "CASE WHEN length({0}) = 0 THEN 1.0 WHEN length({1}) = 0 THEN 0.0 WHEN length({0}) < 12 THEN len(list_intersect(list_distinct(string_split({0}, '')), list_distinct(string_split({1}, '')))) / len(list_distinct(string_split({0}, ''))) ELSE len(list_intersect({2}, {3})) / len({2}) END"
+_COMPACT = _COVERED.format("ca", "cb", _SHINGLES.format("ca"), _SHINGLES.format("cb"))
+_QUALITY = _GATES[len(_PAIRS) : _GATES.rindex("SELECT item_id, CASE WHEN cov")]
+
+
+@entry("candidate_quality", f"""{_LOST}{_QUALITY.rstrip()}, j AS (SELECT item_id, wa, wb, array_to_string(wa, '') AS ca, array_to_string(wb, '') AS cb FROM n),
+f AS (SELECT item_id, len(wb) >= len(wa) + 2 AND len(wb) >= ceil(len(wa) * 1.2) AND len(list_filter(wa, lambda x: length(x) >= 18)) > 0 AND {_COMPACT} >= 0.98 AS more FROM j)
+SELECT item_id, cov >= 0.92 AND more AS recovered, (cov >= 0.92 AND more) OR (cov >= 0.8 AND wr >= 0.8 AND pr >= 0.7) AS text_passed FROM g JOIN f USING (item_id)""")
+def _quality(spark, d):
+    t, k = F.col("text"), F.col("item_id")
+    lost = F.when(k % 2 == 0, F.replace(t, F.lit(" "), F.lit(""))).otherwise(t)
+    swapped = F.when(k % 3 == 0, F.replace(t, F.lit("th"), F.lit("ht"))).otherwise(t)
+    return TX.candidate_quality(read(spark, d, "benchmark").select("item_id", lost.alias("source"), swapped.alias("output"))).select("item_id", "recovered", "text_passed")
+
+
 _MIXED = "regexp_extract_all(regexp_replace(regexp_replace(text, '([A-Za-z])[-‐‑][\\s\\pZ]*([A-Za-z])', '\\1\\2', 'g'), '([A-Za-z])[-‐‑][\\s\\pZ]*([A-Za-z])', '\\1\\2', 'g'), '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)*|[\\x{3400}-\\x{9fff}]')"
 
 
@@ -665,12 +682,22 @@ def _merged(spark, d):
     return FR.merge_segments(s, "user_id", least=2, near=0.5)
 
 
-@entry("stability_support", _CHANGES + """, q AS (SELECT event_id, user_id, row_number() OVER w AS n, coalesce(change <= 30, false)::INT AS quiet FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
-e AS (SELECT user_id, n FROM (SELECT user_id, n, quiet + lag(quiet) OVER (PARTITION BY user_id ORDER BY n) AS two FROM q) WHERE n >= 3 AND two = 2)
-SELECT q.event_id, count(e.n) AS support FROM q LEFT JOIN e ON e.user_id = q.user_id AND e.n BETWEEN q.n AND q.n + 2 GROUP BY q.event_id""")
+@entry("stability_support", """
+WITH c AS (SELECT event_id, user_id AS u, epoch_us(ts) / 1000000.0 / 100000.0 AS t, value AS v FROM events),
+a AS (SELECT *, row_number() OVER w AS n, t - lag(t) OVER w AS gap, abs(v - lag(v) OVER w) AS off FROM c WINDOW w AS (PARTITION BY u ORDER BY t, event_id)),
+q AS (SELECT u, max(n) AS last_n, coalesce(least(1.05, greatest(0.3, 2.25 * quantile_cont(gap, 0.3) FILTER (gap > 1e-6))), 0.3) AS reach FROM a GROUP BY u),
+s AS (SELECT a.*, last_n, reach, coalesce(gap > 1e-6 AND gap <= reach + 1e-6 AND off <= 40, false) AS still FROM a JOIN q USING (u)),
+r AS (SELECT *, sum((NOT still)::INT) OVER (PARTITION BY u ORDER BY n) AS run FROM s),
+w AS (SELECT x.u, x.n AS lo, z.n AS hi FROM r x JOIN r y ON y.u = x.u AND y.n = x.n + 1 JOIN r z ON z.u = x.u AND z.run = y.run AND z.n >= x.n + 2
+  WHERE z.t - x.t >= 0.55 AND z.t - x.t <= greatest(1.15, least(2.5, x.reach * 2.2)) AND abs(z.v - x.v) <= 25),
+b AS (SELECT r.event_id, r.u, r.n, last_n, count(w.lo) AS support FROM r LEFT JOIN w ON w.u = r.u AND r.n BETWEEN lo AND hi GROUP BY ALL),
+e AS (SELECT z.u, z.still AS calm, coalesce(z.still AND y.still AND x.still AND z.t - k.t >= 0.32 AND abs(z.v - k.v) <= 25, false) AS short
+  FROM r z LEFT JOIN r y ON y.u = z.u AND y.n = z.n - 1 LEFT JOIN r x ON x.u = z.u AND x.n = z.n - 2 LEFT JOIN r k ON k.u = z.u AND k.n = z.n - 3 WHERE z.n = z.last_n)
+SELECT event_id, support + CASE WHEN max(support) OVER (PARTITION BY u) > 0 THEN (short AND last_n - n < 4)::INT + (calm AND last_n - n < 2)::INT ELSE 0 END AS support FROM b JOIN e USING (u)""")
 def _stable(spark, d):
-    c = FR.changes(_signal(spark, d).withColumn("o", F.struct("t", "event_id")), "user_id", "o", "value").withColumn("quiet", F.col("change") <= 30)
-    return FR.stability(c, "user_id", "o", "quiet").select("event_id", "support")
+    near = lambda most: lambda x, y: F.abs(y["value"] - x["value"]) <= most
+    c = _signal(spark, d).select("event_id", "user_id", "value", (F.col("t") / 100000.0).alias("t"))
+    return FR.stable_support(c, "user_id", "t", near(40), near(25), "event_id").select("event_id", "support")
 
 
 @entry("choose_candidate", "WITH b AS (SELECT p_brand, p_partkey, p_retailprice AS s, max(p_retailprice) OVER (PARTITION BY p_brand) AS top FROM part WHERE p_size > 25 OR p_brand NOT IN (SELECT p_brand FROM part WHERE p_size > 25)) SELECT p_brand, max(p_partkey) AS p_partkey FROM b WHERE s >= top - 50 GROUP BY 1")
@@ -722,9 +749,18 @@ def _medoid(spark, d):
     return FR.modal_medoid(read(spark, d, "lineitem"), ["l_suppkey"], "l_quantity", "l_orderkey")
 
 
-@entry("multiframe_fuse", "WITH m AS (SELECT l_suppkey, quantile_cont(l_quantity, 0.5) AS med FROM lineitem GROUP BY 1), j AS (SELECT l.l_suppkey, l_quantity, med FROM lineitem l JOIN m USING (l_suppkey)), v AS (SELECT l_suppkey, quantile_cont(abs(l_quantity - med), 0.5) AS mad FROM j GROUP BY 1) SELECT l_suppkey, round(avg(l_quantity), 9) AS l_quantity FROM j JOIN v USING (l_suppkey) WHERE abs(l_quantity - med) <= greatest(1.0, 3 * mad) GROUP BY 1")
+@entry("multiframe_fuse", """
+WITH s AS (SELECT l_orderkey AS k, l_linenumber AS nr, l_quantity::DOUBLE AS q, (l_partkey % 20)::DOUBLE AS p, l_extendedprice AS sharp, l_discount AS d FROM lineitem),
+m AS (SELECT k, quantile_cont(q, 0.5) AS mq, quantile_cont(p, 0.5) AS mp, max(d) AS edge FROM s GROUP BY k),
+o AS (SELECT s.*, edge, (abs(q - mq) + abs(p - mp)) / 2 AS off FROM s JOIN m USING (k)),
+a AS (SELECT *, quantile_cont(off, 0.5) OVER (PARTITION BY k) AS mad, 1 / (1 + (off / 4) * (off / 4)) AS w FROM o),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY off <= greatest(7, mad * 2.5 + 2) DESC, sharp DESC, nr, q, p) AS place FROM a),
+g AS (SELECT k, mad <= 5.5 AS stable, sum(w) AS total, sum(w * q) / sum(w) * (1 - edge) + max(q) FILTER (place = 1) * edge AS q, sum(w * p) / sum(w) * (1 - edge) + max(p) FILTER (place = 1) * edge AS p FROM r GROUP BY k, mad, edge)
+SELECT k AS l_orderkey, stable, round(total, 6) AS total, CASE WHEN stable AND total >= 1.5 THEN round(least(255, q), 6) END AS q, CASE WHEN stable AND total >= 1.5 THEN round(least(255, p), 6) END AS p FROM g""")
 def _fuse(spark, d):
-    return FR.fuse(read(spark, d, "lineitem").select("l_suppkey", "l_quantity"), ["l_suppkey"], "l_quantity").select("l_suppkey", F.round("l_quantity", 9).alias("l_quantity"))
+    t = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), (F.col("l_partkey") % 20).alias("p"), "l_extendedprice", "l_discount")
+    f = FR.fuse(t, ["l_orderkey"], "l_linenumber", ["q", "p"], "l_extendedprice", "l_discount")
+    return f.select("l_orderkey", "stable", *(F.round(c, 6).alias(c) for c in ("total", "q", "p")))
 
 
 @entry("repair_plan", None)
@@ -734,14 +770,43 @@ def _repair(spark, d):
     return FR.apply_plan(p, a)
 
 
-@entry("video_slides", None)
-def _video_slides(spark, d):
+def _pictures(spark, d) -> DataFrame:
+    """Vectors as pictures of 8 by 8 pixels: a signal of grey levels, edges where it is positive, ink and notes where it is high."""
     k, v = F.col("vec_id"), F.col("embedding")
-    pixel = lambda x: F.lpad(F.hex(F.pmod((x * 1000).cast("int"), F.lit(256))), 2, "0")
-    drawn = lambda x: F.when(x > 0, "01").otherwise("00")
+    byte = lambda x: F.lpad(F.hex(F.pmod((x * 1000).cast("int"), F.lit(256))), 2, "0")
+    over = lambda least: lambda x: F.when(x > least, "01").otherwise("00")
     image = lambda one: F.unhex(F.array_join(F.transform(v, one), ""))
-    t = read(spark, d, "embeddings").select((k % 50).alias("seq"), (F.floor(k / 50) * 0.5).alias("ts"), F.lit(8).alias("width"), F.lit(8).alias("height"), image(pixel).alias("gray"), image(drawn).alias("edges"), FR.hash_bits(v).alias("hash"))
-    return SC.slides(t)
+    size = (F.lit(8).alias("width"), F.lit(8).alias("height"))
+    return read(spark, d, "embeddings").select((k % 50).alias("seq"), k.alias("vec_id"), (F.floor(k / 50) * 0.5).alias("ts"), *size, image(byte).alias("gray"), image(over(0)).alias("edges"), image(over(0.1)).alias("ink"), image(over(0.25)).alias("notes"), FR.hash_bits(v).alias("hash"))
+
+
+@entry("video_slides", None)
+def _video_slides(spark, d):
+    return SC.slides(_pictures(spark, d))
+
+
+@entry("accepted_slides", None)
+def _accepted_slides(spark, d):
+    p = _pictures(spark, d).withColumnRenamed("vec_id", "segment")
+    again = p.withColumn("segment", -F.col("segment") - 1)  # the same pictures, shown before
+    scored = p.unionByName(again).withColumns({"score": F.pmod("segment", F.lit(7)) / 7, "doubtful": F.pmod("segment", F.lit(3))})
+    return SC.accepted_slides(scored)
+
+
+@entry("same_structure", None)
+def _same_structure(spark, d):
+    p, k = _pictures(spark, d), F.col("vec_id")
+    tall = lambda c: F.concat(*[F.col(c)] * 4)
+    side = lambda s, ink: [tall("gray").alias(f"gray_{s}"), tall("edges").alias(f"edges_{s}"), tall(ink).alias(f"ink_{s}")]
+    none = F.lit(None).cast("binary").alias("ignored")
+    first = p.select(k.alias("a"), "width", (F.col("height") * 4).alias("height"), none, *side("a", "notes"))
+    second = p.select(k.alias("b"), (k - k % 2).alias("a"), *side("b", "notes"))  # even pictures against themselves and the next one
+    return SC.same_structure(first.join(second, "a")).select("a", "b", "same")
+
+
+@entry("connected_boxes", None)
+def _connected(spark, d):
+    return G.connected_boxes(_pictures(spark, d).select(F.col("vec_id").alias("key"), "width", "height", F.col("edges").alias("mask")))
 
 
 # ---- geometry --------------------------------------------------------------------------------------------------------
@@ -753,6 +818,14 @@ def _intervals(spark, d):
     return G.merge_intervals(t, ["l_suppkey"], "lo", "hi", 3)
 
 
+@entry("rule_groups", None)
+def _rule_groups(spark, d):
+    x0, y = (F.col("l_partkey") % 5) * 20.0, (F.col("l_orderkey") % 50) * 15.0
+    box = {"x0": x0, "x1": x0 + 40 + F.col("l_quantity") * 8, "y0": y, "y1": y + 1, "page_width": F.lit(612.0), "page_height": F.lit(792.0)}
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    return G.rule_groups(read(spark, d, "lineitem").withColumns({**box, "page": F.floor(F.col("l_orderkey") / 50), "key": key}))
+
+
 def _lines(spark, d) -> DataFrame:
     return read(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("page"), (F.col("l_partkey") % 300).cast("double").alias("x0"), (F.col("l_partkey") % 300 + F.col("l_quantity") * 4).alias("x1"), F.col("l_quantity").alias("weight"))
 
@@ -874,6 +947,20 @@ def _catalog(spark, d):
     return CAT.catalog(spark).groupBy("status").agg(F.count("*").cast("int").alias("n"))
 
 
+@entry("pdf_safety", """
+WITH s AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'damaged' WHEN doc_id % 4 = 3 THEN 'encrypted' WHEN doc_id % 4 > 0 THEN 'signed' ELSE 'plain' END AS state FROM documents)
+SELECT doc_id, state, coalesce(state IN ('damaged', 'signed'), false) AS refused FROM s""")
+def _safety(spark, d):
+    k = F.col("doc_id")
+    part = lambda i, text: F.when(k % 4 == i, text).otherwise("")
+    catalog = F.concat(F.lit("%PDF-1.7\n1 0 obj\n<< /Type /Catalog "), part(1, "/Perms << /DocMDP 3 0 R >> "), F.lit(">>\nendobj\n"))
+    field = F.concat(F.lit("2 0 obj\n<< /FT "), part(2, "/Sig /V << /ByteRange [0 1 2 3] >>"), part(0, "/Sig"), part(1, "/Tx"), F.lit(" >>\nendobj\n"))
+    trailer = F.concat(F.lit("trailer\n<< /Root 1 0 R "), part(3, "/Encrypt 4 0 R "), F.lit(">>\n"))
+    content = F.when(k % 7 == 0, "%PDF-1.7\n").otherwise(F.concat(catalog, field, trailer)).cast("binary")
+    files = read(spark, d, "documents").select("doc_id", F.concat(k, F.when(k % 5 == 0, ".txt").otherwise(".PDF")).alias("path"), content.alias("content"))
+    return R.safety(files, encrypted=False).select("doc_id", "state", "refused")
+
+
 @entry("catalog_parameters", None)
 def _parameters(spark, d):
     return CAT.parameters(spark)

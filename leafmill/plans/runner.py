@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -23,6 +24,80 @@ def validate(files: DataFrame, suffixes: Sequence[str], least: int = 1, most: in
     return files
 
 
+#: What a PDF's objects, packed objects, streams, trailer entries and signatures look like.
+OBJECT = re.compile(rb"(?<!\d)(\d+)\s+\d+\s+obj\b(.*?)endobj", re.S)
+STREAM = re.compile(rb"stream\r?\n(.*?)\r?\n?endstream", re.S)
+PACKED = re.compile(rb"/Type\s*/ObjStm\b")
+FIRST = re.compile(rb"/First\s+(\d+)")
+ENCRYPTED = re.compile(rb"/Encrypt\s*(?:\d+\s+\d+\s+R|<<)")
+ROOT = re.compile(rb"/Root\s+(\d+)\s+\d+\s+R")
+FIELD = re.compile(rb"/FT\s*/Sig\b")
+VALUE = re.compile(rb"/V\s*(?:(\d+)\s+\d+\s+R|(<<))")
+SIGNED = re.compile(rb"/(?:ByteRange|Contents)\b")
+PERMISSIONS = re.compile(rb"/Perms\s*(?:\d+\s+\d+\s+R|<<)")
+
+
+def _objects(content: bytes) -> dict[int, bytes]:
+    """Number -> object without its stream, those in object streams included; the last of a number counts."""
+    found: dict[int, bytes] = {}
+    for m in OBJECT.finditer(content):
+        body = m[2]
+        stream = STREAM.search(body)
+        head = body[: stream.start()] if stream else body
+        found[int(m[1])] = head
+        first = FIRST.search(head) if stream and PACKED.search(head) else None
+        if first:
+            data = zlib.decompressobj().decompress(stream[1]) if b"FlateDecode" in head else stream[1]
+            places = [int(x) for x in data[: int(first[1])].split()]
+            ends = [*places[3::2], len(data) - int(first[1])]
+            for number, begin, end in zip(places[::2], places[1::2], ends):
+                found[number] = data[int(first[1]) + begin : int(first[1]) + end]
+    return found
+
+
+def pdf_state(content: bytes | None) -> str:
+    """encrypted, signed, plain, or damaged if it can't be told: no PDF, or a broken one."""
+    if not content or b"%PDF-" not in content[:1024]:
+        return "damaged"
+    if ENCRYPTED.search(STREAM.sub(b"", content)):
+        return "encrypted"
+    try:
+        objects = _objects(content)
+    except (zlib.error, ValueError):
+        return "damaged"
+    roots = ROOT.findall(STREAM.sub(b"", content))
+    if not roots or int(roots[-1]) not in objects:
+        return "damaged"
+    if PERMISSIONS.search(objects[int(roots[-1])]):
+        return "signed"
+    for body in objects.values():
+        value = VALUE.search(body) if FIELD.search(body) else None
+        if value and SIGNED.search(objects.get(int(value[1]), b"") if value[1] else body[value.start() :]):
+            return "signed"
+    return "plain"
+
+
+def safety(files: DataFrame, encrypted: bool = True, signed: bool = True) -> DataFrame:
+    """Adds state and refused to files (path, content): encrypted and signed PDFs, each as asked, and damaged ones, are
+    refused, since work on them would drop their protection or break their signature. Other files have no state."""
+
+    @F.pandas_udf("string")
+    def state(content: pd.Series) -> pd.Series:
+        return content.map(lambda c: pdf_state(None if c is None else bytes(c)))
+
+    wrong = ["damaged", *["encrypted"] * encrypted, *["signed"] * signed]
+    marked = files.withColumn("state", F.when(F.lower("path").endswith(".pdf"), state("content")))
+    return marked.withColumn("refused", F.coalesce(F.col("state").isin(wrong), F.lit(False)))
+
+
+def only_safe(files: DataFrame, encrypted: bool = True, signed: bool = True) -> DataFrame:
+    """The files, if none is refused by safety(); else an error that names the first, so that no file of a job is worked on."""
+    first = safety(files, encrypted, signed).filter("refused").agg(F.min(F.struct("state", "path")).alias("x")).first()["x"]
+    if first:
+        raise ValueError(f"{first['path']} is {first['state']}")
+    return files
+
+
 def run_each(files: DataFrame, work: Callable[[bytes], bytes]) -> DataFrame:
     """RESULT of work(content) for each file."""
 

@@ -139,6 +139,8 @@ def _laces(data, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
     """Byte ranges of the frames of a block whose data after the header begins at `at`."""
     if lacing == NO_LACING:
         return [(at, end - at)]
+    if at >= end:
+        raise ValueError(f"a block that ends at byte {end} has no lace count")
     count, at = data[at] + 1, at + 1
     sizes: list[int] = []
     if lacing == FIXED:
@@ -150,11 +152,15 @@ def _laces(data, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
             if lacing == XIPH:
                 n = 0
                 while True:
+                    if at >= end:
+                        raise ValueError(f"lace sizes go beyond byte {end}")
                     b, at = data[at], at + 1
                     n += b
                     if b < 255:
                         break
             else:
+                if at >= end:
+                    raise ValueError(f"lace sizes go beyond byte {end}")
                 n, size, _ = _vint(data, at, False)
                 at += size
                 n = n if i == 0 else sizes[-1] + n - ((1 << 7 * size - 1) - 1)
@@ -176,80 +182,128 @@ def parse(data: bytes | None) -> Media:
         media.error = "no file"
         return media
     try:
-        _walk(data, 0, len(data), media, {"segment": 0})
-    except (ValueError, IndexError, struct.error) as e:
+        _walk(data, media)
+    except (ValueError, struct.error) as e:
         media.error = str(e) or type(e).__name__
-    for p in media.packets:
+    for i, p in enumerate(media.packets):
         d = media.tracks.get(p.track, {}).get("frame_ns", 0)
         p.timestamp_ns += 0 if p.timed else p.lace * d
+        if p.track >= 1 << 31 or not -(1 << 63) <= p.timestamp_ns < 1 << 63:
+            media.error = media.error or f"packet {i} has a track or timestamp beyond its column"
+            del media.packets[i:]
+            break
     return media
 
 
-def _walk(data, at: int, end: int, media: Media, now: dict, inside: int = 0) -> int:
-    while at < end:
+#: Containers within containers, at most; the format itself has far fewer.
+DEPTH = 32
+
+
+@dataclass
+class _State:
+    """What the walk knows of the elements that are open."""
+
+    segment: int = 0
+    time: int = 0
+    block: int = 0
+    entry: dict = field(default_factory=dict)
+    duration: int | None = None
+    referring: bool = False
+    first: int = 0
+
+
+def _walk(data, media: Media) -> None:
+    now = _State()
+    open_: list[tuple[int, int, bool]] = [(0, len(data), False)]  # id, end, and whether the size is unknown
+    at = 0
+    while open_:
+        inside, end, unending = open_[-1]
+        if at >= end:
+            _close(inside, media, now)
+            open_.pop()
+            continue
         began = at
         id_, size, _ = _vint(data, at, True)
-        if now.get("open") == inside == CLUSTER and id_ in TOP:
-            return began  # the end of a cluster of unknown size
+        if inside == CLUSTER and unending and id_ in TOP:
+            open_.pop()  # the end of a cluster of unknown size
+            continue
         at += size
+        if at >= len(data):
+            raise ValueError(f"cut short at byte {at}")
         length, size, unknown = _vint(data, at, False)
         at += size
         stop = end if unknown else at + length
         if stop > end:
             raise ValueError(f"an element at byte {began} goes beyond its parent")
         if id_ in CONTAINERS or id_ == EBML:
+            if len(open_) > DEPTH:
+                raise ValueError(f"elements at byte {began} are nested too deep")
             if id_ == SEGMENT:
-                now["segment"] = at
+                now.segment = at
             elif id_ == CLUSTER:
-                now |= {"time": 0, "block": 0, "open": CLUSTER if unknown else 0}
-                media.clusters.append((began - now["segment"], 0))
+                now.time = now.block = 0
+                media.clusters.append((began - now.segment, 0))
             elif id_ in (TRACK_ENTRY, CUE_POINT):
-                now["entry"] = {}
-            elif id_ == BLOCK_GROUP:
-                now |= {"duration": None, "referring": False, "first": len(media.packets)}
-            at = _walk(data, at, stop, media, now, id_)
-            e = now.get("entry", {})
-            if id_ == TRACK_ENTRY:
-                media.tracks[e.get("number", 0)] = e
-            elif id_ == CUE_POINT:
-                media.cues.append((e.get("time", 0), e.get("track", 0), e.get("position", 0)))
+                now.entry = {}
             elif id_ == BLOCK_GROUP:
-                group = media.packets[now["first"] :]
-                for p in group:
-                    p.keyframe = not now["referring"]
-                    if now["duration"] is not None:
-                        p.timestamp_ns += now["duration"] * media.scale * p.lace // len(group)
-                        p.timed = True
+                now.duration, now.referring, now.first = None, False, len(media.packets)
+            open_.append((id_, stop, unknown))
             continue
         if id_ in (SIMPLE_BLOCK, BLOCK):
-            track, size, _ = _vint(data, at, False)
-            offset, flags = struct.unpack_from(">hB", data, at + size)
-            lacing = flags >> 1 & 3
-            for k, (start, n) in enumerate(_laces(data, at + size + 3, stop, lacing)):
-                media.packets.append(Packet(track, (now["time"] + offset) * media.scale, start, n, len(media.clusters) - 1, now["block"], k, lacing, bool(flags & 0x80) if id_ == SIMPLE_BLOCK else True))
-            now["block"] += 1
+            _block(data, at, stop, id_ == SIMPLE_BLOCK, media, now)
         else:
-            raw = data[at:stop]
-            n = int.from_bytes(raw, "big") if length <= 8 else 0
-            real = struct.unpack(">f" if length == 4 else ">d", raw)[0] if length in (4, 8) else 0.0
-            if id_ == TIMESTAMP:
-                now["time"] = n
-                media.clusters[-1] = (media.clusters[-1][0], n)
-            elif id_ == TIMESTAMP_SCALE:
-                media.scale = n
-            elif id_ == DURATION:
-                media.duration = real
-            elif id_ == BLOCK_DURATION:
-                now["duration"] = n
-            elif id_ == REFERENCE_BLOCK:
-                now["referring"] = True
-            elif id_ == DOC_TYPE:
-                media.doc_type = bytes(raw).decode("ascii", "replace")
-            elif id_ in _ENTRY:
-                name, kind = _ENTRY[id_]
-                now.setdefault("entry", {})[name] = {"u": n, "f": real, "s": bytes(raw).decode("ascii", "replace")}[kind]
+            _leaf(id_, data[at:stop], media, now)
         at = stop
-    return at
+
+
+def _close(id_: int, media: Media, now: _State) -> None:
+    e = now.entry
+    if id_ == TRACK_ENTRY:
+        media.tracks[e.get("number", 0)] = e
+    elif id_ == CUE_POINT:
+        media.cues.append((e.get("time", 0), e.get("track", 0), e.get("position", 0)))
+    elif id_ == BLOCK_GROUP:
+        group = media.packets[now.first :]
+        for p in group:
+            p.keyframe = not now.referring
+            if now.duration is not None:
+                p.timestamp_ns += now.duration * media.scale * p.lace // len(group)
+                p.timed = True
+
+
+def _block(data, at: int, stop: int, simple: bool, media: Media, now: _State) -> None:
+    track, size, _ = _vint(data, at, False) if at < stop else (0, 0, False)
+    if at + size + 3 > stop:
+        raise ValueError(f"a block at byte {at} is shorter than its header")
+    if not media.clusters:
+        raise ValueError(f"a block at byte {at} stands outside a cluster")
+    offset, flags = struct.unpack_from(">hB", data, at + size)
+    lacing = flags >> 1 & 3
+    for k, (start, n) in enumerate(_laces(data, at + size + 3, stop, lacing)):
+        media.packets.append(Packet(track, (now.time + offset) * media.scale, start, n, len(media.clusters) - 1, now.block, k, lacing, bool(flags & 0x80) if simple else True))
+    now.block += 1
+
+
+def _leaf(id_: int, raw, media: Media, now: _State) -> None:
+    n = int.from_bytes(raw, "big") if len(raw) <= 8 else 0
+    real = struct.unpack(">f" if len(raw) == 4 else ">d", raw)[0] if len(raw) in (4, 8) else 0.0
+    if id_ == TIMESTAMP:
+        now.time = n
+        if media.clusters:
+            media.clusters[-1] = (media.clusters[-1][0], n)
+    elif id_ == TIMESTAMP_SCALE:
+        media.scale = n
+    elif id_ == DURATION:
+        media.duration = real
+    elif id_ == BLOCK_DURATION:
+        now.duration = n
+    elif id_ == REFERENCE_BLOCK:
+        now.referring = True
+    elif id_ == DOC_TYPE:
+        media.doc_type = bytes(raw).decode("ascii", "replace")
+    elif id_ in _ENTRY:
+        name, kind = _ENTRY[id_]
+        now.entry[name] = {"u": n, "f": real, "s": bytes(raw).decode("ascii", "replace")}[kind]
 
 
 _ENTRY = {

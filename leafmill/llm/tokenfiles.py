@@ -44,6 +44,8 @@ def default_tokenizer() -> str:
 
 
 _CUT = re.compile(r"(?<=\S) ")
+#: A space after other white space may lie within a run that the tokenizer keeps whole; Python's \s holds all that the tokenizer's does.
+_AFTER = re.compile(r"[^\S ] ")
 _LOW = [chr(i) for i in range(0x250)]
 _LETTER = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "L")
 _DIGIT = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "N")
@@ -118,7 +120,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.plain or any(t in text for t in self.added):
             return self._library(text)
-        first, *rest = _CUT.split(text) if "  " in text else text.split(" ")  # a lone space may cut after other white space too
+        first, *rest = _CUT.split(text) if "  " in text or _AFTER.search(text) else text.split(" ")
         get, stretch = self.words.get, self._stretch
         return b"".join([stretch(first), *[get(w) or stretch(" " + w) for w in rest]])
 

@@ -16,19 +16,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .likeness import SUMS, any_holds, around, correlation, holds, mean_off, measured, share, sums
 from .ranks import checkpoints
 
 # Changed pixels, changed edges and hash distance that part slides; the same for small changes of structure.
 CHANGE = {"conservative": (0.145, 0.115, 17), "balanced": (0.105, 0.085, 13), "sensitive": (0.075, 0.065, 10)}
 SPARSE = {"conservative": (0.062, 0.040), "balanced": (0.048, 0.030), "sensitive": (0.034, 0.022)}
-# Bounds of two equal slides, plainly and but for coloured handwriting on one: hash distance, correlation,
-# mean difference, the share of edges kept and that in both; the share of handwriting without and with it, and of colour.
-DUPLICATE = {"hash": (10, 12), "alike": (0.938, 0.82), "mean": (0.060, 0.015), "kept": (0.78, 0.98), "shared": (0.55, 0.50)}
-NOTES = (0.001, 0.004)
-COLOURED = 0.45
+# What else parts slides. An abrupt step: mean difference; factors of the levels of edges and of pixels for a
+# change of structure, and mean difference for one of tone; mean difference of a small change; hash distance beyond a slide's.
+ABRUPT = {"mean": 0.065, "edges": 1.45, "pixels": 0.72, "tone": 0.05, "small": 0.010, "hash": 3}
+# A gradual change: factors of the levels, mean difference, that of a small change, hash distance beyond a slide's,
+# and the shares of ink and of edges kept by which a scan only adds to an earlier one; and what makes a step active.
+GRADUAL = {"pixels": 0.88, "edges": 0.82, "mean": 0.050, "small": 0.012, "hash": 2, "ink": 0.96, "kept": 0.88}
+ACTIVE = {"changed": 0.010, "mean": 0.003, "edge": 0.008}
+# Levels are at least these, or the median step and so many of its deviations.
+DEVIATIONS = {"changed": 6, "edge": 5, "tone": 2.5}
+LEAST_TONE = 0.012
+# A stretch that only adds to the one before: edges kept, ink, changed pixels, mean difference, changed edges.
+ADDS = {"kept": 0.975, "ink": 0.96, "changed": 0.24, "mean": 0.050, "edge": 0.14}
+# Bounds (least, most) of two equal slides, plainly, or but for coloured handwriting on one: hash distance,
+# correlation, mean difference, the share of edges near the other's edges, that in both, of colour in the rest, of handwriting.
+SLIDE_EITHER = (
+    {"far": (None, 10), "alike": (0.938, None), "mean": (None, 0.060), "kept_least": (0.78, None), "shared": (0.55, None)},
+    {"far": (None, 12), "alike": (0.82, None), "mean": (None, 0.015), "kept_most": (0.98, None), "shared": (0.50, None), "coloured": (0.45, None), "notes_least": (None, 0.001), "notes_most": (0.004, None)},
+)
+BETTER = 0.01
 # Bounds of one printed page: changed pixels, mean difference, changed edges and changed pixels near print,
-# in any case and where print was only added; least correlation, and most change near print or anywhere beside it.
-PAGE = {"most": (0.085, 0.030, 0.075), "added": (0.040, 0.018, 0.035, 0.36), "alike": 0.955, "print": 0.30, "calm": 0.025}
+# in any case, and one of: alike with little change near print, alike with little change at all, or print only added.
+PAGE_ALWAYS = {"changed": (None, 0.085), "mean": (None, 0.030), "edges": (None, 0.075)}
+PAGE_EITHER = (
+    {"alike": (0.955, None), "print": (None, 0.30)},
+    {"alike": (0.955, None), "changed": (None, 0.025)},
+    {"changed": (None, 0.040), "mean": (None, 0.018), "edges": (None, 0.035), "print": (None, 0.36)},
+)
 LEAST_SECONDS = 1.0
 LOOK_BACK = 6
 
@@ -128,9 +148,9 @@ def _levels(diffs: DataFrame, sensitivity: str) -> DataFrame:
     return mid.join(off, "seq").select(
         "seq",
         "scans",
-        F.greatest(F.lit(changed), F.col("mid_changed") + 6 * F.col("off_changed")).alias("changed_level"),
-        F.greatest(F.lit(edge), F.col("mid_edge") + 5 * F.col("off_edge")).alias("edge_level"),
-        F.greatest(F.lit(0.012), F.col("mid_edge") + 2.5 * F.col("off_edge")).alias("tone_level"),
+        F.greatest(F.lit(changed), F.col("mid_changed") + DEVIATIONS["changed"] * F.col("off_changed")).alias("changed_level"),
+        F.greatest(F.lit(edge), F.col("mid_edge") + DEVIATIONS["edge"] * F.col("off_edge")).alias("edge_level"),
+        F.greatest(F.lit(LEAST_TONE), F.col("mid_edge") + DEVIATIONS["tone"] * F.col("off_edge")).alias("tone_level"),
         F.greatest(F.lit(1), F.bround(LEAST_SECONDS / F.col("interval")).cast("int")).alias("least_scans"),
         F.greatest(F.lit(2), F.least(F.lit(LOOK_BACK), F.ceil(3.0 / F.col("interval")).cast("int"))).alias("reach"),
     )
@@ -140,11 +160,11 @@ def _abrupt(s: Column, sensitivity: str) -> Column:
     """Whether one step is a change of slide: a large area, a strong change of structure, of tone, or a small exact one."""
     h = CHANGE[sensitivity][2]
     small_area, small_edge = SPARSE[sensitivity]
-    area = (s["changed"] >= F.col("changed_level")) & ((s["edge"] >= F.col("edge_level")) | (s["hash"] >= h) | (s["mean"] >= 0.065))
-    structure = (s["edge"] >= F.col("edge_level") * 1.45) & (s["changed"] >= F.col("changed_level") * 0.72)
-    tone = (s["mean"] >= 0.05) & (s["edge"] >= F.col("tone_level"))
-    sparse = (s["changed"] >= small_area) & (s["edge"] >= small_edge) & (s["mean"] >= 0.010)
-    return area | ((structure | tone | sparse) & (s["hash"] >= h + 3))
+    area = (s["changed"] >= F.col("changed_level")) & ((s["edge"] >= F.col("edge_level")) | (s["hash"] >= h) | (s["mean"] >= ABRUPT["mean"]))
+    structure = (s["edge"] >= F.col("edge_level") * ABRUPT["edges"]) & (s["changed"] >= F.col("changed_level") * ABRUPT["pixels"])
+    tone = (s["mean"] >= ABRUPT["tone"]) & (s["edge"] >= F.col("tone_level"))
+    sparse = (s["changed"] >= small_area) & (s["edge"] >= small_edge) & (s["mean"] >= ABRUPT["small"])
+    return area | ((structure | tone | sparse) & (s["hash"] >= h + ABRUPT["hash"]))
 
 
 def _gradual(k: int, sensitivity: str) -> Column:
@@ -153,11 +173,11 @@ def _gradual(k: int, sensitivity: str) -> Column:
     h = CHANGE[sensitivity][2]
     small_area, small_edge = SPARSE[sensitivity]
     c = F.get("back", F.lit(k - 1))
-    far = (c["changed"] >= F.col("changed_level") * 0.88) & ((c["edge"] >= F.col("edge_level") * 0.82) | (c["hash"] >= h + 2) | (c["mean"] >= 0.050))
-    sparse = (c["changed"] >= small_area) & (c["edge"] >= small_edge) & (c["mean"] >= 0.012) & (c["hash"] >= h + 2)
+    far = (c["changed"] >= F.col("changed_level") * GRADUAL["pixels"]) & ((c["edge"] >= F.col("edge_level") * GRADUAL["edges"]) | (c["hash"] >= h + GRADUAL["hash"]) | (c["mean"] >= GRADUAL["mean"]))
+    sparse = (c["changed"] >= small_area) & (c["edge"] >= small_edge) & (c["mean"] >= GRADUAL["small"]) & (c["hash"] >= h + GRADUAL["hash"])
     in_order = Window.partitionBy("seq").orderBy("n")
     active = F.sum("active").over(in_order.rowsBetween(1 - k, 0)) >= max(2, k // 2)
-    revealed = (F.col("ink") >= F.lag("ink", k).over(in_order) * 0.96) & (c["kept"] >= 0.88)
+    revealed = (F.col("ink") >= F.lag("ink", k).over(in_order) * GRADUAL["ink"]) & (c["kept"] >= GRADUAL["kept"])
     return F.coalesce((F.col("reach") >= k) & active & (far | sparse) & ~revealed, F.lit(False))
 
 
@@ -169,7 +189,7 @@ def segment_scans(diffs: DataFrame, sensitivity: str = "balanced") -> DataFrame:
     decisions, so each scan needs one number for the fold: the least distance at which it begins a stretch."""
     step = F.get("back", F.lit(0))
     d = diffs.join(_levels(diffs, sensitivity), "seq")
-    active = (step["changed"] >= 0.010) | (step["mean"] >= 0.003) | (step["edge"] >= 0.008)
+    active = (step["changed"] >= ACTIVE["changed"]) | (step["mean"] >= ACTIVE["mean"]) | (step["edge"] >= ACTIVE["edge"])
     d = d.withColumn("active", F.coalesce(active, F.lit(False)).cast("int"))
     need = F.when(_abrupt(step, sensitivity), 1)
     for k in range(2, LOOK_BACK + 1):
@@ -221,7 +241,9 @@ def merge_scans(segments: DataFrame, scans: DataFrame, diffs: DataFrame, ignored
     s = segments.withColumn("end", F.col("first") - 1).join(calm, ["seq", "end"], "left")
     cases = s.filter("segment > 0").select("seq", "segment", F.explode(F.array_distinct(F.array_compact(F.array("calm", "end")))).alias("a"), F.col("last").alias("b"))
     m = compared(scans, cases, ignored)
-    grows = (F.col("m.kept") >= 0.975) & (F.col("ink_b") >= 0.96 * F.greatest(F.lit(1), F.col("ink_a"))) & (F.col("m.changed") <= 0.24) & (F.col("m.mean") <= 0.050) & (F.col("m.edge") <= 0.14)
+    grows = (F.col("m.kept") >= ADDS["kept"]) & (F.col("ink_b") >= ADDS["ink"] * F.greatest(F.lit(1), F.col("ink_a")))
+    for measure in ("changed", "mean", "edge"):
+        grows &= F.col(f"m.{measure}") <= ADDS[measure]
     known = m.groupBy("seq", "segment").agg(F.map_from_entries(F.collect_list(F.struct("a", grows.alias("grows")))).alias("grows"))
     s = s.join(known, ["seq", "segment"], "left").select("seq", "segment", "first", "last", "end", "calm", (F.col("first") == F.col("last")).alias("single"), F.element_at("grows", F.col("end")).alias("from_end"), F.element_at("grows", F.col("calm")).alias("from_calm"))
     g = s.groupBy("seq").agg((F.max("last") + 1).alias("scans"), F.array_sort(F.collect_list(F.struct("first", "calm", "single", "from_end", "from_calm"))).alias("all"))
@@ -239,25 +261,18 @@ def slides(scans: DataFrame, sensitivity: str = "balanced", ignored: Sequence[tu
     return merge_scans(segment_scans(diffs, sensitivity).checkpoint(), present, diffs, ignored)
 
 
-def _one_page(row: dict) -> bool:
-    shape = row["height"], row["width"]
-    view = lambda name: np.frombuffer(row[name], np.uint8).reshape(shape)
-    ink = (view("ink_a") > 0) | (view("ink_b") > 0)
-    valid = ~widened(widened(ink)) & (view("ignored") == 0 if row["ignored"] is not None else True)
-    if valid.sum() < max(128, valid.size // 5):
-        return False
-    a, b = view("gray_a").astype(float), view("gray_b").astype(float)
-    ea, eb = view("edges_a") > 0, view("edges_b") > 0
-    off = np.abs(a - b)
-    changed, mean, edge = float((off[valid] >= 18).mean()), float(off[valid].mean() / 255), float((ea != eb)[valid].mean())
-    x, y = a[valid] - a[valid].mean(), b[valid] - b[valid].mean()
-    size = float(np.sqrt((x * x).sum() * (y * y).sum()))
-    alike = float((x * y).sum()) / size if size > 1e-6 else 1.0
-    near = off[widened(ea | eb) & valid]
-    print_changed = float((near >= 13).mean()) if near.size else changed
-    within = lambda bounds: all(v <= most for v, most in zip((changed, mean, edge, print_changed), bounds))
-    kept = alike >= PAGE["alike"] and (print_changed <= PAGE["print"] or changed <= PAGE["calm"])
-    return within(PAGE["most"]) and (kept or within(PAGE["added"]))
+PAGE_SUMS = ("area", *SUMS, "edges", "print", "print_13")
+
+
+def _page_sums(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Sums over the pixels of pairs that no ink is near: all of them, those whose edges differ, those beside print."""
+    one, two = x["edges_a"] > 0, x["edges_b"] > 0
+    where = ~around((x["ink_a"] > 0) | (x["ink_b"] > 0), 2) & (x["ignored"] == 0)
+    beside = around(one | two) & where
+    got = sums(x["gray_a"], x["gray_b"], where)
+    near = sums(x["gray_a"], x["gray_b"], beside)
+    area = np.full(len(where), where[0].size)
+    return {"area": area, **got, "edges": ((one != two) & where).sum((1, 2)), "print": near["pixels"], "print_13": near["off_13"]}
 
 
 def same_structure(pairs: DataFrame) -> DataFrame:
@@ -266,75 +281,65 @@ def same_structure(pairs: DataFrame) -> DataFrame:
     pairs has width, height and, a byte for each pixel, gray_a, gray_b, edges_a, edges_b, ink_a, ink_b (handwriting) and
     ignored (not to be compared; null: none). Pixels within two of any ink aren't compared; with fewer than a fifth left,
     or 128, pages aren't the same. Null where a picture is null or not of its size."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     names = [n + s for n in ("gray", "edges", "ink") for s in ("_a", "_b")]
-    area = F.col("width") * F.col("height")
-    fits = F.lit(True)
-    for n in names:
-        fits &= F.length(n) == area
-    fits &= F.col("ignored").isNull() | (F.length("ignored") == area)
-    schema = T.StructType([*(f for f in pairs.schema if f.name != "same"), T.StructField("__fits", T.BooleanType()), T.StructField("same", T.BooleanType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pixels = batch.select([*names, "ignored", "width", "height", "__fits"]).to_pylist()
-            same = pa.array([_one_page(r) if r["__fits"] else None for r in pixels], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*batch.columns, same], schema=to_arrow_schema(schema))
-
-    return pairs.drop("same").withColumn("__fits", F.coalesce(fits, F.lit(False)) & (area > 0)).mapInArrow(run, schema).drop("__fits")
-
-
-class _Slide:
-    """The masks of one slide, and what it shares with another one."""
-
-    def __init__(self, row):
-        shape = row.height, row.width
-        mask = lambda b: np.frombuffer(b, np.uint8).reshape(shape) > 0
-        self.shape, self.hash = shape, int(row.hash) & (1 << 64) - 1
-        self.gray = np.frombuffer(row.gray, np.uint8).reshape(shape).astype(float)
-        self.edges, self.ink, self.notes = mask(row.edges), mask(row.ink), float(mask(row.notes).mean())
-        self.wide = widened(self.edges)
-
-    def same(self, other: _Slide) -> bool:
-        """Whether both are one slide: alike in all, or one of them the other with coloured handwriting on it."""
-        if self.shape != other.shape:
-            return False
-        far = (self.hash ^ other.hash).bit_count()
-        if far > DUPLICATE["hash"][1]:
-            return False
-        a, b = self.gray - self.gray.mean(), other.gray - other.gray.mean()
-        size = float(np.sqrt((a * a).sum() * (b * b).sum()))
-        alike = float((a * b).sum()) / size if size else 0.0
-        off = float(np.abs(self.gray - other.gray).mean() / 255)
-        kept = [float((x.edges & y.wide).sum()) / max(1, int(x.edges.sum())) for x, y in ((self, other), (other, self))]
-        both = float((self.edges & other.edges).sum()) / max(1, int((self.edges | other.edges).sum()))
-        plain = far <= DUPLICATE["hash"][0] and alike >= DUPLICATE["alike"][0] and off <= DUPLICATE["mean"][0] and min(kept) >= DUPLICATE["kept"][0] and both >= DUPLICATE["shared"][0]
-        if plain:
-            return True
-        own, theirs = self.edges & ~other.wide, other.edges & ~self.wide
-        coloured = float(((own & self.ink) | (theirs & other.ink)).sum()) / max(1, int((own | theirs).sum()))
-        one_sided = min(self.notes, other.notes) <= NOTES[0] and max(self.notes, other.notes) >= NOTES[1]
-        return alike >= DUPLICATE["alike"][1] and off <= DUPLICATE["mean"][1] and max(kept) >= DUPLICATE["kept"][1] and both >= DUPLICATE["shared"][1] and coloured >= COLOURED and one_sided
+    held = [c for c in pairs.columns if c not in ("same", "m")]
+    kept = pairs.select(*(F.col(c) for c in held), *(F.col(c).alias(f"__{c}") for c in (*names, "ignored")))
+    told = measured(kept, names, _page_sums, PAGE_SUMS, ["ignored"])
+    changed = share("off_18", "pixels")
+    measures = {"changed": changed, "mean": mean_off(), "edges": share("edges", "pixels"), "alike": correlation(1.0), "print": F.when(F.col("m.print") > 0, share("print_13", "print")).otherwise(changed)}
+    enough = (F.col("m.pixels") >= 128) & (F.col("m.pixels") >= F.floor(F.col("m.area") / 5))
+    same = F.when(F.col("m").isNotNull(), enough & holds(PAGE_ALWAYS, measures) & any_holds(PAGE_EITHER, measures))
+    return told.select(*(F.col(f"__{c}").alias(c) if c in (*names, "ignored") else F.col(c) for c in held), same.alias("same"))
+
+
+SLIDE_SUMS = (*SUMS, "edges_a", "edges_b", "near_a", "near_b", "shared", "either", "apart", "coloured", "notes_a", "notes_b")
+
+
+def _slide_sums(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Sums over all pixels of pairs, and counts of edges: of each picture, near the other's, common, and of one alone."""
+    one, two, count = x["edges_a"] > 0, x["edges_b"] > 0, lambda mask: mask.sum((1, 2))
+    by_two, by_one = around(two), around(one)
+    alone_a, alone_b = one & ~by_two, two & ~by_one
+    coloured = (alone_a & (x["ink_a"] > 0)) | (alone_b & (x["ink_b"] > 0))
+    counts = (count(one), count(two), count(one & by_two), count(two & by_one), count(one & two), count(one | two), count(alone_a | alone_b), count(coloured), count(x["notes_a"] > 0), count(x["notes_b"] > 0))
+    return {**sums(x["gray_a"], x["gray_b"], np.ones(one.shape, bool)), **dict(zip(SLIDE_SUMS[len(SUMS) :], counts))}
+
+
+def equal_slides(pictures: DataFrame) -> DataFrame:
+    """seq, a, b: the pictures (seq, pic, width, height, hash and the images) of a sequence that show one slide, each pair both ways.
+
+    Hashes of one slide differ in few bits, so they agree in one of a few more bands; only such pairs are measured."""
+    far = max(rule["far"][1] for rule in SLIDE_EITHER)
+    cuts = [64 * i // (far + 1) for i in range(far + 2)]
+    bands = F.array(*(F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("hash", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1).alias("v")) for i in range(far + 1)))
+    keyed = pictures.select("seq", "pic", "width", "height", "hash", F.explode(bands).alias("band"))
+    on = ["seq", "width", "height", "band"]
+    pairs = keyed.withColumnsRenamed({"pic": "a", "hash": "hash_a"}).join(keyed.withColumnsRenamed({"pic": "b", "hash": "hash_b"}), on).filter("a <= b")
+    pairs = pairs.withColumn("far", F.bit_count(F.col("hash_a").bitwiseXOR(F.col("hash_b")))).filter(F.col("far") <= far).select("seq", "a", "b", "width", "height", "far").distinct()
+    names = ("gray", "edges", "ink", "notes")
+    side = lambda s: pictures.select("seq", F.col("pic").alias(s), *(F.col(n).alias(f"{n}_{s}") for n in names))
+    told = measured(pairs.join(side("a"), ["seq", "a"]).join(side("b"), ["seq", "b"]), [f"{n}_{s}" for s in "ab" for n in names], _slide_sums, SLIDE_SUMS)
+    near, notes = [share("near_a", "edges_a"), share("near_b", "edges_b")], [share("notes_a", "pixels"), share("notes_b", "pixels")]
+    measures = {"far": F.col("far"), "alike": correlation(0.0), "mean": mean_off(), "kept_least": F.least(*near), "kept_most": F.greatest(*near), "shared": share("shared", "either"), "coloured": share("coloured", "apart"), "notes_least": F.least(*notes), "notes_most": F.greatest(*notes)}
+    same = told.filter(any_holds(SLIDE_EITHER, measures)).select("seq", "a", "b")
+    return same.unionByName(same.filter("a <> b").select("seq", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def _accept(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("segment", kind="stable")
-    held: list[_Slide] = []
-    best: list[int] = []  # the place of the row that stands for each accepted slide
+    pdf = pdf.sort_values("at", kind="stable").reset_index(drop=True)
+    stands: list[int] = []  # the row whose picture stands for each accepted slide
     number = []
-    for i, row in enumerate(pdf.itertuples(index=False)):
-        new = _Slide(row)
-        at = next((k for k, old in enumerate(held) if old.same(new)), len(held))
-        number.append(at)
-        if at == len(held):
-            held.append(new)
-            best.append(i)
+    for row in pdf.itertuples():
+        same = set(row.same)
+        k = next((k for k, i in enumerate(stands) if pdf.pic[i] in same), len(stands))
+        number.append(k)
+        if k == len(stands):
+            stands.append(row.Index)
             continue
-        old = pdf.iloc[best[at]]
-        if row.score - old.score > 0.01 * max(abs(old.score), 0.001) and row.doubtful <= old.doubtful:
-            held[at], best[at] = new, i
-    return pd.DataFrame({"seq": pdf.seq, "segment": pdf.segment, "slide": number, "stands": [best[k] == i for i, k in enumerate(number)]})
+        old = pdf.loc[stands[k]]
+        if row.score - old.score > BETTER * max(abs(old.score), 0.001) and row.doubtful <= old.doubtful:
+            stands[k] = row.Index
+    return pd.DataFrame({"seq": pdf.seq, "segment": pdf.segment, "slide": number, "stands": [stands[k] == i for i, k in enumerate(number)]})
 
 
 def accepted_slides(found: DataFrame) -> DataFrame:
@@ -343,9 +348,20 @@ def accepted_slides(found: DataFrame) -> DataFrame:
     that time, or else a new one; a picture better by more than a hundredth, and with no more doubtful pixels, takes over.
 
     found has seq, segment, width, height, gray, edges, ink and notes (a byte for each pixel; ink: coloured, notes:
-    handwriting), hash (64 bits), score and doubtful (a count). Rows with null in any of these are left out; of one segment
-    twice the order is free. Each decision depends on the ones before, so the pictures of one recording, small ones, are
-    held in one task."""
-    names = ("seq", "segment", "width", "height", "gray", "edges", "ink", "notes", "hash", "score", "doubtful")
+    handwriting), hash (64 bits), score and doubtful (a count). Rows with null in any of these are left out, and so are those
+    with an image that isn't of its size; of one segment twice the order is free. Distinct pictures are measured pair by pair;
+    each decision depends on the ones before, so the numbers of one recording, without its pixels, are held in one task."""
+    checkpoints(found.sparkSession)
+    images = ("gray", "edges", "ink", "notes")
+    area = F.col("width") * F.col("height")
+    rows = found.select("seq", "segment", "width", "height", *images, F.col("hash").cast("long").alias("hash"), F.col("score").cast("double").alias("score"), F.col("doubtful").cast("double").alias("doubtful")).dropna()
+    for i in images:
+        rows = rows.filter(F.length(i) == area)
+    print_ = F.sha2(F.concat_ws("-", "width", "height", "hash", *(F.hex(i) for i in images)), 256)
+    order = Window.partitionBy("seq").orderBy("segment")
+    placed = rows.withColumn("pic", print_).withColumn("at", F.row_number().over(order)).checkpoint()
+    same = equal_slides(placed.dropDuplicates(["seq", "pic"])).groupBy("seq", F.col("a").alias("pic")).agg(F.collect_list("b").alias("same"))
+    numbers = placed.select("seq", "segment", "at", "pic", "score", "doubtful").join(same, ["seq", "pic"], "left")
+    numbers = numbers.withColumn("same", F.coalesce("same", F.array().cast("array<string>")))
     schema = T.StructType([found.schema["seq"], found.schema["segment"], T.StructField("slide", T.IntegerType()), T.StructField("stands", T.BooleanType())])
-    return found.select(*names).dropna().groupBy("seq").applyInPandas(_accept, schema)
+    return numbers.groupBy("seq").applyInPandas(_accept, schema)

@@ -1011,3 +1011,6 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Shipped lines of a year by flag and status, with a total: a filter and a summary."""
     t = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate").withColumn("__o", F.struct("l_orderkey", "l_linenumber"))
     return S.pivot_summary(t.filter("l_shipdate >= timestamp'1994-01-01'"), ["l_returnflag"], ["l_linestatus"], "l_quantity", "sum", "__o", total="total")
+
+
+from . import page_queries  # noqa: E402, F401  its entries

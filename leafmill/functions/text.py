@@ -107,7 +107,7 @@ LINKS = ("http://", "https://", "www.", "doi.org")
 PAGE_WORDS = {"page": "page", "before": "第", "after": "页", "all": "共"}
 
 
-def _furniture(x: Column) -> Column:
+def page_furniture(x: Column) -> Column:
     """Whether a text has a link, a counter (3/10) or an English page number in it, or is but a page number: bare, between
     two dashes, or a Chinese one with or without the number of all pages."""
     w = PAGE_WORDS
@@ -126,7 +126,7 @@ def backed_fragment(fragment: Column, sources: Column) -> Column:
     """Whether a short page's text is of one of the source pages: 12 characters or more, no page furniture, and 0.7 of its
     strings in a source that isn't blank. False for nulls."""
     covered = F.exists(sources, lambda s: (F.trim(s) != "") & (sequence_coverage(plain_form(fragment), plain_form(s)) >= 0.70))
-    return F.coalesce((F.length(plain_form(fragment)) >= 12) & ~_furniture(fragment) & covered, F.lit(False))
+    return F.coalesce((F.length(plain_form(fragment)) >= 12) & ~page_furniture(fragment) & covered, F.lit(False))
 
 
 def multiset_recall(source: Column, output: Column) -> Column:

@@ -243,7 +243,7 @@ def test_page_furniture(spark):
     yes = ["12", " 1 2 ", "- 7 -", "\u2014 1 0 \u2212", "\u7b2c 3 \u9875", "\u7b2c3\u9875 \u5171 10 \u9875", "\u5171 10 \u9875\u7b2c 3 \u9875", "see WWW.x.y", "at HTTPS://a", "doi.org/1", "x 3 / 10 y", "3/10", "Page  4", "on page 4 of 9"]
     no = ["12345", "- 7", "a 12", "\u7b2c \u9875", "x3/10", "3/10y", "pages 4", "frontpage 4", "page four", "", "\u7b2c1234567\u9875"]
     t = spark.createDataFrame([(x,) for x in [*yes, *no]], "s string")
-    assert [r[0] for r in t.select(X._furniture(F.col("s"))).collect()] == [True] * len(yes) + [False] * len(no)
+    assert [r[0] for r in t.select(X.page_furniture(F.col("s"))).collect()] == [True] * len(yes) + [False] * len(no)
 
 
 def test_backed_fragment(spark):

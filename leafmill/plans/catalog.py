@@ -38,14 +38,14 @@ excel.pivot | hidden | operators.sheets.pivot_summary | source_sheet:text=Sheet1
 word.to_pdf | core | external | engine:choice=auto
 word.full_compatibility | core | operators.textops.verdict | verification_engine:choice=auto
 word.to_text | core | operators.textops.paragraphs_text | include_tables:boolean=True
-word.to_markdown | hidden | operators.textops.block_markdown | 
-word.to_html | hidden | operators.textops.block_html | title:text
+word.to_markdown | hidden | operators.runs.runs_markdown | 
+word.to_html | hidden | operators.runs.runs_html | title:text
 word.to_epub | hidden | external | title:text, author:text, language:text=zh-CN
-word.replace | core | operators.textops.replace_words | replacements:text={"旧文字":"新文字"}*, case_sensitive:boolean=True
+word.replace | core | operators.runs.replace_runs | replacements:text={"旧文字":"新文字"}*, case_sensitive:boolean=True
 word.remove_blank_lines | core | operators.textops.drop_blank_lines | 
-word.remove_blank_pages | hidden | operators.pages.text_of_documents | 
+word.remove_blank_pages | hidden | operators.pages.blank_matches | 
 word.remove_images | core | sources.ooxml.drop_images | 
-word.revisions | hidden | operators.textops.apply_revisions | mode:choice=accept{accept/reject}
+word.revisions | hidden | operators.runs.apply_revisions | mode:choice=accept{accept/reject}
 word.typography | core | operators.textops.typography | font_name:text=微软雅黑, font_size:number=12[0..200], line_spacing:number=1.5[0..10]
 word.headers_footers | core | operators.textops.headers_footers | header:text, footer:text, replace:boolean=True
 word.extract_images | core | operators.media.members | 

@@ -9,6 +9,7 @@ from ..operators import boundaries as BD
 from ..operators import fragments as FG
 from ..operators import regions as RG
 from ..operators import runs as RN
+from . import runner as R
 from .queries import entry, read
 
 # ---- regions ---------------------------------------------------------------------------------------------------------
@@ -180,3 +181,25 @@ g AS (SELECT doc, enter, leave, count(*) FILTER (NOT coalesce(before, '') IN ({_
 SELECT g.doc, paragraph, coalesce(string_agg(k.text, '' ORDER BY k.enter), '') AS text FROM g LEFT JOIN k ON k.doc = g.doc AND k.kind = 'text' AND k.enter BETWEEN g.enter AND g.leave GROUP BY g.doc, paragraph""")
     def _revised_text(spark, d, mode=_mode):
         return RN.revised_text(_event_nodes(spark, d), mode)
+
+
+# ---- names -----------------------------------------------------------------------------------------------------------
+
+
+@entry("unique_names", r"""
+WITH w AS (SELECT l_orderkey * 10000000 + l_partkey * 10 + l_linenumber AS o, l_suppkey, l_extendedprice, CASE WHEN l_partkey % 10 = 0 THEN 'page_' || (l_suppkey % 9) || '.png' WHEN l_partkey % 3 = 0 THEN 'page.png' ELSE 'part' || (l_partkey % 50) END AS name FROM lineitem),
+h AS (SELECT DISTINCT 'page_' || s_suppkey || '.png' AS name FROM supplier WHERE s_suppkey % 4 = 0 UNION SELECT DISTINCT 'part' || n_nationkey FROM nation),
+r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY o, l_suppkey, l_extendedprice) - 1 + (name IN (SELECT name FROM h))::INT AS k FROM w),
+t AS (SELECT DISTINCT regexp_extract(name, '^(.*)_([1-9][0-9]*)(\.[^.]*)?$', 1) AS s, regexp_extract(name, '^(.*)_([1-9][0-9]*)(\.[^.]*)?$', 2)::BIGINT AS t, regexp_extract(name, '^(.*)_([1-9][0-9]*)(\.[^.]*)?$', 3) AS x FROM (SELECT name FROM h UNION SELECT name FROM w) WHERE regexp_matches(name, '_[1-9][0-9]*(\.[^.]*)?$')),
+g AS (SELECT s, x, t, t - row_number() OVER (PARTITION BY s, x ORDER BY t) AS before FROM t),
+f AS (SELECT s, x, i AS t, row_number() OVER (PARTITION BY s, x ORDER BY i) AS k FROM (SELECT DISTINCT s, x, unnest(range(1, (SELECT count(*) FROM w) + (SELECT count(*) FROM t) + 1)) AS i FROM (SELECT DISTINCT s, x FROM t)) n WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.s = n.s AND t.x = n.x AND t.t = n.i)),
+c AS (SELECT r.*, regexp_replace(name, '\.[^.]*$', '') AS stem, regexp_extract(name, '(\.[^.]*)$', 1) AS suffix FROM r)
+SELECT o, l_suppkey, l_extendedprice, name, CASE WHEN c.k = 0 THEN name ELSE stem || '_' || coalesce(f.t, c.k) || suffix END AS unique_name FROM c LEFT JOIN f ON f.s = stem AND f.x = suffix AND f.k = c.k""")
+def _unique_names(spark, d):
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    name = F.when(p % 10 == 0, F.concat(F.lit("page_"), (s % 9).cast("string"), F.lit(".png"))).when(p % 3 == 0, "page.png").otherwise(F.concat(F.lit("part"), (p % 50).cast("string")))
+    t = read(spark, d, "lineitem").select((F.col("l_orderkey") * 10_000_000 + p * 10 + F.col("l_linenumber")).alias("o"), "l_suppkey", "l_extendedprice", name.alias("name"))
+    taken = read(spark, d, "supplier").filter("s_suppkey % 4 = 0").select(F.concat(F.lit("page_"), F.col("s_suppkey").cast("string"), F.lit(".png")).alias("name"))
+    taken = taken.union(read(spark, d, "nation").select(F.concat(F.lit("part"), F.col("n_nationkey").cast("string"))))
+    t = t.withColumn("__order", F.struct("o", "l_suppkey", "l_extendedprice"))
+    return R.unique_names(t, "name", "__order", taken).drop("__order")

@@ -125,17 +125,37 @@ def summary(results: DataFrame) -> DataFrame:
 
 
 def unique_names(wanted: DataFrame, name: str, order: str, existing: DataFrame | None = None) -> DataFrame:
-    """Adds unique_name: the first of a name keeps it, others get _1, _2, ...; existing (name) counts as taken."""
-    from pyspark.sql import Window
-
-    stem, suffix = F.regexp_replace(name, "\\.[^.]*$", ""), F.regexp_extract(name, "(\\.[^.]*)$", 1)
-    n = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
-    df = wanted.withColumn("__n", n)
-    if existing is not None:
-        taken = existing.select(F.regexp_replace(F.col("name"), "(_\\d+)?(\\.[^.]*)?$", "").alias("__stem"), F.regexp_extract(F.col("name"), "(\\.[^.]*)$", 1).alias("__suffix"), F.coalesce(F.regexp_extract(F.col("name"), "_(\\d+)(\\.[^.]*)?$", 1).try_cast("int"), F.lit(0)).alias("__k"))
-        top = taken.groupBy("__stem", "__suffix").agg((F.max("__k") + 1).alias("__shift"))
-        df = df.join(top, (stem == F.col("__stem")) & (suffix == F.col("__suffix")), "left").withColumn("__n", F.col("__n") + F.coalesce("__shift", F.lit(0))).drop("__stem", "__suffix", "__shift")
-    return df.withColumn("unique_name", F.when(F.col("__n") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), F.col("__n").cast("string"), suffix))).drop("__n")
+    """Adds unique_name, different for all rows and from all of existing (name).
+
+    A name that doesn't exist goes to the first row, by order, that wants it. Every other row gets the first free number from 1
+    on behind its name's stem, rows in order: a number is free if neither existing has the name that it makes nor any row wants
+    it. The k-th free number is k and the taken ones up to it, so numbers come from gaps between the taken ones: rows and taken
+    numbers are put in one order, by ranges, and a name that very many rows want is no single task's. Rows without a name get
+    none; rows of one name and order are in free order."""
+    from ..operators.ranks import numbered
+
+    have = (existing.select(F.col("name").alias("__taken")) if existing is not None else wanted.select(F.lit(None).cast("string").alias("__taken")).limit(0)).filter("__taken is not null").distinct()
+    asked = numbered(wanted.filter(F.col(name).isNotNull()).select("*", F.monotonically_increasing_id().alias("__id")), [F.col(name), F.col(order), F.col("__id")], "__n").drop("__id")
+    first = asked.groupBy(F.col(name).alias("__name")).agg(F.min("__n").alias("__first"))
+    first = first.join(have.withColumn("__exists", F.lit(True)), F.col("__name") == F.col("__taken"), "left").select("__name", "__first", F.coalesce("__exists", F.lit(False)).alias("__exists"))
+    placed = asked.join(first, F.col(name) == F.col("__name")).withColumn("__k", F.col("__n") - F.col("__first") + F.col("__exists").cast("int"))
+    # numbers that are taken, by what stands before and behind them
+    every = have.union(first.select("__name")).distinct().select(F.regexp_extract("__taken", "^(.*)_([1-9][0-9]{0,17})(\\.[^.]*)?$", 1).alias("__s"), F.regexp_extract("__taken", "^(.*)_([1-9][0-9]{0,17})(\\.[^.]*)?$", 2).try_cast("long").alias("__t"), F.regexp_extract("__taken", "^(.*)_([1-9][0-9]{0,17})(\\.[^.]*)?$", 3).alias("__x"))
+    stem, suffix = F.regexp_replace("__name", "\\.[^.]*$", ""), F.regexp_extract("__name", "(\\.[^.]*)$", 1)
+    families = placed.filter("__k > 0").select("__name").distinct().select("__name", stem.alias("__stem"), suffix.alias("__suffix"))
+    taken = every.filter("__t is not null").join(families, (F.col("__s") == F.col("__stem")) & (F.col("__x") == F.col("__suffix"))).select("__name", "__t")
+    taken = numbered(taken, [F.col("__name"), F.col("__t")], "__n")
+    least = taken.groupBy(F.col("__name").alias("__of")).agg(F.min("__n").alias("__begin"))
+    # free numbers before the i-th taken one t: t - i; a row whose place is beyond these passes over it
+    gaps = taken.join(least, F.col("__name") == F.col("__of")).select("__name", (F.col("__t") - (F.col("__n") - F.col("__begin") + 1)).alias("__k"), F.lit(1).alias("__passed"), F.lit(None).cast("long").alias("__row"))
+    rows = placed.filter("__k > 0").select("__name", F.col("__k").cast("long").alias("__k"), F.lit(0).alias("__passed"), F.col("__n").alias("__row"))
+    both = numbered(rows.unionByName(gaps), [F.col("__name"), F.col("__k"), F.col("__passed"), F.col("__row")], "__place")
+    edges = both.groupBy(F.col("__name").alias("__of")).agg(F.min("__place").alias("__begin"))
+    passed = both.filter("__passed = 0").join(edges, F.col("__name") == F.col("__of")).select("__row", (F.col("__place") - F.col("__begin") + 1 - F.col("__k")).alias("__over"))
+    named = placed.join(passed, F.col("__n") == F.col("__row"), "left")
+    number = (F.col("__k") + F.col("__over")).cast("string")
+    out = named.withColumn("unique_name", F.when(F.col("__k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), number, suffix)))
+    return out.select(*wanted.columns, "unique_name").unionByName(wanted.filter(F.col(name).isNull()).withColumn("unique_name", F.lit(None).cast("string")))
 
 
 REQUEST_KEYS = {"schema_version", "request_id", "operation", "inputs", "output_dir", "parameters", "options"}

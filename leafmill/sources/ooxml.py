@@ -217,16 +217,105 @@ def rewrite(package: bytes, change) -> bytes:
     return out.getvalue()
 
 
+_VML = "urn:schemas-microsoft-com:vml"
+_PICTURES = {f"{_A[1:-1]} blip", f"{_VML} imagedata"}
+_FRAMES = {f"{_W[1:-1]} drawing", f"{_W[1:-1]} pict"}
+
+
+def _picture_ranges(data: bytes) -> list[tuple[int, int]]:
+    """Where the drawings of a part begin and end that show a picture themselves, not only in a text box within."""
+    from xml.parsers import expat
+
+    open_: list[list[int | bool]] = []  # of the drawings that are open: begin, whether a picture is theirs
+    found: list[tuple[int, int]] = []
+    parser = expat.ParserCreate(namespace_separator=" ")
+
+    def start(name: str, _: dict) -> None:
+        if name in _FRAMES:
+            open_.append([parser.CurrentByteIndex, False])
+        elif name in _PICTURES and open_:
+            open_[-1][1] = True
+
+    def end(name: str) -> None:
+        if name in _FRAMES:
+            begin, picture = open_.pop()
+            if picture:
+                found[:] = [f for f in found if f[0] < begin]  # those within go with it
+                found.append((int(begin), data.index(b">", parser.CurrentByteIndex) + 1))
+
+    parser.StartElementHandler, parser.EndElementHandler = start, end
+    parser.Parse(data, True)
+    return sorted(found)
+
+
+def _without_image_relations(data: bytes) -> bytes:
+    return re.sub(rb"<Relationship\b[^>]*?\bType=[\"'][^\"'>]*/image[\"'][^>]*?(?:/>|>\s*</Relationship>)", b"", data)
+
+
 def drop_images(package: bytes) -> bytes:
-    """A word document without drawings and their media parts."""
+    """A word document without its pictures: their drawings, media parts and relations. Charts, shapes and text boxes stay, and
+    all other bytes of a part are as they were; a part that is no XML raises."""
 
     def change(name: str, data: bytes) -> bytes | None:
-        if "/media/" in name:
+        if name.startswith("word/media/"):
             return None
         if name.startswith("word/") and name.endswith(".xml"):
-            data = re.sub(rb"<w:(drawing|pict)\b.*?</w:\1>", b"", data, flags=re.S)
-        if name.endswith(".rels"):
-            data = re.sub(rb"<Relationship\b[^>]*?/image\"[^>]*?/>", b"", data)
-        return data
+            done, kept = 0, []
+            for a, z in _picture_ranges(data):
+                kept.append(data[done:a])
+                done = z
+            return b"".join([*kept, data[done:]])
+        return _without_image_relations(data) if name.startswith("word/") and name.endswith(".rels") else data
 
     return rewrite(package, change)
+
+
+_RELATION = "{http://schemas.openxmlformats.org/package/2006/relationships}Relationship"
+RUNS = "doc string, block int, run int, table int, row int, cell int, style string, text string, bold boolean, italic boolean, underline boolean, strike boolean, link string, revision string, error string"
+
+
+def _document_runs(data: bytes):
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml")).find(_W + "body")
+        rels = "word/_rels/document.xml.rels"
+        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read(rels)).iter(_RELATION)} if rels in z.namelist() else {}
+    signs = {"tab": "\t", "br": "\n", "cr": "\n"}
+
+    def of_paragraph(p):
+        for x in p:
+            if x.tag == _W + "r":
+                yield x, None, None
+            elif x.tag in (_W + "ins", _W + "del", _W + "moveTo", _W + "moveFrom", _W + "hyperlink", _W + "smartTag"):
+                link = links.get(x.get(_REL + "id")) if x.tag == _W + "hyperlink" else None
+                kind = {"ins": "insert", "del": "delete", "moveTo": "move_to", "moveFrom": "move_from"}.get(x.tag.removeprefix(_W))
+                yield from ((r, kind, link) for r in x.iter(_W + "r"))
+
+    def paragraph(p, block, place):
+        style = p.find(f"{_W}pPr/{_W}pStyle")
+        name, n = style.get(_W + "val") if style is not None else "Normal", 0
+        for run, revision, link in of_paragraph(p):
+            text = "".join(x.text or "" if x.tag in (_W + "t", _W + "delText") else signs.get(x.tag.removeprefix(_W), "") for x in run)
+            pr = run.find(_W + "rPr")
+            on = lambda tag: (f := pr.find(_W + tag) if pr is not None else None) is not None and f.get(_W + "val", "1") not in ("0", "false", "none")  # noqa: E731, B023
+            yield block, n, *place, name, text, on("b"), on("i"), on("u"), on("strike"), link, revision
+            n += 1
+        if not n:
+            yield block, 0, *place, name, "", False, False, False, False, None, None
+
+    block = tables = 0
+    for x in body:
+        if x.tag == _W + "p":
+            yield from paragraph(x, block, (None, None, None))
+            block += 1
+        elif x.tag == _W + "tbl":
+            for i, tr in enumerate(x.findall(_W + "tr")):
+                for j, tc in enumerate(tr.findall(_W + "tc")):
+                    for p in tc.iter(_W + "p"):  # with those of tables within
+                        yield from paragraph(p, block, (tables, i, j))
+                        block += 1
+            tables += 1
+
+
+def document_runs(file_rows: DataFrame) -> DataFrame:
+    """RUNS of word documents (path, content), as operators.runs takes them; doc is the path."""
+    return file_rows.select("path", "content").mapInPandas(_each(_document_runs, _names(RUNS)), RUNS)

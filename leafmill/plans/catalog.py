@@ -96,7 +96,7 @@ image.rotate | core | operators.media.rotate | angle:number=90[-3600..3600], exp
 image.flip | core | operators.media.flip | direction:choice=horizontal{horizontal/vertical}
 image.compress | core | operators.media.best_quality | quality:integer=88[1..100], target_kb:integer=0[0..], min_quality:integer=45[1..100], allow_resize:boolean=False
 image.remove_exif | core | external | 
-image.enhance | core | operators.frames.block_audit | mode:choice=auto{auto/compatible/gpu_ai}, content_type:choice=auto{auto/document/photo}, scale:choice=2{2/4}, max_dimension:integer=4096[1024..8192], output_format:choice=png{png/jpg/webp}
+image.enhance | core | operators.audit.audited | mode:choice=auto{auto/compatible/gpu_ai}, content_type:choice=auto{auto/document/photo}, scale:choice=2{2/4}, max_dimension:integer=4096[1024..8192], output_format:choice=png{png/jpg/webp}
 image.adjust | core | operators.media.adjust | brightness:number=1[0..5], contrast:number=1[0..5], saturation:number=1[0..5]
 image.filter | core | operators.media.FILTERS | filter:choice=grayscale{grayscale/black_white/sepia/gaussian_blur/sharpen/emboss/find_edges/smooth}, intensity:number=1[0..20]
 image.text_watermark | core | operators.media.anchor_box | text:text=仅供内部使用*, position:choice=bottom-right, font_size:integer=36[6..500], font_path:path, color:color=white, opacity:number=0.7[0..1], margin:integer=20[0..]

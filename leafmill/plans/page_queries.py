@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import advances as AD
+from ..operators import audit as AU
 from ..operators import boundaries as BD
+from ..operators import candidates as CD
 from ..operators import fragments as FG
 from ..operators import regions as RG
 from ..operators import runs as RN
@@ -203,3 +206,60 @@ def _unique_names(spark, d):
     taken = taken.union(read(spark, d, "nation").select(F.concat(F.lit("part"), F.col("n_nationkey").cast("string"))))
     t = t.withColumn("__order", F.struct("o", "l_suppkey", "l_extendedprice"))
     return R.unique_names(t, "name", "__order", taken).drop("__order")
+
+
+# ---- letters, candidates and enhanced pictures ---------------------------------------------------------------------------
+
+
+@entry("letter_advances", """
+WITH l AS (SELECT l_orderkey AS page, l_linenumber // 4 AS line, row_number() OVER (PARTITION BY l_orderkey, l_linenumber // 4 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n, chr((97 + l_partkey % 26)::INT) AS text,
+  l_returnflag AS font, 8 + (l_quantity % 7) * 0.5 AS size, (l_linenumber % 4) * (4 + l_suppkey % 9) + l_discount * 10 AS x, l_tax * 10 AS y FROM lineitem),
+a AS (SELECT *, round_even(greatest(1.0, size) * 2, 0) / 2 AS bucket, ((lead(x) OVER w - x) * 1.0 + (lead(y) OVER w - y) * 0.0) / 1.0 AS a FROM l WINDOW w AS (PARTITION BY page, line ORDER BY n)),
+f AS (SELECT * FROM a WHERE a BETWEEN 0.05 AND greatest(1.0, size) * 1.8),
+m AS (SELECT level, CASE WHEN level < 3 THEN font END AS font, CASE WHEN level < 2 THEN bucket END AS bucket, CASE WHEN level < 1 THEN text END AS text, a FROM f, (SELECT unnest(range(4)) AS level)),
+g AS (SELECT level, font, bucket, text, list_sort(list(a)) AS v, count(*) AS n FROM m GROUP BY level, font, bucket, text),
+q AS (SELECT *, v[floor((n - 1) * CASE level WHEN 0 THEN 0.25 ELSE 0.35 END)::INT + 1] AS adv FROM g WHERE level > 0 OR n >= 3)
+SELECT page, line, a.n, a.text, coalesce(l0.adv, l1.adv, l2.adv, l3.adv) AS expected, CASE WHEN l0.adv IS NOT NULL THEN 'letter' WHEN l1.adv IS NOT NULL THEN 'size' WHEN l2.adv IS NOT NULL THEN 'font' WHEN l3.adv IS NOT NULL THEN 'all' END AS expected_by
+FROM a LEFT JOIN q l0 ON l0.level = 0 AND l0.font = a.font AND l0.bucket = a.bucket AND l0.text = a.text LEFT JOIN q l1 ON l1.level = 1 AND l1.font = a.font AND l1.bucket = a.bucket LEFT JOIN q l2 ON l2.level = 2 AND l2.font = a.font LEFT JOIN q l3 ON l3.level = 3""")
+def _letter_advances(spark, d):
+    o, n, p, s = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
+    line = F.floor(n / 4)
+    by = Window.partitionBy(o, line).orderBy(n, p, s, "l_extendedprice")
+    told = {"page": o, "line": line, "n": F.row_number().over(by), "text": F.char(97 + p % 26), "font": F.col("l_returnflag"), "size": 8 + (F.col("l_quantity") % 7) * 0.5, "x": (n % 4) * (4 + s % 9) + F.col("l_discount") * 10, "y": F.col("l_tax") * 10}
+    none = F.lit(None).cast("double")
+    t = read(spark, d, "lineitem").select(*(c.alias(name) for name, c in told.items()), none.alias("dx"), none.alias("dy"))
+    return AD.expected(t, AD.model(AD.advances(t))).select("page", "line", "n", "text", "expected", "expected_by")
+
+
+@entry("candidate_frames")
+def _candidate_frames(spark, d):
+    """Events as scans of their users' recordings, in segments of 3 to 80 scans."""
+    t = read(spark, d, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e11).alias("ts"))
+    scans = t.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).select(F.col("user_id").alias("seq"), "n", "ts", F.floor(F.col("ts") * 25).alias("frame"))
+    ends = scans.filter((F.col("n") % 97 == 2) | (F.col("n") % 83 == 0)).withColumn("next", F.lead("n").over(Window.partitionBy("seq").orderBy("n")))
+    segments = ends.filter("next is not null").select("seq", F.col("n").alias("segment"), F.col("n").alias("first"), (F.col("next") - 1).alias("last"))
+    return CD.frames_to_read(CD.schedule(segments, scans, 25.0))
+
+
+def _planes(spark, d) -> DataFrame:
+    """Vectors as pictures of 8 by 8 pixels in three colours."""
+    v = F.col("embedding")
+    byte = lambda c: F.unhex(F.array_join(F.transform(v, lambda x: F.lpad(F.hex(F.pmod((x * c).cast("int"), F.lit(256))), 2, "0")), ""))
+    return read(spark, d, "embeddings").select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), byte(300).alias("red"), byte(400).alias("green"), byte(500).alias("blue"))
+
+
+@entry("chosen_frames")
+def _chosen_frames(spark, d):
+    k = F.col("vec_id")
+    c = _planes(spark, d).select((k % 20).alias("seq"), (F.floor(k / 20) % 5).alias("segment"), k.alias("at"), "width", "height", "red", "green", "blue", F.lit(None).cast("binary").alias("ignored"), (k % 4).alias("support"))
+    return CD.chosen(c).select("seq", "segment", "at", "score")
+
+
+@entry("audited_pictures")
+def _audited_pictures(spark, d):
+    """Vectors as grey pictures of 8 by 32 pixels, the enhanced one of each brighter in a part; tiles of 8 pixels."""
+    k, v = F.col("vec_id"), F.col("embedding")
+    grey = lambda more: F.unhex(F.array_join(F.transform(F.flatten(F.array(v, v, v, v)), lambda x, i: F.lpad(F.hex(F.least(F.lit(255), F.pmod((x * 300).cast("int"), F.lit(200)) + more(i))), 2, "0")), ""))
+    shift = lambda i: F.when((k % 3 > 0) & (i >= 128) & (i < 128 + 64 * (k % 3)), F.pmod(i * k, F.lit(60)).cast("int")).otherwise(F.lit(2))
+    t = read(spark, d, "embeddings").select(k.alias("key"), F.lit(8).alias("width"), F.lit(32).alias("height"), F.lit(1).alias("channels"), (k % 2 == 0).alias("photo"), grey(lambda i: F.lit(0)).alias("source"), grey(shift).alias("output"))
+    return AU.audited(t, 8).withColumn("pixels", F.sha2("pixels", 256))

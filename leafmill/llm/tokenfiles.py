@@ -44,8 +44,8 @@ def default_tokenizer() -> str:
 
 
 _CUT = re.compile(r"(?<=\S) ")
-#: A space after other white space may lie within a run that the tokenizer keeps whole; Python's \s holds all that the tokenizer's does.
-_AFTER = re.compile(r"[^\S ] ")
+#: A space after other white space (fixed values: the tokenizer's) may lie within a run that the tokenizer keeps whole.
+_AFTER = re.compile("[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 _LOW = [chr(i) for i in range(0x250)]
 _LETTER = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "L")
 _DIGIT = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "N")
@@ -62,8 +62,9 @@ class Encoder:
     text's ids are those of its stretches from one such space to the next, and a stretch's are those of its pieces, which the
     library's model merges. A tokenizer of another kind encodes whole texts, and any encodes as a whole a text that holds an added token."""
 
-    #: Words kept in each of two generations, at most.
+    #: Words kept in each of two generations, at most; stretches of several pieces that are kept, and their length.
     KEPT = 500_000
+    MIXED, SHORT = 100_000, 24
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -75,6 +76,7 @@ class Encoder:
         self.words: dict[str, bytes] = {}  # of a space and the word
         self.older: dict[str, bytes] = {}
         self.bare: dict[str, bytes] = {}  # of pieces as they are
+        self.mixed: dict[str, bytes] = {}  # of short stretches of several pieces
         self.model = self.whole.model.tokenize
         self.number = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         spec = json.loads(self.whole.to_str())
@@ -113,9 +115,14 @@ class Encoder:
     def _stretch(self, text: str) -> bytes:
         if text[:1] == " " and text[1:].isalpha() and max(text) < "\u0250":
             return self._word(text[1:])
-        if _ODD.search(text):
-            return self._library(text)
-        return b"".join([self._piece(p) for p in _PIECES.findall(text)])
+        got = self.mixed.get(text)
+        if got is None:
+            got = self._library(text) if _ODD.search(text) else b"".join([self._piece(p) for p in _PIECES.findall(text)])
+            if len(text) <= self.SHORT:
+                if len(self.mixed) >= self.MIXED:
+                    self.mixed.clear()
+                self.mixed[text] = got
+        return got
 
     def encode(self, text: str) -> bytes:
         if not self.plain or any(t in text for t in self.added):

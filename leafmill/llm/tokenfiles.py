@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, table
+from . import words
+from .common import byte_table, materialize, mix64, table, utf8
 
 END = 0
 SHARD_IDS = 2_000_000
@@ -43,9 +44,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-_CUT = re.compile(r"(?<=\S) ")
-#: A space after other white space (fixed values: the tokenizer's) may lie within a run that the tokenizer keeps whole.
-_AFTER = re.compile("[\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+#: Bytes after which a space surely begins a new piece: ASCII but white space and controls, and parts of other characters.
+_BEFORE = np.zeros(256, bool)
+_BEFORE[0x21:] = True
+#: The last bytes of white space beyond ASCII, by the bytes before them.
+_WIDE = {(None, 0xC2): (0x85, 0xA0), (0xE1, 0x9A): (0x80,), (0xE2, 0x80): (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF), (0xE2, 0x81): (0x9F,), (0xE3, 0x80): (0x80,)}
+_LAST_OF_WIDE = np.zeros(256, bool)
+_LAST_OF_WIDE[[x for v in _WIDE.values() for x in v]] = True
+_PRINTS = byte_table(0x0B9E)
 _LOW = [chr(i) for i in range(0x250)]
 _LETTER = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "L")
 _DIGIT = "".join(re.escape(c) for c in _LOW if unicodedata.category(c)[0] == "N")
@@ -55,16 +61,32 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_DIGIT}]+| ?[^
 _ODD = re.compile("[\x1c-\x1f\x85\xa0]|[^\x00-\u024f]")
 
 
+def stretches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where stretches begin in the bytes of rows: at each row that isn't empty, and at each space after a character that isn't
+    white space. Not to cut at a space is always right, too."""
+    cut = data == 32
+    cut[1:] &= _BEFORE[data[:-1]]
+    cut[:1] = False
+    doubtful = np.flatnonzero(cut[1:] & _LAST_OF_WIDE[data[:-1]]) + 1
+    if len(doubtful):
+        last, second, third = (np.where(doubtful >= k, data[np.maximum(doubtful - k, 0)], 0) for k in (1, 2, 3))
+        for (first, middle), ends in _WIDE.items():
+            space = (second == middle) & np.isin(last, ends)
+            cut[doubtful[space if first is None else space & (third == first)]] = False
+    cut[offsets[:-1][np.diff(offsets) > 0]] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """encode(text, add_special_tokens=False) of a byte-level tokenizer, with the ids of words kept in a table.
+    """Ids as encode(text, add_special_tokens=False) of a byte-level tokenizer gives them, with those of stretches kept.
 
     A space after a character that isn't white space always begins a new piece, and what follows can't reach before it; so a
-    text's ids are those of its stretches from one such space to the next, and a stretch's are those of its pieces, which the
-    library's model merges. A tokenizer of another kind encodes whole texts, and any encodes as a whole a text that holds an added token."""
+    text's ids are those of its stretches from one such space to the next. The distinct stretches of some megabytes are looked
+    up, and put in all their places at once; a new one's ids are those of its pieces, which the library's model merges. A tokenizer
+    of another kind encodes whole texts, and any encodes as a whole a text that holds an added token."""
 
-    #: Words kept in each of two generations, at most; stretches of several pieces that are kept, and their length.
-    KEPT = 500_000
-    MIXED, SHORT = 100_000, 24
+    #: Stretches kept in each of two generations, at most, and the longest that are kept; bytes of text at a time.
+    KEPT, SHORT, SLICE = 400_000, 48, 4 << 20
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -73,10 +95,8 @@ class Encoder:
         self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]  # the library looks for these in a text first
         byte = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = dict(zip([*byte, *(b for b in range(256) if b not in set(byte))], [*byte, *range(256, 512)]))
-        self.words: dict[str, bytes] = {}  # of a space and the word
-        self.older: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}  # of pieces as they are
-        self.mixed: dict[str, bytes] = {}  # of short stretches of several pieces
+        self.kept: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.model = self.whole.model.tokenize
         self.number = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         spec = json.loads(self.whole.to_str())
@@ -86,50 +106,78 @@ class Encoder:
     def _library(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _merged(self, piece: str) -> bytes:
+    def _merged(self, piece: bytes) -> bytes:
         number = self.number
-        return b"".join([number[t.id] for t in self.model(piece.encode().decode("latin-1").translate(self.shown))])
+        return b"".join([number[t.id] for t in self.model(piece.decode("latin-1").translate(self.shown))])
 
-    def _word(self, w: str) -> bytes:
-        """A space and a word of letters, or another stretch that is kept."""
-        got = self.words.get(w)
+    def _known(self, raw: bytes) -> bytes | None:
+        got = self.kept.get(raw)
         if got is None:
-            got = self.older.get(w)
-            if got is None:
-                got = self._merged(" " + w)
-            if len(self.words) >= self.KEPT:
-                self.older, self.words = self.words, {}
-            self.words[w] = got
+            got = self.older.get(raw)
+            if got is not None:
+                self._keep(raw, got)
         return got
 
-    def _piece(self, p: str) -> bytes:
-        if p[0] == " " and len(p) > 1:
-            return self._word(p[1:])
-        got = self.bare.get(p)
-        if got is None:
-            if len(self.bare) >= self.KEPT // 4:
-                self.bare.clear()
-            got = self.bare[p] = self._merged(p)
-        return got
+    def _keep(self, raw: bytes, ids: bytes) -> bytes:
+        if len(raw) <= self.SHORT:
+            if len(self.kept) >= self.KEPT:
+                self.older, self.kept = self.kept, {}
+            self.kept[raw] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        raw = piece.encode()
+        got = self._known(raw)
+        return self._keep(raw, self._merged(raw)) if got is None else got
 
-    def _stretch(self, text: str) -> bytes:
+    def _stretch(self, raw: bytes) -> bytes:
+        text = raw.decode()
         if text[:1] == " " and text[1:].isalpha() and max(text) < "\u0250":
-            return self._word(text[1:])
-        got = self.mixed.get(text)
-        if got is None:
-            got = self._library(text) if _ODD.search(text) else b"".join([self._piece(p) for p in _PIECES.findall(text)])
-            if len(text) <= self.SHORT:
-                if len(self.mixed) >= self.MIXED:
-                    self.mixed.clear()
-                self.mixed[text] = got
-        return got
+            return self._merged(raw)
+        if _ODD.search(text):
+            return self._library(text)
+        return b"".join([self._piece(p) for p in _PIECES.findall(text)])
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        begin = stretches(data, offsets)
+        end = np.append(begin[1:], len(data))
+        _, at, which = np.unique(words.hashed(data, begin, end, _PRINTS), return_index=True, return_inverse=True)
+        raw, known, found = data.tobytes(), self._known, []
+        for a, z in zip(begin[at].tolist(), end[at].tolist()):
+            s = raw[a:z]
+            got = known(s)
+            found.append(self._keep(s, self._stretch(s)) if got is None else got)
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        ids, starts = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        upto = np.append(0, np.cumsum(n))
+        every = ids[np.repeat(starts[which] - upto[:-1], n) + np.arange(int(upto[-1]))]
+        rows = upto[np.searchsorted(begin, offsets)].tolist()
+        return [every[a:z].tobytes() for a, z in zip(rows, rows[1:])]
+
+    def rows(self, column: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers; null texts are empty."""
+        if not self.plain:
+            return [self._library(t or "") for t in column.to_pylist()]
+        data, offsets = utf8(column)
+        out: list[bytes] = []
+        for a, z in words.slices(offsets, self.SLICE):
+            part, own = data[offsets[a] : offsets[z]], offsets[a : z + 1] - offsets[a]
+            if len(part):
+                out += self._slice(part, own)
+            else:
+                out += [b""] * (z - a)
+            raw = part.tobytes()
+            for token in {t.encode() for t in self.added}:
+                place = raw.find(token)
+                while place >= 0:  # a text with an added token, or one that runs into the next text
+                    row = int(np.searchsorted(own, place, "right")) - 1
+                    out[a + row] = self._library(raw[own[row] : own[row + 1]].decode())
+                    place = raw.find(token, max(place + 1, int(own[row + 1])))
+        return out
 
     def encode(self, text: str) -> bytes:
-        if not self.plain or any(t in text for t in self.added):
-            return self._library(text)
-        first, *rest = _CUT.split(text) if "  " in text or _AFTER.search(text) else text.split(" ")
-        get, stretch = self.words.get, self._stretch
-        return b"".join([stretch(first), *[get(w) or stretch(" " + w) for w in rest]])
+        return self.rows(pa.array([text], pa.string()))[0]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -231,9 +279,9 @@ def write(docs: DataFrame, text: str = "text", key: str = "doc_id", tokenizer: s
         end = np.array([END], "<u4").tobytes()
         keys, numbers, pieces, held, last = [], [], [], 0, None
         for b in batches:
-            for k, t in zip(b.column(key).to_pylist(), b.column(text)):
+            for k, ids in zip(b.column(key).to_pylist(), enc.rows(b.column(text))):
                 count = numbers[-1] + 1 if keys and keys[-1] == k else last[1] + 1 if last is not None and last[0] == k and not keys else 0
-                raw = enc.encode(t.as_py() or "") + end
+                raw = ids + end
                 if keys and held + len(raw) // 4 > most:
                     yield _shard(part, seq, keys, numbers, pieces)
                     count = numbers[-1] + 1 if keys[-1] == k else 0

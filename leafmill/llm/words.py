@@ -28,15 +28,15 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash for each word. Words are equal where 64 bits of it are."""
+def hashed(data: np.ndarray, begin: np.ndarray, end: np.ndarray, numbers: np.ndarray = _NUMBERS) -> np.ndarray:
+    """A hash for each word (or other stretch of bytes). Words are equal where 64 bits of it are; A-Z count as a-z with these numbers."""
     out = np.empty(len(begin), _U)
     done = 0
     while done < len(begin):
         at = int(begin[done])
         upto = max(int(np.searchsorted(end, at + CHUNK, "right")), done + 1)
         some = slice(done, upto)
-        s = prefix_sums(data[at : int(end[upto - 1])], _NUMBERS)
+        s = prefix_sums(data[at : int(end[upto - 1])], numbers)
         a, z = begin[some] - at, end[some] - at
         out[some] = mix64((s[z] - s[a]) * powers(INVERSE, len(s))[a] + (z - a).astype(_U) * _U(BASE))
         done = upto

@@ -174,23 +174,28 @@ def crop(left: int, top: int, right: int, bottom: int) -> Transform:
     return run
 
 
-def rotate(angle: int, background: int = 255) -> Transform:
-    """Counterclockwise; multiples of 90 exactly, others by the nearest pixel on a canvas that holds all."""
+def rotate(angle: float, background: int = 255) -> Transform:
+    """Counterclockwise; multiples of 90 exactly, others on a canvas that holds all. Each pixel of the canvas is turned back into the
+    picture as a unit square that keeps its upright position, and takes each pixel there by the area of it that the square covers;
+    what lies beyond the border is background."""
 
     def run(x: np.ndarray) -> np.ndarray:
         if angle % 90 == 0:
-            return np.rot90(x, angle // 90 % 4)
+            return np.rot90(x, int(angle // 90) % 4)
         t = np.deg2rad(angle)
         h, w = x.shape[:2]
         c, s = np.cos(t), np.sin(t)
-        nw, nh = int(np.ceil(abs(w * c) + abs(h * s))), int(np.ceil(abs(w * s) + abs(h * c)))
+        nw, nh = int(np.ceil(abs(w * c) + abs(h * s) - 1e-9)), int(np.ceil(abs(w * s) + abs(h * c) - 1e-9))
         yy, xx = np.mgrid[0:nh, 0:nw]
         u, v = xx - (nw - 1) / 2, yy - (nh - 1) / 2
-        sx, sy = np.rint(u * c - v * s + (w - 1) / 2).astype(int), np.rint(u * s + v * c + (h - 1) / 2).astype(int)
-        ok = (sx >= 0) & (sx < w) & (sy >= 0) & (sy < h)
-        out = np.full((nh, nw, x.shape[2]), background, np.uint8)
-        out[ok] = x[sy[ok], sx[ok]]
-        return out
+        sx, sy = u * c - v * s + (w - 1) / 2, u * s + v * c + (h - 1) / 2
+        framed = np.full((h + 2, w + 2, x.shape[2]), float(background))
+        framed[1:-1, 1:-1] = x
+        x0, y0 = np.floor(sx), np.floor(sy)
+        fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
+        at = lambda dy, dx: framed[np.clip(y0 + dy + 1, 0, h + 1).astype(int), np.clip(x0 + dx + 1, 0, w + 1).astype(int)]
+        out = at(0, 0) * (1 - fx) * (1 - fy) + at(0, 1) * fx * (1 - fy) + at(1, 0) * (1 - fx) * fy + at(1, 1) * fx * fy
+        return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
 
     return run
 
@@ -283,22 +288,47 @@ def mosaic(block: int, box: tuple[int, int, int, int] | None = None) -> Transfor
     return run
 
 
-def resize(width: int, height: int, keep_aspect: bool = True) -> Transform:
-    """Means of the covered area downwards, the nearest pixel upwards."""
+#: Resampling kernels by name: how far each reaches, and its weight at a distance.
+KERNELS: dict[str, tuple[float, Callable[[np.ndarray], np.ndarray]]] = {
+    "box": (0.5, lambda d: ((d >= -0.5) & (d < 0.5)).astype(float)),
+    "linear": (1.0, lambda d: np.maximum(0.0, 1.0 - np.abs(d))),
+    "cubic": (2.0, lambda d: np.where(np.abs(d) < 1, 1.5 * np.abs(d) ** 3 - 2.5 * d * d + 1, np.where(np.abs(d) < 2, -0.5 * np.abs(d) ** 3 + 2.5 * d * d - 4 * np.abs(d) + 2, 0.0))),
+    "lanczos": (3.0, lambda d: np.where(np.abs(d) < 3, np.sinc(d) * np.sinc(d / 3), 0.0)),
+}
+
+
+def kernel_weights(size: int, to: int, kernel: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each of `to` pixels along a side the pixels of the old side that it is made of, and their weights, which sum to 1.
+    Downwards the kernel is stretched, so that each old pixel counts; beyond the border there is nothing."""
+    reach, weight = KERNELS[kernel]
+    scale = size / to
+    stretch = max(1.0, scale)
+    middle = (np.arange(to) + 0.5) * scale
+    first = np.floor(middle - reach * stretch).astype(int)
+    taps = first[:, None] + np.arange(int(np.ceil(2 * reach * stretch)) + 2)
+    w = np.where((taps >= 0) & (taps < size), weight((taps + 0.5 - middle[:, None]) / stretch), 0.0)
+    return np.clip(taps, 0, size - 1), w / w.sum(1, keepdims=True)
+
+
+def resampled(x: np.ndarray, width: int, height: int, kernel: str = "lanczos") -> np.ndarray:
+    """A picture of another size, columns first and then rows, a tap of all pixels at a time; rounded half up."""
+    out = x.astype(float)
+    for axis, to in ((1, width), (0, height)):
+        if out.shape[axis] != to:
+            taps, w = kernel_weights(out.shape[axis], to, kernel)
+            shape = (-1, 1, 1) if axis == 0 else (1, -1, 1)
+            out = sum(np.take(out, taps[:, k], axis) * w[:, k].reshape(shape) for k in range(taps.shape[1]))
+    return np.clip(np.floor(out + 0.5), 0, 255).astype(np.uint8)
+
+
+def resize(width: int, height: int, keep_aspect: bool = True, kernel: str = "lanczos") -> Transform:
+    """Into width and height, as it is or within them, by one of KERNELS."""
 
     def run(x: np.ndarray) -> np.ndarray:
         h, w = x.shape[:2]
         s = min(width / w, height / h)
         nw, nh = (max(1, round(w * s)), max(1, round(h * s))) if keep_aspect else (width, height)
-        ys, xs = np.arange(nh + 1) * h / nh, np.arange(nw + 1) * w / nw
-        if nw >= w and nh >= h:
-            return x[np.minimum((ys[:-1] + ys[1:]) / 2, h - 1).astype(int)][:, np.minimum((xs[:-1] + xs[1:]) / 2, w - 1).astype(int)]
-        total = np.zeros((h + 1, w + 1, x.shape[2]))
-        total[1:, 1:] = x.astype(float).cumsum(0).cumsum(1)
-        y0, x0 = np.floor(ys[:-1]).astype(int), np.floor(xs[:-1]).astype(int)
-        y1, x1 = np.maximum(y0 + 1, np.ceil(ys[1:]).astype(int)), np.maximum(x0 + 1, np.ceil(xs[1:]).astype(int))
-        area = ((y1 - y0)[:, None] * (x1 - x0)[None, :])[..., None]
-        return np.floor((total[y1][:, x1] - total[y0][:, x1] - total[y1][:, x0] + total[y0][:, x0]) / area + 0.5).astype(np.uint8)
+        return resampled(x, nw, nh, kernel)
 
     return run
 

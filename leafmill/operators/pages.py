@@ -105,14 +105,39 @@ def blank_matches(documents: DataFrame, doc: str) -> DataFrame:
     return d.withColumn("__m", F.aggregate(sources, none, take)).select(doc, F.inline("__m"))
 
 
-def watermark_grid(count: int, width: float, height: float) -> list[tuple[float, float]]:
-    """Centres of `count` marks tiled over a page: the grid whose shape is nearest to the page's."""
-    import math
-
-    best = min(((abs(math.log((width / c) / (height / math.ceil(count / c)))), c) for c in range(1, count + 1)))
-    cols = best[1]
-    rows = math.ceil(count / cols)
-    return [((i % cols + 0.5) * width / cols, (i // cols + 0.5) * height / rows) for i in range(count)]
+# The share of a page that one mark, or all marks, may fill; that of its cell that a mark fills; what an empty cell costs.
+MARKS = {"one": 0.86, "all": 0.92, "cell": 0.78, "empty": 0.08}
+
+
+def watermark_grid(pages: DataFrame) -> DataFrame:
+    """page, mark (from 0), x, y and scale: where the middles of a page's watermarks lie, and how much smaller they are drawn so that,
+    turned, they fit. pages has page, width, height, count (1 or more), mark_width, mark_height and angle in degrees.
+
+    Of all numbers of rows the one is taken that gives a turned mark the most room, less a little for each cell that stays empty;
+    of equal ones the one with the fewest empty cells, then with the fewest rows. Rows and marks count from the top right; a last
+    row that isn't full stands in the middle. Pages with nulls, or without a mark, have none."""
+    turn = F.radians(F.pmod("angle", F.lit(180.0)))
+    c, s = F.abs(F.cos(turn)), F.abs(F.sin(turn))
+    box = lambda a, b: F.greatest(F.lit(1.0), F.col("mark_width") * a + F.col("mark_height") * b)
+    p = pages.dropna(subset=["width", "height", "count", "mark_width", "mark_height", "angle"]).filter("count >= 1").withColumns({"__w": box(c, s), "__h": box(s, c)})
+    n = F.col("count")
+
+    def grid(rows: Column) -> Column:
+        columns = F.ceil(n / rows)
+        wide, high, empty = F.col("width") * MARKS["all"] / columns, F.col("height") * MARKS["all"] / rows, rows * columns - n
+        room = F.least(wide / F.col("__w"), high / F.col("__h")) / (1.0 + empty * MARKS["empty"])
+        return F.struct(room.alias("room"), (-empty).alias("full"), (-rows).alias("few"), columns.alias("columns"), wide.alias("wide"), high.alias("high"))
+
+    p = p.withColumn("g", F.array_max(F.transform(F.sequence(F.lit(1), n), grid))).withColumn("mark", F.explode(F.sequence(F.lit(0), n - 1)))
+    columns, rows = F.col("g.columns"), -F.col("g.few")
+    row = F.floor(F.col("mark") / columns)
+    own = F.least(columns, n - row * columns)
+    x = F.col("width") / 2 + (own - 1 - 2 * (F.col("mark") % columns)) * F.col("g.wide") / 2
+    y = F.col("height") / 2 + (rows - 1 - 2 * row) * F.col("g.high") / 2
+    fits = lambda a, b: F.least(F.lit(1.0), a / F.col("__w"), b / F.col("__h"))
+    scale = F.when(n == 1, fits(F.col("width") * MARKS["one"], F.col("height") * MARKS["one"])).otherwise(fits(F.col("g.wide") * MARKS["cell"], F.col("g.high") * MARKS["cell"]))
+    one = lambda side, value: F.when(n == 1, F.col(side) / 2).otherwise(value)
+    return p.select("page", "mark", one("width", x).alias("x"), one("height", y).alias("y"), scale.alias("scale"))
 
 
 def page_features(pages: DataFrame, doc: str) -> DataFrame:

@@ -191,31 +191,35 @@ def formulas_to_values(formulas: DataFrame, cached: DataFrame, keys: Sequence[st
     return out.withColumn("value", F.coalesce("cached", "formula"))
 
 
-def manage_sheets(sheets: Sequence[str], rename: Mapping[str, str] = {}, delete: Sequence[str] = (), copy: Mapping[str, str] = {}, order: Sequence[str] = ()) -> list[tuple[str, str]]:
-    """(sheet, its source) after renames, deletions, copies and the reorder, in that order; wrong names are errors."""
-    now = [(s, s) for s in sheets]
+def manage_sheets(sheets: DataFrame, rename: Mapping[str, str] = {}, delete: Sequence[str] = (), copy: Mapping[str, str] = {}, order: Sequence[str] = ()) -> DataFrame:
+    """book, ordinal (from 0), sheet, source and error: each book's sheets after renames, deletions, copies and the reorder, in that
+    order. sheets has book, ordinal and sheet. A book where a name is wrong stays as it was, with the first error. The sheets of one
+    book are one row at a time."""
+    was = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "sheet"))), lambda x: F.struct(x["sheet"].alias("sheet"), x["sheet"].alias("source")))
+    b = sheets.groupBy("book").agg(was.alias("__was")).withColumns({"__now": F.col("__was"), "error": F.lit(None).cast("string")})
+    now = F.col("__now")
+    has = lambda name: F.exists(now, lambda x: x["sheet"] == name)
+
+    def step(b: DataFrame, wrong: Column, new: Column) -> DataFrame:
+        return b.withColumn("error", F.coalesce("error", wrong)).withColumn("__now", new)
+
     for old, new in rename.items():
-        names = [s for s, _ in now]
-        if old not in names or (new in names and new != old):
-            raise ValueError(f"can't rename {old} to {new}")
-        now = [(new, src) if s == old else (s, src) for s, src in now]
+        taken = has(new) if new != old else F.lit(False)
+        wrong = F.when(~has(old), f"no sheet {old}").when(taken, f"can't rename {old} to {new}")
+        b = step(b, wrong, F.transform(now, lambda x: F.struct(F.when(x["sheet"] == old, new).otherwise(x["sheet"]).alias("sheet"), x["source"].alias("source"))))  # noqa: B023
     for name in delete:
-        if name not in [s for s, _ in now]:
-            raise ValueError(f"no sheet {name}")
-        if len(now) == 1:
-            raise ValueError("the last sheet can't be deleted")
-        now = [x for x in now if x[0] != name]
+        wrong = F.when(~has(name), f"no sheet {name}").when(F.size(now) == 1, "the last sheet can't be deleted")
+        b = step(b, wrong, F.filter(now, lambda x: x["sheet"] != name))  # noqa: B023
     for old, new in copy.items():
-        at = dict(now)
-        if old not in at or new in at:
-            raise ValueError(f"can't copy {old} to {new}")
-        now.append((new, at[old]))
+        source = F.get(F.filter(now, lambda x: x["sheet"] == old), F.lit(0))["source"]  # noqa: B023
+        wrong = F.when(~has(old), f"no sheet {old}").when(has(new), f"can't copy {old} to {new}")
+        b = step(b, wrong, F.array_append(now, F.struct(F.lit(new).alias("sheet"), source.alias("source"))))
     if order:
-        if sorted(order) != sorted(s for s, _ in now):
-            raise ValueError("the order must name every sheet once")
-        at = dict(now)
-        now = [(s, at[s]) for s in order]
-    return now
+        names = F.array_sort(F.transform(now, lambda x: x["sheet"]))
+        wrong = F.when(names != F.array(*map(F.lit, sorted(order))), "the order must name every sheet once")
+        b = step(b, wrong, F.transform(F.array(*map(F.lit, order)), lambda n: F.get(F.filter(now, lambda x: x["sheet"] == n), F.lit(0))))
+    kept = F.when(F.col("error").isNull(), now).otherwise(F.col("__was"))
+    return b.select("book", "error", F.posexplode(kept).alias("ordinal", "x")).select("book", "ordinal", "x.sheet", "x.source", "error")
 
 
 def header_names(cells: DataFrame, place: str, text: str, sheet: Sequence[str] = ()) -> DataFrame:

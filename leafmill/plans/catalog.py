@@ -13,7 +13,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.values import boolean_text
+from ..functions.values import FALSE, TRUE, boolean_text
 
 # Operator | status | our function | parameters as name:kind=default[least..most]{choices}, * where required.
 TABLE = """
@@ -246,3 +246,35 @@ def search(table: DataFrame, query: str, columns: tuple[str, ...] = ("id", "fami
     for w in words:
         every = every & F.contains(hay, F.lit(w))
     return table.filter(F.contains(hay, F.lit(q)) | every) if q else table
+
+
+def search_all(table: DataFrame, queries: DataFrame, query: str, columns: tuple[str, ...] = ("id", "family", "function")) -> DataFrame:
+    """Adds found to queries: the ids of the catalogue's rows, in order, that search() gives for each. The catalogue is a literal of
+    some hundred rows; null finds nothing."""
+    rows = sorted((r["id"], " ".join(str(r[c]) for c in columns).lower()) for r in table.select(*dict.fromkeys(("id", *columns))).collect())
+    known = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(h).alias("hay")) for i, h in rows))
+    q = F.lower(F.trim(query))
+    words = F.filter(F.split(F.regexp_replace(q, "[^0-9a-z\\x{3400}-\\x{9fff}]+", " "), " "), lambda w: w != "")
+    hit = lambda x: (q == "") | F.contains(x["hay"], q) | ((F.size(words) > 0) & F.forall(words, lambda w: F.contains(x["hay"], w)))
+    found = F.transform(F.filter(known, hit), lambda x: x["id"])
+    return queries.withColumn("found", F.when(F.col(query).isNotNull(), found).otherwise(F.array().cast("array<string>")))
+
+
+def normalized(requests: DataFrame, table: DataFrame) -> DataFrame:
+    """requests (operation, name, value as text, and more) with value in the kind and bounds of parameters() and error, null where all
+    is well. A null value takes the default; required parameters without either are an error, and an empty text stays. The
+    catalogue's parameters are a few hundred rows, sent to all executors."""
+    p = table.select(F.col("id").alias("__id"), F.col("name").alias("__name"), F.col("kind").alias("__kind"), F.col("default").alias("__default"), F.col("required").alias("__required"), F.col("least").alias("__least"), F.col("most").alias("__most"), F.col("choices").alias("__choices"))
+    r = requests.join(F.broadcast(p), (F.col("operation") == F.col("__id")) & (F.col("name") == F.col("__name")), "left")
+    value, kind = F.col("value"), F.col("__kind")
+    number = value.try_cast("double")
+    numeric, finite = kind.isin("integer", "number"), number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
+    low = F.lower(F.trim(value))
+    yes, no = low.isin(*TRUE), low.isin(*FALSE)
+    empty = value.isNull() | (value == "")
+    wrong = F.when(kind.isNull(), "unknown parameter").when(empty & F.col("__required") & (F.coalesce("__default", F.lit("")) == ""), "required").when(empty, F.lit(None).cast("string"))
+    wrong = wrong.when(numeric & (~finite | ((kind == "integer") & (number != F.floor(number)))), F.concat(F.lit("no "), kind))
+    wrong = wrong.when(numeric & ((number < F.col("__least")) | (number > F.col("__most"))), "outside its bounds").when((kind == "boolean") & ~(yes | no), "no boolean")
+    wrong = wrong.when((kind == "choice") & (F.size("__choices") > 0) & ~F.array_contains("__choices", value), "no choice")
+    new = F.when(value.isNull(), F.when(kind == "boolean", F.lower("__default")).otherwise(F.col("__default"))).when(value == "", value).when(kind == "integer", number.try_cast("long").cast("string")).when(kind == "number", number.cast("string")).when(kind == "boolean", yes.cast("string")).otherwise(value)
+    return r.withColumn("error", wrong).withColumn("value", F.when(F.col("error").isNull(), new)).select(*requests.columns, "error")

@@ -1,6 +1,6 @@
 """Lines that a site repeats: a line goes where the share of the site's pages that have it exceeds a ratio.
 
-Lines are compared without the white space around them, by a 64-bit hash within one site. A page counts a line once. The
+Lines are compared without the spaces around them (spaces alone: a carriage return or a tab counts), by a 64-bit hash within one site. A page counts a line once. The
 list of a site's boilerplate lines is short by itself: lines in more than `ratio` of the pages number at most the mean
 distinct lines of a page divided by the ratio.
 

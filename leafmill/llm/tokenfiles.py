@@ -36,6 +36,8 @@ SHARD_IDS = 2_000_000
 #: Bits of a level for each key that is left.
 GAMMA = 2.0
 LEVELS = 40
+#: Bytes of bits to one stored count of ones.
+RANKED = 64
 
 
 def default_tokenizer() -> str:
@@ -236,6 +238,26 @@ class PerfectHash:
     def dump(self) -> tuple[bytes, list[int]]:
         return b"".join(np.packbits(x).tobytes() for x in self.levels), [len(x) for x in self.levels]
 
+    @staticmethod
+    def ranks(bits: bytes) -> bytes:
+        """Of dumped bits, the ones before each block of RANKED bytes: with them a slot takes the bytes of one block."""
+        ones = np.bitwise_count(np.frombuffer(bits, np.uint8))
+        return (np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), RANKED), dtype=np.int64)) if len(ones) else np.zeros(0, np.int64)).astype("<u4").tobytes()
+
+    @classmethod
+    def slot(cls, key: np.ndarray, bits: memoryview, sizes: list[int], ranks: memoryview) -> int:
+        """The slot of one key, a 64-bit number in an array, from dumped bits: a bit for each level up to its own, and one block."""
+        base = 0
+        for i, n in enumerate(sizes):
+            at = int(cls._at(key, i, n)[0])
+            byte, bit = base + at // 8, at % 8
+            if bits[byte] & 0x80 >> bit:
+                block = byte // RANKED
+                before = int.from_bytes(ranks[4 * block - 4 : 4 * block], "little") if block else 0
+                return before + int.from_bytes(bits[block * RANKED : byte], "little").bit_count() + (bits[byte] >> (8 - bit)).bit_count()
+            base += (n + 7) // 8
+        return -1
+
     @classmethod
     def load(cls, data: bytes, sizes: list[int]) -> PerfectHash:
         levels, at = [], 0
@@ -249,8 +271,8 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (mix64(keys ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)).astype(np.uint32)
 
 
-SHARDS = "part int, seq int, n_ids long, n_docs long, first_key long, last_key long, keys array<long>, numbers array<int>, bits binary, sizes array<long>, fingerprints binary, starts binary, counts binary, payload binary"
-_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())), ("bits", pa.binary()), ("sizes", pa.list_(pa.int64())), ("fingerprints", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary()), ("payload", pa.binary())])
+SHARDS = "part int, seq int, n_ids long, n_docs long, first_key long, last_key long, keys array<long>, numbers array<int>, bits binary, sizes array<long>, ranks binary, fingerprints binary, starts binary, counts binary, payload binary"
+_ARROW = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("first_key", pa.int64()), ("last_key", pa.int64()), ("keys", pa.list_(pa.int64())), ("numbers", pa.list_(pa.int32())), ("bits", pa.binary()), ("sizes", pa.list_(pa.int64())), ("ranks", pa.binary()), ("fingerprints", pa.binary()), ("starts", pa.binary()), ("counts", pa.binary()), ("payload", pa.binary())])
 
 
 def _shard(part: int, seq: int, keys: list[int | None], numbers: list[int], pieces: list[bytes]) -> pa.RecordBatch:
@@ -263,7 +285,7 @@ def _shard(part: int, seq: int, keys: list[int | None], numbers: list[int], piec
     prints[slot], s[slot], c[slot] = fingerprints(h), starts, counts
     bits, sizes = mph.dump()
     known = [k for k in keys if k is not None]
-    row = {"part": part, "seq": seq, "n_ids": int(counts.sum()), "n_docs": len(keys), "first_key": known[0] if known else None, "last_key": known[-1] if known and len(known) == len(keys) else None, "keys": keys, "numbers": numbers, "bits": bits, "sizes": sizes, "fingerprints": prints.tobytes(), "starts": s.tobytes(), "counts": c.tobytes(), "payload": b"".join(pieces)}
+    row = {"part": part, "seq": seq, "n_ids": int(counts.sum()), "n_docs": len(keys), "first_key": known[0] if known else None, "last_key": known[-1] if known and len(known) == len(keys) else None, "keys": keys, "numbers": numbers, "bits": bits, "sizes": sizes, "ranks": PerfectHash.ranks(bits), "fingerprints": prints.tobytes(), "starts": s.tobytes(), "counts": c.tobytes(), "payload": b"".join(pieces)}
     return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
 
@@ -316,6 +338,16 @@ def find(row: dict, keys: list[int | None], numbers: np.ndarray | None = None) -
     return there, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
 
 
+def place(row: dict, key: int | None, number: int = 0) -> tuple[int, int] | None:
+    """Start and count, in ids, of one key in a shard, or None: reads a bit for each level, a block of bits, and the slot's own bytes."""
+    h = hashes([key], np.array([number], np.int64))
+    slot = PerfectHash.slot(h, *(memoryview(row["bits"]), row["sizes"], memoryview(row["ranks"])))
+    of = lambda name, size: int.from_bytes(memoryview(row[name])[size * slot : size * slot + size], "little")
+    if slot < 0 or of("fingerprints", 4) != int(fingerprints(h)[0]):
+        return None
+    return of("starts", 8), of("counts", 4)
+
+
 READ = "doc_id long, number int, part int, seq int, local long, n_tokens long, ids_crc32 long, found boolean"
 
 
@@ -353,15 +385,25 @@ def lookup(shards: DataFrame, keys: DataFrame, key: str = "doc_id") -> DataFrame
     begins = bounds.groupBy("k").agg(F.min("shard").alias("to")).join(wanted.select("k"), "k")
     routed = before.unionByName(begins.select("k", "to")).groupBy(F.col("to.part").alias("part"), F.col("to.seq").alias("seq")).agg(F.collect_set("k").alias("wanted"))
 
-    def run(batches):
+    def placed(batches):
         for b in batches:
+            rows = []
             for row in b.to_pylist():
-                there, start, count = find(row, row["wanted"])
-                ids = np.frombuffer(row["payload"], "<u4")
-                got = [(k, ids[s : s + c].astype(np.int64)) for k, s, c, t in zip(row["wanted"], start.tolist(), count.tolist(), there.tolist()) if t]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), pa.array([x for _, x in got], pa.list_(pa.int64()))], names=[key, "ids"])
+                found = [(k, place(row, k)) for k in row["wanted"]]
+                rows.append((row["part"], row["seq"], [{"k": k, "start": p[0], "count": p[1]} for k, p in found if p]))
+            cols = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.struct([("k", pa.int64()), ("start", pa.int64()), ("count", pa.int64())])))], names=["part", "seq", "places"])
 
-    return shards.join(routed, ["part", "seq"]).mapInArrow(run, T.StructType([T.StructField(key, T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))]))
+    def read(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.array([np.frombuffer(x, "<u4").astype(np.int64) for x in b.column("raw").to_pylist()], pa.list_(pa.int64()))], names=[key, "ids"])
+
+    index = shards.select("part", "seq", "bits", "sizes", "ranks", "fingerprints", "starts", "counts").join(routed, ["part", "seq"])
+    places = index.mapInArrow(placed, "part int, seq int, places array<struct<k:bigint,start:bigint,count:bigint>>").filter(F.size("places") > 0)
+    # of a payload only the wanted slices leave the executor's JVM
+    slices = F.transform("places", lambda p: F.struct(p["k"].alias("k"), F.substring(F.col("payload"), (p["start"] * 4 + 1).cast("int"), (p["count"] * 4).cast("int")).alias("raw")))
+    cut = shards.select("part", "seq", "payload").join(places, ["part", "seq"]).select(F.explode(slices).alias("x")).select(F.col("x.k").alias(key), F.col("x.raw").alias("raw"))
+    return cut.mapInArrow(read, T.StructType([T.StructField(key, T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))]))
 
 
 def starts(shards: DataFrame) -> DataFrame:

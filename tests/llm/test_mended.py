@@ -132,3 +132,78 @@ def test_documents_are_numbered_by_text_only_where_ids_clash(spark):
     by = sorted(of, key=of.get)
     assert [x[0] for x in by] == [-(1 << 62), 5, 7, 7, 7] and len({of[x] >> shift for x in by}) == 3
     assert pa.array([1]).type == pa.int64()
+
+
+def test_keys_are_found_in_place(spark):
+    rng = random.Random(2)
+    texts = [(i, "word " * rng.randint(0, 9) + str(i)) for i in rng.sample(range(10**6), 900)] + [(None, "nobody"), (-5, ""), (-6, None)]
+    shards = tokenfiles.write(spark.createDataFrame(texts, DDL))
+    known, seen = dict(texts), 0
+    for r in shards.collect():
+        row = r.asDict()
+        there, start, count = tokenfiles.find(row, row["keys"])
+        for k, t, s, c in zip(row["keys"], there, start, count):
+            assert t and tokenfiles.place(row, k) == (s, c)
+            seen += 1
+        strange = [k for k in range(2_000_000, 2_000_300)]
+        assert [tokenfiles.place(row, k) is not None for k in strange] == tokenfiles.find(row, strange)[0].tolist()
+    assert seen == len(texts)
+    wanted = rng.sample(sorted(k for k in known if k is not None), 200) + [77_000_000]
+    got = {r.doc_id: r.ids for r in tokenfiles.lookup(shards, spark.createDataFrame([(k,) for k in wanted], "doc_id long")).collect()}
+    enc = tokenfiles.encoder(tokenfiles.default_tokenizer())
+    assert set(got) == set(wanted) - {77_000_000}
+    for k, ids in got.items():
+        assert ids == [*enc.whole.encode(known[k] or "", add_special_tokens=False).ids, 0]
+
+
+def test_a_learned_list_decides_each_row(spark):
+    from leafmill.llm import quality
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    rows, labels = [], []
+    for i in range(400):
+        bad = i % 3 == 0
+        words = [word() for _ in range(rng.randint(12, 60))]
+        text = " ".join(w + ("#$" if bad and rng.random() < 0.7 else "") for w in words)
+        rows.append((i, text if i % 50 else "few words", "x"))
+        labels.append((i, 0 if bad else 1))
+    rows += [(1000, None, "x"), (1001, "", "x"), rows[5]]
+    labels += [(5, 0), (None, 1), (77_777, 0), (6, None)]  # contradictory, without a document, null
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, rule string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    rules = quality.fit(docs, known)
+    assert rules
+    judged = quality.judge(docs, known).collect()
+    assert len(judged) == len(rows)
+    import numpy as np
+
+    stats = np.array([[r[c] for c in quality.STATS] for r in judged])
+    first = np.zeros(len(judged), int)
+    for n, rule in reversed(list(enumerate(rules, 1))):
+        first[quality._covered(rule, quality.features(stats))] = n
+    for r, n in zip(judged, first.tolist()):
+        base = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        assert (r.base_failed, r.rule, r.kept) == (base, n or None, not base and not n)
+    assert sum(not r.kept for r in judged) > 100 and sum(r.kept for r in judged) > 200
+    kept = quality.keep(docs, known)
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in judged)
+
+
+def test_stages_on_odd_input(spark, tmp_path):
+    import corpus_pipeline as C
+
+    ddl = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i}" for i in range(4000))
+    rows = [(i, f"number {i} has these words and some more of them {i * i}\nshared line of all\n" + " ".join(f"u{i}x{k}" for k in range(20)), "en", None if i % 4 else "a", 9) for i in range(24)]
+    rows += [(100, None, None, None, None), (101, "", "en", "a", 0), (102, " \n\t", "en", "b", 3), (None, "a row without an id and with enough words to be kept by all of the tests", "en", "a", 1), (103, long, "en", "b", len(long)), (104, long, "en", "b", len(long)), rows[3], rows[3], (3, "another text of that id with words enough for any test that there is here", "de", "c", 1)]
+    spark.createDataFrame([(0, 1), (1, 0), (None, 1), (2, None)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs, none = spark.createDataFrame(rows, ddl), spark.createDataFrame([], ddl)
+    counts = {}
+    for name, stage in C.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        assert set(C.COLUMNS) <= set(got.columns)
+        counts[name] = got.count()
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    assert counts["line dedup"] == len(rows) and counts["SentencePiece pieces"] == len(rows)
+    assert counts["n-gram Jaccard join"] == len(rows) - 4  # two copies, a second text of an id, and one of two long texts
+    assert 0 < counts["quality rules"] < len(rows) and counts["mixing sources"] > 0

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -30,18 +33,43 @@ def distance(a: str, b: str) -> Column:
     return F.hypot(gap(c(a, "x0"), c(a, "x1"), c(b, "x0"), c(b, "x1")), gap(c(a, "y0"), c(a, "y1"), c(b, "y0"), c(b, "y1")))
 
 
-def neighbours(boxes: DataFrame, page: str, key: str, merge_gap: float, share: float = 0.6) -> DataFrame:
-    """a < b: boxes of a page that touch, or stand no further than merge_gap apart side by side. Boxes go to cells of a
-    grid first, so that only boxes near each other meet."""
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def _kinds(boxes: DataFrame, page: str, key: str) -> DataFrame:
+    """page, corners and kind of the boxes: equal boxes of a page are one kind, named by its smallest key and its corners."""
+    every = boxes.dropna(subset=[page, key, *CORNERS]).groupBy(page, *CORNERS).agg(F.min(key).alias("__k"))
+    return every.select(page, *CORNERS, F.struct("__k", *CORNERS).alias("kind"))
+
+
+def _near_kinds(kinds: DataFrame, page: str, merge_gap: float, share: float) -> DataFrame:
+    """page, ka <= kb: kinds whose boxes are neighbours, a kind of its own included where it has an extent. Kinds go to cells
+    of a grid first, so that only those near each other meet."""
     size = 64.0 + merge_gap
     c = lambda v: F.floor(v / size).cast("long")
-    grid = boxes.withColumn("__gx", F.explode(F.sequence(c(F.col("x0") - merge_gap), c(F.col("x1") + merge_gap)))).withColumn("__gy", F.explode(F.sequence(c(F.col("y0") - merge_gap), c(F.col("y1") + merge_gap))))
+    grid = kinds.withColumn("__gx", F.explode(F.sequence(c(F.col("x0") - merge_gap), c(F.col("x1") + merge_gap)))).withColumn("__gy", F.explode(F.sequence(c(F.col("y0") - merge_gap), c(F.col("y1") + merge_gap))))
     a, b = grid.alias("a"), grid.alias("b")
-    met = a.join(b, (F.col(f"a.{page}") == F.col(f"b.{page}")) & (F.col("a.__gx") == F.col("b.__gx")) & (F.col("a.__gy") == F.col("b.__gy")) & (F.col(f"a.{key}") < F.col(f"b.{key}")))
+    met = a.join(b, (F.col(f"a.{page}") == F.col(f"b.{page}")) & (F.col("a.__gx") == F.col("b.__gx")) & (F.col("a.__gy") == F.col("b.__gy")) & (F.col("a.kind") <= F.col("b.kind")))
     p = lambda n: (F.col(f"a.{n}0"), F.col(f"a.{n}1"), F.col(f"b.{n}0"), F.col(f"b.{n}1"))
     gx, gy, ox, oy = gap(*p("x")), gap(*p("y")), F.coalesce(overlap(*p("x")), F.lit(0.0)), F.coalesce(overlap(*p("y")), F.lit(0.0))
     near = ((gx == 0) & (gy == 0)) | ((gx <= merge_gap) & (oy >= share)) | ((gy <= merge_gap) & (ox >= share))
-    return met.filter(near).select(F.col(f"a.{page}").alias(page), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b")).distinct()
+    return met.filter(near).select(F.col(f"a.{page}").alias(page), F.col("a.kind").alias("ka"), F.col("b.kind").alias("kb")).distinct()
+
+
+def _repeated(boxes: DataFrame, *keys: str) -> bool:
+    return not boxes.groupBy(*keys).count().filter("count > 1").isEmpty()
+
+
+def neighbours(boxes: DataFrame, page: str, key: str, merge_gap: float, share: float = 0.6) -> DataFrame:
+    """a < b: boxes of a page that touch, or stand no further than merge_gap apart side by side. Equal boxes are one kind to
+    begin with; near kinds are paired, and then their boxes, so that no pair of boxes is shuffled unless keys repeat on a page."""
+    kinds = _kinds(boxes, page, key)
+    rows = boxes.join(kinds, [page, *CORNERS]).filter(F.col(key).isNotNull())
+    side = lambda s: rows.select(page, F.col("kind").alias(f"k{s}"), F.col(key).alias(f"__{s}"))
+    met = _near_kinds(kinds, page, merge_gap, share).join(side("a"), [page, "ka"]).join(side("b"), [page, "kb"])
+    met = met.filter((F.col("__a") < F.col("__b")) | ((F.col("__a") > F.col("__b")) & (F.col("ka") < F.col("kb"))))
+    pairs = met.select(page, F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"))
+    return pairs.distinct() if _repeated(boxes, page, key) else pairs
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -61,9 +89,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def clusters(boxes: DataFrame, page: str, key: str, merge_gap: float) -> DataFrame:
-    """Adds cluster, the smallest key of a box's cluster."""
-    found = components(neighbours(boxes, page, key, merge_gap))
-    return boxes.join(found, F.col(key) == F.col("node"), "left").withColumn("cluster", F.coalesce("component", F.col(key))).drop("node", "component")
+    """Adds cluster, the smallest key of a box's cluster. Kinds of equal boxes are linked, not all pairs of boxes, unless keys repeat."""
+    if _repeated(boxes, key):
+        found = components(neighbours(boxes, page, key, merge_gap))
+        return boxes.join(found, F.col(key) == F.col("node"), "left").withColumn("cluster", F.coalesce("component", F.col(key))).drop("node", "component")
+    kinds = _kinds(boxes, page, key)
+    near = _near_kinds(kinds, page, merge_gap, 0.6).select(F.col("ka.__k").alias("a"), F.col("kb.__k").alias("b"))
+    found = kinds.join(components(near), F.col("kind.__k") == F.col("node")).select(page, *CORNERS, "component")
+    cluster = F.when(F.col(key).isNotNull(), F.coalesce("component", F.col(key)))
+    return boxes.join(found, [page, *CORNERS], "left").withColumn("cluster", cluster).select(*boxes.columns, "cluster")
 
 
 def _greedy(gap_: float):
@@ -90,6 +124,8 @@ def greedy_unions(boxes: DataFrame, gap_: float) -> DataFrame:
 
 def merge_intervals(rows: DataFrame, keys: list[str], lo: str, hi: str, gap_: float) -> DataFrame:
     """Intervals no further than gap_ apart as one: gaps and islands."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *keys)  # all of them: fewer and larger ones would be sorted at once
     w = Window.partitionBy(*keys).orderBy(lo, hi)
     reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
     r = rows.withColumn("__new", (reach.isNull() | (F.col(lo) > reach + gap_)).cast("int")).withColumn("__island", F.sum("__new").over(w))
@@ -168,19 +204,51 @@ def connected_boxes(masks: DataFrame) -> DataFrame:
     return masks.select("key", "width", "height", "mask").mapInPandas(run, schema)
 
 
+def by_page(rows: DataFrame, one: Callable[[dict[str, np.ndarray]], dict[str, Sequence]], schema: T.StructType) -> DataFrame:
+    """What `one` makes of the rows of each page, its columns as arrays. Pages are dealt over tasks and lie there one after the
+    other; a batch is converted at once, not page by page."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = schema.names
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in chain(batches, (None,)):
+            if b is not None:
+                if not len(b):
+                    continue
+                held.append(b)
+                if held[0].page.iloc[0] == b.page.iloc[-1]:  # no page ends here
+                    continue
+            if not held:
+                return
+            t = pd.concat(held, ignore_index=True)
+            page = t.page.to_numpy()
+            heads = np.flatnonzero(np.append(True, page[1:] != page[:-1]))
+            last = len(t) if b is None else int(heads[-1])
+            columns = {c: t[c].to_numpy() for c in t.columns}
+            heads = [*heads[heads < last].tolist(), last]
+            made = [one({c: v[lo:hi] for c, v in columns.items()}) for lo, hi in zip(heads, heads[1:])]
+            out = pd.DataFrame({n: [x for m in made for x in m[n]] for n in names})
+            if len(out):
+                yield out
+            held = [t.iloc[last:]] if last < len(t) else []
+
+    return rows.repartition(parts, "page").sortWithinPartitions("page").mapInPandas(run, schema)
+
+
 def _rule_groups(least: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide, high = max(1.0, float(pdf.page_width.max())), max(1.0, float(pdf.page_height.max()))
-        r = pdf[pdf.x1 - pdf.x0 >= max(96.0, wide * RULE["share"])]
-        x0, y0, x1, y1 = (r[c].to_numpy(float) for c in ("x0", "y0", "x1", "y1"))
-        order = np.lexsort((r.key.to_numpy(), x0, (y0 + y1) / 2))
-        x0, y0, x1, y1 = x0[order], y0[order], x1[order], y1[order]
+    def run(p: dict[str, np.ndarray]) -> dict[str, Sequence]:
+        wide, high = max(1.0, float(p["page_width"].max())), max(1.0, float(p["page_height"].max()))
+        fit = p["x1"] - p["x0"] >= max(96.0, wide * RULE["share"])
+        key, x0, y0, x1, y1 = p["key"][fit], *(p[c][fit].astype(float) for c in ("x0", "y0", "x1", "y1"))
+        order = np.lexsort((key, x0, (y0 + y1) / 2))
+        key, x0, y0, x1, y1 = key[order], x0[order], y0[order], x1[order], y1[order]
         width, middle = np.maximum(1.0, x1 - x0), (x0 + x1) / 2
-        group = np.full(len(r), -1)
-        for seed in range(len(r)):
+        group = np.full(len(key), -1)
+        for seed in range(len(key)):
             if group[seed] >= 0:
                 continue
-            new = np.arange(len(r)) == seed
+            new = np.arange(len(key)) == seed
             while new.any():  # all rules that fit the group's box join it at once, then the box grows
                 group[new] = seed
                 own, free = group == seed, group < 0
@@ -191,10 +259,12 @@ def _rule_groups(least: int):
                 shared = np.maximum(0.0, np.minimum(right, x1) - np.maximum(left, x0)) / np.maximum(1.0, np.minimum(right - left, x1 - x0))
                 apart = np.maximum(np.maximum(y0 - bottom, top - y1), 0.0)
                 new = free & alike & centred & (shared >= RULE["overlap"]) & (apart <= high * RULE["gap"])
-        out = pd.DataFrame({"page": pdf.page.iloc[0], "key": r.key.to_numpy()[order], "group": group, "row": [round(float(m), 1) for m in (y0 + y1) / 2]})
-        kept = out[out.groupby("group").row.transform("nunique") >= least].copy()
-        kept["group"] = kept.group.rank(method="dense").astype(int) - 1
-        return kept[["page", "key", "group"]]
+        heights: dict[int, set[float]] = {}
+        for g, m in zip(group.tolist(), ((y0 + y1) / 2).tolist()):
+            heights.setdefault(g, set()).add(round(m, 1))
+        number = {g: i for i, g in enumerate(sorted(g for g, v in heights.items() if len(v) >= least))}
+        kept = [i for i, g in enumerate(group.tolist()) if g in number]
+        return {"page": [p["page"][0]] * len(kept), "key": key[kept].tolist(), "group": [number[g] for g in group[kept].tolist()]}
 
     return run
 
@@ -208,7 +278,7 @@ def rule_groups(rules: DataFrame, least: int = 2) -> DataFrame:
     out. The rules of a page are held in one task."""
     names = ("page", "key", "x0", "y0", "x1", "y1", "page_width", "page_height")
     schema = T.StructType([T.StructField("page", rules.schema["page"].dataType), T.StructField("key", rules.schema["key"].dataType), T.StructField("group", T.IntegerType())])
-    return rules.select(*names).dropna().groupBy("page").applyInPandas(_rule_groups(least), schema)
+    return by_page(rules.select(*names).dropna(), _rule_groups(least), schema)
 
 
 def _area(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -336,13 +406,18 @@ def layout_choice(sheets: DataFrame, papers: list[tuple[str, float, float]], mar
     largest scale, the fewest pages, an unchanged margin, portrait. Without any the largest scale counts first, then paper,
     pages and margin. At last the order of the lists decides."""
     options = [(p, o, m, pw if o == "portrait" else ph, ph if o == "portrait" else pw, mm, k > 0, j, (i * 2 + j) * len(margins) + k) for i, (p, pw, ph) in enumerate(papers) for j, o in enumerate(("portrait", "landscape")) for k, (m, mm) in enumerate(margins)]
-    table = sheets.sparkSession.createDataFrame(options, "paper string, orientation string, margin string, pw double, ph double, mm double, changed boolean, turned int, rank int")
-    c = sheets.crossJoin(F.broadcast(table))  # a fixed list of options, not data
-    usable_w, usable_h = F.greatest(F.lit(LEAST_SIDE), F.col("pw") - 2 * F.col("mm")), F.greatest(F.lit(LEAST_SIDE), F.col("ph") - 2 * F.col("mm"))
-    scale = F.least(F.lit(1.0), usable_w / F.greatest(F.lit(1.0), F.col("width")))
-    pages = F.greatest(F.lit(1), F.ceil(F.greatest(F.lit(1.0), F.col("height")) * scale / usable_h - 1e-9))
-    readable, area, none = scale >= READABLE, F.col("pw") * F.col("ph"), F.lit(0.0)
-    first = F.struct((~readable).alias("x"), F.when(readable, area).otherwise(-scale).alias("y"), F.when(readable, -scale).otherwise(area).alias("z"))
-    cost = F.struct(first.alias("first"), pages.alias("n_pages"), "changed", F.when(readable, F.col("turned")).otherwise(none).alias("turned"), "rank", "paper", "orientation", "margin", scale.alias("scale"))
-    best = c.groupBy(*sheets.columns).agg(F.min(cost).alias("b"))
+
+    def cost(paper: str, orientation: str, margin: str, pw: float, ph: float, mm: float, changed: bool, turned: int, rank: int) -> Column:
+        usable_w, usable_h = max(LEAST_SIDE, pw - 2 * mm), max(LEAST_SIDE, ph - 2 * mm)
+        scale = F.least(F.lit(1.0), F.lit(float(usable_w)) / F.greatest(F.lit(1.0), F.col("width")))
+        pages = F.greatest(F.lit(1), F.ceil(F.greatest(F.lit(1.0), F.col("height")) * scale / F.lit(float(usable_h)) - 1e-9))
+        readable, area, none = scale >= READABLE, F.lit(float(pw * ph)), F.lit(0.0)
+        first = F.struct((~readable).alias("x"), F.when(readable, area).otherwise(-scale).alias("y"), F.when(readable, -scale).otherwise(area).alias("z"))
+        named = {"changed": F.lit(changed), "turned": F.when(readable, F.lit(float(turned))).otherwise(none), "rank": F.lit(rank), "paper": F.lit(paper), "orientation": F.lit(orientation), "margin": F.lit(margin), "scale": scale}
+        return F.struct(first.alias("first"), pages.alias("n_pages"), *(c.alias(n) for n, c in named.items()))
+
+    # the options are a list within each row; a sheet given twice is one
+    parts = int(sheets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = sheets.repartition(parts, *sheets.columns).dropDuplicates()
+    best = once.withColumn("b", F.array_min(F.array(*(cost(*o) for o in options))))
     return best.select(*sheets.columns, "b.paper", "b.orientation", "b.margin", "b.n_pages", "b.scale")

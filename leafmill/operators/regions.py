@@ -7,16 +7,16 @@ decided from regions (which lines stay, whether the page is better kept whole) a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import plain_form, suspicious
-from .geometry import rule_groups
+from .geometry import by_page, rule_groups
+from .ranks import checkpoints
 
 # Fixed values, in points or as shares of the page. Images: least share, share that one needs alone, and how near two are one
 # figure: side by side, one above the other, and their common extent.
@@ -224,13 +224,13 @@ def _closed_over(found: _Regions, lines: np.ndarray) -> None:
             return
 
 
-def _page(pdf: pd.DataFrame) -> pd.DataFrame:
-    width, height = float(pdf.width.iloc[0]), float(pdf.height.iloc[0])
+def _page(p: dict[str, np.ndarray]) -> dict[str, Sequence]:
+    width, height = float(p["width"][0]), float(p["height"][0])
     area = max(1.0, width * height)
-    boxes = pdf[["x0", "y0", "x1", "y1"]].to_numpy(float)
-    kind = pdf.what.to_numpy()
-    of = lambda what, by: _padded(boxes[kind == what], by, width, height)
-    column = lambda what, name: pdf[name].to_numpy()[kind == what]
+    boxes = np.stack([p[c] for c in ("x0", "y0", "x1", "y1")], 1).astype(float)
+    at = {what: np.flatnonzero(p["what"] == what) for what in ("line", "image", "drawing", "rule")}
+    of = lambda what, by: _padded(boxes[at[what]], by, width, height)
+    column = lambda what, name: p[name][at[what]]
     lines = of("line", 0.0)
     length, caption, bad = column("line", "length").astype(int), column("line", "caption").astype(bool), column("line", "bad").astype(bool)
     body = (lines[:, 3] > height * BANDS[0]) & (lines[:, 1] < height * BANDS[1])
@@ -252,8 +252,8 @@ def _page(pdf: pd.DataFrame) -> pd.DataFrame:
     found.merge(MERGE["vector"], np.array([k == "vector" for k in found.kinds], bool))
     _closed_over(found, lines[body & ~caption])
     order = np.lexsort((found.boxes[:, 2], found.boxes[:, 3], found.boxes[:, 0], found.boxes[:, 1]))
-    rows = [(pdf.page.iloc[0], n, *found.boxes[i].tolist(), found.kinds[i], ", ".join(sorted(found.reasons[i])), int(found.parts[i])) for n, i in enumerate(order.tolist())]
-    return pd.DataFrame(rows, columns=["page", *(x.split()[0] for x in REGIONS.split(", "))])
+    rows = [(p["page"][0], n, *found.boxes[i].tolist(), found.kinds[i], ", ".join(sorted(found.reasons[i])), int(found.parts[i])) for n, i in enumerate(order.tolist())]
+    return {name: [r[k] for r in rows] for k, name in enumerate(["page", *(x.split()[0] for x in REGIONS.split(", "))])}
 
 
 def _boxes(rows: DataFrame, what: str, sizes: DataFrame, **more: Column) -> DataFrame:
@@ -281,7 +281,7 @@ def islands(lines: DataFrame, images: DataFrame, drawings: DataFrame, rules: Dat
     ruled = rules.join(grouped.withColumnRenamed("group", "__group"), ["page", "key"])
     told = told.unionByName(_boxes(ruled, "rule", sizes, items=F.col("__group")))
     schema = T.StructType([T.StructField("page", lines.schema["page"].dataType), *T.StructType.fromDDL(REGIONS).fields])
-    return told.groupBy("page").applyInPandas(_page, schema)
+    return by_page(told, _page, schema)
 
 
 def outside(lines: DataFrame, regions: DataFrame) -> DataFrame:
@@ -298,6 +298,8 @@ def outside(lines: DataFrame, regions: DataFrame) -> DataFrame:
 def assessed(lines: DataFrame, regions: DataFrame, sizes: DataFrame) -> DataFrame:
     """page, regions, share (of the page), characters, editable (characters outside of regions) and whole: why the page is better
     kept as one picture, or null. For each page of sizes; a page without lines has no characters, nor has a line with a null corner."""
+    checkpoints(lines.sparkSession)
+    regions = regions.checkpoint()  # the folds over all pages are made once
     lines = lines.dropna(subset=["page", "x0", "y0", "x1", "y1"])
     length = F.length(plain_form(F.coalesce("text", F.lit(""))))
     every = lines.groupBy("page").agg(F.sum(length).alias("characters"))

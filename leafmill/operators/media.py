@@ -5,10 +5,14 @@ gives them (there as blue, green, red)."""
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +116,85 @@ def best_quality(sizes: DataFrame, key: str, quality: str, size: str, target: in
     return s.groupBy(key).agg(F.coalesce(F.max(F.when(F.col(size) <= target, F.col(quality))), F.min(quality)).alias(quality))
 
 
+NEAR = 0.05  # fixed value: how far the sides of one picture's box may lie apart
+
+
+def _inline_page(page: str):
+    """A page's placements with their blocks. Blocks of one box and size are a kind, whose blocks go in order; kinds lie in cells of a
+    grid, so that a placement looks at the kinds near it and not at all blocks. As in Spark, a null side or size tells nothing:
+    the other sides decide, and an unknown difference comes first."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        kinds: dict[tuple, list] = {}
+        for r in rows:
+            if not r["placed"]:
+                kinds.setdefault((r["x0"], r["y0"], r["x1"], r["y1"], r["w"], r["h"]), []).append(r["block"])
+        heaps = {k: sorted(v, key=lambda x: (x is not None, x if x is not None else 0)) for k, v in kinds.items()}
+        next_ = dict.fromkeys(heaps, 0)
+        cell = lambda x: int(x // (2 * NEAR))
+        grid, loose = defaultdict(list), []  # kinds by the cell of their first corner; those without one meet all
+        for k in heaps:
+            if k[0] is None or k[1] is None or not math.isfinite(k[0]) or not math.isfinite(k[1]):
+                loose.append(k)
+            else:
+                grid[cell(k[0]), cell(k[1])].append(k)
+
+        @cache
+        def near(x: tuple) -> tuple:
+            """(off, kinds as near in size) of a placement's box and size, the nearest first."""
+            if x[0] is None or x[1] is None or not math.isfinite(x[0]) or not math.isfinite(x[1]):
+                some = list(heaps)
+            else:
+                i, j = cell(x[0]), cell(x[1])
+                some = loose + [k for di in (-1, 0, 1) for dj in (-1, 0, 1) for k in grid.get((i + di, j + dj), ())]
+            by_off = defaultdict(list)
+            for k in some:
+                far = [abs(p - q) for p, q in zip(x[:4], k[:4]) if p is not None and q is not None]
+                if far and max(far) <= NEAR:
+                    by_off[None if x[4] is None or x[5] is None else abs(k[4] - x[4]) + abs(k[5] - x[5])].append(k)
+            return tuple(sorted(by_off.items(), key=lambda e: (e[0] is not None, e[0] or 0)))
+
+        taken = set()
+
+        def first(k: tuple):
+            """(whether there is a block of the kind that is free, the first such one)"""
+            own, i = heaps[k], next_[k]
+            while i < len(own) and own[i] in taken:
+                i += 1
+            next_[k] = i
+            return i < len(own), own[i] if i < len(own) else None
+
+        def choose(boxes: list[tuple]):
+            by_off = defaultdict(list)
+            for x in boxes:
+                for off, some in near(x):
+                    by_off[off] += some
+            for off in sorted(by_off, key=lambda e: (e is not None, e or 0)):
+                free = [b for ok, b in map(first, by_off[off]) if ok]
+                if free:
+                    return None if None in free else min(free)
+            return None
+
+        of_ord = defaultdict(list)
+        for r in rows:
+            if r["placed"]:
+                of_ord[r["ord"]].append((r["x0"], r["y0"], r["x1"], r["y1"], r["w"], r["h"]))
+        found = []
+        for o in sorted(of_ord, key=lambda x: (x is not None, x if x is not None else 0)):
+            for _ in of_ord[o]:  # rows of one place in the order share what is near to any of them
+                block = None if o is None else choose(of_ord[o])
+                if block is not None:
+                    taken.add(block)
+                found.append((o, block))
+        at = table.column(page)[0].as_py() if len(rows) else None
+        fields = {n: table.schema.field(n).type for n in (page, "ord", "block")}
+        columns = [[at] * len(found), [x[0] for x in found], [x[1] for x in found]]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values())], names=list(fields))
+
+    return run
+
+
 def inline_matches(placements: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
     """page, ord, block: each placed image (ord, x0, y0, x1, y1, width, height), in order, with the decoded block (block and
     the same) that no earlier one took and whose box differs by 0.05 at most: one of the same size first, then the nearest
@@ -119,19 +202,10 @@ def inline_matches(placements: DataFrame, blocks: DataFrame, page: str) -> DataF
     matched in one task."""
     box = ("x0", "y0", "x1", "y1")
     size = lambda c: F.greatest(F.lit(1), F.coalesce(c, F.lit(1)))
-    b = blocks.select(page, "block", *(F.col(c).alias(f"b{c}") for c in box), size(F.col("width")).alias("bw"), size(F.col("height")).alias("bh"))
-    far = F.greatest(*(F.abs(F.col(c) - F.col(f"b{c}")) for c in box))
-    off = F.abs(F.col("bw") - F.col("width")) + F.abs(F.col("bh") - F.col("height"))
-    near = placements.join(b, page).filter(far <= 0.05).groupBy(page, "ord").agg(F.array_sort(F.collect_list(F.struct(off.alias("off"), "block"))).alias("near"))
-    g = placements.join(near, [page, "ord"], "left").groupBy(page).agg(F.array_sort(F.collect_list(F.struct("ord", "near"))).alias("all"))
-    empty = F.array().cast(T.ArrayType(T.StructType([T.StructField("ord", placements.schema["ord"].dataType), T.StructField("block", blocks.schema["block"].dataType)])))
-
-    def take(found: Column, x: Column) -> Column:
-        taken = F.transform(found, lambda f: f["block"])
-        free = F.filter(x["near"], lambda n: ~F.coalesce(F.array_contains(taken, n["block"]), F.lit(False)))
-        return F.array_append(found, F.struct(x["ord"].alias("ord"), F.get(free, F.lit(0))["block"].alias("block")))
-
-    return g.select(page, F.inline(F.aggregate("all", empty, take)))
+    placed = placements.select(page, F.col("ord").alias("ord"), F.lit(None).cast(blocks.schema["block"].dataType).alias("block"), *(F.col(c).cast("double").alias(c) for c in box), F.col("width").cast("double").alias("w"), F.col("height").cast("double").alias("h"), F.lit(True).alias("placed"))
+    given = blocks.filter(F.col(page).isNotNull()).select(page, F.lit(None).cast(placements.schema["ord"].dataType).alias("ord"), "block", *(F.col(c).cast("double").alias(c) for c in box), size(F.col("width")).cast("double").alias("w"), size(F.col("height")).cast("double").alias("h"), F.lit(False).alias("placed"))
+    schema = T.StructType([placements.schema[page], placements.schema["ord"], blocks.schema["block"]])
+    return placed.unionByName(given).groupBy(page).applyInArrow(_inline_page(page), T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
 
 
 def crossfade(slides: DataFrame, order: str, fps: int, duration: float, fade: float) -> DataFrame:

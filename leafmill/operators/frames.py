@@ -8,7 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -195,6 +197,43 @@ def near_pairs(hashes: DataFrame, key: str, bits: str, most: int) -> DataFrame:
     return pairs.unionByName(same)
 
 
+#: Distinct hashes of a block; each two blocks are compared in one task.
+BLOCK = 32_768
+
+
+def nearest_before(hashes: DataFrame, key: str, bits: str, most: int) -> DataFrame:
+    """Adds near_before to hashes: the smallest key, a whole number, below a row's own whose 64-bit hash differs in `most` bits or fewer;
+    null without any, or without a hash.
+
+    Equal hashes are one class. Classes are dealt into blocks and each two blocks compared in a task, which gives one row for a
+    class at most: what is sent grows with classes times blocks, not with the pairs that are near."""
+    classes = hashes.filter(F.col(bits).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(bits).alias("__h")).agg(F.min(key).cast("long").alias("__k"))
+    blocks = -(-classes.count() // BLOCK) or 1
+    own = F.pmod(F.xxhash64("__h"), F.lit(blocks)).cast("int")
+    dealt = classes.withColumn("__b", own).withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("__h", "__k", "__b", F.least("__b", "__o").alias("__p"), F.greatest("__b", "__o").alias("__q"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        h, k, b, p, q = (table.column(c).to_numpy() for c in ("__h", "__k", "__b", "__p", "__q"))
+        order = np.argsort(k, kind="stable")
+        h, k, b = h[order].view(np.uint64), k[order], b[order]
+        low = np.full(len(k), np.iinfo(np.int64).max)
+        x, y = np.flatnonzero(b == p[0]), np.flatnonzero(b == q[0])
+        for i in range(0, len(x), 64):
+            part = x[i : i + 64]
+            near = np.bitwise_count(h[part][:, None] ^ h[y][None, :]) <= most
+            for one, other, hit in ((part, y, near), (y, part, near.T)):  # keys ascend: the first hit is the smallest
+                any_ = hit.any(axis=1)
+                low[one[any_]] = np.minimum(low[one[any_]], k[other[hit[any_].argmax(axis=1)]])
+        met = low < k
+        return pa.table({"__h": h[met].view(np.int64), "__low": low[met]})
+
+    low = dealt.groupBy("__p", "__q").applyInArrow(compare, "__h long, __low long").groupBy("__h").agg(F.min("__low").alias("__low"))
+    first = classes.join(low.withColumnRenamed("__h", "__g"), F.col("__h") == F.col("__g"), "left").select("__h", F.least("__k", "__low").alias("__first"))
+    joined = hashes.join(first, F.col(bits) == F.col("__h"), "left")
+    return joined.select(*hashes.columns, F.when(F.col("__first") < F.col(key), F.col("__first")).alias("near_before"))
+
+
 def first_near_duplicate(hashes: DataFrame, key: str, bits: str, most: int) -> DataFrame:
     """Each key with the smallest earlier key of near_pairs, or null."""
     first = near_pairs(hashes, key, bits, most).groupBy(F.col("b").alias("__b")).agg(F.min("a").alias("duplicate_of"))

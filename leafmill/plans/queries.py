@@ -335,7 +335,8 @@ _ORDER_TABLES = "WITH o AS (SELECT o_orderkey, o_custkey % 3 AS tables FROM orde
 def _tables(spark, d):
     cell = lambda x: F.concat(F.lit("<td class='n'> "), x, F.lit(" </td>"))
     line = lambda n, x: F.concat(F.lit("<TR>"), F.concat(F.lit("<th>"), n.cast("string"), F.lit("</th>")), cell(F.concat(F.lit("<b>"), x["l_linenumber"].cast("string"), F.lit("</b> &\n"), x["l_partkey"].cast("string"))), F.lit("<td></td></TR>"))
-    rows = read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("rows"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = read(spark, d, "lineitem").repartition(parts, "l_orderkey").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("rows"))
     o = read(spark, d, "orders").join(rows, "o_orderkey")
     made = F.transform(F.sequence(F.lit(1), F.col("o_custkey") % 3), lambda n: F.concat(F.lit("<p>text</p><table border=1>"), F.array_join(F.transform("rows", lambda x: line(n - 1, x)), "\n"), F.lit("</table>")))
     pages = o.select("o_orderkey", F.when(F.col("o_custkey") % 3 > 0, F.array_join(made, "")).otherwise("<p>no table</p>").alias("html"))
@@ -649,14 +650,7 @@ _NEAR = 12
 @entry("phash_classes", f"""WITH h AS (SELECT vec_id, ({_BITSTRING})::BIT AS b FROM embeddings)
 SELECT y.vec_id, (SELECT min(x.vec_id) FROM h x WHERE x.vec_id < y.vec_id AND bit_count(xor(x.b, y.b)) <= {_NEAR}) AS near_before FROM h y""")
 def _classes(spark, d):
-    # exact pairs of classes, and every member of a class through its smallest key
-    h = _hashes(spark, d)
-    first = h.groupBy("bits").agg(F.min("vec_id").alias("k"))
-    near = FR.near_pairs(first.select(F.col("k").alias("vec_id"), "bits"), "vec_id", "bits", _NEAR)
-    both = near.select(F.col("b").alias("k"), F.col("a").alias("o")).union(near.select(F.col("a").alias("k"), F.col("b").alias("o")))
-    j = h.join(first, "bits")
-    other = j.join(both, "k", "left").select("vec_id", F.when(F.col("o") < F.col("vec_id"), F.col("o")).alias("o")).unionByName(j.select("vec_id", F.when(F.col("k") < F.col("vec_id"), F.col("k")).alias("o")))
-    return other.groupBy("vec_id").agg(F.min("o").alias("near_before"))
+    return FR.nearest_before(_hashes(spark, d), "vec_id", "bits", _NEAR).select("vec_id", "near_before")
 
 
 _T = "epoch(ts)"

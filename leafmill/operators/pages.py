@@ -181,6 +181,7 @@ def stacked_tables(rows: DataFrame, key: str, table: str, row: str) -> DataFrame
 
 def outside_tables(chars: DataFrame, tables: DataFrame, page: str = "page") -> DataFrame:
     """Characters (page, cx, cy) whose centre no table box of the page holds."""
+    tables = tables.select(page, "x0", "x1", "y0", "y1").distinct()  # equal boxes hold the same
     inside = (chars[page] == tables[page]) & chars["cx"].between(tables["x0"], tables["x1"]) & chars["cy"].between(tables["y0"], tables["y1"])
     return chars.join(tables, inside, "left_anti")
 

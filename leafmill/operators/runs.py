@@ -68,7 +68,8 @@ def replace_runs(runs: DataFrame, replacements: Mapping[str, str], case_sensitiv
         raise ValueError("nothing to replace")
     text = F.coalesce("text", F.lit(""))
     given = F.array_sort(F.collect_list(F.struct(F.col("run").alias("n"), text.alias("text"))))
-    p = runs.groupBy("doc", "block").agg(given.alias("__was"))
+    parts = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = runs.repartition(parts, "doc", "block").groupBy("doc", "block").agg(given.alias("__was"))  # no task collects before runs are dealt
     new = F.col("__was")
     for i, (needle, to) in enumerate((k, v) for k, v in replacements.items() if k):
         p = p.withColumn(f"__now{i}", _replaced(new, needle, to, case_sensitive))

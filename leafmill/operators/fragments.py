@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import page_furniture
-from .ranks import numbered
+from .ranks import checkpoints, numbered
 
 # A sentence's last words: most characters and words; what stands before them: fewest characters and words.
 TAIL = {"characters": 48, "words": 4}
@@ -37,7 +37,7 @@ def _counted(pages: DataFrame, wanted: DataFrame) -> DataFrame:
     return words.join(wanted.distinct(), ["doc", "word"], "left_semi").groupBy("doc", "word").agg(F.count("*").alias("n"))
 
 
-def _cuts(edges: DataFrame) -> DataFrame:
+def _cuts(edges: DataFrame, pages: DataFrame) -> DataFrame:
     """n, kind, taken, whole_line: what page n takes from the page after it, and whether that is the whole first line there."""
     ends = edges.select("n", "doc", F.col("last.x").alias("end"))
     begins = edges.select((F.col("n") - 1).alias("n"), F.col("doc").alias("__doc"), F.col("first.x").alias("begin"))
@@ -46,7 +46,7 @@ def _cuts(edges: DataFrame) -> DataFrame:
     halves = (F.col("tail") != "") & (F.col("head") != "")
     met = met.withColumn("whole", F.when(halves, F.lower(F.concat("tail", "head")))).withColumn("half", F.when(halves, F.lower("tail")))
     wanted = met.filter(halves).select("doc", F.explode(F.array("whole", "half")).alias("word"))
-    counts = _counted(edges, wanted)
+    counts = _counted(pages, wanted)
     of = lambda name: counts.select(F.col("doc").alias(f"__d_{name}"), F.col("word").alias(f"__w_{name}"), F.col("n").alias(f"n_{name}"))
     for name in ("whole", "half"):
         c = of(name)
@@ -69,10 +69,13 @@ def join_fragments(pages: DataFrame, doc: str = "doc", page: str = "page", text:
     the pages as they were; a page whose only line goes to the page before takes nothing itself. Pages without a document, and
     null texts, join nothing and stay as they are; pages of one number are in order of their texts."""
     t = pages.select(F.col(doc).alias("doc"), F.col(page).alias("page"), F.col(text).alias("text"))
-    e = _edges(numbered(t, [F.col("doc"), F.col("page"), F.col("text")], "n"))
-    cuts = _cuts(e)
+    checkpoints(pages.sparkSession)
+    every = numbered(t, [F.col("doc"), F.col("page"), F.col("text")], "n")
+    e = _edges(every)
+    ends = e.select("n", "doc", "first", "last", "only").checkpoint()  # many steps ask for them
+    cuts = _cuts(ends, every).checkpoint()
     given = cuts.select((F.col("n") + 1).alias("n"), F.col("whole_line").alias("all_given"))
-    blocked = e.select("n", "only").join(given, "n").filter("only and all_given").select("n")
+    blocked = ends.select("n", "only").join(given, "n").filter("only and all_given").select("n")
     cuts = cuts.join(blocked, "n", "left_anti")
     loses = cuts.select((F.col("n") + 1).alias("n"), F.col("taken").alias("gone"))
     p = e.join(cuts.select("n", "kind", "taken"), "n", "left").join(loses, "n", "left")

@@ -52,7 +52,9 @@ def boilerplate(pages: DataFrame, text: str, host: str, ratio: float = RATIO, le
     keys = F.array_distinct(F.transform(F.filter(lines_of(F.coalesce(F.col(text), F.lit(""))), lambda x: F.trim(x) != ""), _key))
     p = pages.select(F.col(host).alias("__host"), keys.alias("__keys"))
     totals = p.groupBy("__host").agg(F.count("*").alias("__pages"))
-    counts = p.select("__host", F.explode("__keys").alias("__line")).groupBy("__host", "__line").agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
+    # explode() would have Spark test the keys' number first, for which it makes them again
+    each = p.select("__host", F.explode_outer("__keys").alias("__line")).filter(F.col("__line").isNotNull())
+    counts = each.groupBy("__host", "__line").agg(F.count("*").alias("__n")).filter(F.col("__n") >= least)
     t = totals.select(F.col("__host").alias("__h"), "__pages")
     common = counts.join(t, F.col("__host").eqNullSafe(F.col("__h"))).filter(F.col("__n") > F.lit(ratio) * F.col("__pages"))
     lists = common.groupBy("__host").agg(F.collect_list("__line").alias("__lines"))
@@ -87,6 +89,7 @@ def drop_boilerplate(pages: DataFrame, text: str = "text", host: str = "source",
 
 def op4(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), page_text(F.col("html")).alias("text"))
+    pages = materialize(pages, "page-texts")  # for the counts and for the cut: markup is taken away once
     return drop_boilerplate(pages, "text", "host", report=True)
 
 

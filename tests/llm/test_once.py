@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from leafmill.llm import linededup
+from leafmill.llm import linededup, setjoin
 
 
 def plan(df) -> str:
@@ -15,3 +15,15 @@ def test_markup_is_taken_away_once(spark):
     assert plan(linededup.boilerplate(texts, "text", "host")).count("<script") == 1
     found = linededup.op4(spark, "/root/testdata/sf0.001")
     assert "<script" not in plan(found) and found.count() == 50
+
+
+def test_ids_are_looked_up_inside_spark(spark):
+    docs = spark.range(20_000).select("id", F.concat(F.lit("t"), "id").alias("text")).unionByName(spark.createDataFrame([(None, "x")], "id long, text string"))
+    wanted = spark.range(0, 20_000, 100).select("id")
+    some = setjoin.rows_of(docs, wanted)
+    assert "MapInArrow" not in plan(some) and some.columns == ["id", "text"]
+    got = {r["id"]: r["text"] for r in some.collect()}
+    assert all(got[i] == f"t{i}" for i in range(0, 20_000, 100)) and len(got) < 2_000 and None not in got
+    assert setjoin.rows_of(docs, wanted.filter("id < 0")).count() == 0
+    full = {r["id"] for r in setjoin.rows_of(docs, docs.filter("id is not null").select("id"), 17).collect()}
+    assert full == set(range(20_000))

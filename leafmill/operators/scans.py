@@ -6,6 +6,7 @@ decisions are columns, and what depends on the decision before is a fold over a
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 from collections.abc import Iterator, Sequence
 
@@ -327,18 +328,27 @@ def equal_slides(pictures: DataFrame) -> DataFrame:
 
 def _accept(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("at", kind="stable").reset_index(drop=True)
+    pics, scores, doubts = (pdf[c].tolist() for c in ("pic", "score", "doubtful"))
     stands: list[int] = []  # the row whose picture stands for each accepted slide
+    slides: dict[str, list[int]] = {}  # for each picture a heap of the slides that it stands or has stood for
     number = []
-    for row in pdf.itertuples():
-        same = set(row.same)
-        k = next((k for k, i in enumerate(stands) if pdf.pic[i] in same), len(stands))
+
+    def first(pic: str) -> int:
+        heap = slides.get(pic, [])
+        while heap and pics[stands[heap[0]]] != pic:
+            heapq.heappop(heap)
+        return heap[0] if heap else len(stands)
+
+    for i, same in enumerate(pdf["same"]):
+        k = min(map(first, same), default=len(stands))
         number.append(k)
         if k == len(stands):
-            stands.append(row.Index)
+            stands.append(i)
+        elif scores[i] - scores[stands[k]] > BETTER * max(abs(scores[stands[k]]), 0.001) and doubts[i] <= doubts[stands[k]]:
+            stands[k] = i
+        else:
             continue
-        old = pdf.loc[stands[k]]
-        if row.score - old.score > BETTER * max(abs(old.score), 0.001) and row.doubtful <= old.doubtful:
-            stands[k] = row.Index
+        heapq.heappush(slides.setdefault(pics[i], []), k)
     return pd.DataFrame({"seq": pdf.seq, "segment": pdf.segment, "slide": number, "stands": [stands[k] == i for i, k in enumerate(number)]})
 
 

@@ -124,6 +124,19 @@ def summary(results: DataFrame) -> DataFrame:
     return results.agg(done.alias("completed"), bad.alias("failed"), F.collect_list(F.when(F.col("error_type").isNotNull(), F.struct("path", "error_type", "message"))).alias("errors")).withColumn("outcome", outcome(F.col("completed"), F.col("failed"), F.lit(0)))
 
 
+#: Places of an order that go to one key where what is known of a name is joined to its rows.
+CELL = 100_000
+
+
+def _told(rows: DataFrame, name: str, place: str, known: DataFrame) -> DataFrame:
+    """rows with what is known of their name (known: __of, the name, and more). Rows meet it by name and stretch of CELL places, so
+    that a name that very many rows have is dealt over tasks."""
+    cell = F.floor(F.col(place) / CELL)
+    cells = rows.select(F.col(name).alias("__cn"), cell.alias("__cc")).distinct()
+    more = cells.join(known, F.col("__cn") == F.col("__of")).drop("__of")
+    return rows.withColumn("__cell", cell).join(more, (F.col(name) == F.col("__cn")) & (F.col("__cell") == F.col("__cc"))).drop("__cell", "__cn", "__cc")
+
+
 def unique_names(wanted: DataFrame, name: str, order: str, existing: DataFrame | None = None) -> DataFrame:
     """Adds unique_name, different for all rows and from all of existing (name).
 
@@ -138,7 +151,7 @@ def unique_names(wanted: DataFrame, name: str, order: str, existing: DataFrame |
     asked = numbered(wanted.filter(F.col(name).isNotNull()).select("*", F.monotonically_increasing_id().alias("__id")), [F.col(name), F.col(order), F.col("__id")], "__n").drop("__id")
     first = asked.groupBy(F.col(name).alias("__name")).agg(F.min("__n").alias("__first"))
     first = first.join(have.withColumn("__exists", F.lit(True)), F.col("__name") == F.col("__taken"), "left").select("__name", "__first", F.coalesce("__exists", F.lit(False)).alias("__exists"))
-    placed = asked.join(first, F.col(name) == F.col("__name")).withColumn("__k", F.col("__n") - F.col("__first") + F.col("__exists").cast("int"))
+    placed = _told(asked, name, "__n", first.withColumnRenamed("__name", "__of")).withColumn("__name", F.col(name)).withColumn("__k", F.col("__n") - F.col("__first") + F.col("__exists").cast("int"))
     # numbers that are taken, by what stands before and behind them
     every = have.union(first.select("__name")).distinct().select(F.regexp_extract("__taken", "^(.*)_([1-9][0-9]{0,17})(\\.[^.]*)?$", 1).alias("__s"), F.regexp_extract("__taken", "^(.*)_([1-9][0-9]{0,17})(\\.[^.]*)?$", 2).try_cast("long").alias("__t"), F.regexp_extract("__taken", "^(.*)_([1-9][0-9]{0,17})(\\.[^.]*)?$", 3).alias("__x"))
     stem, suffix = F.regexp_replace("__name", "\\.[^.]*$", ""), F.regexp_extract("__name", "(\\.[^.]*)$", 1)
@@ -147,11 +160,11 @@ def unique_names(wanted: DataFrame, name: str, order: str, existing: DataFrame |
     taken = numbered(taken, [F.col("__name"), F.col("__t")], "__n")
     least = taken.groupBy(F.col("__name").alias("__of")).agg(F.min("__n").alias("__begin"))
     # free numbers before the i-th taken one t: t - i; a row whose place is beyond these passes over it
-    gaps = taken.join(least, F.col("__name") == F.col("__of")).select("__name", (F.col("__t") - (F.col("__n") - F.col("__begin") + 1)).alias("__k"), F.lit(1).alias("__passed"), F.lit(None).cast("long").alias("__row"))
+    gaps = _told(taken, "__name", "__n", least).select("__name", (F.col("__t") - (F.col("__n") - F.col("__begin") + 1)).alias("__k"), F.lit(1).alias("__passed"), F.lit(None).cast("long").alias("__row"))
     rows = placed.filter("__k > 0").select("__name", F.col("__k").cast("long").alias("__k"), F.lit(0).alias("__passed"), F.col("__n").alias("__row"))
     both = numbered(rows.unionByName(gaps), [F.col("__name"), F.col("__k"), F.col("__passed"), F.col("__row")], "__place")
     edges = both.groupBy(F.col("__name").alias("__of")).agg(F.min("__place").alias("__begin"))
-    passed = both.filter("__passed = 0").join(edges, F.col("__name") == F.col("__of")).select("__row", (F.col("__place") - F.col("__begin") + 1 - F.col("__k")).alias("__over"))
+    passed = _told(both.filter("__passed = 0"), "__name", "__place", edges).select("__row", (F.col("__place") - F.col("__begin") + 1 - F.col("__k")).alias("__over"))
     named = placed.join(passed, F.col("__n") == F.col("__row"), "left")
     number = (F.col("__k") + F.col("__over")).cast("string")
     out = named.withColumn("unique_name", F.when(F.col("__k") == 0, F.col(name)).otherwise(F.concat(stem, F.lit("_"), number, suffix)))

@@ -305,3 +305,11 @@ def test_no_two_names_are_the_same(spark):
         given = [x for x in got.values() if x]
         assert len(set(given)) == len(given) and not set(given) & set(taken)
     assert [r.unique_name for r in runner.unique_names(spark.createDataFrame([(1, "a"), (2, "a"), (3, "a_1")], "o int, n string"), "n", "o").orderBy("o").collect()] == ["a", "a_2", "a_1"]
+
+
+def test_names_that_many_rows_want_are_dealt_by_stretches(spark, monkeypatch):
+    monkeypatch.setattr(runner, "CELL", 7)
+    wanted = spark.createDataFrame([(i, "a.txt" if i % 5 else "b") for i in range(200)], "o int, n string").repartition(3)
+    got = [r.unique_name for r in runner.unique_names(wanted, "n", "o", spark.createDataFrame([("a.txt",), ("b_2",), ("b_3",)], "name string")).orderBy("o").collect()]
+    assert [x for x in got if x[0] == "a"] == [f"a_{i}.txt" for i in range(1, 161)]
+    assert [x for x in got if x[0] == "b"] == ["b", "b_1", *(f"b_{i}" for i in range(4, 42))]
